@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratum.llm import quality_rules
+from stratum.llm import ngram_join, quality_rules
 
-QUERIES = {"op5_quality_rules": quality_rules.query}
-SQL = {"op5_quality_rules": quality_rules.SQL}
+QUERIES = {"op5_quality_rules": quality_rules.query, "op9_ngram_jaccard_join": ngram_join.query}
+SQL = {"op5_quality_rules": quality_rules.SQL, "op9_ngram_jaccard_join": ngram_join.SQL}

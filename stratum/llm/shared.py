@@ -26,13 +26,18 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that are handled at a time, so that temporary arrays stay small.
+PIECE = 512
+
+
 def arrow_pass(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``each`` applied to every Arrow batch of ``df``; its result's columns in the order of ``schema``."""
+    """``each`` applied to pieces of the Arrow batches of ``df``; its result's columns in the order of ``schema``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := each(batch)) is not None:
-                yield out
+            for at in range(0, batch.num_rows, PIECE):
+                if (out := each(batch.slice(at, PIECE))) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
