@@ -2,7 +2,25 @@
 
 from __future__ import annotations
 
-from stratum.llm import ngram_join, quality_rules
+from stratum.llm import bpe, fm_index, license_scan, ngram_join, pii, quality_rules, sharding, toxicity, url_filter, warc
 
-QUERIES = {"op5_quality_rules": quality_rules.query, "op9_ngram_jaccard_join": ngram_join.query}
-SQL = {"op5_quality_rules": quality_rules.SQL, "op9_ngram_jaccard_join": ngram_join.SQL}
+QUERIES = {
+    "op1_sharding": sharding.query,
+    "op2_warc_zstd": warc.query,
+    "op3_bpe": bpe.query,
+    "op4_url_filters": url_filter.query,
+    "op5_quality_rules": quality_rules.query,
+    "op6_benchmark_decontamination": fm_index.query,
+    "op7_pii": pii.query,
+    "op8_license_scans": license_scan.query,
+    "op9_ngram_jaccard_join": ngram_join.query,
+    "op10_toxicity": toxicity.query,
+}
+SQL = {
+    "op1_sharding": sharding.sql(),
+    "op4_url_filters": url_filter.SQL,
+    "op5_quality_rules": quality_rules.SQL,
+    "op6_benchmark_decontamination": fm_index.SQL,
+    "op8_license_scans": license_scan.sql(),
+    "op9_ngram_jaccard_join": ngram_join.SQL,
+}
