@@ -1,6 +1,668 @@
-"""The registered queries of the raster and candidate operators, and their SQL."""
+"""The registered queries of the raster, candidate, evaluation, sampling and log operators, and their SQL.
+
+Queries run over whole tables; floats are rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from stratum.functions import geo, text
+from stratum.operators import candidates as C
+from stratum.operators import components as G
+from stratum.operators import evaluation as E
+from stratum.operators import raster as R
+from stratum.operators import sampling as S
+from stratum.operators import scanlog as L
+from stratum.plans import views as V
+
+QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *names: str) -> Callable:
+    """Registers a query under its function's name, with its SQL over the named views."""
+
+    def add(fn: Callable) -> Callable:
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            SQL[fn.__name__] = V.sql(sql, *names) if names else sql.strip()
+        return fn
+
+    return add
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(c, 6)
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: r6(n) for n in names})
+
+
+BAND = "CASE WHEN score_mean IS NULL THEN 'Bilinmiyor' WHEN score_mean >= 0.8 THEN 'Yuksek' WHEN score_mean >= 0.6 THEN 'Orta' ELSE 'Dusuk' END"
+UNIT = "least(greatest(v, 0), 1)"
+
+
+def unit(df: DataFrame) -> DataFrame:
+    """Cells clipped to 0..1."""
+    return df.withColumn("v", F.least(F.greatest(F.col("v"), F.lit(0.0)), F.lit(1.0)))
+
+
+# candidates
+
+
+@query(f"""SELECT source_label, scale_level, scale_factor, count(*) AS n_candidates, count(*) FILTER ({BAND} = 'Yuksek') AS n_high, count(*) FILTER ({BAND} = 'Orta') AS n_medium, count(*) FILTER ({BAND} = 'Dusuk') AS n_low,
+ round(avg(score_mean), 6) AS score_avg, round(max(score_mean), 6) AS score_max, round(sum(area_m2), 3) AS area_sum FROM candidates GROUP BY ALL""", "candidates")
+def candidate_group_summary(spark, d):
+    return rounded(C.group_summary(V.candidates(spark, d)), "score_avg", "score_max").withColumn("area_sum", F.round("area_sum", 3))
+
+
+@query("""SELECT candidate_id, row_number() OVER (ORDER BY coalesce(score_mean, -1) DESC, coalesce(area_m2, -1) DESC, source_label, coalesce(scale_level, 999999), coalesce(candidate_id, 999999)) AS priority_rank FROM candidates""", "candidates")
+def candidate_priority_rank(spark, d):
+    return C.priority_rank(V.candidates(spark, d)).select("candidate_id", "priority_rank")
+
+
+@query(f"""SELECT unnest(['total_candidates', 'sources', 'scale_levels', 'systems', 'high', 'medium', 'low', 'unknown', 'score_avg', 'score_max', 'area_sum', 'area_max']) AS metric,
+ round(unnest([count(*)::DOUBLE, count(DISTINCT source_label), count(DISTINCT scale_level), count(DISTINCT native_crs), count(*) FILTER ({BAND} = 'Yuksek'), count(*) FILTER ({BAND} = 'Orta'), count(*) FILTER ({BAND} = 'Dusuk'),
+ count(*) FILTER ({BAND} = 'Bilinmiyor'), avg(score_mean), max(score_mean), sum(area_m2), max(area_m2)]), 3) AS amount FROM candidates""", "candidates")
+def candidate_summary_metrics(spark, d):
+    return C.summary_metrics(V.candidates(spark, d)).withColumn("amount", F.round("amount", 3))
+
+
+@query("""SELECT source_label, scale_level, candidate_id, round(score_mean, 6) AS score_mean FROM candidates QUALIFY row_number() OVER (PARTITION BY source_label, scale_level ORDER BY coalesce(score_mean, -1) DESC, candidate_id) = 1""", "candidates")
+def candidate_best_per_group(spark, d):
+    best = C.best_per_group(V.candidates(spark, d), ["source_label", "scale_level"], "score_mean", "candidate_id")
+    return rounded(best.select("source_label", "scale_level", "candidate_id", "score_mean"), "score_mean")
+
+
+@query("""SELECT candidate_id, round(score_mean, 6) AS score_mean FROM candidates WHERE NOT EXISTS (FROM candidates WHERE score_mean > 1e9) ORDER BY score_mean DESC NULLS LAST, candidate_id LIMIT 25""", "candidates")
+def candidate_fallback_union(spark, d):
+    rows = V.candidates(spark, d).select("candidate_id", "score_mean")
+    return rounded(C.with_fallback(rows.where("score_mean > 1e9"), rows, [F.desc_nulls_last("score_mean"), F.asc("candidate_id")], 25), "score_mean")
+
+
+@query("""SELECT tile_index, candidate_index, line_no, CASE WHEN status = 'error' THEN 'error' WHEN size = 0 THEN 'no_confidence' WHEN size / 500.0 < 0.5 THEN 'below_threshold' ELSE 'confirmed' END AS reason FROM tile_log""", "tile_log")
+def candidate_not_found_reason(spark, d):
+    confidence = F.when(F.col("size") > 0, F.col("size") / 500.0)
+    return V.tile_log(spark, d).select("tile_index", "candidate_index", "line_no", C.not_found_reason(F.col("status"), confidence, 0.5).alias("reason"))
+
+
+@query("""SELECT CASE WHEN conf IS NULL OR conf <= 0 THEN 'none' WHEN conf >= 0.95 THEN 'very_high' WHEN conf >= 0.9 THEN 'high' WHEN conf >= 0.75 THEN 'medium' ELSE 'low' END AS tier, count(*) AS n FROM boxes GROUP BY ALL""", "boxes")
+def confidence_tiers(spark, d):
+    return V.boxes(spark, d).groupBy(C.confidence_tier(F.col("conf")).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT least(floor(conf * 5), 4)::INT AS bucket, count(*) AS n FROM boxes WHERE conf BETWEEN 0 AND 1 GROUP BY ALL""", "boxes")
+def confidence_histogram(spark, d):
+    return E.confidence_histogram(V.boxes(spark, d), "conf")
+
+
+@query("""SELECT source_label, native_crs, count(*) AS n FROM candidates GROUP BY ALL""", "candidates")
+def class_counters(spark, d):
+    return V.candidates(spark, d).groupBy("source_label", "native_crs").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source_label", "native_crs")
+
+
+@query("""SELECT candidate_id, 'https://maps.google.com/?q=' || printf('%.8f', lat) || ',' || printf('%.8f', lon) AS url, printf('%.2fx', scale_factor) AS scale
+ FROM (SELECT *, degrees(x / 6378137.0) AS lon, degrees(2 * atan(exp(y / 6378137.0)) - pi() / 2) AS lat FROM candidates WHERE native_crs = 'EPSG:3857')""", "candidates")
+def maps_url_format(spark, d):
+    rows = V.candidates(spark, d).where("native_crs = 'EPSG:3857'")
+    lon, lat = geo.to_wgs84(F.col("x"), F.col("y"), F.col("native_crs"))
+    return rows.select("candidate_id", text.maps_query_url(lat, lon).alias("url"), text.scale_token(F.col("scale_factor")).alias("scale"))
+
+
+@query("""SELECT candidate_id, round(c + a * x + b * y, 6) AS gx, round(f + d * x + e * y, 6) AS gy FROM (SELECT *, 2.0 AS a, 0.5 AS b, 100.0 AS c, 0.25 AS d, -2.0 AS e, 200.0 AS f FROM candidates)""", "candidates")
+def bbox_affine(spark, d):
+    gx, gy = geo.affine(F.array(*map(F.lit, (2.0, 0.5, 100.0, 0.25, -2.0, 200.0))), F.col("x"), F.col("y"))
+    return V.candidates(spark, d).select("candidate_id", r6(gx).alias("gx"), r6(gy).alias("gy"))
+
+
+@query("""SELECT tile_id, ord, round(least(greatest((x1 + (x2 - x1) / 2) / 64, 0), 1), 6) AS cx, round(least(greatest((y1 + (y2 - y1) / 2) / 64, 0), 1), 6) AS cy, round(least((x2 - x1) / 64, 1), 6) AS w, round(least((y2 - y1) / 64, 1), 6) AS h FROM boxes""", "boxes")
+def yolo_box_normalise(spark, d):
+    q = geo.yolo_box(F.col("x1"), F.col("y1"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), 64, 64)
+    return V.boxes(spark, d).select("tile_id", "ord", q.alias("q")).select("tile_id", "ord", *(r6(f"q.{c}").alias(c) for c in ("cx", "cy", "w", "h")))
+
+
+@query("""SELECT tile_id, ord, round(abs((x2 - x1) * (y2 - y1)), 6) AS area, x1 < 64 AND least(x2, 64.0) > x1 AS inside FROM boxes""", "boxes")
+def ring_areas(spark, d):
+    ring = geo.box_ring(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    inside = geo.clamped_box(F.array("x1", "y1", "x2", "y2"), 64, 64).isNotNull()
+    return V.boxes(spark, d).select("tile_id", "ord", r6(geo.ring_area(ring)).alias("area"), inside.alias("inside"))
+
+
+IOU = "greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0)"
+AREAS = "(a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1)"
+
+
+@query(f"""SELECT a.tile_id, a.ord AS a, b.ord AS b, round({IOU} / ({AREAS} - {IOU}), 6) AS iou FROM boxes a JOIN boxes b ON a.tile_id = b.tile_id AND a.ord < b.ord WHERE {IOU} / ({AREAS} - {IOU}) >= 0.3""", "boxes")
+def iou_self_join(spark, d):
+    return rounded(C.iou_pairs(V.boxes(spark, d), "tile_id", "ord", 0.3), "iou")
+
+
+@query("""SELECT tile_id, ord, conf, row_number() OVER (PARTITION BY tile_id ORDER BY conf DESC, ord)::INT AS rank FROM boxes QUALIFY rank <= 3""", "boxes")
+def topn_per_tile(spark, d):
+    return C.top_n(V.boxes(spark, d), "tile_id", [F.desc("conf"), F.asc("ord")], 3).select("tile_id", "ord", "conf", "rank")
+
+
+@query("""SELECT tile_id, ord, row_number() OVER (PARTITION BY tile_id ORDER BY ord)::INT AS candidate_index, count(*) OVER (PARTITION BY tile_id) AS candidate_count FROM boxes""", "boxes")
+def candidate_sequence(spark, d):
+    return C.sequence_fields(V.boxes(spark, d), "tile_id", "ord").select("tile_id", "ord", "candidate_index", "candidate_count")
+
+
+@query(f"""b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY conf DESC, ord, x1, y1, x2, y2) AS i FROM boxes),
+o AS MATERIALIZED (SELECT a.tile_id, a.i, list(b.i) AS over FROM b a JOIN b ON a.tile_id = b.tile_id AND b.i < a.i WHERE {IOU} / ({AREAS} - {IOU}) >= 0.3 GROUP BY ALL),
+r(tile_id, i, kept) AS (SELECT tile_id, 1::BIGINT, [1::BIGINT] FROM b WHERE i = 1 UNION ALL
+ SELECT b.tile_id, b.i, CASE WHEN len(list_intersect(coalesce(o.over, []), r.kept)) = 0 THEN list_append(r.kept, b.i) ELSE r.kept END FROM r JOIN b ON b.tile_id = r.tile_id AND b.i = r.i + 1 LEFT JOIN o ON o.tile_id = b.tile_id AND o.i = b.i),
+l AS (SELECT tile_id, arg_max(kept, i) AS kept FROM r GROUP BY tile_id)
+SELECT b.tile_id, b.ord FROM b JOIN l ON b.tile_id = l.tile_id WHERE list_contains(l.kept, b.i)""")
+def nms_same_tile(spark, d):
+    return C.suppress(V.boxes(spark, d), "tile_id", 0.3).select("tile_id", "ord")
+
+
+SQL["nms_same_tile"] = "WITH RECURSIVE boxes AS (" + V.SQL["boxes"] + "),\n" + SQL["nms_same_tile"]
+
+
+def _placed_boxes(spark, d) -> DataFrame:
+    """Boxes on one plane: a tile's boxes are moved to the tile's place."""
+    b = V.boxes(spark, d)
+    dx, dy = F.col("tile_id") % 50 * 40, (F.col("tile_id") / 50).cast("bigint") * 25
+    moved = b.withColumns({"x1": F.col("x1") + dx, "x2": F.col("x2") + dx, "y1": F.col("y1") + dy, "y2": F.col("y2") + dy})
+    return moved.withColumn("ord", F.col("tile_id") * 10 + F.col("ord"))
+
+
+@query()
+def nms_cross_tile(spark, d):
+    """Greedy suppression over all tiles: overlaps are found by grid cell, and only their components meet in a group."""
+    rows = _placed_boxes(spark, d)
+    cell = 40
+    span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
+    keyed = rows.withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(span("y1", "y2"))).withColumn("cell", F.col("cx") * 1_000_000 + F.col("cy"))
+    pairs = C.iou_pairs(keyed, "cell", "ord", 0.5).select("a", "b").distinct()
+    return G.suppress_across(rows, "ord", 0.5, pairs, C.suppress).select("tile_id", "ord", "conf")
+
+
+SMALL_CLUSTER = 3.0
+
+
+@query(f"""p AS MATERIALIZED (SELECT a.candidate_id AS a, b.candidate_id AS b FROM candidates a JOIN candidates b ON a.native_crs = b.native_crs AND a.candidate_id < b.candidate_id
+  AND abs(a.x - b.x) <= {SMALL_CLUSTER} AND abs(a.y - b.y) <= {SMALL_CLUSTER} AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= {SMALL_CLUSTER**2}),
+e AS MATERIALIZED (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r(id, at) AS (SELECT candidate_id, candidate_id FROM candidates UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.at)
+SELECT id AS candidate_id, min(at) AS cluster FROM r GROUP BY id""")
+def distance_clusters(spark, d):
+    rows = V.candidates(spark, d)
+    labels = G.label_edges(C.distance_pairs(rows, SMALL_CLUSTER))
+    return rows.join(labels, rows["candidate_id"] == labels["id"], "left").select("candidate_id", F.coalesce("label", "candidate_id").alias("cluster"))
+
+
+SQL["distance_clusters"] = "WITH RECURSIVE candidates AS MATERIALIZED (" + V.SQL["candidates"] + "),\n" + SQL["distance_clusters"].replace("r(id, at)", "r(id, z)").replace("r.at", "r.z").replace("min(at)", "min(z)")
+
+
+@query("""SELECT cluster, count(*) AS members, arg_max(candidate_id, (coalesce(score_mean, -1), coalesce(area_m2, -1), -candidate_id)) AS best_id, round(avg(x), 6) AS x_mean, round(avg(y), 6) AS y_mean,
+ array_to_string(list_sort(list_distinct(list(source_label))), ', ') AS sources_seen, array_to_string(list_sort(list_distinct(list(scale_level::VARCHAR))), ', ') AS scale_levels_seen, round(sum(area_m2), 3) AS area_sum, round(max(score_mean), 6) AS score_max
+ FROM (SELECT *, native_crs || ':' || floor(x / 50)::BIGINT || ':' || floor(y / 50)::BIGINT AS cluster FROM candidates) GROUP BY cluster""", "candidates")
+def cluster_rollup(spark, d):
+    key = F.concat_ws(":", "native_crs", F.floor(F.col("x") / 50), F.floor(F.col("y") / 50))
+    return rounded(C.cluster_rollup(V.candidates(spark, d).withColumn("cluster", key)), "x_mean", "y_mean", "score_max").withColumn("area_sum", F.round("area_sum", 3))
+
+
+@query()
+def suppressed_topk(spark, d):
+    return rounded(C.suppressed_top_k(V.mosaic(spark, d), 10, 3, 0.0), "v")
+
+
+# evaluation
+
+
+def _metrics_sql(where: str, eps: str) -> str:
+    return f"""c AS (SELECT count(*) FILTER ({where} AND truth > 0) AS tp, count(*) FILTER ({where} AND truth <= 0) AS fp, count(*) FILTER (NOT ({where}) AND truth > 0) AS fn, count(*) FILTER (NOT ({where}) AND truth <= 0) AS tn FROM eval_pairs),
+m AS (SELECT *, tp / (tp + fp + {eps}) AS p, tp / (tp + fn + {eps}) AS r FROM c)
+SELECT tp, fp, fn, tn, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r + {eps}), 6) AS f1, round(tp / (tp + fp + fn + {eps}), 6) AS iou, round((tp + tn) / (tp + fp + fn + tn + {eps}), 6) AS accuracy FROM m"""
+
+
+METRICS = ("precision", "recall", "f1", "iou", "accuracy")
+
+
+def _after_views(sql: str, *names: str) -> str:
+    """SQL that begins with more common table expressions."""
+    return "WITH " + "".join(f"{n} AS ({V.SQL[n]}),\n" for n in names) + sql
+
+
+@query(_after_views(_metrics_sql("prob >= 0.5", "1e-8"), "eval_pairs"))
+def confusion_metrics_eps(spark, d):
+    return rounded(E.evaluate(V.eval_pairs(spark, d)), *METRICS)
+
+
+@query(_after_views(_metrics_sql("prob > 0.5", "1e-7"), "eval_pairs"))
+def confusion_metrics_training(spark, d):
+    return rounded(E.evaluate(V.eval_pairs(spark, d), strict=True, eps=1e-7), *METRICS)
+
+
+@query(_after_views("""c AS (SELECT truth % 2 AS stage, count(*) FILTER (prob >= 0.5 AND truth > 0) AS tp, count(*) FILTER (prob >= 0.5 AND truth <= 0) AS fp, count(*) FILTER (prob < 0.5 AND truth > 0) AS fn, count(*) FILTER (prob < 0.5 AND truth <= 0) AS tn FROM eval_pairs GROUP BY ALL),
+m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM c)
+SELECT stage, tp, fp, fn, tn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy FROM m""", "eval_pairs"))
+def confusion_metrics_guarded(spark, d):
+    rows = V.eval_pairs(spark, d).withColumn("stage", F.col("truth") % 2)
+    return rounded(E.evaluate(rows, eps=None, by=["stage"]), "precision", "recall", "f1", "accuracy")
+
+
+SWEPT = """t AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS threshold),
+c AS (SELECT threshold, count(*) FILTER (prob >= threshold AND truth > 0) AS tp, count(*) FILTER (prob >= threshold AND truth <= 0) AS fp, count(*) FILTER (prob < threshold AND truth > 0) AS fn, count(*) FILTER (prob < threshold AND truth <= 0) AS tn FROM eval_pairs, t GROUP BY ALL),
+m AS (SELECT *, tp / (tp + fp + 1e-8) AS p, tp / (tp + fn + 1e-8) AS r FROM c),
+s AS (SELECT threshold, tp, fp, fn, tn, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r + 1e-8), 6) AS f1, round(tp / (tp + fp + fn + 1e-8), 6) AS iou, round((tp + tn) / (tp + fp + fn + tn + 1e-8), 6) AS accuracy FROM m)
+"""
+
+
+@query(_after_views(SWEPT + "SELECT * FROM s", "eval_pairs"))
+def threshold_sweep(spark, d):
+    return rounded(E.sweep(V.eval_pairs(spark, d)), *METRICS)
+
+
+@query(_after_views(SWEPT + "SELECT arg_max(threshold, (f1, -threshold)) AS threshold, max(f1) AS f1 FROM s", "eval_pairs"))
+def best_threshold(spark, d):
+    return E.best_threshold(rounded(E.sweep(V.eval_pairs(spark, d)), *METRICS))
+
+
+CURVE = """t AS (SELECT i / 99.0::DOUBLE AS threshold FROM range(100) t(i)),
+c AS (SELECT threshold, count(*) FILTER (prob >= threshold AND truth > 0) AS tp, count(*) FILTER (prob >= threshold) AS f, count(*) FILTER (truth > 0) AS p FROM eval_pairs, t GROUP BY ALL),
+s AS (SELECT threshold, CASE WHEN f > 0 THEN tp / f ELSE 1 END AS precision, CASE WHEN p > 0 THEN tp / p ELSE 0 END AS recall FROM c)
+"""
+
+
+@query(_after_views(CURVE + "SELECT round(threshold, 6) AS threshold, round(precision, 6) AS precision, round(recall, 6) AS recall FROM s", "eval_pairs"))
+def pr_curve(spark, d):
+    return rounded(E.pr_curve(V.eval_pairs(spark, d)), "threshold", "precision", "recall")
+
+
+@query(_after_views(CURVE + "SELECT round(sum(a), 6) AS auc FROM (SELECT (recall - lag(recall) OVER w) * (precision + lag(precision) OVER w) / 2 AS a FROM s WINDOW w AS (ORDER BY recall, threshold DESC))", "eval_pairs"))
+def auc_trapezoid(spark, d):
+    return rounded(E.auc(E.pr_curve(V.eval_pairs(spark, d))), "auc")
+
+
+@query("""SELECT doc_id, truth, CASE WHEN prob >= 0.5 THEN 1 ELSE 0 END AS predicted FROM eval_pairs""", "eval_pairs")
+def prediction_to_binary(spark, d):
+    return E.binary(V.eval_pairs(spark, d), "prob", "predicted").select("doc_id", "truth", "predicted")
+
+
+# pixels
+
+
+@query("SELECT row, col, round(v, 6) AS v FROM mosaic", "mosaic")
+def mosaic_pixels(spark, d):
+    return rounded(V.mosaic(spark, d), "v")
+
+
+CLIPPED = "least(greatest(CASE WHEN hi - lo <= 1e-6 THEN v - lo ELSE (v - lo) / (hi - lo) END, 0), 1)"
+Q = "q AS (SELECT quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM mosaic)"
+
+
+@query(_after_views(Q + f" SELECT row, col, round({CLIPPED}, 6) AS v FROM mosaic, q", "mosaic"))
+def percentile_clip(spark, d):
+    return rounded(R.normalised(V.mosaic(spark, d)), "v")
+
+
+@query(_after_views(f"q AS (SELECT tile, quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM tiles GROUP BY tile) SELECT tile, p, round({CLIPPED}, 6) AS v FROM tiles JOIN q USING (tile)", "tiles"))
+def robust_norm_per_tile(spark, d):
+    return rounded(R.normalised(V.tiles(spark, d), by=["tile"]).select("tile", "p", "v"), "v")
+
+
+@query("""SELECT round(median(lo), 6) AS lo, round(median(hi), 6) AS hi FROM (SELECT quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM tiles WHERE tile < 100 GROUP BY tile)""", "tiles")
+def global_norm_first_n(spark, d):
+    return rounded(R.global_normaliser(V.tiles(spark, d), 100), "lo", "hi")
+
+
+@query("""SELECT row, col, floor(least(greatest((v + 0.25) / 0.5, 0), 1) * 255)::INT AS u FROM mosaic""", "mosaic")
+def stretch_uint8_trunc(spark, d):
+    return V.mosaic(spark, d).select("row", "col", R.stretch_uint8(F.col("v"), F.lit(-0.25), F.lit(0.25)).alias("u"))
+
+
+@query("""SELECT row, col, round_even(least(greatest((v + 0.25) / 0.5, 0), 1) * 255, 0)::INT AS u FROM mosaic""", "mosaic")
+def scale_uint8_rint(spark, d):
+    return V.mosaic(spark, d).select("row", "col", R.scale_uint8(F.col("v"), F.lit(-0.25), F.lit(0.25)).alias("u"))
+
+
+HOLES = "h AS (SELECT tile, p, CASE WHEN (tile + p) % 7 <> 0 THEN v END AS v FROM tiles)"
+
+
+def _holes(spark, d) -> DataFrame:
+    return V.tiles(spark, d).select("tile", "label", "p", F.when((F.col("tile") + F.col("p")) % 7 != 0, F.col("v")).alias("v"))
+
+
+@query(_after_views(HOLES + ", m AS (SELECT tile, quantile_cont(v, 0.5) AS m FROM h GROUP BY tile) SELECT tile, p, round(coalesce(v, m, 0), 6) AS v FROM h JOIN m USING (tile)", "tiles"))
+def nodata_median_fill(spark, d):
+    return rounded(R.filled_by_median(_holes(spark, d).select("tile", "p", "v"), "tile"), "v")
+
+
+@query("""SELECT l_orderkey, l_linenumber, r = 0 AND g = 0 AND b = 0 AND ((s = 0 AND t = 0) OR (s = t AND abs(s) >= 9999)) AS filled FROM (SELECT *, l_partkey % 2 AS r, l_suppkey % 2 AS g, l_linenumber % 2 AS b,
+ CASE WHEN l_partkey % 3 = 0 THEN -9999 ELSE l_suppkey % 3 END AS s, CASE WHEN l_partkey % 3 = 0 THEN -9999 ELSE l_linenumber % 3 END AS t FROM lineitem)""")
+def implicit_fill_mask(spark, d):
+    li = V.table(spark, d, "lineitem")
+    k = lambda c, n: F.col(c).cast("bigint") % n
+    deep = k("l_partkey", 3) == 0
+    aux = [F.when(deep, -9999).otherwise(k("l_suppkey", 3)), F.when(deep, -9999).otherwise(k("l_linenumber", 3))]
+    return li.select("l_orderkey", "l_linenumber", R.implicit_fill([k("l_partkey", 2), k("l_suppkey", 2), k("l_linenumber", 2)], aux).alias("filled"))
+
+
+@query(_after_views(HOLES + """ SELECT tile, round(avg((v IS NOT NULL)::INT), 6) AS valid_ratio, round(max(v), 6) AS largest, round(stddev_pop(v), 6) AS deviation,
+ avg((v IS NOT NULL)::INT) < 0.01 OR max(v) <= 0.01 AS empty, stddev_pop(v) < 0.05 AS featureless FROM h GROUP BY tile""", "tiles"))
+def tile_filters(spark, d):
+    return rounded(R.tile_facts(_holes(spark, d)), "valid_ratio", "largest", "deviation")
+
+
+@query("""SELECT row, col, round(a.v, 6) AS dsm, round(b.v, 6) AS dtm, round(a.v - b.v, 6) AS ndsm FROM mosaic a JOIN mosaic_b b USING (row, col)""", "mosaic", "mosaic_b")
+def band_stack_ndsm(spark, d):
+    a, b = V.mosaic(spark, d).withColumnRenamed("v", "dsm"), V.mosaic(spark, d, 1).withColumnRenamed("v", "dtm")
+    return rounded(a.join(b, ["row", "col"]).withColumn("ndsm", R.ndsm(F.col("dsm"), F.col("dtm"))), "dsm", "dtm", "ndsm")
+
+
+@query(f"""SELECT row, col, round(0.6 * coalesce(a.v, 0) + 0.4 * coalesce(b.v, 0), 6) AS prob, CASE WHEN 0.6 * coalesce(a.v, 0) + 0.4 * coalesce(b.v, 0) >= 0.05 THEN 1 ELSE 0 END AS mask
+ FROM (SELECT row, col, {UNIT} AS v FROM mosaic) a FULL JOIN (SELECT row, col, {UNIT} AS v FROM mosaic_b) b USING (row, col)""", "mosaic", "mosaic_b")
+def fusion_alpha(spark, d):
+    a, b = unit(V.mosaic(spark, d)).withColumnRenamed("v", "a"), unit(V.mosaic(spark, d, 1)).withColumnRenamed("v", "b")
+    fused = a.join(b, ["row", "col"], "full").withColumn("prob", R.fuse(F.col("a"), F.col("b"), 0.6))
+    return fused.select("row", "col", r6("prob").alias("prob"), R.threshold(F.col("prob"), 0.05).alias("mask"))
+
+
+def _scales(spark, d) -> DataFrame:
+    a, b = V.mosaic(spark, d), V.mosaic(spark, d, 1)
+    return a.withColumn("scale", F.lit(1)).unionByName(b.withColumn("scale", F.lit(2)).withColumn("v", F.when((F.col("row") + F.col("col")) % 5 != 0, F.col("v"))))
+
+
+SCALES = "s AS (SELECT 1 AS scale, row, col, v FROM mosaic UNION ALL SELECT 2, row, col, CASE WHEN (row + col) % 5 <> 0 THEN v END FROM mosaic_b)"
+
+
+@query(_after_views(SCALES + " SELECT row, col, round(max(v), 6) AS v FROM s GROUP BY ALL", "mosaic", "mosaic_b"))
+def scale_merge_max(spark, d):
+    return rounded(R.merge_scales(_scales(spark, d), "max"), "v")
+
+
+@query(_after_views(SCALES + " SELECT row, col, round(avg(v), 6) AS v FROM s GROUP BY ALL", "mosaic", "mosaic_b"))
+def scale_merge_mean(spark, d):
+    return rounded(R.merge_scales(_scales(spark, d), "mean"), "v")
+
+
+@query(_after_views(SCALES + " SELECT row, col, round(sum(coalesce(v, 0) * CASE scale WHEN 1 THEN 0.75 ELSE 0.25 END), 6) AS v FROM s GROUP BY ALL", "mosaic", "mosaic_b"))
+def scale_merge_weighted(spark, d):
+    return rounded(R.merge_scales(_scales(spark, d), "weighted_mean", {1: 3.0, 2: 1.0}), "v")
+
+
+@query("""SELECT tile, count(*) FILTER (v > 0) AS n_positive, count(*) FILTER (v IS NOT NULL) AS n_valid, round(count(*) FILTER (v > 0) / count(*) FILTER (v IS NOT NULL), 6) AS positive_ratio FROM tiles GROUP BY tile""", "tiles")
+def tile_positive_ratio(spark, d):
+    return rounded(R.positive_ratio(V.tiles(spark, d), "tile", F.col("v") > 0, F.col("v").isNotNull()), "positive_ratio")
+
+
+SIZES = "z AS (SELECT o_orderkey AS raster, (64 + o_orderkey % 97)::INT AS h, (80 + o_orderkey % 53)::INT AS w FROM orders)"
+
+
+def _sizes(spark, d) -> DataFrame:
+    k = F.col("o_orderkey")
+    return V.table(spark, d, "orders").select(k.alias("raster"), (64 + k % 97).cast("int").alias("h"), (80 + k % 53).cast("int").alias("w"))
+
+
+@query("WITH " + SIZES + " SELECT raster, r AS row_off, c AS col_off, least(32, h - r) AS height, least(32, w - c) AS width FROM (SELECT *, unnest(range(0, w, 24))::INT AS c FROM (SELECT *, unnest(range(0, h, 24))::INT AS r FROM z))")
+def tile_grid_ragged(spark, d):
+    grid = _sizes(spark, d).select("raster", F.explode(R.tile_grid(F.col("h"), F.col("w"), 32, 8)).alias("t"))
+    return grid.select("raster", "t.*")
+
+
+@query("WITH " + SIZES + " SELECT raster, r AS row_off, c AS col_off, 32 AS height, 32 AS width FROM (SELECT *, unnest(range(0, w - 31, 24))::INT AS c FROM (SELECT *, unnest(range(0, h - 31, 24))::INT AS r FROM z))")
+def tile_grid_full(spark, d):
+    grid = _sizes(spark, d).select("raster", F.explode(R.tile_grid(F.col("h"), F.col("w"), 32, 8, full=True)).alias("t"))
+    return grid.select("raster", "t.*")
+
+
+IN_TILES = "i AS (SELECT row, col, v, unnest(range(greatest(ceil((row - 31) / 24.0), 0)::INT, row // 24 + 1)) * 24 AS row_off FROM mosaic), j AS (SELECT *, unnest(range(greatest(ceil((col - 31) / 24.0), 0)::INT, col // 24 + 1)) * 24 AS col_off FROM i)"
+
+
+@query(_after_views(IN_TILES + " SELECT row_off, col_off, count(*) AS n, round(sum(v), 6) AS total FROM j GROUP BY ALL", "mosaic"))
+def tile_range_join(spark, d):
+    rows = R.pixels_in_tiles(V.mosaic(spark, d), 32, 8)
+    return rows.groupBy(F.col("row_off").cast("bigint").alias("row_off"), F.col("col_off").cast("bigint").alias("col_off")).agg(F.count(F.lit(1)).alias("n"), r6(F.sum("v")).alias("total"))
+
+
+def _ramp(i: str, n: str) -> str:
+    m = f"least(8, {n} // 2)"
+    return f"CASE WHEN {m} <= 0 THEN 1 WHEN {i} < {m} THEN 0.5 * (1 - cos(pi() * {i} / {m})) WHEN {i} >= {n} - {m} THEN 0.5 * (1 - cos(pi() * ({n} - 1 - {i}) / {m})) ELSE 1 END"
+
+
+@query(_after_views(IN_TILES + f""", e AS (SELECT max(row) + 1 AS nr, max(col) + 1 AS nc FROM mosaic),
+k AS (SELECT row, col, {UNIT} AS v, row - row_off AS a, col - col_off AS b, least(32, nr - row_off) AS h, least(32, nc - col_off) AS w FROM j, e),
+w AS (SELECT row, col, v, ({_ramp('a', 'h')}) * ({_ramp('b', 'w')}) AS wt FROM k)
+SELECT row, col, round(CASE WHEN sum(wt) > 0 THEN sum(v * wt) / sum(wt) ELSE 0 END, 6) AS prob FROM w GROUP BY ALL""", "mosaic"))
+def overlap_blend(spark, d):
+    """Tiles of 32 cells that overlap by 8, weighted by feathers; the raster's outermost cells have weight 0."""
+    cells = unit(V.mosaic(spark, d))
+    extent = V.mosaic(spark, d).agg((F.max("row") + 1).alias("nr"), (F.max("col") + 1).alias("nc"))  # one row
+    rows = R.pixels_in_tiles(cells, 32, 8).crossJoin(F.broadcast(extent))
+    size = lambda n, at: F.least(F.lit(32), F.col(n) - F.col(at))
+    weight = R.feather(F.col("row") - F.col("row_off"), size("nr", "row_off"), 8) * R.feather(F.col("col") - F.col("col_off"), size("nc", "col_off"), 8)
+    return rounded(R.blend(rows.select("row", "col", F.col("v").alias("p"), weight.alias("w"), F.lit(True).alias("valid"))), "prob")
+
+
+@query("WITH z AS (SELECT unnest(range(1, 33))::INT AS size), i AS (SELECT size, unnest(range(0, size))::INT AS pos FROM z), n AS (SELECT i.*, n FROM i, (SELECT count(*) AS n FROM region)) SELECT size, pos, round(" + _ramp("pos", "size") + ", 6) AS weight, n AS n_regions FROM n")
+def feather_weights(spark, d):
+    sizes = V.table(spark, d, "region").agg(F.count(F.lit(1)).alias("n_regions")).select("n_regions", F.explode(F.sequence(F.lit(1), F.lit(32))).alias("size"))
+    rows = sizes.withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
+    return rows.select("size", "pos", r6(R.feather(F.col("pos"), F.col("size"), 8)).alias("weight"), "n_regions")
+
+
+@query(f"""SELECT least(floor({UNIT} * 256), 255)::INT AS bin, count(*) AS n FROM mosaic GROUP BY ALL""", "mosaic")
+def histogram_256(spark, d):
+    return R.histogram(unit(V.mosaic(spark, d)))
+
+
+@query(_after_views(f"""b AS (SELECT least(floor({UNIT} * 256), 255)::INT AS bin, count(*) AS n FROM mosaic GROUP BY ALL), g AS (SELECT i::INT AS bin, coalesce(n, 0) AS n FROM range(256) t(i) LEFT JOIN b ON b.bin = i),
+p AS (SELECT bin, n / sum(n) OVER () AS p FROM g), w AS (SELECT bin, sum(p) OVER o AS omega, sum(p * (bin + 0.5) / 256) OVER o AS mu, sum(p * (bin + 0.5) / 256) OVER () AS total FROM p WINDOW o AS (ORDER BY bin)),
+s AS (SELECT bin, round(CASE WHEN omega * (1 - omega) > 1e-12 THEN (total * omega - mu) ** 2 / (omega * (1 - omega)) ELSE 0 END, 12) AS s FROM w), m AS (SELECT list(bin ORDER BY bin) AS l FROM s WHERE s >= (SELECT max(s) FROM s) - 1e-12)
+SELECT (l[len(l) // 2 + 1] + 0.5) / 256 AS threshold FROM m""", "mosaic"))
+def otsu_threshold(spark, d):
+    return R.otsu(unit(V.mosaic(spark, d)))
+
+
+GRADIENT = """x AS (SELECT row, col, v, (coalesce(lead(v) OVER w, v) - coalesce(lag(v) OVER w, v)) / (CASE WHEN lead(v) OVER w IS NOT NULL AND lag(v) OVER w IS NOT NULL THEN 2.0 ELSE 1.0 END) AS gx FROM mosaic WINDOW w AS (PARTITION BY row ORDER BY col)),
+g AS (SELECT row, col, v, gx, (coalesce(lead(v) OVER w, v) - coalesce(lag(v) OVER w, v)) / (CASE WHEN lead(v) OVER w IS NOT NULL AND lag(v) OVER w IS NOT NULL THEN 2.0 ELSE 1.0 END) AS gy FROM x WINDOW w AS (PARTITION BY col ORDER BY row))"""
+
+
+@query(_after_views(GRADIENT + " SELECT row, col, round(degrees(atan(sqrt(gx * gx + gy * gy))), 6) AS slope FROM g", "mosaic"))
+def slope_degrees(spark, d):
+    return R.slope(V.mosaic(spark, d)).select("row", "col", r6("slope").alias("slope"))
+
+
+@query(_after_views(GRADIENT + " SELECT row, col, round(greatest((sin(radians(45)) - cos(radians(45)) * sin(radians(315)) * gx + cos(radians(45)) * cos(radians(315)) * gy) / sqrt(1 + gx * gx + gy * gy), 0) * 255, 5) AS shade FROM g", "mosaic"))
+def hillshade_lambert(spark, d):
+    return R.hillshade(V.mosaic(spark, d)).select("row", "col", F.round("shade", 5).alias("shade"))
+
+
+@query(_after_views("""l AS (SELECT row, col, v, coalesce(lag(v) OVER w, v) AS l, coalesce(lead(v) OVER w, v) AS r FROM mosaic WINDOW w AS (PARTITION BY row ORDER BY col)), s AS (SELECT row, col, r - l AS dx, l + 2 * v + r AS s FROM l),
+k AS (SELECT row, col, (coalesce(lag(dx) OVER w, dx) + 2 * dx + coalesce(lead(dx) OVER w, dx)) / 8 AS zx, (coalesce(lead(s) OVER w, s) - coalesce(lag(s) OVER w, s)) / 8 AS zy FROM s WINDOW w AS (PARTITION BY col ORDER BY row))
+SELECT row, col, round(greatest(cos(radians(45)) * cos(atan(sqrt(zx * zx + zy * zy))) + sin(radians(45)) * sin(atan(sqrt(zx * zx + zy * zy))) * cos(radians(135) - atan2(zy, -zx)), 0) * 255, 5) AS shade FROM k""", "mosaic"))
+def hillshade_horn(spark, d):
+    return R.horn(V.mosaic(spark, d)).select("row", "col", F.round("shade", 5).alias("shade"))
+
+
+BOX = """f AS (SELECT row, col, v, sum(v) OVER w AS s, count(v) OVER w AS n, sum(v * v) OVER w AS q FROM mosaic WINDOW w AS (PARTITION BY row ORDER BY col ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+m AS (SELECT row, col, v, sum(s) OVER w / sum(n) OVER w AS mean, sum(q) OVER w / sum(n) OVER w AS squares FROM f WINDOW w AS (PARTITION BY col ORDER BY row ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))"""
+
+
+@query(_after_views(BOX + " SELECT row, col, round(mean, 6) AS mean FROM m", "mosaic"))
+def box_mean(spark, d):
+    return R.box_mean(V.mosaic(spark, d), 2).select("row", "col", r6("mean").alias("mean"))
+
+
+@query(_after_views(BOX + " SELECT row, col, round(greatest(squares - mean * mean, 0), 6) AS variance FROM m", "mosaic"))
+def local_variance(spark, d):
+    return R.local_variance(V.mosaic(spark, d), 2).select("row", "col", r6("variance").alias("variance"))
+
+
+def _frames(*steps: str) -> str:
+    """Common table expressions k1, k2 ... for frame minima and maxima along rows, then along columns."""
+    out, last = [], "mosaic"
+    for i, fn in enumerate(steps):
+        a, b = f"a{i}", f"k{i}"
+        out.append(f"{a} AS (SELECT row, col, {fn}(v) OVER (PARTITION BY row ORDER BY col ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM {last})")
+        out.append(f"{b} AS (SELECT row, col, {fn}(v) OVER (PARTITION BY col ORDER BY row ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM {a})")
+        last = b
+    return ", ".join(out)
+
+
+@query(_after_views(_frames("min") + ", " + _frames("max").replace("a0", "c0").replace("k0", "d0") + " SELECT row, col, round(k0.v, 6) AS eroded, round(d0.v, 6) AS dilated FROM k0 JOIN d0 USING (row, col)", "mosaic"))
+def erode_dilate(spark, d):
+    m = V.mosaic(spark, d)
+    both = R.separable(m, F.min, 1).withColumnRenamed("v", "eroded").join(R.separable(m, F.max, 1).withColumnRenamed("v", "dilated"), ["row", "col"])
+    return rounded(both, "eroded", "dilated")
+
+
+@query(_after_views(_frames("min", "max") + ", " + _frames("max", "min").replace("a0", "c0").replace("k0", "d0").replace("a1", "c1").replace("k1", "d1") + " SELECT row, col, round(m.v - k1.v, 6) AS white, round(d1.v - m.v, 6) AS black FROM mosaic m JOIN k1 USING (row, col) JOIN d1 USING (row, col)", "mosaic"))
+def opening_tophat(spark, d):
+    return rounded(R.top_hats(V.mosaic(spark, d), 1).select("row", "col", "white", "black"), "white", "black")
+
+
+@query(_after_views("""k AS (SELECT d, exp(-0.5 * d * d) / sum(exp(-0.5 * d * d)) OVER () AS w FROM (SELECT unnest(range(-4, 5)) AS d)), e AS (SELECT max(row) AS mr, max(col) AS mc FROM mosaic),
+h AS (SELECT a.row, a.col, sum(b.v * k.w) AS v FROM mosaic a, k, e JOIN mosaic b ON b.row = a.row AND b.col = least(greatest(a.col + k.d, 0), e.mc) GROUP BY ALL)
+SELECT a.row, a.col, round(sum(b.v * k.w), 6) AS v FROM h a, k, e JOIN h b ON b.col = a.col AND b.row = least(greatest(a.row + k.d, 0), e.mr) GROUP BY ALL""", "mosaic"))
+def gaussian_convolution(spark, d):
+    return rounded(R.gaussian(V.mosaic(spark, d), 1.0), "v")
+
+
+@query(f"""SELECT row, col, coalesce(round_even(least(v * 2, 1) * 255, 0), 0)::INT AS red, coalesce(round_even(CASE WHEN v <= 0.5 THEN least(v * 2, 1) ELSE 1 - greatest(v * 2 - 1, 0) END * 255, 0), 0)::INT AS green,
+ coalesce(round_even((1 - least(v * 2, 1)) * 255, 0), 0)::INT AS blue FROM (SELECT row, col, {UNIT} AS v FROM mosaic)""", "mosaic")
+def colour_ramp(spark, d):
+    return unit(V.mosaic(spark, d)).select("row", "col", R.colour_ramp(F.col("v")).alias("c")).select("row", "col", "c.*")
+
+
+MASK = "m AS MATERIALIZED (SELECT row, col, v FROM mosaic WHERE v >= 0.15)"
+REACHED = """e AS MATERIALIZED (SELECT a.row * 200 + a.col AS a, b.row * 200 + b.col AS b FROM m a JOIN (SELECT unnest([-1, 0, 1]) AS i) ON true JOIN (SELECT unnest([-1, 0, 1]) AS j) ON true JOIN m b ON b.row = a.row + i AND b.col = a.col + j WHERE i <> 0 OR j <> 0),
+r(id, z) AS (SELECT row * 200 + col, row * 200 + col FROM m UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.z),
+l AS (SELECT id // 200 AS row, id % 200 AS col, min(z) AS label FROM r GROUP BY id)"""
+
+
+def _labels(spark, d) -> DataFrame:
+    return G.label_mask(V.mosaic(spark, d).withColumn("mask", F.when(F.col("v") >= 0.15, 1).otherwise(0)), V.WIDTH, tile=64)
+
+
+@query("WITH RECURSIVE mosaic AS (" + V.SQL["mosaic"] + "),\n" + MASK + ",\n" + REACHED + " SELECT row, col, label::BIGINT AS label FROM l")
+def connected_components(spark, d):
+    return _labels(spark, d)
+
+
+@query("WITH RECURSIVE mosaic AS (" + V.SQL["mosaic"] + "),\n" + MASK + ",\n" + REACHED + """ SELECT label::BIGINT AS label, count(*) AS cells, round(avg(v), 6) AS score_mean, round(max(v), 6) AS score_max, round(avg(row), 6) AS row_mean, round(avg(col), 6) AS col_mean,
+ min(row)::INT AS row_min, max(row)::INT AS row_max, min(col)::INT AS col_min, max(col)::INT AS col_max, count(*) * 4.0::DOUBLE AS area FROM l JOIN m USING (row, col) GROUP BY label HAVING count(*) * 4 >= 12""")
+def component_boxes(spark, d):
+    return rounded(G.component_boxes(_labels(spark, d), V.mosaic(spark, d), 2.0, 12.0), "score_mean", "score_max", "row_mean", "col_mean")
+
+
+# logs and text
+
+
+@query("""SELECT tile_index, candidate_index, line_no, role, status, size FROM tile_log QUALIFY row_number() OVER (PARTITION BY tile_index, candidate_index ORDER BY line_no DESC) = 1""", "tile_log")
+def resume_compaction(spark, d):
+    return L.compact(V.tile_log(spark, d), ["tile_index", "candidate_index"], "line_no")
+
+
+@query("""SELECT DISTINCT tile_index FROM tile_log t WHERE NOT EXISTS (FROM (SELECT * FROM tile_log QUALIFY row_number() OVER (PARTITION BY tile_index ORDER BY line_no DESC) = 1) f WHERE f.tile_index = t.tile_index AND f.status = 'ok')""", "tile_log")
+def resume_anti_join(spark, d):
+    log = V.tile_log(spark, d)
+    return L.unprocessed(log.select("tile_index").distinct(), L.compact(log, ["tile_index"], "line_no").where("status = 'ok'"), "tile_index")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN text IS NULL OR trim(text) = '' THEN 'none' WHEN regexp_matches(lower(text), 'timed? ?out|timeout') THEN 'timeout' WHEN regexp_matches(lower(text), 'connection|refused|unreachable|reset by peer') THEN 'connection'
+ WHEN regexp_matches(lower(text), 'rate limit|too many requests|429') THEN 'rate_limit' WHEN regexp_matches(lower(text), 'json|parse|decode') THEN 'invalid_json' WHEN regexp_matches(lower(text), 'context length|too many tokens') THEN 'context_length' ELSE 'unknown' END AS kind FROM conversations""")
+def error_taxonomy(spark, d):
+    return V.table(spark, d, "conversations").select("conv_id", "turn", L.error_kind(F.col("text")).alias("kind"))
+
+
+@query("""SELECT tile_index, line_no, round(avg(size) OVER (PARTITION BY tile_index ORDER BY line_no ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS mean_size FROM tile_log""", "tile_log")
+def moving_average(spark, d):
+    return rounded(L.moving_average(V.tile_log(spark, d), "tile_index", "line_no", "size", 20, "mean_size").select("tile_index", "line_no", "mean_size"), "mean_size")
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events""")
+def json_props_extract(spark, d):
+    return V.table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events""")
+def json_repair_extract(spark, d):
+    """Answers wrapped in prose, with bare keys and trailing commas, are cut out, repaired and parsed."""
+    bare = F.regexp_replace("props", r'"([a-z]+)":', "$1:")
+    said = F.concat(F.lit('Here {"note": "a } in text"} it is:\n```json\n'), F.regexp_replace(bare, r"\}$", ', candidates: [],}'), F.lit("\n```"))
+    return V.table(spark, d, "events").select("event_id", F.from_json(text.model_answer(said), "k int")["k"].alias("k"))
+
+
+@query("""SELECT event_id, CASE WHEN lower(trim(event_type)) IN ('mound', 'enclosure', 'ditch', 'wall', 'terrace', 'unknown') THEN lower(trim(event_type)) ELSE 'unknown' END AS kind FROM events""")
+def enum_clamp(spark, d):
+    return V.table(spark, d, "events").select("event_id", text.clamp_type(F.col("event_type")).alias("kind"))
+
+
+@query("""SELECT c_custkey, regexp_replace(c_name, '[^\\p{L}\\p{N}_-]', '_', 'g') AS token, regexp_replace(printf('%.2f', c_acctbal), '\\.?0+$', '') AS amount FROM customer""")
+def name_tokens(spark, d):
+    return V.table(spark, d, "customer").select("c_custkey", text.token(F.col("c_name")).alias("token"), text.trimmed_number(F.col("c_acctbal")).alias("amount"))
+
+
+# samples
+
+
+DRAW = "md5({k}::VARCHAR || ':42')"
+
+
+@query(f"""SELECT doc_id, toxic, rn <= least(n - 1, greatest(1, round_even(n * 0.2, 0)::BIGINT)) AS held FROM (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY {DRAW.format(k='doc_id')}, doc_id) AS rn, count(*) OVER (PARTITION BY toxic) AS n FROM labels)""")
+def stratified_holdout(spark, d):
+    return S.holdout(V.table(spark, d, "labels").select("doc_id", "toxic"), "toxic", "doc_id", 0.2, 42)
+
+
+@query(f"""SELECT doc_id, toxic FROM (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY {DRAW.format(k='doc_id')}, doc_id) AS rn, count(*) FILTER (toxic > 0) OVER () AS pos FROM labels) WHERE toxic > 0 OR rn <= round_even(pos * 2.0, 0)""")
+def negative_downsample(spark, d):
+    return S.negatives_to_positives(V.table(spark, d, "labels").select("doc_id", "toxic"), "toxic", "doc_id", 2.0, 42)
+
+
+@query(f"""SELECT doc_id, quality FROM (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {DRAW.format(k='doc_id')}, doc_id) AS rn, count(*) OVER (PARTITION BY quality) AS n FROM labels) WHERE rn <= greatest(1, round_even(n * 0.1, 0))""")
+def keep_ratio(spark, d):
+    return S.keep_ratio(V.table(spark, d, "labels").select("doc_id", "quality"), ["quality"], "doc_id", 0.1, 42)
+
+
+@query("""SELECT d.doc_id, coalesce(l.quality, CASE WHEN d.n_chars > 1000 THEN 1 ELSE 0 END)::INT AS label, l.doc_id IS NOT NULL AS from_manifest FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def manifest_label_join(spark, d):
+    docs, labels = V.table(spark, d, "documents").select("doc_id", "n_chars"), V.table(spark, d, "labels").select("doc_id", "quality")
+    rows = docs.join(labels.withColumn("known", F.lit(True)), "doc_id", "left")
+    return rows.select("doc_id", F.coalesce("quality", F.when(F.col("n_chars") > 1000, 1).otherwise(0)).cast("int").alias("label"), F.coalesce("known", F.lit(False)).alias("from_manifest"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN r + 128 <= 5000 THEN 'train' WHEN r >= 5000 THEN 'val' ELSE 'discard' END AS two, CASE WHEN r + 64 < 6000 THEN 'train' WHEN r + 64 < 8000 THEN 'val' ELSE 'test' END AS three FROM (SELECT *, (l_partkey % 10000)::INT AS r FROM lineitem)""")
+def split_rows(spark, d):
+    r = (F.col("l_partkey") % 10000).cast("int")
+    return V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.split_rows_two(r, 128, 10000, 0.5).alias("two"), S.split_rows_three(r, 128, 10000, 0.6, 0.2).alias("three"))
+
+
+@query("""SELECT split, label, count(*) AS n FROM (SELECT CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 9 THEN 'val' ELSE 'test' END AS split, quality AS label FROM labels) GROUP BY ALL""")
+def split_label_counts(spark, d):
+    split = F.when(F.col("doc_id") % 10 < 7, "train").when(F.col("doc_id") % 10 < 9, "val").otherwise("test")
+    return V.table(spark, d, "labels").groupBy(split.alias("split"), F.col("quality").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""r AS (SELECT *, greatest(ceil((x1 - 15) / 12), 0)::INT AS a, least(floor(x2 / 12), 9)::INT AS b FROM boxes) SELECT tile_id, ord, unnest(range(a, b + 1)) * 12 AS col_off FROM r WHERE b >= a""")
+def bbox_to_windows(spark, d):
+    """Windows of 16 cells, 12 apart, over an extent of 124."""
+    rows = V.boxes(spark, d).select("tile_id", "ord", F.explode(S.windows_of_box(F.col("x1"), F.col("x2"), 16, 12, 124)).alias("col_off"))
+    return rows.withColumn("col_off", F.col("col_off").cast("bigint"))
+
+
+SQL["bbox_to_windows"] = "WITH boxes AS (" + V.SQL["boxes"] + "),\n" + SQL["bbox_to_windows"]
+
+
+@query("""SELECT vec_id, unnest(range(0, 360, 90))::INT AS angle FROM embeddings""")
+def rotation_expansion(spark, d):
+    return V.table(spark, d, "embeddings").select("vec_id", F.explode(S.rotations(90)).alias("angle"))
+
+
+@query("""WITH c AS (SELECT p, avg(abs(v)) AS importance FROM tiles GROUP BY p) SELECT p, round(importance, 6) AS importance, round(importance / sum(importance) OVER (), 6) AS share, rank() OVER (ORDER BY round(importance, 6) DESC)::INT AS rank FROM c""".replace("WITH c AS", "c AS"))
+def band_importance(spark, d):
+    """Mean and share of each of the 64 bands; the window runs over these."""
+    by = V.tiles(spark, d).groupBy("p").agg(F.avg(F.abs("v")).alias("importance"))
+    out = by.withColumns({"share": r6(F.col("importance") / F.sum("importance").over(Window.partitionBy())), "importance": r6("importance")})
+    return out.withColumn("rank", F.rank().over(Window.orderBy(F.desc("importance"))))
+
+
+SQL["band_importance"] = "WITH tiles AS (" + V.SQL["tiles"] + "),\n" + SQL["band_importance"]

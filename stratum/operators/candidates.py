@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,36 +25,6 @@ def confidence_tier(confidence: Column) -> Column:
     return out.otherwise("low")
 
 
-def ordinal(rows: DataFrame, order: list[Column], into: str) -> DataFrame:
-    """Numbers the rows 1, 2, ... in an order, without moving all of them to one task.
-
-    The rows are range-partitioned, numbered within partitions, and shifted by the sizes of the
-    partitions before; only one row per partition takes part in the running sum.
-    """
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [f"__k{i}" for i in range(len(order))]
-    keyed = rows.withColumns(dict(zip(keys, [F.struct(_plain(o)) for o in order], strict=True)))
-    directed = [F.desc(k) if _descends(o) else F.asc(k) for k, o in zip(keys, order, strict=True)]
-    dealt = keyed.repartitionByRange(parts, *directed).withColumn("__part", F.spark_partition_id())
-    local = dealt.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*directed)))
-    sizes = dealt.groupBy("__part").count()
-    before = sizes.withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = local.join(F.broadcast(before.select("__part", "__before")), "__part")
-    return out.withColumn(into, F.col("__n") + F.col("__before")).drop(*keys, "__part", "__n", "__before")
-
-
-def _descends(o: Column) -> bool:
-    return "DESC" in str(o)
-
-
-def _plain(o: Column) -> Column:
-    child = o._jc.expr() if hasattr(o, "_jc") else None
-    if child is None:
-        raise ValueError("a classic session is needed")
-    return o
-
-
 def priority_rank(rows: DataFrame, into: str = "priority_rank") -> DataFrame:
     """Global rank: score descending, nulls last; then area, source, scale and id.
 
@@ -143,27 +112,18 @@ def iou_pairs(rows: DataFrame, key: str, order: str, least: float) -> DataFrame:
     return pairs.withColumn("iou", bbox_iou(box("a"), box("b"))).where(F.col("iou") >= least).select(key, F.col(f"{order}_a").alias("a"), F.col(f"{order}_b").alias("b"), "iou")
 
 
-def _greedy(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Keeps boxes by falling confidence that overlap none of those kept; boxes without corners are always kept."""
-    pdf = pdf.sort_values(["conf", "ord"], ascending=[False, True], kind="stable")
-    q = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
-    kept: list[int] = []
-    for i in range(len(q)):
-        if kept and not np.isnan(q[i]).any():
-            k = q[kept]
-            w = np.clip(np.minimum(k[:, 2], q[i, 2]) - np.maximum(k[:, 0], q[i, 0]), 0, None)
-            h = np.clip(np.minimum(k[:, 3], q[i, 3]) - np.maximum(k[:, 1], q[i, 1]), 0, None)
-            union = np.prod(np.clip(k[:, 2:] - k[:, :2], 0, None), 1) + np.prod(np.clip(q[i, 2:] - q[i, :2], 0, None)) - w * h
-            with np.errstate(invalid="ignore"):
-                if (np.where(union > 0, w * h / union, 0) >= least).any():
-                    continue
-        kept.append(i)
-    return pdf.iloc[kept]
-
-
 def suppress(rows: DataFrame, key: str, least: float) -> DataFrame:
-    """Greedy suppression of overlapping boxes within each key (a tile, or a component of overlapping boxes)."""
-    return rows.groupBy(key).applyInPandas(lambda pdf: _greedy(pdf, least), rows.schema)
+    """Greedy suppression within each key (a tile, or a component of overlapping boxes): by falling confidence,
+    boxes are kept that overlap none of those kept. Boxes without corners are always kept; ties go by ``ord``.
+
+    A key's boxes are folded in one array, so a key should be a tile or a component, not a whole raster."""
+    rest = [c for c in rows.columns if c != key]
+    order = F.struct(F.coalesce(-F.col("conf"), F.lit(float("inf"))).alias("k"), F.col("ord").alias("o"), F.struct(*rest).alias("b"))
+    box = lambda r: tuple(r["b"][c] for c in ("x1", "y1", "x2", "y2"))
+    boxes = rows.groupBy(key).agg(F.sort_array(F.collect_list(order)).alias("all"))
+    keep = lambda kept, r: F.when(F.exists(kept, lambda k: bbox_iou(box(k), box(r)) >= least), kept).otherwise(F.array_append(kept, r))
+    kept = boxes.select(key, F.explode(F.aggregate("all", F.slice("all", 1, 0), keep)).alias("r"))
+    return kept.select(*(F.col(key) if c == key else F.col(f"r.b.{c}").alias(c) for c in rows.columns))
 
 
 def distance_pairs(rows: DataFrame, reach: float, key: str = "candidate_id") -> DataFrame:
