@@ -1,0 +1,429 @@
+"""Each operator against a brute-force version, and over nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from stratum.llm import bpe, fm_index, license_scan, ngram_join, pii, quality_rules, sharding, toxicity, url_filter, warc
+from stratum.llm import words as W
+
+LONG = "lorem ipsum dolor sit amet " * 40_000
+WORDS = "the of and a to in is was that it for as with his he be on by at have are this not but had from or which you one we all her she there would their".split()
+
+
+def prose(seed, n):
+    rnd = random.Random(seed)
+    return " ".join(rnd.choice(WORDS) + rnd.choice("abcdefgh") for _ in range(n))
+
+
+#: (id, text, and columns whose names clash with what operators make)
+EDGES = [
+    (1, None, "x", 1), (2, "", "x", 1), (3, " \n\t ", None, 1), (4, LONG, "x", None), (None, prose(1, 80), "x", 1), (None, None, None, None),
+    (5, prose(1, 80), "x", 1), (6, prose(1, 80), "x", 1), (6, prose(1, 80), "x", 1), (7, "one", "x", 1), (8, "x" * 300_000, "x", 1), (9, "naïve 日本 😀\x00 é\x1c", "x", 1),
+]
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    return spark.createDataFrame(EDGES, "doc_id bigint, text string, key string, n bigint").withColumnsRenamed({"key": "id", "n": "n_words"})
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], "doc_id bigint, text string, id string, n_words bigint")
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    return spark.createDataFrame([(1, prose(9, 30), "x"), (2, None, "x"), (3, "", "x"), (None, prose(9, 30), None), (10, "one two", "x"), (10, "one two", "x")], "item_id bigint, text string, id string")
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+# words
+
+
+def test_words_and_lines():
+    texts = ["a  bc\n", None, "", "é\x0b日本 x", "   ", "one"]
+    got = [[] for _ in texts]
+    for t in W.slices(pa.array(texts), limit=8):
+        w = W.words(t, W.SPACE_WORDS)
+        for a, b, d in zip(w.start, w.end, w.doc, strict=True):
+            got[t.first + d].append(bytes(t.data[a:b]).decode())
+    assert got == [["a", "bc"], [], [], ["é", "日本", "x"], [], ["one"]]
+
+
+def test_hashes_tell_ranges_apart():
+    data = np.concatenate([np.frombuffer(b"abcabcabcd" + b"x" * 40 + b"y", np.uint8), np.zeros(8, np.uint8)])
+    h = W.hashes(data, np.array([0, 3, 6, 6, 10, 11]), np.array([3, 6, 9, 10, 49, 50]))
+    assert h[0] == h[1] == h[2] != h[3] and h[4] == h[5]
+
+
+# 1
+
+
+def test_lookup_table_by_plain_filling():
+    names, size = ("a", "b", "c"), 101
+    held = {}
+    prefer = {n: [(sharding._number(n, "first") + j * (sharding._number(n, "step") % (size - 1) + 1)) % size for j in range(size)] for n in names}
+    assert all(sorted(p) == list(range(size)) for p in prefer.values())
+    while len(held) < size:
+        for k, n in enumerate(names):
+            if len(held) < size:
+                held[next(s for s in prefer[n] if s not in held)] = k
+    assert sharding.lookup_table(names, size) == [held[s] for s in range(size)]
+    counts = np.bincount(sharding.lookup_table())
+    assert counts.max() - counts.min() <= 1
+    a, b = sharding.lookup_table(tuple("abcdefgh"), 6553), sharding.lookup_table(tuple("abcdefg"), 6553)
+    assert sum(x != y for x, y in zip(a, b, strict=True) if x != 7) < 0.1 * 6553
+    for bad in ((), ("a", "a")):
+        with pytest.raises(ValueError):
+            sharding.lookup_table(bad, 101)
+    with pytest.raises(ValueError):
+        sharding.lookup_table(("a",), 100)
+
+
+def test_placing(spark, edges, none, tmp_path):
+    got = rows(sharding.place(edges, "doc_id"))
+    assert len(got) == len(EDGES) and len({r["shard"] for r in got if r["doc_id"] == 6}) == 1 and all(r["shard"] for r in got)
+    assert rows(sharding.place(none, "doc_id")) == []
+    sharding.write(edges, "doc_id", f"file://{tmp_path}/s")
+    assert spark.read.parquet(f"file://{tmp_path}/s").count() == len(EDGES)
+
+
+# 2
+
+
+def test_archives(spark, tmp_path):
+    pages = [(1, "http://a", "same", 1), (2, "http://b\r\nX: y", "same", 1), (2, "http://b", "same", 1), (3, None, None, 1), (4, "", "", 1), (None, "u", "same", 1), (5, "u", "\r\n\r\nWARC/1.1 日本" * 9, None), (6, "u", LONG, 1)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string, id bigint")
+    archives = warc.write(df)
+    back = rows(warc.read(archives))
+    assert all(r["error"] is None for r in back) and len(back) == len(pages)
+    kinds = sorted((r["record_id"], r["record_type"], r["refers_to"] or "") for r in back)
+    u = "<urn:page:{}>".format
+    assert kinds == sorted([(u(1), "revisit", u(2)), (u(2), "response", ""), (u(2), "response", ""), (u(3), "revisit", u(4)), (u(4), "response", ""), (u(""), "revisit", u(2)), (u(5), "response", ""), (u(6), "response", "")])
+    for r in back:
+        if r["record_id"] == u(6):
+            assert bytes(r["payload"]) == LONG.encode() and r["payload_digest"] == base64.b32encode(hashlib.sha1(LONG.encode()).digest()).decode()
+    warc.export(archives, str(tmp_path)).collect()
+    assert sorted(map(str, rows(warc.read(warc.archives_in(spark, f"file://{tmp_path}")).drop("path")))) == sorted(map(str, rows(warc.read(archives).drop("path"))))
+    assert rows(warc.read(warc.write(df.limit(0)))) == []
+    assert {r["record_type"] for r in rows(warc.read(warc.write(df, min_bytes=5)))} == {"response"}
+
+
+def test_broken_archives(spark):
+    good = warc.archive([warc.record(1, "u", b"payload", None, False), warc.record(2, "u", b"payload", 1, True)])
+    assert [r["error"] for _, raw in warc.frames(good) for r in [warc.parse(raw)]] == [None, None]
+    many = warc.archive([warc.record(i, "u", prose(i, 100).encode(), None, False) for i in range(64)])
+    assert len(list(warc.frames(many))) == 64
+    with pytest.raises(Exception):
+        list(warc.frames(good[:-3]))
+    with pytest.raises(ValueError):
+        list(warc.frames(b"nothing"))
+    raw = warc.record(1, "u", b"payload", None, False)
+    assert warc.parse(raw[:-1])["error"] == "wrong Content-Length"
+    assert warc.parse(raw.replace(b"payload\r\n", b"pbyload\r\n"))["error"] == "wrong block digest"
+    assert warc.parse(b"x")["error"] == "no WARC header"
+    assert warc.parse(raw.replace(b"WARC-Date", b"WARC-Dote"))["error"] == "missing warc-date"
+    df = spark.createDataFrame([("a", bytearray(good[:-3])), ("b", bytearray(b"junk")), ("c", bytearray(b"")), ("d", None)], "path string, content binary")
+    assert sorted((r["path"], r["error"] is None) for r in rows(warc.read(df))) == [("a", False), ("a", True), ("b", False)]
+
+
+# 3
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+
+
+def test_bpe_like_the_library(vocabulary):
+    from tokenizers import Tokenizer
+
+    theirs, ours = Tokenizer.from_file(vocabulary), bpe.Codec(vocabulary)
+    rnd = random.Random(3)
+    parts = ["a", "the ", "  ", "\n\n", "\t", " 12", "'s", "'T", "é", "日本", "<|endoftext|>", "<|endof", "!!", "😀", "\u3000", "\x1c", "\x85", "x" * 90, "ab" * 60, "\u0301", "²", "Ⅷ"]
+    for _ in range(400):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 25)))
+        ids = theirs.encode(text, add_special_tokens=False).ids
+        assert ours.encode(text) == ids and ours.decode(ids) == theirs.decode(ids, skip_special_tokens=False)
+    for c in [*range(0x300), *range(0x2000, 0x2070), 0x1680, 0x3000, 0xFEFF, 0x1F600]:
+        assert ours.encode(f"a{chr(c)} {chr(c)}") == theirs.encode(f"a{chr(c)} {chr(c)}", add_special_tokens=False).ids
+
+
+def test_long_words_like_short_ones(vocabulary):
+    c = bpe.Codec(vocabulary)
+    rnd = random.Random(4)
+    for _ in range(200):
+        word = bytes(rnd.choice(b"abcthe ") for _ in range(rnd.randint(1, 60)))
+        assert c._long(word) == c._short(word)
+
+
+def test_bpe_edges(edges, none, vocabulary):
+    c = bpe.Codec(vocabulary)
+    want = sorted((str(i), len(c.encode(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, *_ in EDGES)
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["decoded_sha256"]) for r in rows(bpe.digests(edges, vocabulary))) == want
+    carried = bpe.digests(edges.drop("n_words"), vocabulary, carry=True)
+    assert carried.columns == ["doc_id", "text", "id", "n_tokens", "ids_sha256", "decoded_sha256"] and carried.count() == len(EDGES)
+    assert rows(bpe.digests(none, vocabulary)) == []
+    back = rows(bpe.decode(bpe.encode(edges, vocabulary), vocabulary))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in back) == sorted((str(i), t or "") for i, t, *_ in EDGES)
+
+
+# 4
+
+
+def test_cascade_is_exact(spark):
+    keys = spark.range(20_000).selectExpr("cast(id AS string) AS key", "id % 7 = 0 AS listed")
+    cascade = url_filter.build(keys)
+    assert len(cascade.levels) > 2
+    got = rows(url_filter.listed(keys, "key", cascade, keys, "member"))
+    assert all(r["member"] == r["listed"] for r in got)
+    assert all(r["member"] == r["listed"] for r in rows(url_filter.listed(keys.limit(500), "key", None, keys, "member")))
+    for k in (True, False):
+        only = keys.where(f"listed = {k}")
+        assert all(r["member"] == r["listed"] for r in rows(url_filter.listed(only, "key", url_filter.build(only), only, "member")))
+
+
+def test_urls(spark):
+    urls = [(1, "HTTP://A.Example.COM/en/71?x"), (2, "https://example.com/en/9#/en/7"), (3, "example.com/en/"), (4, None), (5, ""), (6, "x://com/en/"), (7, "x://xcom/en/"), (8, "x://h?/en/"), (9, "x://a.b.net/de/8\n/x"), (None, "x://ÀB.org/es/"), (10, "a://b://c/en/")]
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in rows(url_filter.judge(spark.createDataFrame([(i, u, "z") for i, u in urls], "page_id bigint, url string, host string")))}
+    assert got[1] == ("a.example.com", "/en/71", "example.com/en/7", "allow")
+    assert got[2] == ("example.com", "/en/9", "com/en/", "block")
+    assert got[3][:3] == got[4][:3] == got[5][:3] == ("", "", None) and got[4][3] == "allow"
+    assert got[6] == ("com", "/en/", "com/en/", "block") and got[7][2] is None and got[8][:2] == ("h", "")
+    assert got[9] == ("a.b.net", "/de/8\n/x", "net/de/", "block") and got[None][0] == "Àb.org" and got[None][3] == "block"
+    assert got[10][:2] == ("b:", "//c/en/")
+    listed = spark.createDataFrame([("h",), (None,)], "key string")
+    again = {r["page_id"]: r["verdict"] for r in rows(url_filter.judge(spark.createDataFrame(urls, "page_id bigint, url string"), lists=listed))}
+    assert again[8] == again[4] == "block" and again[7] == "allow" and again[1] == "allow"
+    assert rows(url_filter.judge(spark.createDataFrame([], "page_id bigint, url string"))) == []
+
+
+# 5
+
+
+def brute_quality(text):
+    text = text or ""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    seen, windows = {}, [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    for w in windows:
+        seen[w] = seen.get(w, 0) + 1
+    hit = {i + k for i, w in enumerate(windows) if seen[w] > 1 for k in range(3)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines), len(lines) - len(set(lines)), len(hit)
+
+
+def test_quality(spark, edges, none):
+    texts = [t for _, t, *_ in EDGES] + [prose(k, 60).replace("b ", "\n", 9) for k in range(20)] + ["a b c a b c", "a b c\na b c\r\n\n \na b c", "#*| <x> é"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: tuple(r[m] for m in quality_rules.MEASURES) for r in rows(quality_rules.ledger(df))}
+    assert got == {i: brute_quality(t) for i, t in enumerate(texts)}
+    assert len(rows(quality_rules.ledger(edges))) == len(EDGES) and rows(quality_rules.ledger(none)) == []
+    book = quality_rules.ledger(df)
+    kept = {r["doc_id"] for r in rows(book.where(quality_rules.passes(book["failed"])))}
+    assert {r["doc_id"] for r in rows(quality_rules.kept_rows(df))} == kept
+    for r in rows(quality_rules.ablation(book)):
+        failed = [x["failed"] & quality_rules.POLICIES[quality_rules.POLICY] for x in rows(book)]
+        assert r["n_failed"] == sum(bool(f & r["bit"]) for f in failed) and r["n_failed_alone"] == sum(f == r["bit"] for f in failed)
+
+
+# 6
+
+
+def brute_hits(texts, items):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {}
+    for i, t in items:
+        w = split(t)
+        for a in range(max(1, len(w) - 12)) if w else ():
+            windows.setdefault(tuple(w[a : a + 13]), set()).add(i)
+    out = []
+    for t in texts:
+        w, hit, found = split(t), set(), set()
+        for n in {len(k) for k in windows}:
+            for a in range(len(w) - n + 1):
+                if tuple(w[a : a + n]) in windows:
+                    hit |= set(range(a, a + n))
+                    found |= windows[tuple(w[a : a + n])]
+        out.append((len(w), len(hit), sorted(str(x) for x in found if x is not None)))
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 22, 300])
+def test_contamination(spark, items, monkeypatch, block):
+    monkeypatch.setattr(fm_index, "BLOCK_WORDS", block)
+    passage = prose(9, 30).split()
+    texts = [t for _, t, *_ in EDGES] + [prose(7, 40) + " " + " ".join(passage[3:20]).upper() + " end", " ".join(passage), " ".join(passage[:12]), "x one. Two one two-one", " ".join(passage * 3)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, spans string")
+    got = {r["doc_id"]: (r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), r["items"]) for r in rows(fm_index.scan(df, items))}
+    want = brute_hits(texts, [(r["item_id"], r["text"]) for r in rows(items)])
+    assert got == dict(enumerate(want))
+    kept = rows(fm_index.kept_rows(df, items))
+    assert {r["doc_id"] for r in kept} == {i for i, (n, h, _) in enumerate(want) if not (h and 20 * h >= n)} and set(kept[0]) == {"doc_id", "text", "spans"}
+
+
+def test_contamination_of_nothing(none, edges, items):
+    assert rows(fm_index.scan(none, items)) == []
+    assert all(r["items"] == [] for r in rows(fm_index.scan(edges, items.limit(0)))) and fm_index.kept_rows(edges, items.limit(0)).count() == len(EDGES)
+
+
+def test_fm_index():
+    rng = np.random.default_rng(0)
+    for n, s in ((1, 2), (5, 2), (400, 2), (400, 90)):
+        text = np.concatenate([rng.integers(1, 2 + s, n), [0]])
+        assert fm_index.suffix_array(text).tolist() == sorted(range(n + 1), key=lambda i: text[i:].tolist())
+        index = fm_index.FMIndex(text, int(text.max()))
+        for m in (1, 3, 6):
+            for a in range(0, n - m, 7):
+                phrase = np.zeros((1, 6), np.int64)
+                phrase[0, 6 - m :] = text[a : a + m]
+                lo, hi = index.search(phrase, np.array([m]))
+                assert sorted(index.locate(np.arange(lo[0], hi[0]))) == [i for i in range(n - m + 1) if (text[i : i + m] == text[a : a + m]).all()]
+
+
+# 7
+
+
+def brute_base(t):
+    b = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    b += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    b += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(re.sub("[^0-9]", "", m[0])) <= 19 and pii.luhn(re.sub("[^0-9]", "", m[0]))]
+    return b + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def test_base_spans():
+    rnd = random.Random(5)
+    parts = ["a@b.c", "@", ".", "x.y", "1", "+", " ", "-", "4111111111111111", "1.2.3.4", "256", "+1 (743) 555-3824", "é", "..", "a@b@c.de", "10.0.0.1.2", "%_", "٣", "\n", "(", ")"]
+    for _ in range(4000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12)))
+        assert pii.base_spans(text) == brute_base(text), text
+    assert pii.base_spans("a" * 300_000 + "1" * 300_000 + "." * 300_000) == []
+
+
+def test_field(spark, edges, none):
+    model = pii.train(none)
+    told = lambda t: [(k, t[a:b]) for k, a, b in pii.find(t, model)[1]]
+    assert told("reach me: phone (212) 555-0143 or") == [("phone", "(212) 555-0143")]
+    assert told("write to anna [at] mail [dot] example [dot] org today") == [("email", "anna [at] mail [dot] example [dot] org")]
+    assert told("in 2019 2020 2021 2022 and 128 256 512") == [] and told("version 10.2.33.4055 of") == []
+    text = "a@b.cd 4390698575873170"
+    assert pii.find(text, model)[0] == pii.find(text, model)[1] == brute_base(text) and pii.masked(text + " z", model) == "<email> <card> z"
+    got = rows(pii.scan(edges, model))
+    assert len(got) == len(EDGES) and rows(pii.scan(none, model)) == []
+    masked = pii.masked_rows(spark.createDataFrame([(1, "x a@b.cd", 8), (2, None, 5)], "doc_id bigint, text string, n_chars bigint"), model)
+    assert sorted((r["text"] or "", r["n_chars"]) for r in rows(masked)) == [("", 5), ("x <email>", 9)]
+
+
+# 8
+
+
+def brute_license(text):
+    best, n = (0.0, 0, None), 0
+    for line in (text or "").lower().split("\n"):
+        g = set(license_scan.template_bigrams(line))
+        found = [(2 * len(g & set(h := license_scan.template_bigrams(t))) / (len(g) + len(h)), -k, name) for k, (name, t) in enumerate(license_scan.TEMPLATES)] if g else []
+        top = max(found, default=(0.0, 0, None))
+        if top[0] >= license_scan.THRESHOLD:
+            n += 1
+            best = max(best, top)
+    return (best[2], best[0] if n else None, n) if n else (None, None, 0)
+
+
+def test_licenses(spark, edges, none):
+    texts = [t for _, t, *_ in EDGES] + [t for _, t in license_scan.TEMPLATES] + ["x\n  RELEASED under -- the MIT license!\ny", "Released under the the MIT License now.", "Licensed under CC BY 4.0.", "Licensed under the License"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, license string")
+    got = {r["doc_id"]: (r["license"], r["dice"], r["n_matches"]) for r in rows(license_scan.scan(df))}
+    assert got == {i: brute_license(t) for i, t in enumerate(texts)}
+    assert rows(license_scan.scan(none)) == [] and len(rows(license_scan.scan(edges))) == len(EDGES)
+
+
+# 9
+
+
+def brute_components(docs):
+    sets = {}
+    for i, t in docs:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", w) if x]
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+    at = {i: i for i in sets}
+    ids = sorted(sets)
+    near = lambda a, b: a and b and 100 * len(a & b) >= 80 * len(a | b)
+    links = [(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if near(sets[a], sets[b])]
+    for _ in ids:
+        for a, b in links:
+            at[a] = at[b] = min(at[a], at[b])
+    return {i: (len(sets[i]), at[i]) for i in ids}
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_near_duplicates(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rnd = random.Random(6)
+    docs = [prose(k, rnd.choice([3, 6, 30, 90])) for k in range(40)]
+    for k in range(160):
+        w = rnd.choice(docs).split()
+        for _ in range(rnd.randint(0, 3)):
+            w[rnd.randrange(len(w))] = rnd.choice(WORDS)
+        docs.append(" ".join(w) + rnd.choice(["", " more", " and more of this"]))
+    docs += ["one", "ONE", "one two", "", None, " ", "a b c d", "A  b\nc d"]
+    numbered = list(enumerate(docs))
+    rnd.shuffle(numbered)
+    df = spark.createDataFrame([(i, t, "x") for i, t in numbered], "doc_id bigint, text string, n string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(ngram_join.join(df))}
+    want = brute_components(numbered)
+    assert got == want
+    assert sorted(r["doc_id"] for r in rows(ngram_join.kept_rows(df))) == sorted({c for _, c in want.values()})
+
+
+def test_near_duplicates_edges(edges, none):
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in rows(ngram_join.join(edges)))
+    assert len(got) == len(EDGES) and ("None", 76, "5") in got and ("None", 0, "None") in got and got.count(("6", 76, "5")) == 2 and ("2", 0, "2") in got
+    assert rows(ngram_join.join(none)) == [] and rows(ngram_join.kept_rows(none)) == []
+    kept = rows(ngram_join.kept_rows(edges))
+    assert sorted(str(r["doc_id"]) for r in kept) == sorted(["1", "2", "3", "4", "5", "7", "8", "9", "None", "None"])
+
+
+def test_components_of_a_path(spark):
+    path = spark.range(200).selectExpr("id AS a", "id + 1 AS b")
+    assert {r["label"] for r in rows(ngram_join.components(path))} == {0}
+
+
+# 10
+
+
+def test_toxicity(spark, edges, none):
+    docs, labels = [], []
+    for k in range(900):
+        w = prose(k, 40).split()
+        bad = k % 3 == 0
+        for _ in range(3 * bad):
+            w.insert(random.Random(k).randrange(len(w)), random.Random(k * 7).choice(["grumph", "vrozzle", "grumpher"]))
+        docs.append((k, " ".join(w), "x"))
+        if k % 2 == 0:
+            labels.append((k, 1, int(bad)))
+    d, lab = spark.createDataFrame(docs, "doc_id bigint, text string, score string"), spark.createDataFrame([*labels, (None, 1, 1), (2, 1, None), (4, 1, 7)], "doc_id bigint, quality int, toxic int")
+    model = toxicity.train(d, lab)
+    got = rows(toxicity.score(d, model))
+    held = [(r["score"], r["doc_id"] % 3 == 0) for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    right = sum((s >= toxicity.THRESHOLD) == y for s, y in held)
+    assert right >= 0.97 * len(held) and all(0 <= r["score"] <= 1 for r in got)
+    e = rows(toxicity.score(edges, model))
+    assert len(e) == len(EDGES) and all(0 <= r["score"] <= 1 for r in e) and rows(toxicity.score(none, model)) == []
+    nothing = toxicity.train(none, lab)
+    assert {r["score"] < 0.3 for r in rows(toxicity.score(edges, nothing))} == {True}
+    assert toxicity.train(d, lab.where("toxic = 0")).slope == 0
+
+
+def test_values_by_hand():
+    m = toxicity.Model(np.array([], np.int64), np.array([]), np.array([], np.int32), np.array([]), 2.0)
+    assert m.values(pa.array(["", None, "one", "one two", "one two three"])).tolist() == [0, 0, 1, 2, 2]
