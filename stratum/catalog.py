@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +18,10 @@ from stratum.operators import evaluation as E
 from stratum.operators import raster as R
 from stratum.operators import sampling as S
 from stratum.operators import scanlog as L
+from stratum.operators import terrain as T
 from stratum.plans import views as V
+from stratum.sources.shared import folder, stored
+from stratum.streaming import scan as X
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -554,6 +558,77 @@ def component_boxes(spark, d):
     return rounded(G.component_boxes(_labels(spark, d), V.mosaic(spark, d), 2.0, 12.0), "score_mean", "score_max", "row_mean", "col_mean")
 
 
+# terrain
+
+
+KERNEL = """k AS (SELECT d, exp(-0.5 * d * d) / sum(exp(-0.5 * d * d)) OVER () AS w FROM (SELECT unnest(range(-4, 5)) AS d)), e AS (SELECT max(row) AS mr, max(col) AS mc FROM mosaic)"""
+SMOOTH = """h AS (SELECT a.row, a.col, sum(b.v * k.w) AS v FROM {0} a, k, e JOIN {0} b ON b.row = a.row AND b.col = least(greatest(a.col + k.d, 0), e.mc) GROUP BY ALL),
+s AS (SELECT a.row, a.col, sum(b.v * k.w) AS v FROM h a, k, e JOIN h b ON b.col = a.col AND b.row = least(greatest(a.row + k.d, 0), e.mr) GROUP BY ALL)"""
+
+
+@query(_after_views(KERNEL + ", " + SMOOTH.format("mosaic") + " SELECT row, col, round(m.v - s.v, 6) AS lrm FROM mosaic m JOIN s USING (row, col)", "mosaic"))
+def local_relief(spark, d):
+    return rounded(T.local_relief(V.mosaic(spark, d), 1.0).select("row", "col", "lrm"), "lrm")
+
+
+@query(_after_views(KERNEL + ", " + _frames("min", "max") + ", " + SMOOTH.format("k1") + " SELECT row, col, round(least(m.v, s.v), 6) AS v FROM mosaic m JOIN s USING (row, col)", "mosaic"))
+def ground_surface(spark, d):
+    return rounded(T.ground(V.mosaic(spark, d), 1, 1.0), "v")
+
+
+@query(_after_views(BOX + " SELECT row, col, round(v - mean, 6) AS tpi FROM m", "mosaic"))
+def position_index(spark, d):
+    return rounded(T.position_index(V.mosaic(spark, d), (2,)).select("row", "col", "tpi"), "tpi")
+
+
+@query(_after_views("""x AS (SELECT row, col, v, coalesce(lead(v) OVER w, v) + coalesce(lag(v) OVER w, v) - 2 * v AS x FROM mosaic WINDOW w AS (PARTITION BY row ORDER BY col)),
+y AS (SELECT *, coalesce(lead(v) OVER w, v) + coalesce(lag(v) OVER w, v) - 2 * v AS y FROM x WINDOW w AS (PARTITION BY col ORDER BY row)) SELECT row, col, round(greatest(least(x + y, 0.1), -0.1), 6) AS curvature FROM y""", "mosaic"))
+def curvature(spark, d):
+    return rounded(T.curvature(V.mosaic(spark, d)).select("row", "col", "curvature"), "curvature")
+
+
+@query(_after_views(_frames("min", "max") + ", " + _frames("max", "min").replace("a0", "c0").replace("k0", "d0").replace("a1", "c1").replace("k1", "d1") + " SELECT row, col, round(greatest(m.v - k1.v, d1.v - m.v), 6) AS prominence FROM mosaic m JOIN k1 USING (row, col) JOIN d1 USING (row, col)", "mosaic"))
+def prominence(spark, d):
+    return rounded(T.prominence(V.mosaic(spark, d), (1,)), "prominence")
+
+
+@query()
+def hessian_ridge(spark, d):
+    return rounded(T.hessian(V.mosaic(spark, d), 1.0), "ridge")
+
+
+@query()
+def sky_view_factor(spark, d):
+    return rounded(T.sky_view(V.mosaic(spark, d), 5, tile=64), "svf")
+
+
+@query()
+def classic_score(spark, d):
+    """The relief score of the terms that this mosaic has: local relief, slope, variance, sky view; then Otsu's threshold on it."""
+    m = V.mosaic(spark, d)
+    parts = {"lrm": (T.local_relief(m, 1.0), "lrm"), "slope": (R.slope(m), "slope"), "variance": (R.local_variance(m, 2), "variance"), "svf": (T.sky_view(m, 5, tile=64), "svf")}
+    score = stored(T.combined(parts, T.RELIEF_WEIGHTS))
+    cut = R.otsu(score.withColumnRenamed("score", "v"))
+    return rounded(score.crossJoin(F.broadcast(cut)).withColumn("mask", (F.col("score") >= F.col("threshold")).cast("int")).drop("threshold"), "score")
+
+
+@query("""SELECT tile, p, round(1 / (1 + exp(-8 * (v - avg(v) OVER (PARTITION BY tile)))), 6) AS score FROM tiles WHERE tile % 5 <> 0""", "tiles")
+def injected_scorer(spark, d):
+    """Tiles scored by an injected function; every fifth tile is skipped before it."""
+    tiles = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("tile"), F.col("embedding").cast("array<double>").alias("values"))
+    model = lambda x: 1 / (1 + np.exp(-8 * (x - x.mean((1, 2), keepdims=True))))
+    return rounded(T.score_tiles(tiles, model, V.TILE, F.col("tile") % 5 == 0), "score")
+
+
+@query("""p AS (SELECT least(greatest(prob, 1e-7), 1 - 1e-7) AS p, truth::DOUBLE AS t FROM eval_pairs), l AS (SELECT 1 - (2 * sum(p * t) + 1) / (sum(p) + sum(t) + 1) AS dice, avg(-(t * ln(p) + (1 - t) * ln(1 - p))) AS cross_entropy,
+ avg(CASE WHEN t > 0 THEN (1 - p) ** 2 * -ln(p) ELSE p ** 2 * -ln(1 - p) END) AS focal FROM p) SELECT round(dice, 6) AS dice, round(cross_entropy, 6) AS cross_entropy, round(focal, 6) AS focal, round(dice + cross_entropy, 6) AS combined FROM l""")
+def losses(spark, d):
+    return rounded(T.losses(V.eval_pairs(spark, d)), "dice", "cross_entropy", "focal", "combined")
+
+
+SQL["losses"] = "WITH eval_pairs AS (" + V.SQL["eval_pairs"] + "),\n" + SQL["losses"]
+
+
 # logs and text
 
 
@@ -666,3 +741,50 @@ def band_importance(spark, d):
 
 
 SQL["band_importance"] = "WITH tiles AS (" + V.SQL["tiles"] + "),\n" + SQL["band_importance"]
+
+
+# streams
+
+
+def _streamed(df: DataFrame, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """Runs a stream over the rows of ``df``, one file a trigger, and returns what its sink holds: rows of each batch."""
+    spark = df.sparkSession
+    source, sink = folder(spark), folder(spark)
+    df.repartition(3).write.parquet(source)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    stream = build(X.source(spark, source, df.schema, files_per_trigger=1))
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", folder(spark)).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(sink)
+
+
+@query(SQL["resume_compaction"].split("\n", 1)[1], "tile_log")
+def stream_log_compaction(spark, d):
+    """Latest record of each candidate, kept by a stream; of its updates the last batch's count."""
+    keys = ["tile_index", "candidate_index"]
+    updates = _streamed(V.tile_log(spark, d), lambda s: X.latest(s, keys, "line_no"), "update")
+    return L.compact(updates, keys, "batch").drop("batch")
+
+
+@query("""SELECT event_type, ts::DATE AS day, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL""")
+def stream_event_windows(spark, d):
+    """Daily windows over event time; of the totals so far the last batch's count."""
+    instant = F.timestamp_seconds(F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))  # UTC, whatever the session's zone
+    events = V.table(spark, d, "events").select("event_id", instant.alias("ts"), "event_type", "value")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds("window.start") / 86400).cast("int"))
+    build = lambda s: X.windowed(s, "ts", "40 days", "1 day", None, ["event_type"], F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select("event_type", day.alias("day"), "n", "total")
+    updates = _streamed(events, build, "update")
+    return L.compact(updates, ["event_type", "day"], "batch").drop("batch").withColumn("total", F.round("total", 3))
+
+
+@query("""SELECT status = 'ok' AS good, count(*) AS n FROM tile_log GROUP BY ALL""", "tile_log")
+def stream_dead_letters(spark, d):
+    """Records exported batch by batch, bad ones to a folder of their own."""
+    log = V.tile_log(spark, d)
+    source, good, bad = folder(spark), folder(spark), folder(spark)
+    log.repartition(3).write.parquet(source)
+    X.export(X.source(spark, source, log.schema, files_per_trigger=1), good, bad, folder(spark), "status = 'ok'").awaitTermination()
+    both = spark.read.parquet(good).withColumn("good", F.lit(True)).unionByName(spark.read.parquet(bad).withColumn("good", F.lit(False)))
+    return both.groupBy("good").agg(F.count(F.lit(1)).alias("n"))
