@@ -266,5 +266,5 @@ def colour_ramp(p: Column) -> Column:
     """(red, green, blue): blue at 0, yellow at a half, red at 1; black where missing."""
     low = F.least(p * 2, F.lit(1.0))
     high = F.greatest(p * 2 - 1, F.lit(0.0))
-    part = lambda x: F.coalesce(F.rint(x * 255).cast("int"), F.lit(0))
+    part = lambda x: F.when(p.isNotNull(), F.rint(x * 255).cast("int")).otherwise(0)
     return F.struct(part(low).alias("red"), part(F.when(p <= 0.5, low).otherwise(1 - high)).alias("green"), part(1 - low).alias("blue"))
