@@ -21,6 +21,7 @@ from itertools import chain
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from stratum.llm.shared import arrow_pass, picked
 
@@ -192,7 +193,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     if carry:
         schema = docs.schema
         for c in ("n_tokens", "ids_sha256", "decoded_sha256"):
-            schema = schema.add(c, "bigint" if c == "n_tokens" else "string")
+            schema = T.StructType([*schema, T.StructField(c, T.LongType() if c == "n_tokens" else T.StringType())])
         return arrow_pass(docs.select(*(docs[c] for c in docs.columns)), each, schema)
     kind = rows.schema["id"].dataType.simpleString()
     return arrow_pass(rows, each, f"id {kind}, {new}").withColumnRenamed("id", id_col)

@@ -15,7 +15,7 @@ def tables(spark, tmp_path_factory):
     folder = f"file://{tmp_path_factory.mktemp('tables')}"
     passage = prose(99, 40)
     docs = [(k, prose(k, 80)) for k in range(30)]
-    docs += [(30, prose(1, 80)), (31, prose(2, 80) + " end"), (32, "short"), (33, "a b c " * 50), (34, prose(3, 60) + " " + passage), (35, prose(4, 70) + " mail me@example.com"), (36, None), (37, "% " * 90 + prose(5, 60))]
+    docs += [(30, prose(1, 80)), (31, prose(2, 80) + " end"), (32, "short"), (33, "a b c " * 50), (34, prose(3, 60) + " " + passage), (35, prose(40, 70) + " mail me@example.com"), (36, None), (37, "% " * 90 + prose(5, 60))]
     rows = [(i, t, "en", "src0", len(t or "")) for i, t in docs]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(1, passage)], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
