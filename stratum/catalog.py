@@ -89,20 +89,24 @@ def candidate_fallback_union(spark, d):
     return rounded(C.with_fallback(rows.where("score_mean > 1e9"), rows, [F.desc_nulls_last("score_mean"), F.asc("candidate_id")], 25), "score_mean")
 
 
-@query("""SELECT tile_index, candidate_index, line_no, CASE WHEN status = 'error' THEN 'error' WHEN size = 0 THEN 'no_confidence' WHEN size / 500.0 < 0.5 THEN 'below_threshold' ELSE 'confirmed' END AS reason FROM tile_log""", "tile_log")
+@query("""SELECT tile_index, candidate_index, line_no, CASE WHEN status = 'error' THEN 'error' WHEN size % 7 = 0 THEN 'no_candidate' WHEN size % 11 = 0 THEN 'missing_geometry' WHEN size % 13 = 0 THEN 'review_error'
+ WHEN role = 'user' AND size % 90 < 45 THEN 'review_below_threshold' WHEN size % 13 < 4 AND role <> 'user' THEN 'review_rejected' WHEN size / 500.0 >= 0.5 THEN 'not_reviewed' ELSE 'below_threshold' END AS reason FROM tile_log""", "tile_log")
 def candidate_not_found_reason(spark, d):
-    confidence = F.when(F.col("size") > 0, F.col("size") / 500.0)
-    return V.tile_log(spark, d).select("tile_index", "candidate_index", "line_no", C.not_found_reason(F.col("status"), confidence, 0.5).alias("reason"))
+    size = F.col("size")
+    review = F.when(size % 13 == 0, "error").when(size % 13 < 4, "ok")
+    reason = C.not_found_reason(F.col("status"), size % 7 != 0, size % 11 != 0, size / 500.0, review, F.col("role") == "user", size % 90 / 90.0, 0.5)
+    return V.tile_log(spark, d).select("tile_index", "candidate_index", "line_no", reason.alias("reason"))
 
 
-@query("""SELECT CASE WHEN conf IS NULL OR conf <= 0 THEN 'none' WHEN conf >= 0.95 THEN 'very_high' WHEN conf >= 0.9 THEN 'high' WHEN conf >= 0.75 THEN 'medium' ELSE 'low' END AS tier, count(*) AS n FROM boxes GROUP BY ALL""", "boxes")
+@query("""SELECT CASE WHEN conf IS NULL OR conf <= 0 THEN 'none' WHEN conf >= 0.95 THEN 'very_high_095' WHEN conf >= 0.9 THEN 'strong_090' WHEN conf >= 0.75 THEN 'candidate_075' ELSE 'below_075' END AS tier, count(*) AS n FROM boxes GROUP BY ALL""", "boxes")
 def confidence_tiers(spark, d):
     return V.boxes(spark, d).groupBy(C.confidence_tier(F.col("conf")).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT least(floor(conf * 5), 4)::INT AS bucket, count(*) AS n FROM boxes WHERE conf BETWEEN 0 AND 1 GROUP BY ALL""", "boxes")
+@query("""SELECT CASE WHEN conf < 0.5 THEN '0.0-0.5' WHEN conf < 0.75 THEN '0.5-0.75' WHEN conf < 0.85 THEN '0.75-0.85' WHEN conf < 0.95 THEN '0.85-0.95' ELSE '0.95-1.0' END AS bucket, count(*) AS n,
+ round(quantile_cont(conf, 0.5), 6) AS median, round(quantile_cont(conf, 0.9), 6) AS p90 FROM boxes GROUP BY ALL""", "boxes")
 def confidence_histogram(spark, d):
-    return E.confidence_histogram(V.boxes(spark, d), "conf")
+    return rounded(E.confidence_histogram(V.boxes(spark, d), "conf"), "median", "p90")
 
 
 @query("""SELECT source_label, native_crs, count(*) AS n FROM candidates GROUP BY ALL""", "candidates")
@@ -224,10 +228,10 @@ def suppressed_topk(spark, d):
 def _metrics_sql(where: str, eps: str) -> str:
     return f"""c AS (SELECT count(*) FILTER ({where} AND truth > 0) AS tp, count(*) FILTER ({where} AND truth <= 0) AS fp, count(*) FILTER (NOT ({where}) AND truth > 0) AS fn, count(*) FILTER (NOT ({where}) AND truth <= 0) AS tn FROM eval_pairs),
 m AS (SELECT *, tp / (tp + fp + {eps}) AS p, tp / (tp + fn + {eps}) AS r FROM c)
-SELECT tp, fp, fn, tn, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r + {eps}), 6) AS f1, round(tp / (tp + fp + fn + {eps}), 6) AS iou, round((tp + tn) / (tp + fp + fn + tn + {eps}), 6) AS accuracy FROM m"""
+SELECT tp, fp, fn, tn, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r + {eps}), 6) AS f1, round(tp / (tp + fp + fn + {eps}), 6) AS iou, round((tp + tn) / (tp + fp + fn + tn + {eps}), 6) AS accuracy, round(tn / (tn + fp + {eps}), 6) AS specificity, round(2 * tp / (2 * tp + fp + fn + {eps}), 6) AS dice FROM m"""
 
 
-METRICS = ("precision", "recall", "f1", "iou", "accuracy")
+METRICS = ("precision", "recall", "f1", "iou", "accuracy", "specificity", "dice")
 
 
 def _after_views(sql: str, *names: str) -> str:
@@ -256,7 +260,7 @@ def confusion_metrics_guarded(spark, d):
 SWEPT = """t AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS threshold),
 c AS (SELECT threshold, count(*) FILTER (prob >= threshold AND truth > 0) AS tp, count(*) FILTER (prob >= threshold AND truth <= 0) AS fp, count(*) FILTER (prob < threshold AND truth > 0) AS fn, count(*) FILTER (prob < threshold AND truth <= 0) AS tn FROM eval_pairs, t GROUP BY ALL),
 m AS (SELECT *, tp / (tp + fp + 1e-8) AS p, tp / (tp + fn + 1e-8) AS r FROM c),
-s AS (SELECT threshold, tp, fp, fn, tn, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r + 1e-8), 6) AS f1, round(tp / (tp + fp + fn + 1e-8), 6) AS iou, round((tp + tn) / (tp + fp + fn + tn + 1e-8), 6) AS accuracy FROM m)
+s AS (SELECT threshold, tp, fp, fn, tn, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r + 1e-8), 6) AS f1, round(tp / (tp + fp + fn + 1e-8), 6) AS iou, round((tp + tn) / (tp + fp + fn + tn + 1e-8), 6) AS accuracy, round(tn / (tn + fp + 1e-8), 6) AS specificity, round(2 * tp / (2 * tp + fp + fn + 1e-8), 6) AS dice FROM m)
 """
 
 
@@ -272,7 +276,7 @@ def best_threshold(spark, d):
 
 CURVE = """t AS (SELECT i / 99.0::DOUBLE AS threshold FROM range(100) t(i)),
 c AS (SELECT threshold, count(*) FILTER (prob >= threshold AND truth > 0) AS tp, count(*) FILTER (prob >= threshold) AS f, count(*) FILTER (truth > 0) AS p FROM eval_pairs, t GROUP BY ALL),
-s AS (SELECT threshold, CASE WHEN f > 0 THEN tp / f ELSE 1 END AS precision, CASE WHEN p > 0 THEN tp / p ELSE 0 END AS recall FROM c)
+s AS (SELECT threshold, tp / (f + 1e-8) AS precision, tp / (p + 1e-8) AS recall FROM c)
 """
 
 
@@ -351,9 +355,9 @@ def implicit_fill_mask(spark, d):
 
 
 @query(_after_views(HOLES + """ SELECT tile, round(avg((v IS NOT NULL)::INT), 6) AS valid_ratio, round(max(v), 6) AS largest, round(stddev_pop(v), 6) AS deviation,
- avg((v IS NOT NULL)::INT) < 0.01 OR max(v) <= 0.01 AS empty, stddev_pop(v) < 0.05 AS featureless FROM h GROUP BY tile""", "tiles"))
+ avg((v IS NOT NULL)::INT) < 0.01 OR max(v) <= 0.01 AS empty, coalesce(stddev_pop(v) < 0.05, false) AS featureless FROM h GROUP BY tile""", "tiles"))
 def tile_filters(spark, d):
-    return rounded(R.tile_facts(_holes(spark, d)), "valid_ratio", "largest", "deviation")
+    return rounded(R.tile_facts(_holes(spark, d), 0.05), "valid_ratio", "largest", "deviation")
 
 
 @query("""SELECT row, col, round(a.v, 6) AS dsm, round(b.v, 6) AS dtm, round(a.v - b.v, 6) AS ndsm FROM mosaic a JOIN mosaic_b b USING (row, col)""", "mosaic", "mosaic_b")
@@ -428,8 +432,8 @@ def tile_range_join(spark, d):
 
 
 def _ramp(i: str, n: str) -> str:
-    m = f"least(8, {n} // 2)"
-    return f"CASE WHEN {m} <= 0 THEN 1 WHEN {i} < {m} THEN 0.5 * (1 - cos(pi() * {i} / {m})) WHEN {i} >= {n} - {m} THEN 0.5 * (1 - cos(pi() * ({n} - 1 - {i}) / {m})) ELSE 1 END"
+    m = f"greatest(1, least(8, {n} // 2))"
+    return f"CASE WHEN {i} < {m} THEN 0.5 * (1 - cos(pi() * {i} / {m})) WHEN {i} >= {n} - {m} THEN 0.5 * (1 - cos(pi() * ({n} - 1 - {i}) / {m})) ELSE 1 END"
 
 
 @query(_after_views(IN_TILES + f""", e AS (SELECT max(row) + 1 AS nr, max(col) + 1 AS nc FROM mosaic),
@@ -442,7 +446,7 @@ def overlap_blend(spark, d):
     extent = V.mosaic(spark, d).agg((F.max("row") + 1).alias("nr"), (F.max("col") + 1).alias("nc"))  # one row
     rows = R.pixels_in_tiles(cells, 32, 8).crossJoin(F.broadcast(extent))
     size = lambda n, at: F.least(F.lit(32), F.col(n) - F.col(at))
-    weight = R.feather(F.col("row") - F.col("row_off"), size("nr", "row_off"), 8) * R.feather(F.col("col") - F.col("col_off"), size("nc", "col_off"), 8)
+    weight = R.feather(F.col("row") - F.col("row_off"), size("nr", "row_off"), 32, 8) * R.feather(F.col("col") - F.col("col_off"), size("nc", "col_off"), 32, 8)
     return rounded(R.blend(rows.select("row", "col", F.col("v").alias("p"), weight.alias("w"), F.lit(True).alias("valid"))), "prob")
 
 
@@ -450,7 +454,7 @@ def overlap_blend(spark, d):
 def feather_weights(spark, d):
     sizes = V.table(spark, d, "region").agg(F.count(F.lit(1)).alias("n_regions")).select("n_regions", F.explode(F.sequence(F.lit(1), F.lit(32))).alias("size"))
     rows = sizes.withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
-    return rows.select("size", "pos", r6(R.feather(F.col("pos"), F.col("size"), 8)).alias("weight"), "n_regions")
+    return rows.select("size", "pos", r6(R.feather(F.col("pos"), F.col("size"), 32, 8)).alias("weight"), "n_regions")
 
 
 @query(f"""SELECT least(floor({UNIT} * 256), 255)::INT AS bin, count(*) AS n FROM mosaic GROUP BY ALL""", "mosaic")
@@ -460,7 +464,7 @@ def histogram_256(spark, d):
 
 @query(_after_views(f"""b AS (SELECT least(floor({UNIT} * 256), 255)::INT AS bin, count(*) AS n FROM mosaic GROUP BY ALL), g AS (SELECT i::INT AS bin, coalesce(n, 0) AS n FROM range(256) t(i) LEFT JOIN b ON b.bin = i),
 p AS (SELECT bin, n / sum(n) OVER () AS p FROM g), w AS (SELECT bin, sum(p) OVER o AS omega, sum(p * (bin + 0.5) / 256) OVER o AS mu, sum(p * (bin + 0.5) / 256) OVER () AS total FROM p WINDOW o AS (ORDER BY bin)),
-s AS (SELECT bin, round(CASE WHEN omega * (1 - omega) > 1e-12 THEN (total * omega - mu) ** 2 / (omega * (1 - omega)) ELSE 0 END, 12) AS s FROM w), m AS (SELECT list(bin ORDER BY bin) AS l FROM s WHERE s >= (SELECT max(s) FROM s) - 1e-12)
+s AS (SELECT bin, round(CASE WHEN omega > 0 AND omega < 1 THEN (total * omega - mu) ** 2 / greatest(omega * (1 - omega), 1e-12) ELSE 0 END, 12) AS s FROM w), m AS (SELECT list(bin ORDER BY bin) AS l FROM s WHERE s >= (SELECT max(s) FROM s) - 1e-12)
 SELECT (l[len(l) // 2 + 1] + 0.5) / 256 AS threshold FROM m""", "mosaic"))
 def otsu_threshold(spark, d):
     return R.otsu(unit(V.mosaic(spark, d)))
@@ -531,8 +535,7 @@ def gaussian_convolution(spark, d):
     return rounded(R.gaussian(V.mosaic(spark, d), 1.0), "v")
 
 
-@query(f"""SELECT row, col, coalesce(round_even(least(v * 2, 1) * 255, 0), 0)::INT AS red, coalesce(round_even(CASE WHEN v <= 0.5 THEN least(v * 2, 1) ELSE 1 - greatest(v * 2 - 1, 0) END * 255, 0), 0)::INT AS green,
- coalesce(round_even((1 - least(v * 2, 1)) * 255, 0), 0)::INT AS blue FROM (SELECT row, col, {UNIT} AS v FROM mosaic)""", "mosaic")
+@query(f"""SELECT row, col, floor(least(v * 2, 1) * 255)::INT AS red, floor(CASE WHEN v <= 0.5 THEN least(v * 2, 1) ELSE 1 - (v * 2 - 1) END * 255)::INT AS green, floor((1 - least(v * 2, 1)) * 255)::INT AS blue FROM (SELECT row, col, {UNIT} AS v FROM mosaic)""", "mosaic")
 def colour_ramp(spark, d):
     return unit(V.mosaic(spark, d)).select("row", "col", R.colour_ramp(F.col("v")).alias("c")).select("row", "col", "c.*")
 
@@ -643,10 +646,15 @@ def resume_anti_join(spark, d):
     return L.unprocessed(log.select("tile_index").distinct(), L.compact(log, ["tile_index"], "line_no").where("status = 'ok'"), "tile_index")
 
 
-@query("""SELECT conv_id, turn, CASE WHEN text IS NULL OR trim(text) = '' THEN 'none' WHEN regexp_matches(lower(text), 'timed? ?out|timeout') THEN 'timeout' WHEN regexp_matches(lower(text), 'connection|refused|unreachable|reset by peer') THEN 'connection'
- WHEN regexp_matches(lower(text), 'rate limit|too many requests|429') THEN 'rate_limit' WHEN regexp_matches(lower(text), 'json|parse|decode') THEN 'invalid_json' WHEN regexp_matches(lower(text), 'context length|too many tokens') THEN 'context_length' ELSE 'unknown' END AS kind FROM conversations""")
+SAID = "CASE turn % 7 WHEN 0 THEN text || ' JSON' WHEN 1 THEN 'Connection ' || text WHEN 2 THEN text || ' no models loaded' WHEN 3 THEN 'The model ' || text || ' does not exist' WHEN 4 THEN 'vision ' || text WHEN 5 THEN text || ' 503' ELSE text END"
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN contains(t, 'json') THEN 'invalid_json' WHEN regexp_matches(t, 'connection|connect|refused|timed out|timeout|winerror 10061|server disconnected') THEN 'connection_failed' WHEN contains(t, 'no models loaded') OR contains(t, 'model is not loaded') THEN 'model_not_loaded'
+ WHEN contains(t, 'model') AND (contains(t, 'not found') OR contains(t, 'does not exist')) THEN 'model_not_found' WHEN regexp_matches(t, 'vision|image_url|image input|does not support image|multimodal') THEN 'vision_unsupported' ELSE 'api_error' END AS kind,
+ regexp_matches(t, 'no models loaded|model is not loaded|timeout|timed out|temporarily unavailable|service unavailable|internal server error|bad gateway|gateway timeout|connection|rate limit|429|500|502|503|504') AS transient FROM (SELECT *, lower(coalesce({SAID}, '')) AS t FROM conversations)""")
 def error_taxonomy(spark, d):
-    return V.table(spark, d, "conversations").select("conv_id", "turn", L.error_kind(F.col("text")).alias("kind"))
+    said = F.expr(SAID)
+    return V.table(spark, d, "conversations").select("conv_id", "turn", L.error_kind(said).alias("kind"), L.transient(said).alias("transient"))
 
 
 @query("""SELECT tile_index, line_no, round(avg(size) OVER (PARTITION BY tile_index ORDER BY line_no ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS mean_size FROM tile_log""", "tile_log")
@@ -667,9 +675,11 @@ def json_repair_extract(spark, d):
     return V.table(spark, d, "events").select("event_id", F.from_json(text.model_answer(said), "k int")["k"].alias("k"))
 
 
-@query("""SELECT event_id, CASE WHEN lower(trim(event_type)) IN ('mound', 'enclosure', 'ditch', 'wall', 'terrace', 'unknown') THEN lower(trim(event_type)) ELSE 'unknown' END AS kind FROM events""")
+@query("""SELECT event_id, CASE WHEN k IN ('none', 'mound', 'tumulus', 'ring_ditch', 'wall_trace', 'road_trace', 'foundation', 'enclosure', 'terrace', 'unknown') THEN k WHEN value > 50 THEN 'unknown' ELSE 'none' END AS kind,
+ CASE WHEN k IN ('rgb', 'hillshade', 'slrm', 'svf', 'ndsm', 'dsm', 'dtm', 'slope', 'field_check') THEN k ELSE 'field_check' END AS recommended FROM (SELECT *, CASE event_id % 4 WHEN 0 THEN 'mound' WHEN 1 THEN 'slope' WHEN 2 THEN 'tumulus' ELSE lower(trim(event_type)) END AS k FROM events)""")
 def enum_clamp(spark, d):
-    return V.table(spark, d, "events").select("event_id", text.clamp_type(F.col("event_type")).alias("kind"))
+    said = F.when(F.col("event_id") % 4 == 0, " Mound").when(F.col("event_id") % 4 == 1, "SLOPE ").when(F.col("event_id") % 4 == 2, "tumulus").otherwise(F.col("event_type"))
+    return V.table(spark, d, "events").select("event_id", text.clamp_type(said, F.col("value") > 50).alias("kind"), text.clamp_check(said).alias("recommended"))
 
 
 @query("""SELECT c_custkey, regexp_replace(c_name, '[^\\p{L}\\p{N}_-]', '_', 'g') AS token, regexp_replace(printf('%.2f', c_acctbal), '\\.?0+$', '') AS amount FROM customer""")
@@ -705,10 +715,10 @@ def manifest_label_join(spark, d):
     return rows.select("doc_id", F.coalesce("quality", F.when(F.col("n_chars") > 1000, 1).otherwise(0)).cast("int").alias("label"), F.coalesce("known", F.lit(False)).alias("from_manifest"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE WHEN r + 128 <= 5000 THEN 'train' WHEN r >= 5000 THEN 'val' ELSE 'discard' END AS two, CASE WHEN r + 64 < 6000 THEN 'train' WHEN r + 64 < 8000 THEN 'val' ELSE 'test' END AS three FROM (SELECT *, (l_partkey % 10000)::INT AS r FROM lineitem)""")
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN r + 128 <= 5000 THEN 'train' WHEN r >= 5000 THEN 'val' ELSE 'discard' END AS two, CASE WHEN r + 128 <= 6000 THEN 'train' WHEN r >= 6000 AND r + 128 <= 8000 THEN 'val' WHEN r >= 8000 AND r + 128 <= 10000 THEN 'test' END AS three FROM (SELECT *, (l_partkey % 10000)::INT AS r FROM lineitem)""")
 def split_rows(spark, d):
     r = (F.col("l_partkey") % 10000).cast("int")
-    return V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.split_rows_two(r, 128, 10000, 0.5).alias("two"), S.split_rows_three(r, 128, 10000, 0.6, 0.2).alias("three"))
+    return V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.split_rows_two(r, 128, 10000, 0.5).alias("two"), S.split_rows_three(r, 128, 10000, 0.6, 0.2, 0.2).alias("three"))
 
 
 @query("""SELECT split, label, count(*) AS n FROM (SELECT CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 9 THEN 'val' ELSE 'test' END AS split, quality AS label FROM labels) GROUP BY ALL""")

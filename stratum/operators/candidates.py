@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Bands of the mean score (fixed values): high, medium, low, unknown.
 HIGH, MEDIUM, LOW, UNKNOWN = "Yuksek", "Orta", "Dusuk", "Bilinmiyor"
 #: Tiers of a confidence (fixed values), by their lower bounds.
-TIERS = ((0.95, "very_high"), (0.90, "high"), (0.75, "medium"))
+TIERS = ((0.95, "very_high_095"), (0.90, "strong_090"), (0.75, "candidate_075"))
 
 
 def priority_band(score: Column) -> Column:
@@ -22,7 +22,7 @@ def confidence_tier(confidence: Column) -> Column:
     out = F.when(confidence.isNull() | (confidence <= 0), "none")
     for least, name in TIERS:
         out = out.when(confidence >= least, name)
-    return out.otherwise("low")
+    return out.otherwise("below_075")
 
 
 def priority_rank(rows: DataFrame, into: str = "priority_rank") -> DataFrame:
@@ -90,9 +90,25 @@ def exportable(candidate: Column, confidence: Column, threshold: float, has_geom
     return candidate & (confidence >= threshold) & has_geometry
 
 
-def not_found_reason(status: Column, confidence: Column, threshold: float) -> Column:
-    """Why a record isn't among the confirmed ones; the first reason that holds."""
-    return F.when(status == "error", "error").when(confidence.isNull(), "no_confidence").when(confidence < threshold, "below_threshold").otherwise("confirmed")
+def not_found_reason(status: Column, candidate: Column, has_geometry: Column, confidence: Column, review_status: Column, review_confirmed: Column, review_confidence: Column, threshold: float) -> Column:
+    """Why a record isn't among the confirmed ones; the first reason that holds. Missing confidences count as 0."""
+    plain = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    confirmed, least = F.coalesce(review_confirmed, F.lit(False)), F.lit(threshold)
+    return (
+        F.when(plain(status).isin("skipped", "needs_retry", "error", "warning"), plain(status))
+        .when(~F.coalesce(candidate, F.lit(False)), "no_candidate")
+        .when(~has_geometry, "missing_geometry")
+        .when(plain(review_status) == "error", "review_error")
+        .when(confirmed & (F.coalesce(review_confidence, F.lit(0.0)) < least), "review_below_threshold")
+        .when((plain(review_status) == "ok") & ~confirmed, "review_rejected")
+        .when(F.coalesce(confidence, F.lit(0.0)) >= least, "not_reviewed")
+        .otherwise("below_threshold")
+    )
+
+
+def review_confirmed(candidate: Column, confidence: Column, has_geometry: Column, confirmed: Column, review_confidence: Column, threshold: float) -> Column:
+    """Exportable, and confirmed by a review with enough confidence."""
+    return exportable(candidate, confidence, threshold, has_geometry) & F.coalesce(confirmed, F.lit(False)) & (F.coalesce(review_confidence, F.lit(0.0)) >= threshold)
 
 
 def bbox_iou(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:

@@ -16,10 +16,10 @@ def confusion(predicted: Column, truth: Column) -> dict[str, Column]:
 
 
 def metrics(eps: float) -> dict[str, Column]:
-    """Precision, recall, F1, IoU and accuracy from count columns, with ``eps`` in every denominator."""
+    """Metrics from count columns, with ``eps`` in every denominator."""
     tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
     p, r = tp / (tp + fp + eps), tp / (tp + fn + eps)
-    return {"precision": p, "recall": r, "f1": 2 * p * r / (p + r + eps), "iou": tp / (tp + fp + fn + eps), "accuracy": (tp + tn) / (tp + fp + fn + tn + eps)}
+    return {"precision": p, "recall": r, "f1": 2 * p * r / (p + r + eps), "iou": tp / (tp + fp + fn + eps), "accuracy": (tp + tn) / (tp + fp + fn + tn + eps), "specificity": tn / (tn + fp + eps), "dice": 2 * tp / (2 * tp + fp + fn + eps)}
 
 
 def guarded_metrics() -> dict[str, Column]:
@@ -57,16 +57,16 @@ def sweep(pairs: DataFrame, thresholds: tuple[float, ...] = SWEEP, eps: float =
 
 
 def best_threshold(swept: DataFrame, by: str = "f1") -> DataFrame:
-    """The threshold of the best metric; the first one of equals."""
-    return swept.agg(F.max_by("threshold", F.struct(F.col(by), -F.col("threshold"))).alias("threshold"), F.max(by).alias(by))
+    """The threshold of the best metric; the first one of equals, and 0.5 if none is above 0."""
+    best = swept.agg(F.max_by("threshold", F.struct(F.col(by), -F.col("threshold"))).alias("threshold"), F.max(by).alias(by))
+    return best.withColumn("threshold", F.when(F.col(by) > 0, F.col("threshold")).otherwise(0.5))
 
 
 def pr_curve(pairs: DataFrame, points: int = 100) -> DataFrame:
-    """Precision and recall at evenly spaced thresholds over [0, 1]; precision is 1 where nothing is found."""
+    """Precision and recall at evenly spaced thresholds over [0, 1], with 1e-8 in the denominators."""
     grid = tuple(i / (points - 1) for i in range(points))
     swept = sweep(pairs, grid)
-    tp, fp, fn = (F.col(c).cast("double") for c in ("tp", "fp", "fn"))
-    return swept.select("threshold", F.coalesce(F.try_divide(tp, tp + fp), F.lit(1.0)).alias("precision"), F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0)).alias("recall"))
+    return swept.select("threshold", "precision", "recall")
 
 
 def auc(curve: DataFrame) -> DataFrame:
@@ -77,6 +77,8 @@ def auc(curve: DataFrame) -> DataFrame:
 
 
 def confidence_histogram(rows: DataFrame, value: str) -> DataFrame:
-    """Counts of five buckets of a confidence."""
-    bucket = F.least(F.floor(F.col(value) * 5), F.lit(4)).cast("int")
-    return rows.where(F.col(value).between(0, 1)).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    """Counts, median and 90th percentile of five buckets of a confidence."""
+    c = F.col(value)
+    bucket = F.when(c < 0.5, "0.0-0.5").when(c < 0.75, "0.5-0.75").when(c < 0.85, "0.75-0.85").when(c < 0.95, "0.85-0.95").otherwise("0.95-1.0")
+    q = F.percentile(c, F.array(F.lit(0.5), F.lit(0.9)))
+    return rows.where(c.isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), q[0].alias("median"), q[1].alias("p90"))

@@ -80,11 +80,11 @@ def filled_by_median(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(medians, key).withColumn("v", F.coalesce("v", "m", F.lit(0.0))).drop("m")
 
 
-def tile_facts(rows: DataFrame) -> DataFrame:
+def tile_facts(rows: DataFrame, least_deviation: float = 4.0) -> DataFrame:
     """By tile: share of valid cells, largest value, deviation, and whether it is empty or featureless."""
     facts = rows.groupBy("tile").agg(F.avg(F.col("v").isNotNull().cast("double")).alias("valid_ratio"), F.max("v").alias("largest"), F.stddev_pop("v").alias("deviation"))
     empty = (F.col("valid_ratio") < 0.01) | F.coalesce(F.col("largest") <= 0.01, F.lit(True))
-    return facts.withColumns({"empty": empty, "featureless": F.coalesce(F.col("deviation") < 0.05, F.lit(True))})
+    return facts.withColumns({"empty": empty, "featureless": F.coalesce(F.col("deviation") < least_deviation, F.lit(False))})
 
 
 def implicit_fill(rgb: list[Column], aux: list[Column]) -> Column:
@@ -223,11 +223,13 @@ def pixels_in_tiles(pixels: DataFrame, tile: int, overlap: int) -> DataFrame:
     return both.withColumns({"row_off": F.col("__r") * stride, "col_off": F.col("__c") * stride}).drop("__r", "__c")
 
 
-def feather(at: Column, size: Column, overlap: int) -> Column:
-    """Weight along one axis: half-cosine ramps over the overlap at both ends; the first cell has weight 0."""
-    ramp = F.least(F.lit(overlap), (size / 2).cast("int"))
+def feather(at: Column, size: Column, tile: int, overlap: int) -> Column:
+    """Weight along one axis: half-cosine ramps over the overlap (half a tile at most) at both ends; the outermost cells have weight 0."""
+    if overlap <= 0:
+        return F.lit(1.0)
+    ramp = F.greatest(F.lit(1), F.least(F.lit(min(overlap, tile // 2)), (size / 2).cast("int")))
     up = lambda i: 0.5 * (1 - F.cos(math.pi * i / ramp))
-    return F.when(ramp <= 0, 1.0).when(at < ramp, up(at)).when(at >= size - ramp, up(size - 1 - at)).otherwise(1.0)
+    return F.when(at >= size - ramp, up(size - 1 - at)).when(at < ramp, up(at)).otherwise(1.0)
 
 
 def blend(scores: DataFrame) -> DataFrame:
@@ -240,9 +242,9 @@ def blend(scores: DataFrame) -> DataFrame:
 
 
 def histogram(rows: DataFrame, value: str = "v") -> DataFrame:
-    """Counts of 256 bins over 0..1, the last one closed."""
-    bin_ = F.least(F.floor(F.col(value) * BINS), F.lit(BINS - 1)).cast("int")
-    return rows.where(F.col(value).between(0, 1)).groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    """Counts of 256 bins of the values clipped to 0..1, the last one closed."""
+    bin_ = F.least(F.floor(F.least(F.greatest(F.col(value), F.lit(0.0)), F.lit(1.0)) * BINS), F.lit(BINS - 1)).cast("int")
+    return rows.where(F.col(value).isNotNull()).groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def otsu(rows: DataFrame, value: str = "v") -> DataFrame:
@@ -255,7 +257,8 @@ def otsu(rows: DataFrame, value: str = "v") -> DataFrame:
     centre = (F.col("bin") + 0.5) / BINS
     bins = bins.withColumns({"omega": F.sum("p").over(w), "mu": F.sum(F.col("p") * centre).over(w), "total": F.sum(F.col("p") * centre).over(Window.partitionBy())})
     den = F.col("omega") * (1 - F.col("omega"))
-    between = F.when(den > 1e-12, F.pow(F.col("total") * F.col("omega") - F.col("mu"), F.lit(2)) / den).otherwise(0.0)
+    inner = (F.col("omega") > 0) & (F.col("omega") < 1)
+    between = F.when(inner, F.pow(F.col("total") * F.col("omega") - F.col("mu"), F.lit(2)) / F.greatest(den, F.lit(1e-12))).otherwise(0.0)
     bins = bins.withColumn("s", F.round(between, 12)).withColumn("most", F.max("s").over(Window.partitionBy()))
     best = bins.where("n IS NOT NULL AND p IS NOT NULL AND s >= most - 1e-12").agg(F.sort_array(F.collect_list("bin")).alias("b"))
     middle = F.get(F.col("b"), (F.size("b") / 2).cast("int"))
@@ -263,8 +266,7 @@ def otsu(rows: DataFrame, value: str = "v") -> DataFrame:
 
 
 def colour_ramp(p: Column) -> Column:
-    """(red, green, blue): blue at 0, yellow at a half, red at 1; black where missing."""
-    low = F.least(p * 2, F.lit(1.0))
-    high = F.greatest(p * 2 - 1, F.lit(0.0))
-    part = lambda x: F.when(p.isNotNull(), F.rint(x * 255).cast("int")).otherwise(0)
+    """(red, green, blue), cut off below: blue at 0, yellow at a half, red at 1 and above; black where missing or negative."""
+    low, high = F.least(p * 2, F.lit(1.0)), F.least(F.greatest(p * 2 - 1, F.lit(0.0)), F.lit(1.0))
+    part = lambda x: F.when(p >= 0, F.floor(x * 255).cast("int")).otherwise(0)
     return F.struct(part(low).alias("red"), part(F.when(p <= 0.5, low).otherwise(1 - high)).alias("green"), part(1 - low).alias("blue"))

@@ -43,11 +43,24 @@ def split_rows_two(row_off: Column, tile: int, height: int, ratio: float) -> Col
     return F.when(row_off + tile <= line, "train").when(row_off >= line, "val").otherwise("discard")
 
 
-def split_rows_three(row_off: Column, tile: int, height: int, train: float, val: float) -> Column:
-    """The split that holds a window's centre line."""
+def split_rows_three(row_off: Column, tile: int, height: int, train: float, val: float, test: float) -> Column:
+    """The split that holds a window whole; NULL where none does. Without a test share the rest is for validation."""
     a, b = int(height * train), int(height * (train + val))
-    centre = row_off + tile / 2
-    return F.when(centre < a, "train").when(centre < b, "val").otherwise("test")
+    end = row_off + tile
+    out = F.when(end <= a, "train")
+    if val > 0:
+        out = out.when((row_off >= a) & (end <= b), "val")
+    return out.when((row_off >= b) & (end <= height), "test" if test > 0 else "val")
+
+
+def split_or_fallback(windows: DataFrame, tile: int, height: int, ratio: float, seed: int, key: str = "row_off") -> DataFrame:
+    """``split`` by the dividing line, or drawn at random where one side would be empty; ``mode`` tells which."""
+    rows = windows.withColumn("__s", split_rows_two(F.col(key), tile, height, ratio))
+    facts = rows.agg((F.count_if(F.col("__s") == "train") * F.count_if(F.col("__s") == "val") == 0).alias("__random"), F.floor(F.count(F.lit(1)) * ratio).alias("__take"))  # one row
+    drawn = F.row_number().over(Window.partitionBy("__random").orderBy(draw(F.col(key), seed), *windows.columns))
+    rows = rows.crossJoin(F.broadcast(facts))
+    split = F.when(F.col("__random"), F.when(drawn <= F.col("__take"), "train").otherwise("val")).otherwise(F.col("__s"))
+    return rows.withColumn("split", split).withColumn("mode", F.when(F.col("__random"), "random_fallback").otherwise("spatial")).drop("__s", "__random", "__take")
 
 
 def windows_of_box(lo: Column, hi: Column, tile: int, stride: int, limit: int) -> Column:

@@ -32,7 +32,7 @@ def one(spark, column):
 def test_bands_and_tiers(spark):
     bands = [one(spark, candidates.priority_band(F.lit(s).cast("double"))) for s in (0.8, 0.79, 0.6, 0.0, None)]
     assert bands == ["Yuksek", "Orta", "Orta", "Dusuk", "Bilinmiyor"]
-    assert [one(spark, candidates.confidence_tier(F.lit(s).cast("double"))) for s in (0.95, 0.9, 0.75, 0.1, 0.0, None)] == ["very_high", "high", "medium", "low", "none", "none"]
+    assert [one(spark, candidates.confidence_tier(F.lit(s).cast("double"))) for s in (0.95, 0.9, 0.75, 0.1, 0.0, None)] == ["very_high_095", "strong_090", "candidate_075", "below_075", "none", "none"]
 
 
 def test_fallback(spark):
@@ -143,8 +143,8 @@ def test_tiles(spark):
     inside = raster.pixels_in_tiles(cells(spark, np.zeros((10, 7))), 4, 1).collect()
     want = [(r, c, a, b) for a in (0, 3, 6, 9) for b in (0, 3, 6) for r in range(a, min(a + 4, 10)) for c in range(b, min(b + 4, 7))]
     assert sorted((r["row"], r["col"], r["row_off"], r["col_off"]) for r in inside) == sorted(want)
-    w = [one(spark, raster.feather(F.lit(i), F.lit(8), 2)) for i in range(8)]
-    assert w[0] == 0 and w[3] == 1 and w[1] == pytest.approx(0.5) and [one(spark, raster.feather(F.lit(i), F.lit(8), 0)) for i in range(8)] == [1] * 8
+    w = [one(spark, raster.feather(F.lit(i), F.lit(8), 8, 2)) for i in range(8)]
+    assert w[0] == 0 and w[3] == 1 and w[1] == pytest.approx(0.5) and [one(spark, raster.feather(F.lit(i), F.lit(8), 8, 0)) for i in range(8)] == [1] * 8
     scores = spark.createDataFrame([(0, 0, 0.2, 1.0, True), (0, 0, 0.8, 3.0, True), (0, 1, 0.5, 0.0, True), (0, 2, None, 1.0, False)], "row int, col int, p double, w double, valid boolean")
     assert {r["col"]: r["prob"] for r in raster.blend(scores).collect()} == {0: pytest.approx(0.65), 1: 0.0, 2: None}
 
@@ -157,6 +157,11 @@ def test_fill_rules(spark):
 def test_splits(spark):
     two = [one(spark, sampling.split_rows_two(F.lit(r), 128, 320, 0.5)) for r in (0, 64, 192, 256)]
     assert two == ["train", "discard", "val", "val"]
+    wins = spark.createDataFrame([(0, 0), (64, 0), (192, 0), (256, 0)], "row_off int, col_off int")
+    assert {r["mode"] for r in sampling.split_or_fallback(wins, 128, 320, 0.5, 1).collect()} == {"spatial"}
+    few = sampling.split_or_fallback(wins.where("row_off < 100"), 128, 200, 0.8, 1).collect()
+    assert {r["mode"] for r in few} == {"random_fallback"} and {r["split"] for r in few} == {"train", "val"}
+    assert [one(spark, sampling.split_rows_three(F.lit(r), 10, 100, 0.6, 0.2, 0.2)) for r in (0, 50, 55, 60, 75, 90, 95)] == ["train", "train", None, "val", None, "test", None]
     assert one(spark, sampling.windows_of_box(F.lit(10.0), F.lit(20.0), 16, 12, 64)) == [0, 12]
     rows = spark.createDataFrame([(i, i % 2 if i else 2) for i in range(11)], "k int, c int")
     held = sampling.holdout(rows, "c", "k", 0.2, 1).groupBy("c").agg(F.count_if("held").alias("n")).collect()
@@ -167,7 +172,8 @@ def test_splits(spark):
 def test_logs(spark):
     log = spark.createDataFrame([(1, 1, 1, "a"), (1, 1, 2, "b"), (1, None, 3, "old"), (2, None, 1, "c"), (2, None, 2, "d")], "t int, c int, n int, s string")
     assert sorted((r["t"], r["s"]) for r in scanlog.with_legacy(log, "t", "c", "n").collect()) == [(1, "b"), (2, "d")]
-    assert [one(spark, scanlog.error_kind(F.lit(m))) for m in ("Request timed out", "Bad JSON", "HTTP 429", "", "huh")] == ["timeout", "invalid_json", "rate_limit", "none", "unknown"]
+    assert [one(spark, scanlog.error_kind(F.lit(m))) for m in ("Request timed out", "Bad JSON", "no models loaded", "the model x was\nnot found", "huh")] == ["connection_failed", "invalid_json", "model_not_loaded", "model_not_found", "api_error"]
+    assert [one(spark, scanlog.transient(F.lit(m))) for m in ("HTTP 429", "bad request", None)] == [True, False, False]
     plan = {"view": "rgb", "mode": "m", "kind": "k", "fingerprint": "f"}
     assert one(spark, scanlog.matches_plan(F.lit(""), F.lit("m"), F.lit(None), F.lit("f"), plan)) and not one(spark, scanlog.matches_plan(F.lit(""), F.lit("m"), F.lit("k"), F.lit(None), plan))
 
