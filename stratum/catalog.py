@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratum.functions import geo, text
+from stratum.functions import channels, geo, text
 from stratum.operators import candidates as C
 from stratum.operators import components as G
 from stratum.operators import evaluation as E
@@ -632,6 +632,81 @@ def losses(spark, d):
 SQL["losses"] = "WITH eval_pairs AS (" + V.SQL["eval_pairs"] + "),\n" + SQL["losses"]
 
 
+# other grids and shapes
+
+
+def _resample_sql(y: str, x: str) -> str:
+    return f"""g AS (SELECT r::INT AS row, c::INT AS col, least(greatest({y}, 0), h - 1) AS y, least(greatest({x}, 0), 199) AS x, h FROM (SELECT max(row) + 1 AS h FROM mosaic), range(100) a(r), range(120) b(c)),
+n AS (SELECT row, col, y, x, least(floor(y), h - 2)::INT AS r0, least(floor(x), 198)::INT AS c0 FROM g),
+k AS (SELECT row, col, r0 + i AS r, c0 + j AS c, (CASE WHEN i = 1 THEN y - r0 ELSE 1 - (y - r0) END) * (CASE WHEN j = 1 THEN x - c0 ELSE 1 - (x - c0) END) AS wt FROM n, range(2) i(i), range(2) j(j))
+SELECT k.row, k.col, round(sum(m.v * wt), 6) AS v FROM k JOIN mosaic m ON m.row = k.r AND m.col = k.c GROUP BY ALL"""
+
+
+def _resampled(spark, d, corners: bool) -> DataFrame:
+    height = V.table(spark, d, "embeddings").count() // V.ACROSS * V.TILE
+    return rounded(R.resample(V.mosaic(spark, d), (height, V.WIDTH), (100, 120), corners), "v")
+
+
+@query(_after_views(_resample_sql("(r + 0.5) * h / 100 - 0.5", "(c + 0.5) * 200 / 120 - 0.5"), "mosaic"))
+def resample_centres(spark, d):
+    """The mosaic on a grid of 100 x 120 cells, cell centres matched."""
+    return _resampled(spark, d, False)
+
+
+@query(_after_views(_resample_sql("r * (h - 1) / 99", "c * 199 / 119"), "mosaic"))
+def resample_corners(spark, d):
+    """The same with corners matched."""
+    return _resampled(spark, d, True)
+
+
+@query("""b AS (SELECT tile_id, ord + 100 * row_number() OVER (PARTITION BY tile_id, ord ORDER BY x1, y1, x2, y2, conf) AS ord, x1, y1, x2, y2 FROM boxes), e AS (SELECT tile_id, ord, unnest([{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y1}, {'x1': x2, 'y1': y1, 'x2': (x1 + x2) / 2, 'y2': y2 + 0.25}, {'x1': (x1 + x2) / 2, 'y1': y2 + 0.25, 'x2': x1, 'y2': y1}]) AS s FROM b),
+l AS (SELECT tile_id, ord, s, unnest(range(ceil(least(s.y1, s.y2) - 0.5)::INT, ceil(greatest(s.y1, s.y2) - 0.5)::INT)) AS row FROM e WHERE s.y1 <> s.y2),
+x AS (SELECT tile_id, row, s.x1 + (row + 0.5 - s.y1) * (s.x2 - s.x1) / (s.y2 - s.y1) AS x, ord FROM l),
+p AS (SELECT tile_id, ord, row, min(x) AS a, max(x) AS b FROM x GROUP BY ALL)
+SELECT tile_id, ord, count(*) FILTER (ceil(b - 0.5) > ceil(a - 0.5)) AS n_rows, sum(greatest(ceil(b - 0.5)::INT - ceil(a - 0.5)::INT, 0))::BIGINT AS n_cells FROM p GROUP BY ALL HAVING n_cells > 0""")
+def burn_triangles(spark, d):
+    """Cells of a triangle in each box."""
+    b = V.boxes(spark, d).withColumn("ord", F.col("ord") + 100 * F.row_number().over(Window.partitionBy("tile_id", "ord").orderBy("x1", "y1", "x2", "y2", "conf")))
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    ring = F.array(point(F.col("x1"), F.col("y1")), point(F.col("x2"), F.col("y1")), point((F.col("x1") + F.col("x2")) / 2, F.col("y2") + 0.25))
+    keyed = b.select(F.struct("tile_id", "ord").alias("k"), ring.alias("ring"))
+    return R.burn(keyed, "k", "ring").groupBy(F.col("k.tile_id").alias("tile_id"), F.col("k.ord").alias("ord")).agg(F.count_distinct("row").alias("n_rows"), F.count(F.lit(1)).alias("n_cells"))
+
+
+@query("""s AS (SELECT row, col, CASE WHEN v >= 0.15 THEN 1 ELSE 0 END AS label FROM mosaic), d(side, i, j) AS (VALUES ('top', -1, 0), ('bottom', 1, 0), ('left', 0, -1), ('right', 0, 1)),
+o AS (SELECT s.label, side, CASE side WHEN 'top' THEN s.row WHEN 'bottom' THEN s.row + 1 WHEN 'left' THEN s.col ELSE s.col + 1 END AS line, CASE WHEN side IN ('top', 'bottom') THEN s.col ELSE s.row END AS p FROM s, d LEFT JOIN s n ON n.row = s.row + d.i AND n.col = s.col + d.j WHERE n.label IS NULL OR n.label <> s.label),
+r AS (SELECT *, p - row_number() OVER (PARTITION BY label, side, line ORDER BY p) AS run FROM o)
+SELECT label, side, line, min(p) AS start, max(p) + 1 AS "end" FROM r GROUP BY label, side, line, run""")
+def outline_segments(spark, d):
+    """Boundaries between cells at or above 0.15 and below."""
+    return R.outline(V.mosaic(spark, d).select("row", "col", F.when(F.col("v") >= 0.15, 1).otherwise(0).alias("label")))
+
+
+@query("""t AS (SELECT tile, (p // 8)::INT AS r, (p % 8)::INT AS c, v, ('0x' || substr(md5(tile::VARCHAR || ':7'), 1, 4))::INT % 8 AS way FROM tiles),
+f AS (SELECT tile, way, v, r, CASE WHEN way >= 4 THEN 7 - c ELSE c END AS c FROM t)
+SELECT tile, CASE way % 4 WHEN 0 THEN r WHEN 1 THEN 7 - c WHEN 2 THEN 7 - r ELSE c END AS row, CASE way % 4 WHEN 0 THEN c WHEN 1 THEN r WHEN 2 THEN 7 - c ELSE 7 - r END AS col, round(v, 6) AS v FROM f""")
+def augmented_tiles(spark, d):
+    """Tiles turned and flipped in a way drawn from their number and a seed."""
+    way = F.conv(F.substring(S.draw(F.col("tile"), 7), 1, 4), 16, 10).cast("int") % 8
+    rows = V.tiles(spark, d).select("tile", (F.col("p") / 8).cast("int").alias("row"), (F.col("p") % 8).cast("int").alias("col"), "v", way.alias("way"))
+    return rounded(R.turned(rows, F.col("way"), 8).select("tile", "row", "col", "v"), "v")
+
+
+for _name, _view in (("burn_triangles", "boxes"), ("outline_segments", "mosaic"), ("augmented_tiles", "tiles")):
+    SQL[_name] = f"WITH {_view} AS ({V.SQL[_view]}),\n" + SQL[_name]
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 9 = 0 THEN 'alpha' WHEN regexp_matches(t, 'dtm|dem|terrain|bare earth|bare_earth') THEN 'dtm' WHEN regexp_matches(t, 'dsm|surface|canopy') THEN 'dsm' ELSE 'other' END AS role,
+ CASE p_size % 3 WHEN 0 THEN 'hillshade,slrm' WHEN 1 THEN 'dtm,svf' ELSE 'rgb' END AS views FROM (SELECT *, lower(p_name || CASE p_size % 4 WHEN 0 THEN ' DTM' WHEN 1 THEN ' Surface model' WHEN 2 THEN ' bare_earth' ELSE '' END) AS t FROM part)""")
+def band_roles(spark, d):
+    """What bands are by their descriptions, and views resolved from their other names."""
+    size = F.col("p_size")
+    said = F.concat("p_name", F.when(size % 4 == 0, " DTM").when(size % 4 == 1, " Surface model").when(size % 4 == 2, " bare_earth").otherwise(""))
+    asked = F.when(size % 3 == 0, F.array(*map(F.lit, ("Hill", "LRM", "hillshade", "nothing")))).when(size % 3 == 1, F.array(*map(F.lit, ("dem", " skyview ", "dtm")))).otherwise(F.array(*map(F.lit, ("ortho", "ndsm"))))
+    have = F.array(*map(F.lit, ("rgb", "hillshade", "slrm", "dtm", "svf")))
+    return V.table(spark, d, "part").select("p_partkey", channels.band_role(said, F.when(size % 9 == 0, "Alpha")).alias("role"), F.array_join(channels.view_names(asked, have), ",").alias("views"))
+
+
 # logs and text
 
 

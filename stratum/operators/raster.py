@@ -270,3 +270,70 @@ def colour_ramp(p: Column) -> Column:
     low, high = F.least(p * 2, F.lit(1.0)), F.least(F.greatest(p * 2 - 1, F.lit(0.0)), F.lit(1.0))
     part = lambda x: F.when(p >= 0, F.floor(x * 255).cast("int")).otherwise(0)
     return F.struct(part(low).alias("red"), part(F.when(p <= 0.5, low).otherwise(1 - high)).alias("green"), part(1 - low).alias("blue"))
+
+
+# other grids, shapes
+
+
+def resample(rows: DataFrame, size: tuple[int, int], target: tuple[int, int], corners: bool = False) -> DataFrame:
+    """Bilinear values on another grid of the same extent: cell centres matched, or corners matched.
+
+    Each target cell asks for its four neighbours with weights: one join by cell, one sum. Missing
+    neighbours give a missing cell."""
+    spark = rows.sparkSession
+    (h, w), (th, tw) = size, target
+
+    def place(i: Column, n: int, t: int) -> Column:
+        at = i * ((n - 1) / max(t - 1, 1)) if corners else (i + 0.5) * (n / t) - 0.5
+        return F.least(F.greatest(at, F.lit(0.0)), F.lit(float(n - 1)))
+
+    cells = spark.range(th * tw).select((F.col("id") / tw).cast("int").alias("row"), (F.col("id") % tw).cast("int").alias("col"))
+    cells = cells.withColumns({"y": place(F.col("row"), h, th), "x": place(F.col("col"), w, tw)})
+    r0, c0 = F.least(F.floor("y"), F.lit(max(h - 2, 0))).cast("int"), F.least(F.floor("x"), F.lit(max(w - 2, 0))).cast("int")
+    cells = cells.withColumns({"r0": r0, "c0": c0}).withColumns({"fy": F.col("y") - F.col("r0"), "fx": F.col("x") - F.col("c0")})
+    near = [F.struct((F.col("r0") + i).alias("r"), (F.col("c0") + j).alias("c"), ((F.col("fy") if i else 1 - F.col("fy")) * (F.col("fx") if j else 1 - F.col("fx"))).alias("wt")) for i in (0, 1) for j in (0, 1)]
+    asked = cells.select("row", "col", F.inline(F.array(*near))).where("wt > 0")
+    source = rows.select(F.col("row").alias("r"), F.col("col").alias("c"), "v")
+    found = asked.join(source, ["r", "c"], "left").groupBy("row", "col").agg(F.sum(F.col("v") * F.col("wt")).alias("v"), F.count_if(F.col("v").isNull()).alias("gaps"))
+    return found.select("row", "col", F.when(F.col("gaps") == 0, F.col("v")).alias("v"))
+
+
+def burn(shapes: DataFrame, key: str, ring: str) -> DataFrame:
+    """(key, row, col) of cells whose centres lie in a ring, array<struct<x, y>>, by the even-odd rule.
+
+    Line by line: the crossings of a ring with a line of centres are paired in order of x."""
+    n = F.size(ring)
+    point = lambda i: F.element_at(F.col(ring), (i % n + 1).cast("int"))
+    edges = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(point(i)["x"].alias("x1"), point(i)["y"].alias("y1"), point(i + 1)["x"].alias("x2"), point(i + 1)["y"].alias("y2")))
+    sides = shapes.where(n >= 3).select(key, F.inline(edges)).where("y1 <> y2")
+    low, high = F.ceil(F.least("y1", "y2") - 0.5).cast("int"), (F.ceil(F.greatest("y1", "y2") - 0.5) - 1).cast("int")
+    lines = sides.withColumns({"a": low, "b": high}).where("b >= a").withColumn("row", F.explode(F.sequence("a", "b")))
+    lines = lines.withColumn("x", F.col("x1") + (F.col("row") + 0.5 - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
+    w = Window.partitionBy(key, "row").orderBy("x")
+    spans = lines.select(key, "row", F.row_number().over(w).alias("nth"), F.ceil(F.col("x") - 0.5).cast("int").alias("from"), (F.ceil(F.lead("x").over(w) - 0.5) - 1).cast("int").alias("to"))
+    return spans.where("nth % 2 = 1 AND to >= from").select(key, "row", F.explode(F.sequence("from", "to")).alias("col")).distinct()
+
+
+def outline(labels: DataFrame) -> DataFrame:
+    """Boundaries of labelled cells as straight segments (label, side, line, start, end), ends exclusive: unit sides whose
+    neighbour has another label or none, joined along their line."""
+    shifts = {"top": (-1, 0), "bottom": (1, 0), "left": (0, -1), "right": (0, 1)}
+    sides = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), (F.col("row") + i).alias("nr"), (F.col("col") + j).alias("nc")) for s, (i, j) in shifts.items())))
+    asked = labels.select("label", "row", "col", sides.alias("s")).select("label", "row", "col", "s.*")
+    other = labels.select(F.col("row").alias("nr"), F.col("col").alias("nc"), F.col("label").alias("other"))
+    open_ = asked.join(other, ["nr", "nc"], "left").where("other IS NULL OR other <> label")
+    flat = F.col("side").isin("top", "bottom")
+    line = F.when(F.col("side") == "top", F.col("row")).when(F.col("side") == "bottom", F.col("row") + 1).when(F.col("side") == "left", F.col("col")).otherwise(F.col("col") + 1)
+    at = open_.select("label", "side", line.alias("line"), F.when(flat, F.col("col")).otherwise(F.col("row")).alias("at"))
+    run = F.col("at") - F.row_number().over(Window.partitionBy("label", "side", "line").orderBy("at"))
+    return at.withColumn("run", run).groupBy("label", "side", "line", "run").agg(F.min("at").alias("start"), (F.max("at") + 1).alias("end")).drop("run")
+
+
+def turned(rows: DataFrame, way: Column, size: int) -> DataFrame:
+    """Square tiles (row, col within the tile) by one of eight ways: 0-3 quarter turns, 4-7 the same after a flip."""
+    col = F.when(way >= 4, size - 1 - F.col("col")).otherwise(F.col("col"))
+    rows = rows.withColumns({"__r": F.col("row"), "__c": col, "__k": way % 4})
+    k, r, c = F.col("__k"), F.col("__r"), F.col("__c")
+    last = size - 1
+    new = {"row": F.when(k == 0, r).when(k == 1, last - c).when(k == 2, last - r).otherwise(c), "col": F.when(k == 0, c).when(k == 1, r).when(k == 2, last - c).otherwise(last - r)}
+    return rows.withColumns(new).drop("__r", "__c", "__k")

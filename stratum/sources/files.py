@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -94,3 +95,42 @@ def geojson(rows: DataFrame, ring: str) -> DataFrame:
 def write_geojson(rows: DataFrame, ring: str, path: str) -> None:
     """GeoJSON text sequences: a feature a line."""
     geojson(rows, ring).write.mode("overwrite").text(path)
+
+
+def annotations(spark: SparkSession, folder: str, ignored: tuple[int, ...] = (0, 11)) -> DataFrame:
+    """(image, x, y, w, h, kind) of annotation lines ``x,y,w,h,score,kind,truncation,occlusion``; short, empty and ignored boxes are left out."""
+    lines = spark.read.text(folder).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.txt$", 1).alias("image"), F.split(F.trim("value"), ",").alias("p"))
+    part = lambda i: F.get(F.col("p"), F.lit(i)).try_cast("int")
+    rows = lines.where(F.size("p") >= 8).select("image", part(0).alias("x"), part(1).alias("y"), part(2).alias("w"), part(3).alias("h"), part(5).alias("kind"))
+    return rows.where((F.col("w") > 0) & (F.col("h") > 0) & ~F.col("kind").isin(*ignored))
+
+
+def write_xlsx(rows: DataFrame, path: str, sheet: str = "Sheet1") -> int:
+    """A workbook of one sheet for people to read, row by row from the cluster; the number of rows written."""
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    def cell(v) -> str:
+        if v is None:
+            return "<c/>"
+        if isinstance(v, bool | int | float):
+            return f"<c><v>{int(v) if isinstance(v, bool) else v}</v></c>" if v == v else "<c/>"
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(re.sub(r"[^\t\n\r\x20-퟿-�]", "", str(v)))}</t></is></c>'
+
+    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    package = "http://schemas.openxmlformats.org/package/2006"
+    n = 0
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>')
+        z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="r1"/></sheets></workbook>')
+        with z.open("xl/worksheets/sheet1.xml", "w") as f:
+            f.write(f'{head}<worksheet xmlns="{main}"><sheetData><row>{"".join(map(cell, rows.columns))}</row>'.encode())
+            for row in rows.toLocalIterator():
+                f.write(f"<row>{''.join(map(cell, row))}</row>".encode())
+                n += 1
+            f.write(b"</sheetData></worksheet>")
+    return n

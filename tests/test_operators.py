@@ -230,3 +230,41 @@ def test_export_again(spark, tmp_path):
     assert streams.merged(spark, paths[0], ["bad"], "id").first()["id"] == 8
     with pytest.raises(Exception):
         streams.export(streams.source(spark, f"file://{tmp_path}/in", schema), *[p + "2" for p in paths], valid="NOT bad", fatal=lambda b: b.count() > 0).awaitTermination()
+
+
+def test_sheets_and_annotations(spark, tmp_path):
+    import zipfile
+
+    (tmp_path / "img1.txt").write_text("1,2,3,4,1,5,0,0\n1,2,0,4,1,5,0,0\n1,2,3\n1,2,3,4,1,11,0,0\n")
+    assert [tuple(r) for r in files.annotations(spark, f"file://{tmp_path}/img1.txt").collect()] == [("img1", 1, 2, 3, 4, 5)]
+    df = spark.createDataFrame([(1, "a<b", None, True), (2, "é", 1.5, False)], "n int, s string, v double, b boolean")
+    assert files.write_xlsx(df, str(tmp_path / "x.xlsx")) == 2
+    sheet = zipfile.ZipFile(tmp_path / "x.xlsx").read("xl/worksheets/sheet1.xml").decode()
+    assert "a&lt;b" in sheet and "<v>1.5</v>" in sheet and sheet.count("<row>") == 3
+
+
+def test_channels(spark):
+    from stratum.functions import channels
+
+    assert channels.derived(channels.channels(" TOPO7 ")) == ("SVF", "SLRM", "Slope", "nDSM") and channels.source_bands("rgb3") == 3
+    assert channels.canonical(["r", "G", "b", "svf", "slrm"]) == channels.MODES["topo5"] and channels.band_indexes("1,2,3,0,4", 4) == (1, 2, 3, 0, 4) and channels.band_indexes(None, 7) == (1, 2, 3, 4, 5)
+    for bad in (lambda: channels.channels("x"), lambda: channels.canonical(["G", "R", "B"]), lambda: channels.band_indexes("1,2", 3), lambda: channels.band_indexes("", 2)):
+        with pytest.raises(ValueError):
+            bad()
+    plan = spark.createDataFrame([("b.tif", "rgb", 1), ("a.tif", "rgb", 1), ("c.tif", "dsm", 2)], "path string, view string, p int")
+    assert {(r["path"], r["reference"]) for r in channels.reference_raster(plan, F.col("p")).collect()} == {("a.tif", True), ("c.tif", False)}
+    box = lambda *q: tuple(F.lit(float(x)) for x in q)
+    assert one(spark, channels.overlap_share(box(0, 0, 10, 10), box(5, 0, 9, 5))) == 1.0 and one(spark, channels.overlap_share(box(0, 0, 1, 1), box(5, 5, 6, 6))) == 0
+
+
+def test_shapes_by_hand(spark):
+    ring = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (3, 0), (3, 2), (0, 2))))
+    got = raster.burn(spark.range(1).select("id", ring.alias("ring")), "id", "ring").collect()
+    assert sorted((r["row"], r["col"]) for r in got) == [(r, c) for r in range(2) for c in range(3)]
+    labels = spark.createDataFrame([(0, 0, 1), (0, 1, 1), (1, 0, 1)], "row int, col int, label int")
+    segments = {(r["side"], r["line"], r["start"], r["end"]) for r in raster.outline(labels).collect()}
+    assert segments == {("top", 0, 0, 2), ("left", 0, 0, 2), ("bottom", 1, 1, 2), ("bottom", 2, 0, 1), ("right", 2, 0, 1), ("right", 1, 1, 2)}
+    g = np.arange(12.0).reshape(3, 4)
+    assert np.allclose(grid(raster.resample(cells(spark, g), (3, 4), (3, 4))), g) and np.allclose(grid(raster.resample(cells(spark, g), (3, 4), (5, 7), corners=True))[::2, ::2], g)
+    tile = cells(spark, np.arange(9.0).reshape(3, 3))
+    assert np.allclose(grid(raster.turned(tile, F.lit(1), 3)), np.rot90(np.arange(9.0).reshape(3, 3))) and np.allclose(grid(raster.turned(tile, F.lit(4), 3)), np.fliplr(np.arange(9.0).reshape(3, 3)))
