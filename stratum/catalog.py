@@ -682,6 +682,16 @@ def outline_segments(spark, d):
     return R.outline(V.mosaic(spark, d).select("row", "col", F.when(F.col("v") >= 0.15, 1).otherwise(0).alias("label")))
 
 
+@query("WITH RECURSIVE mosaic AS (" + V.SQL["mosaic"] + "),\n" + MASK + ",\n" + REACHED + """ SELECT label::BIGINT AS label, count(*)::DOUBLE AS area FROM l GROUP BY label""")
+def component_polygons(spark, d):
+    """Components traced to rings; a polygon's area, holes taken off, is its number of cells."""
+    rings = G.rings(R.outline(_labels(spark, d)))
+    n = F.size("ring")
+    point = lambda i: F.element_at("ring", (i % n + 1).cast("int"))
+    cross = F.transform(F.sequence(F.lit(0), n - 1), lambda i: point(i)["x"] * point(i + 1)["y"] - point(i + 1)["x"] * point(i)["y"])
+    return rings.groupBy("label").agg(F.sum(F.aggregate(cross, F.lit(0.0), lambda a, c: a + c) / 2).alias("area"))
+
+
 @query("""t AS (SELECT tile, (p // 8)::INT AS r, (p % 8)::INT AS c, v, ('0x' || substr(md5(tile::VARCHAR || ':7'), 1, 4))::INT % 8 AS way FROM tiles),
 f AS (SELECT tile, way, v, r, CASE WHEN way >= 4 THEN 7 - c ELSE c END AS c FROM t)
 SELECT tile, CASE way % 4 WHEN 0 THEN r WHEN 1 THEN 7 - c WHEN 2 THEN 7 - r ELSE c END AS row, CASE way % 4 WHEN 0 THEN c WHEN 1 THEN r WHEN 2 THEN 7 - c ELSE 7 - r END AS col, round(v, 6) AS v FROM f""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -93,3 +95,54 @@ def suppress_across(boxes: DataFrame, order: str, least: float, pairs: DataFrame
     rows = boxes.join(labels, boxes[order] == labels["id"], "left").withColumn("__c", F.coalesce("label", order)).drop("id", "label")
     return suppress(rows, "__c", least).drop("__c")
 
+
+
+def rings(segments: DataFrame) -> DataFrame:
+    """Closed rings (label, ring, n) from the outline segments of ``raster.outline``: corners in order, inside on the right
+    of the way, so outer boundaries and holes run in opposite senses.  A group holds one component's boundary, not its area."""
+
+    def trace(pdf: pd.DataFrame) -> list[list[tuple[int, int]]]:
+        ways: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for side, line, a, b in zip(pdf["side"], pdf["line"], pdf["start"], pdf["end"], strict=True):
+            p, q = ((a, line), (b, line)) if side in ("top", "bottom") else ((line, a), (line, b))
+            if side in ("bottom", "left"):
+                p, q = q, p
+            ways.setdefault(p, []).append(q)
+        out = []
+        while ways:
+            start = min(ways)
+            ring, at, before = [start], start, None
+            while True:
+                ahead = ways[at]
+                if before is not None and len(ahead) > 1:  # where two corners touch, the way turns right
+                    dx, dy = at[0] - before[0], at[1] - before[1]
+                    ahead.sort(key=lambda q: dx * (q[1] - at[1]) - dy * (q[0] - at[0]) < 0)
+                before, to = at, ahead.pop(0)
+                if not ways[before]:
+                    del ways[before]
+                at = to
+                if at == start:
+                    break
+                ring.append(at)
+            out.append(ring)
+        return out
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(held):
+                continue
+            whole = held["label"] != held["label"].iloc[-1]  # the last label may go on in the next batch
+            yield told(held[whole])
+            held = held[~whole]
+        if held is not None and len(held):
+            yield told(held)
+
+    def told(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [(label, r) for label, part in pdf.groupby("label", sort=False) for r in trace(part)]
+        return pd.DataFrame({"label": [k for k, _ in out], "ring": [[{"x": float(x), "y": float(y)} for x, y in r] for _, r in out], "n": [len(r) for _, r in out]})
+
+    kind = segments.schema["label"].dataType.simpleString()
+    dealt = segments.select("label", "side", "line", "start", "end").repartition("label").sortWithinPartitions("label")
+    return dealt.mapInPandas(each, f"label {kind}, ring array<struct<x: double, y: double>>, n int")

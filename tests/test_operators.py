@@ -268,3 +268,31 @@ def test_shapes_by_hand(spark):
     assert np.allclose(grid(raster.resample(cells(spark, g), (3, 4), (3, 4))), g) and np.allclose(grid(raster.resample(cells(spark, g), (3, 4), (5, 7), corners=True))[::2, ::2], g)
     tile = cells(spark, np.arange(9.0).reshape(3, 3))
     assert np.allclose(grid(raster.turned(tile, F.lit(1), 3)), np.rot90(np.arange(9.0).reshape(3, 3))) and np.allclose(grid(raster.turned(tile, F.lit(4), 3)), np.fliplr(np.arange(9.0).reshape(3, 3)))
+
+
+def test_vectors(spark, tmp_path):
+    from stratum.sources import vectors
+
+    rows = spark.range(2).select("id", geo.box_ring(F.lit(0.0), F.lit(0.0), F.lit(2.0), F.lit(1.0)).alias("ring"), F.lit("né").alias("name"), F.array(F.lit(1)).alias("list"))
+    assert vectors.write_gpkg(rows, "ring", str(tmp_path / "a.gpkg"), "found", 3857) == 2
+    got = vectors.gpkg(spark, f"file://{tmp_path}").collect()
+    assert [(r["layer"], r["srs"], r["fid"]) for r in got] == [("found", 3857, 1), ("found", 3857, 2)] and '"name": "n\\u00e9"' in got[0]["properties"]
+    assert bytes(got[0]["wkb"]) == vectors.wkb_polygon([(0, 0), (2, 0), (2, 1), (0, 1)])
+    head = bytearray(400)
+    head[:4], head[24:26] = b"LASF", b"\x01\x02"
+    struct.pack_into("<I", head, 107, 50)
+    struct.pack_into("<4d", head, 179, 10.0, 0.0, 20.0, 0.0)
+    (tmp_path / "p.las").write_bytes(bytes(head))
+    (r,) = vectors.las_headers(spark, f"file://{tmp_path}").collect()
+    assert (r["points"], r["x2"], r["y2"], r["cell"]) == (50, 10.0, 20.0, 2.0)
+    np.save(tmp_path / "t.npy", np.array([[1.0, np.nan]]))
+    np.savez(tmp_path / "u.npz", image=np.ones((1, 2, 2)), mask=np.zeros((2, 2), np.uint8))
+    tiles = {r["name"]: (r["shape"], r["values"]) for r in vectors.numpy_tiles(spark, f"file://{tmp_path}").collect()}
+    assert tiles == {"": ([1, 2], [1.0, None]), "image": ([1, 2, 2], [1.0] * 4), "mask": ([2, 2], [0.0] * 4)}
+
+
+def test_rings(spark):
+    ring = [(0, 0, 1), (0, 1, 1), (0, 2, 1), (1, 0, 1), (1, 2, 1), (2, 0, 1), (2, 1, 1), (2, 2, 1), (5, 5, 2), (6, 6, 2)]
+    got = components.rings(raster.outline(spark.createDataFrame(ring, "row int, col int, label int"))).collect()
+    sizes = sorted((r["label"], r["n"]) for r in got)
+    assert sizes == [(1, 4), (1, 4), (2, 4), (2, 4)] or sizes == [(1, 4), (1, 4), (2, 8)]
