@@ -30,7 +30,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.llm import words as W
@@ -104,13 +104,14 @@ def _sketch(rows: DataFrame) -> np.ndarray:
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """id, number of shingles, digest of the set, and its prefix as order keys: rank, then hash, ascending."""
+    """id, number of shingles, digests of the set and of size and prefix, the prefix as order keys (rank, then hash) ascending, and its last key."""
     spark, bits = rows.sparkSession, SKETCH_BITS
     ranks = spark.sparkContext.broadcast(_sketch(rows))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = np.zeros(batch.num_rows, np.int64)
         digests: list[bytes] = []
+        starts: list[bytes] = []
         lengths, keys = [np.zeros(1, np.int64)], []
         for t, g, doc in shingles(batch["text"]):
             size = np.bincount(doc, minlength=len(t))
@@ -124,11 +125,15 @@ def _sets(rows: DataFrame) -> DataFrame:
             near = np.arange(len(g)) - ends[:-1][doc] < p[doc]
             keys.append(key[order][near])
             lengths.append(p)
+            ends = np.concatenate([[0], np.cumsum(p)])
+            starts += [hashlib.blake2b(keys[-1][a:b].tobytes(), digest_size=16, salt=int(k).to_bytes(8, "little")).digest() for a, b, k in zip(ends[:-1], ends[1:], size, strict=True)]
         offsets = np.cumsum(np.concatenate(lengths)).astype(np.int32)
-        prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys).view(np.int64)))
-        return pa.RecordBatch.from_arrays([batch["id"], pa.array(n), pa.array(digests, pa.binary()), prefix], ["id", "n", "digest", "prefix"])
+        values = np.concatenate(keys).view(np.int64)
+        last = pa.array(values[np.maximum(offsets[1:] - 1, 0)] if len(values) else np.zeros(len(n), np.int64))
+        prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+        return pa.RecordBatch.from_arrays([batch["id"], pa.array(n), pa.array(digests, pa.binary()), pa.array(starts, pa.binary()), last, prefix], ["id", "n", "digest", "start", "last", "prefix"])
 
-    return arrow_pass(rows, each, f"id {rows.schema['id'].dataType.simpleString()}, n bigint, digest binary, prefix array<bigint>")
+    return arrow_pass(rows, each, f"id {rows.schema['id'].dataType.simpleString()}, n bigint, digest binary, start binary, last bigint, prefix array<bigint>")
 
 
 def _fits(a: str, b: str) -> F.Column:
@@ -238,19 +243,21 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """For each row of ``docs``: its id, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
     rows = picked(docs, id_col, text_col)
     sets = stored(_sets(rows))
-    worded = sets.where("n > 0").withColumn("start", F.xxhash64("n", "prefix"))
-    members = worded.groupBy("digest").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "start", "prefix")))
-    members = stored(members.where("id IS NOT NULL"))
-    groups = members.groupBy("start").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w"), *(F.first(c).alias(c) for c in ("n", "prefix")))
-    groups = stored(groups)
-    posts = groups.select("id", "n", "w", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last"), F.explode("prefix").alias("key"))
-    shared = posts.groupBy("key").agg(F.sum("w").alias("m"), F.min(F.struct("id", "n")).alias("head")).where("m > 1")
-    posts = stored(posts.join(shared, "key"))
-    star = posts.where("id <> head.id").where(_fits("n", "head.n")).select(F.col("head.id").alias("a"), F.col("id").alias("b"))
+    worded = sets.where("n > 0")
+    members = stored(worded.groupBy("digest").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "start", "last"))).where("id IS NOT NULL"))
+    groups = stored(members.groupBy("start").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w"), *(F.first(c).alias(c) for c in ("n", "last"))))
+    # one row for each key of a group's prefix: only what finds the shared ones is shuffled
+    posts = worded.select("id", "prefix").join(groups.select("id", "w"), "id").select("id", "w", F.explode("prefix").alias("key"))
+    of_key = Window.partitionBy("key")
+    posts = stored(posts.withColumns({"m": F.sum("w").over(of_key), "head": F.min("id").over(of_key)}).where("m > 1").drop("w"))
+    size = lambda c: groups.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"))
+    star = posts.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    star = star.join(size("a"), "a").join(size("b"), "b").where(_fits("n_a", "n_b")).select("a", "b")
     inner = members.select(F.col("id").alias("b"), "start").join(groups.where("w > 1").select(F.col("id").alias("a"), "start"), "start").where("a <> b")
-    links = stored(_links(star.distinct().unionByName(inner.select("a", "b")), rows))
+    links = stored(_links(star.unionByName(inner.select("a", "b")), rows))
     labels = components(links)
-    many = posts.where("m > 2").select("key", "id", "n", "p", "last", "m")
+    prefix = (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).alias("p")
+    many = posts.where("m > 2").join(groups.select("id", "n", "last", prefix), "id").select("key", "id", "n", "p", "last", "m")
     expand = groups.where("w > 1").select("id", "start").join(members.select("start", F.col("id").alias("own")), "start").select("id", "own")
     many = many.join(expand, "id", "left").withColumn("id", F.coalesce("own", "id")).drop("own")
     many = many.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
