@@ -42,6 +42,8 @@ PERCENT = 80
 SKETCH_BITS = 22
 #: Counters in one row of the table that the sketch is summed in.
 CHUNK = 1 << 12
+#: Ids of up to so many pairs are sent to the texts; beyond it they are joined with a shuffle.
+BROADCAST_PAIRS = 500_000
 #: Members of a bucket in one block.
 BLOCK = 1024
 
@@ -161,7 +163,12 @@ def _links(pairs: DataFrame, rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(linked)), batch["b"].filter(pa.array(linked))], ["a", "b"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    texts = lambda c: rows.where("id IS NOT NULL").select(F.col("id").alias(c), F.col("text").alias(f"t{c}"))
+    pairs = stored(pairs)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    if pairs.count() <= BROADCAST_PAIRS:  # then few texts are needed, and the others aren't shuffled
+        ids = F.broadcast(ids)
+    needed = rows.join(ids, "id", "left_semi")
+    texts = lambda c: needed.select(F.col("id").alias(c), F.col("text").alias(f"t{c}"))
     found = pairs.join(texts("a"), "a").join(texts("b"), "b").select("a", "b", "ta", "tb")
     return arrow_pass(found, each, f"a {kind}, b {kind}").distinct()
 
