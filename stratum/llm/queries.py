@@ -13,6 +13,7 @@ QUERIES = {
     "op6_benchmark_decontamination": fm_index.query,
     "op7_pii": pii.query,
     "op8_license_scans": license_scan.query,
+    "op8_license_texts": license_scan.query_texts,
     "op9_ngram_jaccard_join": ngram_join.query,
     "op10_toxicity": toxicity.query,
 }

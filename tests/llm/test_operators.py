@@ -346,6 +346,37 @@ def test_licenses(spark, edges, none):
     assert rows(license_scan.scan(none)) == [] and len(rows(license_scan.scan(edges))) == len(EDGES)
 
 
+def brute_windows(text):
+    words = re.findall("[a-z0-9]+", (text or "").lower())
+    g = [f"{a} {b}" for a, b in zip(words, words[1:])]
+    out = []
+    for k, (name, t) in enumerate(license_scan.TEMPLATES + license_scan.FULL):
+        h, wide, best = set(license_scan.template_bigrams(t)), license_scan.widest(t), 0
+        for i in range(len(g)):
+            hits, seen = 0, set()
+            for j in range(i, min(len(g), i + wide)):
+                if g[j] in h:
+                    hits += 1
+                    seen.add(g[j])
+                best = max(best, 2 * len(seen) / (j - i + 1 - hits + len(seen) + len(h)))
+        if best >= license_scan.THRESHOLD:
+            out.append((best, -k, name, 2 * len(h & set(g)) / (len(set(g)) + len(h))))
+    top = max(out, default=(None, 0, None, None))
+    return top[2], top[0], top[3], len(out)
+
+
+def test_license_texts(spark, edges, none):
+    mit = dict(reversed(license_scan.FULL))["MIT"]
+    wrapped = "".join(w + ("\n" if k % 9 == 8 else " ") for k, w in enumerate(mit.split()))
+    gpl = "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License version 2.\n"
+    texts = [None, "", "one", "Copyright 2020 A. B.\n\n" + wrapped, prose(3, 300) + "\n" + gpl + prose(4, 300), "This package is released under the MIT License.", "the software of the software " * 200, *(t + " " + prose(k, 20) for k, (_, t) in enumerate(license_scan.FULL)), prose(5, 400)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, license string")
+    got = {r["doc_id"]: (r["license"], r["dice"], r["whole_dice"], r["n_templates"]) for r in rows(license_scan.scan_texts(df))}
+    assert got == {i: brute_windows(t) for i, t in enumerate(texts)}
+    assert [got[i][0] for i in (3, 4, 5)] == ["MIT", "GPL-2.0-only", "MIT"] and [got[7 + k][0] for k in range(len(license_scan.FULL))] == [n for n, _ in license_scan.FULL]
+    assert rows(license_scan.scan_texts(none)) == [] and len(rows(license_scan.scan_texts(edges))) == len(EDGES)
+
+
 # 9
 
 
