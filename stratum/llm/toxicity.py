@@ -13,8 +13,9 @@ unseen forms.  The value of a text is the largest mean log-likelihood ratio of `
 words: normalised by length, and not thinned out by whatever else a long text holds.  A logistic
 curve, fitted on training rows that gave no counts, turns it into a score.
 
-Counts are gathered from all training rows.  Only the classifier's tables are bounded: words and
-stems with the most left neighbours, at most ``MODEL_ROWS`` of each.
+Counts are gathered from all training rows, and all words and stems play their part in scoring.  Of
+each, those with the most left neighbours, about ``MODEL_ROWS``, are sent to the texts; the rest, if
+there are any, stay in stored tables, with which the words of the texts are joined by a shuffle.
 
 Null and empty texts have value 0.  Rows with a null id are scored, and not held out.  Labels other
 than 0 and 1, and null ones, are not used; of several labels of one id the largest counts.  Without
@@ -24,10 +25,11 @@ labels of both classes all scores are 0.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,6 +104,9 @@ class Model:
     unseen: float
     slope: float = 0.0
     offset: float = -50.0
+    #: Stored tables (word or stem, value) of what the arrays don't hold; None if they hold all.
+    rest_words: DataFrame | None = None
+    rest_stems: DataFrame | None = None
 
     @staticmethod
     def _look_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, out: np.ndarray) -> np.ndarray:
@@ -110,8 +115,8 @@ class Model:
             out = np.where(keys[at] == asked, values[at], out)
         return out
 
-    def values(self, column: pa.Array) -> np.ndarray:
-        """The value of each text of a string column."""
+    def values(self, column: pa.Array, own: pa.Array | None = None) -> np.ndarray:
+        """The value of each text of a string column; own: for each text its (word, value) of the rest tables."""
         out = np.zeros(len(column))
         for t in W.slices(column, lower=True):
             w, stem = _split(t)
@@ -119,6 +124,13 @@ class Model:
                 continue
             ratio = self._look_up(self.stems, self.stem_values, stem.astype(np.uint32).view(np.int32), np.full(len(stem), self.unseen))
             ratio = self._look_up(self.words, self.word_values, w.hash.view(np.int64), ratio)
+            if own is not None:
+                mine = own.slice(t.first, len(t))
+                doc = np.repeat(np.arange(len(t)), np.asarray(pc.fill_null(pc.list_value_length(mine), 0)))
+                pairs = mine.flatten()
+                keys = W.salted(np.asarray(pairs.field("word")).view(W.U), doc)
+                order = np.argsort(keys)
+                ratio = self._look_up(keys[order], np.asarray(pairs.field("value"))[order], W.salted(w.hash, w.doc), ratio)
             total = np.concatenate([[0.0], np.cumsum(ratio)])
             first = np.flatnonzero(np.concatenate([[True], w.doc[1:] != w.doc[:-1]]))
             n = np.diff(np.concatenate([first, [len(w.doc)]]))
@@ -132,14 +144,55 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * values + self.offset, -50, 50)))
 
 
-def _table(rows: DataFrame, key: str, weight: str) -> tuple[np.ndarray, np.ndarray]:
-    """(key, value) of the rows of most weight, at most MODEL_ROWS."""
-    n = rows.count()
+def _table(rows: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray, DataFrame | None]:
+    """(key, value) of the rows of most weight, about MODEL_ROWS at most, and a stored table of the rest, if any."""
+    rows = stored(rows)
+    n, rest = rows.count(), None
     if n > MODEL_ROWS:
-        least = rows.selectExpr(f"percentile_approx({weight}, {1 - MODEL_ROWS / n}, 10000)").first()[0]
-        rows = rows.where(F.col(weight) > least)
+        least = F.lit(rows.selectExpr(f"percentile_approx(weight, {1 - MODEL_ROWS / n}, 10000)").first()[0])
+        rows, rest = rows.where(F.col("weight") > least), rows.where(F.col("weight") <= least).select(key, "value")
     found = rows.select(key, "value").toPandas().sort_values(key)
-    return found[key].to_numpy(), found["value"].to_numpy(float)
+    return found[key].to_numpy(), found["value"].to_numpy(float), rest
+
+
+def _rest(rows: DataFrame, model: Model, sent) -> DataFrame:
+    """``rows`` (with a text), and ``own``: the (word, value) of their words that only the rest tables hold."""
+    rows = rows.withColumn("digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for t in W.slices(batch["text"], lower=True):
+            w, stem = _split(t)
+            stem = stem.astype(np.uint32).view(np.int32)
+            one = np.unique(W.salted(w.hash, w.doc), return_index=True)[1]
+            one = one[~np.isin(w.hash[one].view(np.int64), sent.value.words)]
+            out.append((w.doc[one] + t.first, w.hash[one].view(np.int64), stem[one], np.isin(stem[one], sent.value.stems)))
+        doc, word, stem, known = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([batch["digest"].take(pa.array(doc)), pa.array(word), pa.array(stem, mask=known)], ["digest", "word", "stem"])
+
+    # a word in copies of a text, or a stem that the arrays hold, asks for nothing more
+    asked = arrow_pass(rows.select("digest", "text"), each, "digest string, word bigint, stem int").distinct()
+    value = F.lit(None).cast("double")
+    for table, key in ((model.rest_stems, "stem"), (model.rest_words, "word")):
+        if table is not None:
+            asked = asked.join(table.withColumnRenamed("value", f"{key}_value"), key, "left")
+            value = F.coalesce(F.col(f"{key}_value"), value)
+    found = asked.withColumn("value", value).where("value IS NOT NULL")
+    found = found.groupBy("digest").agg(F.collect_list(F.struct("word", "value")).alias("own"))
+    return rows.join(found, "digest", "left").drop("digest")
+
+
+def _valued(rows: DataFrame, model: Model, give, schema: str) -> DataFrame:
+    """``give(model, batch, values)`` for the batches of ``rows`` and the values of their texts."""
+    sent = rows.sparkSession.sparkContext.broadcast(replace(model, rest_words=None, rest_stems=None))
+    more = model.rest_words is not None or model.rest_stems is not None
+    if more:
+        rows = _rest(rows, model, sent)
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return give(sent.value, batch, sent.value.values(batch["text"], batch["own"] if more else None))
+
+    return arrow_pass(rows, each, schema)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -186,14 +239,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     part = lambda c, h, a, l: F.col(a) * (over(c) / (F.col(h) + d) + F.col(l) * ratio)  # noqa: E731, E741
     by_word = words.where((F.col("t") > d) | (F.col("o") > d)).join(stems, "stem")
     by_word = by_word.select("word", (F.col("t") + F.col("o")).alias("weight"), F.log(part("t", "ht", "at", "lt") / part("o", "ho", "ao", "lo")).alias("value"))
-    model = Model(*_table(by_word, "word", "weight"), *_table(by_stem, "stem", "weight"), float(np.log((1 - et / nt) / (1 - eo / no))))
+    (*of_words, rest_words), (*of_stems, rest_stems) = _table(by_word, "word"), _table(by_stem, "stem")
+    model = Model(*of_words, *of_stems, float(np.log((1 - et / nt) / (1 - eo / no))), rest_words=rest_words, rest_stems=rest_stems)
 
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    def give(_, batch: pa.RecordBatch, values: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.rint(values * 50).astype(np.int32)), batch["toxic"]], ["bin", "toxic"])
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.rint(sent.value.values(batch["text"]) * 50).astype(np.int32)), batch["toxic"]], ["bin", "toxic"])
-
-    bins = arrow_pass(rows.where("fold = 3").select("text", "toxic"), each, "bin int, toxic tinyint").groupBy("bin", "toxic").count().toPandas()
+    bins = _valued(rows.where("fold = 3").select("text", "toxic"), model, give, "bin int, toxic tinyint").groupBy("bin", "toxic").count().toPandas()
     if bins["toxic"].nunique() == 2:  # at most a few hundred bins
         model.slope, model.offset = _logistic(bins["bin"].to_numpy() / 50, bins["toxic"].to_numpy(float), bins["count"].to_numpy(float))
     return model
@@ -202,12 +254,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of ``docs``: its id and ``score``."""
     rows = picked(docs, id_col, text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch["id"], pa.array(sent.value.scores(sent.value.values(batch["text"])))], ["id", "score"])
+    def give(model: Model, batch: pa.RecordBatch, values: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch["id"], pa.array(model.scores(values))], ["id", "score"])
 
-    return arrow_pass(rows, each, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
+    return _valued(rows, model, give, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -455,6 +455,24 @@ def test_toxicity(spark, edges, none):
     assert toxicity.train(d, lab.where("toxic = 0")).slope == 0
 
 
+def test_toxicity_beyond_the_bound(spark, edges, monkeypatch):
+    """However few words and stems are sent to the texts, all scores stay the same."""
+    docs = [(k, prose(k, 40) + (" grumph" if k % 3 == 0 else ""), "x") for k in range(300)]
+    d = spark.createDataFrame([*docs, *docs[:40], (None, None, "x"), (None, "", "x")], "doc_id bigint, text string, own string")
+    lab = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(300)], "doc_id bigint, toxic int")
+
+    def told():
+        model = toxicity.train(d, lab)
+        return model, *(sorted((str(r["doc_id"]), round(r["score"], 9)) for r in rows(toxicity.score(x, model))) for x in (d, edges))
+
+    full, *want = told()
+    for bound in (0.5, 40):
+        monkeypatch.setattr(toxicity, "MODEL_ROWS", bound)
+        model, *got = told()
+        assert model.rest_words is not None and model.rest_stems is not None and len(model.words) < len(full.words)
+        assert (model.slope, model.offset) == pytest.approx((full.slope, full.offset)) and got == want
+
+
 def test_values_by_hand():
     m = toxicity.Model(np.array([], np.int64), np.array([]), np.array([], np.int32), np.array([]), 2.0)
     assert m.values(pa.array(["", None, "one", "one two", "one two three"])).tolist() == [0, 0, 1, 2, 2]
