@@ -44,8 +44,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 #: Digit groups with up to three separators between them, and spelt-out addresses.
 _REGION = re.compile(
-    r"(?<![0-9A-Za-z])(?:[+(]{0,2}[0-9]++(?:[ ().-]{1,3}[0-9]++)*+)(?![0-9A-Za-z])"
-    r"|(?<![\w.])[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,64}(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{1,64}){1,6}"
+    r"(?<![0-9A-Za-z])(?:[+(]{0,2}[0-9]++(?:[ ().-]{1,3}[0-9]++)*)(?![0-9A-Za-z])"
+    r"|(?<![\w.])[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,64}(?:(?: ?[\[(]dot[\])] ?|\.)[A-Za-z0-9-]{1,64}){1,6}"
     r"|(?<![\w.])[A-Za-z0-9._%+-]{1,64} at [A-Za-z0-9-]{1,64}(?: dot [A-Za-z0-9-]{1,64}){1,6}"
 )
 _PIECE = re.compile(r"[+(]{0,2}[0-9]+|[A-Za-z0-9._%+-]+")
@@ -137,7 +137,7 @@ def features(text: str, region: Region, i: int, j: int) -> list[str]:
     part = text[pieces[i][0] : pieces[j - 1][1]]
     if any(c.isalpha() for c in part):
         out = ["words", f"pieces={min(j - i, 9)}"]
-        if re.search(r"[\[(]at[\])]", part) and re.search(r"[\[(]dot[\])]", part):
+        if re.search(r"[\[(]at[\])] ?[A-Za-z0-9-]+(?: ?[\[(]dot[\])]|\.[A-Za-z0-9-])", part):
             out.append("spelt")
         elif re.fullmatch(r"\S+ at \S+(?: dot \S+)+", part):
             out.append("plain")
@@ -277,7 +277,7 @@ def _rewritten(text: str, kind: str, start: int, end: int) -> list[tuple[str, li
         digits = re.sub(r"[^0-9]", "", part)
         forms += [s.join(digits[k : k + 4] for k in range(0, len(digits), 4)) for s in (".", " - ")]
     elif kind == "email":
-        forms += [part.replace("@", a).replace(".", d) for a, d in ((" [at] ", " [dot] "), (" (at) ", " (dot) "))]
+        forms += [part.replace("@", a).replace(".", d) for a, d in ((" [at] ", " [dot] "), (" (at) ", " (dot) "), (" [at] ", "."), ("(at)", "."))]
     return [(text[:start] + f + text[end:], [(kind, start, start + len(f))]) for f in forms]
 
 
@@ -310,10 +310,10 @@ def find(text: str, model: SemiMarkov) -> tuple[list[tuple[str, int, int]], list
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
     added = []
-    if _DIGIT.search(text) or " dot " in text or "dot]" in text or "dot)" in text:
+    if _DIGIT.search(text) or " dot " in text or "dot]" in text or "dot)" in text or "at]" in text or "at)" in text:
         for m in _REGION.finditer(text):
             a, b = m.span()
-            if b - a < 7 or (not text[a:b].isdigit() or b - a < 13) and sum(c.isdigit() for c in text[a:b]) < 7 and "dot" not in text[a:b]:
+            if b - a < 7 or (not text[a:b].isdigit() or b - a < 13) and sum(c.isdigit() for c in text[a:b]) < 7 and not any(x in text[a:b] for x in ("dot", "at]", "at)")):
                 continue
             free, at = [], a
             for s, e in taken:  # base spans are fixed segments: what lies between them is decoded

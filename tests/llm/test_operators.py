@@ -323,6 +323,19 @@ def test_field(spark, edges, none):
     assert sorted((r["text"] or "", r["n_chars"]) for r in rows(masked)) == [("", 5), ("x <email>", 9)]
 
 
+def test_field_beside_other_words(none):
+    model = pii.train(none)
+    told = lambda t: [(k, t[a:b]) for k, a, b in pii.find(t, model)[1]]
+    assert told("call 212-555-0187 9am to 5pm") == [("phone", "212-555-0187")]
+    assert told("at (212) 555-0187 2nd floor") == [("phone", "(212) 555-0187")]
+    assert told("card 4012.8888.8888.1881 3x") == [("card", "4012.8888.8888.1881")]
+    assert told("write to jane [at] example.com soon") == [("email", "jane [at] example.com")]
+    assert told("write to jane(at)example.org soon") == [("email", "jane(at)example.org")]
+    assert told("we meet (at) noon. Then we go [at] once.") == [] and told("sold 12 345 678 901 234 5th time") == []
+    assert pii.masked("call 212-555-0187 9am, jane(at)example.org", model) == "call <phone> 9am, <email>"
+    assert pii.find("1 " * 2000 + "x", model)[0] == []
+
+
 # 8
 
 
