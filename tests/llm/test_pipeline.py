@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
-from test_operators import brute_components, brute_hits, brute_quality, prose
+from test_llm_operators import brute_components, brute_hits, brute_quality, prose
 
 
 @pytest.fixture(scope="module")
