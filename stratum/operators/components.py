@@ -9,29 +9,31 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.sources.shared import stored
+from stratum.sources.shared import dropped, stored, stored_at
 
 
 def label_edges(edges: DataFrame) -> DataFrame:
     """(id, label) for the ends of edges (a, b): the smallest id that can be reached.
 
     Every round hangs each node's neighbours under the smallest of them; paths at least halve, so the
-    rounds grow with the logarithm of the longest path. Each round is a written table, so that lost
-    executors cost one round at most.
+    rounds grow with the logarithm of the longest path. It ends when all edges are stars: no node hangs
+    under two others, and none under one that hangs itself. Each round is a written table, so that lost
+    executors cost one round at most; the round before it is deleted then.
     """
-    now = stored(edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())
-    seen = None
+    now, path = stored_at(edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())
     while True:
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi") % 1_000_003)).first()
-        if state == seen or not state[0]:
+        twice = now.groupBy("hi").count().where("count > 1").select(F.col("hi").alias("id"))
+        hung = now.select(F.col("lo").alias("id")).join(now.select(F.col("hi").alias("id")), "id", "left_semi")
+        if twice.unionByName(hung).isEmpty():
             return now.select(F.col("hi").alias("id"), F.col("lo").alias("label"))
-        seen = state
         ways = now.select(F.col("lo").alias("n"), F.col("hi").alias("m")).unionByName(now.select(F.col("hi").alias("n"), F.col("lo").alias("m")))
         root = ways.groupBy("n").agg(F.least(F.col("n"), F.min("m")).alias("root"))
         up = ways.join(root, "n").where("m > n").select(F.col("root").alias("lo"), F.col("m").alias("hi")).distinct()
         root = up.groupBy("hi").agg(F.min("lo").alias("root"))
         down = up.join(root, "hi").select(F.inline(F.array(F.struct(F.col("root").alias("lo"), F.col("lo").alias("hi")), F.struct(F.col("root").alias("lo"), F.col("hi")))))
-        now = stored(down.where("lo <> hi").distinct())
+        old = path
+        now, path = stored_at(down.where("lo <> hi").distinct())
+        dropped(now.sparkSession, old)
 
 
 def _label_tile(r: np.ndarray, c: np.ndarray, eight: bool) -> np.ndarray:

@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new path under ``spark.checkpoint.dir``; a session without one (tests) gets a local folder."""
+    """A new path under ``spark.checkpoint.dir``.
+
+    A local session without that setting (tests) gets a temporary folder; any other is refused, as its
+    executors would write to disks that the others don't see."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="stratum-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -19,6 +25,17 @@ def folder(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """The rows of ``df`` as a written table: later plans start from its files, whichever executors are lost."""
+    return stored_at(df)[0]
+
+
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """The same, and the table's path."""
     path = folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a table that no later plan reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
