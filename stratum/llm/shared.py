@@ -1,30 +1,16 @@
-"""Tables in the folder that all executors share, and passes over Arrow batches."""
+"""Passes over Arrow batches, and columns picked by exact name."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from stratum.sources.shared import dropped, folder, stored, stored_at
 
-def folder(spark: SparkSession) -> str:
-    """A new path in ``spark.checkpoint.dir``; a session without one (tests) gets a local folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="stratum-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` as a written table: later plans start from its files, whichever executors are lost."""
-    path = folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+__all__ = ["arrow_pass", "dropped", "folder", "numbered", "picked", "place", "runs", "stored", "stored_at"]
 
 #: Rows that are handled at a time, so that temporary arrays stay small.
 PIECE = 512
@@ -42,6 +28,40 @@ def arrow_pass(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
+def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[list[pa.RecordBatch]]:
+    """Neighbouring rows with equal ``keys`` (integers) as slices of the batches, run by run."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = np.stack([np.asarray(batch[k]) for k in keys], 1)
+        cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            now = tuple(at[a].tolist())
+            if held and now != last:
+                yield held
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield held
+
+
+def place(df: DataFrame, name: str) -> int:
+    """Where the column ``name`` stands: that of exactly this name, else the only one that differs in case."""
+    found = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} columns are named {name}")
+    return found[0]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ...: no name clashes, not even by case."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def picked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under fixed names: other columns, whatever their names, play no part."""
-    return df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
+    rows, id_, text = numbered(df), f"c{place(df, id_col)}", f"c{place(df, text_col)}"
+    return rows.select(rows[id_].alias("id"), rows[text].cast("string").alias("text"))

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from stratum.llm import bpe, fm_index, license_scan, ngram_join, pii, quality_rules, sharding, toxicity, url_filter, warc
 from stratum.llm import words as W
+from stratum.operators.components import label_edges
 
 LONG = "lorem ipsum dolor sit amet " * 40_000
 WORDS = "the of and a to in is was that it for as with his he be on by at have are this not but had from or which you one we all her she there would their".split()
@@ -434,12 +435,51 @@ def test_near_duplicates_edges(edges, none):
     assert len(got) == len(EDGES) and ("None", 76, "5") in got and ("None", 0, "None") in got and got.count(("6", 76, "5")) == 2 and ("2", 0, "2") in got
     assert rows(ngram_join.join(none)) == [] and rows(ngram_join.kept_rows(none)) == []
     kept = rows(ngram_join.kept_rows(edges))
-    assert sorted(str(r["doc_id"]) for r in kept) == sorted(["1", "2", "3", "4", "5", "7", "8", "9", "None", "None"])
+    assert sorted(str(r["doc_id"]) for r in kept) == sorted(["1", "2", "3", "4", "5", "7", "8", "9", "None"])
+
+
+def test_near_duplicates_of_one_id(spark):
+    """Different texts of one id are documents of their own; equal rows are copies, of which a fixed one stays."""
+    a, b = prose(1, 60), prose(2, 60)
+    table = [(3, a, "x"), (5, a, "x"), (5, b, "x"), (7, b + " end", "y"), (7, b + " end", "x"), (None, a, "n"), (None, prose(3, 60), "n"), (None, prose(3, 60), "m"), (8, prose(4, 60), "q"), (8, prose(4, 60), "p")]
+    df = spark.createDataFrame(table, "doc_id bigint, text string, TEXT string")
+    got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in rows(ngram_join.join(df)))
+    assert got == sorted([("3", "3"), ("5", "3"), ("5", "5"), ("7", "5"), ("7", "5"), ("None", "3"), ("None", "None"), ("None", "None"), ("8", "8"), ("8", "8")])
+    kept = [tuple(r) for r in ngram_join.kept_rows(df).collect()]
+    assert [(i, t) for i, t, _ in sorted(kept, key=str)] == sorted([(3, a), (5, b), (8, prose(4, 60)), (None, prose(3, 60))], key=str)
+    assert sorted(kept, key=str) == sorted((tuple(r) for r in ngram_join.kept_rows(df.repartition(3)).collect()), key=str)
+
+
+@pytest.mark.parametrize("unit", [40, 400])
+def test_near_duplicates_in_small_units(spark, monkeypatch, unit):
+    for name, value in (("UNIT", unit), ("RANGE", unit), ("UNIT_DOCS", 3), ("BLOCK", 2), ("PAIRS", 4), ("PARTNERS", 1), ("BROADCAST_TEXTS", 0)):
+        monkeypatch.setattr(ngram_join, name, value)
+    common = prose(77, 20)
+    docs = [(k, prose(k % 30, 40) + " " + (common if k % 2 else "") + prose(k, k % 9)) for k in range(120)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(ngram_join.join(df))} == brute_components(docs)
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(1)
+    n = np.array([5, 100, 100, 3000, 3100, 90])
+    sets = [rng.integers(0, 1 << 62, k).astype(np.uint64) for k in n]
+    sets[2][:88], sets[4][:2900], sets[5][:] = sets[1][:88], sets[3][:2900], sets[1][:90]
+    raw = []
+    for k, s in zip(n, sets, strict=True):
+        w = int(ngram_join._sketch_bits(np.array([k]))[0])
+        raw.append(np.packbits((np.bincount((s % np.uint64(w)).astype(np.int64), minlength=w) & 1).astype(np.uint8), bitorder="little").tobytes())
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(6), np.arange(6)))
+    near = ngram_join._near(pa.array(raw, pa.binary()), n, a, b)
+    for x, y, f in zip(a, b, near, strict=True):
+        common = len(np.intersect1d(sets[x], sets[y]))
+        assert f or 100 * common < 80 * (n[x] + n[y] - common)
+    assert not near[(a == 0) & (b == 1)][0] and near[(a == 3) & (b == 4)][0]
 
 
 def test_components_of_a_path(spark):
     path = spark.range(200).selectExpr("id AS a", "id + 1 AS b")
-    assert {r["label"] for r in rows(ngram_join.components(path))} == {0}
+    assert {r["label"] for r in rows(label_edges(path))} == {0}
 
 
 # 10
