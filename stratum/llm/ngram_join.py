@@ -13,7 +13,10 @@
    one, and the members of a group with its smallest: that is linear, and joins nearly all members of a
    large family of near copies.  The pairs are verified against the whole texts, and connected components
    of the links labelled.
-5. Groups in buckets with several labels are expanded, and pairs of members with different labels are
+5. In buckets with several labels, members that don't have the bucket's main label are paired with a few of
+   those that have it, and labels with each other in small random lots, in turns, as long as that links many:
+   families whose copies are only just similar come together in this way, again by a linear number of pairs.
+6. Groups in buckets with several labels are expanded, and pairs of members with different labels are
    filtered before any of them is emitted, then verified likewise.  Large buckets are dealt out as pairs of
    blocks of about ``BLOCK`` members, of which one at least isn't of the bucket's main label.
 
@@ -57,6 +60,11 @@ BROADCAST_TEXTS = 300_000
 #: Members of a bucket in one block, and partners that one copy of a text is compared with.
 BLOCK = 512
 PARTNERS = 32
+#: Turns of pairing what isn't linked yet with members of other labels, and how many of them; a turn that
+#: links less than one pair in ``WORTH`` is the last.  What they don't link, step 6 does.
+TURNS, TRIES, WORTH = 4, 8, 16
+#: Labels of a bucket in one lot.
+LOT = 8
 #: Pairs that are filtered at a time.
 PAIRS = 1 << 18
 
@@ -308,8 +316,8 @@ def _links(pairs: DataFrame, members: DataFrame, rows: DataFrame) -> DataFrame:
     asked = stored(ends.join(members.select("m", F.col("rep.id").alias("__id"), F.col("rep.fp").alias("__fp")), "m"))
     if asked.count() <= BROADCAST_TEXTS:  # then few texts are needed, and the others aren't shuffled
         asked = F.broadcast(asked)
-    found = rows.join(asked, (rows["fp"] == F.col("__fp")) & rows["id"].eqNullSafe(F.col("__id"))).select("a", "part", "m", "text")
-    found = found.repartition("a", "part").sortWithinPartitions("a", "part", "m")
+    found = rows.join(asked, (rows["fp"] == F.col("__fp")) & rows["id"].eqNullSafe(F.col("__id"))).select("a", "part", (F.col("m") != F.col("a")).alias("other"), "m", "text")
+    found = found.repartition("a", "part").sortWithinPartitions("a", "part", "other", "m")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, mine, last = None, np.zeros(0, W.U), -1
@@ -320,7 +328,7 @@ def _links(pairs: DataFrame, members: DataFrame, rows: DataFrame) -> DataFrame:
                 ends = np.searchsorted(doc, np.arange(len(t) + 1))
                 for k in range(len(t)):
                     at, own = t.first + k, g[ends[k] : ends[k + 1]]
-                    if (a[at], part[at]) != held:  # the smallest member comes first
+                    if (a[at], part[at]) != held:  # member a comes first
                         held, mine, last = (a[at], part[at]), own.copy(), m[at]
                     elif m[at] != last:
                         last = m[at]
@@ -348,7 +356,8 @@ def _star(pairs: DataFrame) -> DataFrame:
 def _rest(dealt: DataFrame) -> DataFrame:
     """Pairs (a, b) with different labels that may be similar, from buckets dealt as blocks x and y.
 
-    dealt: key, x, y, own (the row's block), m, n, pos (place of the key in the member's order), label, sketch."""
+    dealt: key, x, y, own (the row's block), m, n, pos (place of the key in the member's order), last (the key before it),
+    label, sketch.  Two members with the same key before this one have met in its bucket."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -372,6 +381,8 @@ def _rest(dealt: DataFrame) -> DataFrame:
         ahead = end - np.arange(len(key)) - 1
         total = np.cumsum(ahead)
         early = pos < _prefix_of_smaller(n)
+        last = t["last"].combine_chunks()
+        first, last = last.is_null().to_numpy(zero_copy_only=False), last.fill_null(0).to_numpy()
         at = 0
         while at < len(key):
             to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
@@ -379,6 +390,7 @@ def _rest(dealt: DataFrame) -> DataFrame:
             j = np.arange(len(i)) - np.repeat(np.cumsum(ahead[at:to]) - ahead[at:to], ahead[at:to]) + i + 1
             fine = (label[i] != label[j]) & ((x[i] == y[i]) | (own[i] != own[j])) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
             fine &= ((n[i] <= n[j]) & early[i]) | ((n[j] <= n[i]) & early[j])
+            fine &= first[i] | first[j] | (last[i] != last[j])
             i, j = i[fine], j[fine]
             if len(i):
                 near = _near(sketch, n, i, j)
@@ -390,6 +402,20 @@ def _rest(dealt: DataFrame) -> DataFrame:
     return dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(each, "a bigint, b bigint")
 
 
+def _tries(posts: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of members with different labels, a few for each b: a stands for the main label of one of its buckets,
+    or for the first one of a small random lot of the bucket's labels."""
+    draw = lambda *c: F.xxhash64(*c, F.lit(turn))
+    labels = stored(posts.groupBy("key", "label").agg(F.count(F.lit(1)).alias("count"), F.min_by("m", draw("m", "key")).alias("a")))
+    main = labels.groupBy("key").agg(F.max_by(F.struct(F.col("label").alias("main"), "a"), F.struct("count", "label")).alias("r"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    of_main = posts.select("key", "m", "label").join(main.select("key", "r.*"), "key").where("label <> main").select("key", "a", F.col("m").alias("b"))
+    lots = labels.join(main.where("labels > 2").select("key", "labels"), "key").withColumn("lot", F.pmod(draw("label", "key"), F.ceil(F.col("labels") / LOT)))
+    first = lots.groupBy("key", "lot").agg(F.min_by(F.struct(F.col("label").alias("main"), F.col("a").alias("head")), draw("label", "key")).alias("r"))
+    of_lot = lots.join(first.select("key", "lot", "r.*"), ["key", "lot"]).where("label <> main").select("key", F.col("head").alias("a"), F.col("a").alias("b"))
+    some = lambda rows: rows.groupBy("b").agg(F.array(*(F.min_by("a", F.xxhash64("key", F.lit(turn * TRIES + k))) for k in range(TRIES))).alias("a"))
+    return some(of_main).unionByName(some(of_lot)).select(F.explode("a").alias("a"), "b").distinct()
+
+
 def _dealt(posts: DataFrame) -> DataFrame:
     """The rows (key, label, ...) of buckets with several labels, dealt as pairs of blocks.
 
@@ -415,8 +441,8 @@ def _labelled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = stored(members.groupBy("start").agg(F.min("m").alias("g"), F.count(F.lit(1)).alias("w")))
     of_group = groups.where("w > 1").join(members.select("start", "m"), "start").select("g", "m")
     # one row for each shared key of a group's prefix
-    posts = members.where(F.size("prefix") > 0).select("start", "m", "n", F.posexplode("prefix").alias("pos", "key"), "before").join(groups, "start").where("m = g")
-    posts = posts.select("key", "g", "n", "w", (F.col("pos") + F.col("before")).alias("pos"))
+    posts = members.where(F.size("prefix") > 0).select("start", "m", "n", "prefix", F.posexplode("prefix").alias("pos", "key"), "before").join(groups, "start").where("m = g")
+    posts = posts.select("key", "g", "n", "w", (F.col("pos") + F.col("before")).alias("pos"), F.when(F.col("pos") > 0, F.element_at("prefix", F.col("pos"))).alias("last"))
     posts = stored(posts)
     shared = posts.groupBy("key").agg(F.sum("w").alias("many"), F.min("g").alias("head")).where("many > 1")
     posts = stored(posts.join(shared, "key"))
@@ -424,9 +450,19 @@ def _labelled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     told = lambda c: members.select(F.col("m").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     links = stored(_links(_star(star.join(told("a"), "a").join(told("b"), "b")), members, rows))
     labels = label_edges(links).withColumnRenamed("id", "m")
-    many = posts.where("many > 2").join(of_group.select("g", F.col("m").alias("own")), "g", "left").select("key", "n", "pos", F.coalesce("own", "g").alias("m"))
-    many = many.join(labels, "m", "left").withColumn("label", F.coalesce("label", "m"))
-    rest = _rest(_dealt(stored(many)).join(members.select("m", "sketch"), "m"))
+    many = posts.where("many > 2").join(of_group.select("g", F.col("m").alias("own")), "g", "left").select("key", "n", "pos", "last", F.coalesce("own", "g").alias("m"))
+    many = stored(many)
+    named = lambda: many.join(labels, "m", "left").withColumn("label", F.coalesce("label", "m"))
+    for turn in range(TURNS):
+        tried = stored(_star(_tries(named(), turn).join(told("a"), "a").join(told("b"), "b")))
+        found = stored(_links(tried, members, rows))
+        n_found = found.count()
+        if n_found:
+            links = stored(links.unionByName(found))
+            labels = label_edges(links).withColumnRenamed("id", "m")
+        if n_found * WORTH < tried.count():
+            break
+    rest = _rest(_dealt(named()).join(members.select("m", "sketch"), "m"))
     links = links.unionByName(_links(rest, members, rows))
     labels = label_edges(links).withColumnRenamed("id", "m")
     return sets, members.select("digest", "m").join(labels, "m", "left").select("digest", F.coalesce("label", "m").alias("label"))
