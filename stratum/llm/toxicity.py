@@ -1,264 +1,323 @@
-"""Toxicity by class-conditional Kneser-Ney models.
-
-Each class (toxic, ordinary) has a model of words.  As Kneser-Ney asks, a word counts as often as it
-has different left neighbours in the class, so a passage that is copied a thousand times counts once.
-Both levels, stem (a word's first four bytes) and word, are discounted by ``DISCOUNT``, and what is
-taken off goes to backoff counts that the classes share:
-
-    P_c(stem) = max(h_c - D, 0) / N_c + l_c P(stem)
-    P_c(word) = P_c(stem) (max(n_c - D, 0) / (h_c + D) + l_c(stem) P(word | stem))
-
-so expressions that are rare in both classes hardly speak for either, and a stem speaks for its
-unseen forms.  The value of a text is the largest mean log-likelihood ratio of ``SPAN`` neighbouring
-words: normalised by length, and not thinned out by whatever else a long text holds.  A logistic
-curve, fitted on training rows that gave no counts, turns it into a score.
-
-Counts are gathered from all training rows, and all words and stems play their part in scoring.  Of
-each, those with the most left neighbours, about ``MODEL_ROWS``, are sent to the texts; the rest, if
-there are any, stay in stored tables, with which the words of the texts are joined by a shuffle.
-
-Null and empty texts have value 0.  Rows with a null id are scored, and not held out.  Labels other
-than 0 and 1, and null ones, are not used; of several labels of one id the largest counts.  Without
-labels of both classes all scores are 0.
+"""Toxicity by class-conditional Kneser-Ney bigram models.
+
+Each class c (toxic, ordinary) has a model of words w after their left neighbour h; s is a word's stem, its first
+``STEM`` characters, so that a stem speaks for forms that are rare or were never seen:
+
+    P_c(w | h) = max(c_c(h, w) - D, 0) / c_c(h) + l_c(h) P_c(w)
+    P_c(w)     = max(n_c(w) - D', 0) / N_c + l_c P_c(s) P(w | s)
+    P_c(s)     = max(n_c(s) - D'', 0) / N_c + m_c P(s)
+    P(s)       = n(s) / (N + 1)
+    P(w | s)   = n(w) / (n(s) + 1)
+
+c counts bigrams; n counts, as Kneser-Ney asks, different bigrams (a word's left neighbours), so a passage that is
+copied a thousand times counts once there.  P, with the n of both classes, is what they share and what all that is
+taken off the counts goes to: expressions that are rare in both classes hardly speak for either.  The ones in the
+denominators are left for unknown words.  The discounts come from counts of counts, n1 / (n1 + 2 n2), for each class
+and level.
+
+What doesn't tell the classes apart is tied at all three levels (``LEVEL``, a limit of the log-likelihood ratio
+statistic): both classes give it the probability of the level below, times what their other probabilities leave, so
+all distributions still sum to 1.  What isn't tied decides how large the model is that is sent to the texts; if a
+level were above ``MODEL_ROWS`` rows, its limit rises until it isn't.  ``Model.limits`` and ``Model.tied`` tell the
+limits and how many bigrams, words and stems were tied.
+
+The value of a text is its log-likelihood ratio divided by its number of words.  A long text thins out what a few of
+its words say, so the largest mean ratio of ``SPAN`` neighbouring words is a second value.  A logistic curve of both,
+fitted on training rows that gave no counts, gives the score.
+
+Null and empty texts have values 0.  Rows with a null id are scored, and not held out.  Labels other than 0 and 1, and
+null ones, are not used; of several labels of one id the largest counts.  If the rows for the curve lack a class, the
+score is that of the values' sum and the prior odds of the counted rows; if these lack a class, the toxic share of
+all labelled rows (0 without any) is the score of every text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratum.llm import words as W
-from stratum.llm.shared import arrow_pass, picked, stored
+from stratum.llm.shared import arrow_pass, numbered, picked, place, stored
 
-DISCOUNT = 6.0
+#: Limit of the statistic (chi square with one degree of freedom, one in a million: it is asked of millions of counts).
+LEVEL = 24.0
+STEM = 4
+#: Rows of the model at most, of bigrams, words and stems each: 16 bytes a row.
+MODEL_ROWS = 1 << 21
 SPAN = 2
-MODEL_ROWS = 1 << 20
 THRESHOLD = 0.3
 #: Labelled ids are sent to the texts up to this number, and joined with a shuffle beyond it.
 BROADCAST_ROWS = 1_000_000
-_STEM = np.uint64(0xFFFFFFFF)
+#: Bigrams that a task gathers before it passes on their counts.
+HELD = 4_000_000
+#: Bins of the two values (least, largest, width): what the curve is fitted on is of bounded size.
+MEAN_BINS, SPAN_BINS = (-4.0, 4.0, 0.02), (-4.0, 12.0, 0.1)
+
+
+def fold(id_col: Column) -> Column:
+    """crc32 of the id as text, modulo 4."""
+    return F.crc32(id_col.cast("string").cast("binary")) % 4
 
 
-def _split(texts: W.Texts) -> tuple[W.Spans, np.ndarray]:
-    """Words of a slice and their stems."""
+def _read(texts: W.Texts) -> tuple[W.Spans, np.ndarray, np.ndarray]:
+    """Words of a slice, their stems, and their left neighbours: 32 bits of the hash, 0 at the start of a text."""
     w = W.words(texts, W.ALNUM_WORDS)
-    eight = np.ndarray((max(0, len(texts.data) - 7),), "<u8", texts.data, 0, (1,))
-    size = np.minimum(w.end - w.start, 4).astype(W.U)
-    return w, eight[w.start] & (_STEM >> (W.U(8) * (W.U(4) - size)))
+    begins = np.flatnonzero((texts.data & 0xC0) != 0x80)  # of characters
+    first = np.searchsorted(begins, w.start)
+    end = np.minimum(w.end, begins[np.minimum(first + STEM, len(begins) - 1)])
+    stem = W.hashes(texts.data, w.start, end) >> W.U(32)
+    left = np.concatenate([np.zeros(1, W.U), w.hash[:-1]])[: len(w.hash)] >> W.U(32)
+    if len(w.doc):
+        left[np.concatenate([[True], w.doc[1:] != w.doc[:-1]])] = 0
+    return w, stem, left
 
 
-def fold(id_col: F.Column) -> F.Column:
-    """crc32 of the id as text, modulo 4."""
-    return F.crc32(id_col.cast("string").cast("binary")) % 4
+def _int(h: np.ndarray) -> np.ndarray:
+    return h.astype(np.uint32).view(np.int32)
 
 
-def _pairs(train: DataFrame) -> DataFrame:
-    """Different (word, stem, left neighbour, class) of the training texts."""
+def _key(word: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """One number for a bigram."""
+    return W.mix(word ^ W.mix(left + W.U(1)))
+
+
+def bigrams(train: DataFrame) -> DataFrame:
+    """(word, stem, left, t, o) of the rows (toxic, text): how often toxic and ordinary texts have each bigram."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[np.ndarray] = []
+        parts: list[tuple[np.ndarray, ...]] = []
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = np.unique(np.concatenate(parts))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows["word"].view(np.int64)), pa.array(rows["stem"].view(np.int32)), pa.array(rows["left"].view(np.int32)), pa.array(rows["toxic"])],
-                ["word", "stem", "left", "toxic"],
-            )
+            word, stem, left, toxic = (np.concatenate(x) for x in zip(*parts, strict=True))
+            _, first, at = np.unique(_key(word, left), return_index=True, return_inverse=True)
+            t = np.bincount(at, weights=toxic, minlength=len(first)).astype(np.int64)
+            o = np.bincount(at, minlength=len(first)) - t
+            yield pa.RecordBatch.from_arrays([pa.array(word[first].view(np.int64)), pa.array(_int(stem[first])), pa.array(_int(left[first])), pa.array(t), pa.array(o)], ["word", "stem", "left", "t", "o"])
 
         for batch in batches:
             toxic = np.asarray(batch["toxic"]).astype(np.int8)
             for t in W.slices(batch["text"], lower=True):
-                w, stem = _split(t)
-                left = np.concatenate([np.zeros(1, W.U), w.hash[:-1]])
-                if len(w.doc):
-                    left[np.concatenate([[True], w.doc[1:] != w.doc[:-1]])] = 0
-                rows = np.empty(len(w.doc), [("word", "u8"), ("stem", "u4"), ("left", "u4"), ("toxic", "i1")])
-                rows["word"], rows["stem"], rows["left"], rows["toxic"] = w.hash, stem, left >> W.U(32), toxic[w.doc + t.first]
-                key = W.mix(w.hash ^ W.mix((left >> W.U(32)) * W.U(2) + rows["toxic"].astype(W.U)))
-                parts.append(rows[np.unique(key, return_index=True)[1]])
-                held += len(parts[-1])
-            if held > 2_000_000:
-                yield from flush()
-                parts, held = [], 0
-        if parts:
+                w, stem, left = _read(t)
+                parts.append((w.hash, stem, left, toxic[w.doc + t.first]))
+                held += len(w.hash)
+                if held > HELD:
+                    yield from flush()
+                    parts, held = [], 0
+        if held:
             yield from flush()
 
-    return train.mapInArrow(each, "word bigint, stem int, left int, toxic tinyint").distinct()
+    rows = train.mapInArrow(each, "word bigint, stem int, left int, t bigint, o bigint")
+    return rows.groupBy("word", "stem", "left").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
 @dataclass
 class Model:
-    """Log-likelihood ratios by word and by stem, in ascending order of the keys, and the logistic curve."""
+    """Log-likelihood ratios (keys ascending): of kept stems, kept words, contexts (what a context adds to a word's ratio), kept bigrams; the curve."""
 
-    words: np.ndarray
-    word_values: np.ndarray
     stems: np.ndarray
     stem_values: np.ndarray
-    unseen: float
-    slope: float = 0.0
+
+    words: np.ndarray
+    word_values: np.ndarray
+    lefts: np.ndarray
+    left_values: np.ndarray
+    pairs: np.ndarray
+    pair_values: np.ndarray
+    other: float
+    weights: tuple[float, float] = (0.0, 0.0)
     offset: float = -50.0
-    #: Stored tables (word or stem, value) of what the arrays don't hold; None if they hold all.
-    rest_words: DataFrame | None = None
-    rest_stems: DataFrame | None = None
+    limits: tuple[float, ...] = ()
+    tied: tuple[int, ...] = ()
 
     @staticmethod
-    def _look_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, out: np.ndarray) -> np.ndarray:
+    def _found(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, out: np.ndarray) -> np.ndarray:
         if len(keys):
             at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
             out = np.where(keys[at] == asked, values[at], out)
         return out
 
-    def values(self, column: pa.Array, own: pa.Array | None = None) -> np.ndarray:
-        """The value of each text of a string column; own: for each text its (word, value) of the rest tables."""
-        out = np.zeros(len(column))
+    def ratios(self, word: np.ndarray, stem: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """log P_t(w | h) - log P_o(w | h) of words after their neighbours."""
+        ratio = self._found(self.stems, self.stem_values, _int(stem), np.full(len(word), self.other))
+        ratio = self._found(self.words, self.word_values, word.view(np.int64), ratio)
+        ratio = ratio + self._found(self.lefts, self.left_values, _int(left), np.zeros(len(word)))
+        return self._found(self.pairs, self.pair_values, _key(word, left).view(np.int64), ratio)
+
+    def values(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Mean ratio of each text of a string column, and the largest mean of SPAN neighbouring words."""
+        mean, most = np.zeros(len(column)), np.zeros(len(column))
         for t in W.slices(column, lower=True):
-            w, stem = _split(t)
+            w, stem, left = _read(t)
             if not len(w.doc):
                 continue
-            ratio = self._look_up(self.stems, self.stem_values, stem.astype(np.uint32).view(np.int32), np.full(len(stem), self.unseen))
-            ratio = self._look_up(self.words, self.word_values, w.hash.view(np.int64), ratio)
-            if own is not None:
-                mine = own.slice(t.first, len(t))
-                doc = np.repeat(np.arange(len(t)), np.asarray(pc.fill_null(pc.list_value_length(mine), 0)))
-                pairs = mine.flatten()
-                keys = W.salted(np.asarray(pairs.field("word")).view(W.U), doc)
-                order = np.argsort(keys)
-                ratio = self._look_up(keys[order], np.asarray(pairs.field("value"))[order], W.salted(w.hash, w.doc), ratio)
+            ratio = self.ratios(w.hash, stem, left)
             total = np.concatenate([[0.0], np.cumsum(ratio)])
             first = np.flatnonzero(np.concatenate([[True], w.doc[1:] != w.doc[:-1]]))
             n = np.diff(np.concatenate([first, [len(w.doc)]]))
-            end = np.minimum(np.arange(len(w.doc)) + SPAN, np.repeat(first + n, n))
+            at = np.arange(len(w.doc))
+            end = np.minimum(at + SPAN, np.repeat(first + n, n))
             means = (total[end] - total[:-1]) / SPAN
-            means[(end - np.arange(len(w.doc)) < SPAN) & np.repeat(n >= SPAN, n)] = -np.inf  # whole spans, if there is one
-            out[t.first + w.doc[first]] = np.maximum.reduceat(means, first)
-        return out
+            means[(end - at < SPAN) & np.repeat(n >= SPAN, n)] = -np.inf  # whole spans, if there is one
+            most[t.first + w.doc[first]] = np.maximum.reduceat(means, first)
+            mean[t.first + w.doc[first]] = np.add.reduceat(ratio, first) / n
+        return mean, most
 
-    def scores(self, values: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * values + self.offset, -50, 50)))
+    def scores(self, mean: np.ndarray, most: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.weights[0] * mean + self.weights[1] * most + self.offset, -50, 50)))
 
 
-def _table(rows: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray, DataFrame | None]:
-    """(key, value) of the rows of most weight, about MODEL_ROWS at most, and a stored table of the rest, if any."""
-    rows = stored(rows)
-    n, rest = rows.count(), None
-    if n > MODEL_ROWS:
-        least = F.lit(rows.selectExpr(f"percentile_approx(weight, {1 - MODEL_ROWS / n}, 10000)").first()[0])
-        rows, rest = rows.where(F.col("weight") > least), rows.where(F.col("weight") <= least).select(key, "value")
-    found = rows.select(key, "value").toPandas().sort_values(key)
-    return found[key].to_numpy(), found["value"].to_numpy(float), rest
+def discount(n1: float, n2: float) -> float:
+    """The discount for so many rows of count 1 and 2; one half where there are none."""
+    return n1 / (n1 + 2 * n2) if n1 else 0.5
 
 
-def _rest(rows: DataFrame, model: Model, sent) -> DataFrame:
-    """``rows`` (with a text), and ``own``: the (word, value) of their words that only the rest tables hold."""
-    rows = rows.withColumn("digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+def _statistic(t: str, o: str, share: Column) -> Column:
+    """Log-likelihood ratio statistic of counts t and o against a toxic share."""
+    part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / ((F.col(t) + F.col(o)) * p))).otherwise(0.0)
+    return 2 * (part(t, share) + part(o, 1 - share))
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for t in W.slices(batch["text"], lower=True):
-            w, stem = _split(t)
-            stem = stem.astype(np.uint32).view(np.int32)
-            one = np.unique(W.salted(w.hash, w.doc), return_index=True)[1]
-            one = one[~np.isin(w.hash[one].view(np.int64), sent.value.words)]
-            out.append((w.doc[one] + t.first, w.hash[one].view(np.int64), stem[one], np.isin(stem[one], sent.value.stems)))
-        doc, word, stem, known = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([batch["digest"].take(pa.array(doc)), pa.array(word), pa.array(stem, mask=known)], ["digest", "word", "stem"])
-
-    # a word in copies of a text, or a stem that the arrays hold, asks for nothing more
-    asked = arrow_pass(rows.select("digest", "text"), each, "digest string, word bigint, stem int").distinct()
-    value = F.lit(None).cast("double")
-    for table, key in ((model.rest_stems, "stem"), (model.rest_words, "word")):
-        if table is not None:
-            asked = asked.join(table.withColumnRenamed("value", f"{key}_value"), key, "left")
-            value = F.coalesce(F.col(f"{key}_value"), value)
-    found = asked.withColumn("value", value).where("value IS NOT NULL")
-    found = found.groupBy("digest").agg(F.collect_list(F.struct("word", "value")).alias("own"))
-    return rows.join(found, "digest", "left").drop("digest")
-
-
-def _valued(rows: DataFrame, model: Model, give, schema: str) -> DataFrame:
-    """``give(model, batch, values)`` for the batches of ``rows`` and the values of their texts."""
-    sent = rows.sparkSession.sparkContext.broadcast(replace(model, rest_words=None, rest_stems=None))
-    more = model.rest_words is not None or model.rest_stems is not None
-    if more:
-        rows = _rest(rows, model, sent)
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return give(sent.value, batch, sent.value.values(batch["text"], batch["own"] if more else None))
+def _kept(rows: DataFrame) -> tuple[DataFrame, float]:
+    """The rows whose ``g`` is above the limit, MODEL_ROWS at most, and the limit."""
+    rows, limit = rows.where(F.col("g") > LEVEL), LEVEL
+    while (n := rows.count()) > MODEL_ROWS:
+        limit = max(rows.selectExpr(f"percentile_approx(g, {1 - MODEL_ROWS / n}, 10000)").first()[0], np.nextafter(limit, np.inf))
+        rows = rows.where(F.col("g") > limit)
+    return rows, limit
+
+
+def _table(rows: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
+    found = rows.select(key, "value").toPandas().sort_values(key)  # MODEL_ROWS at most
+    return found[key].to_numpy(), found["value"].to_numpy(float)
+
 
-    return arrow_pass(rows, each, schema)
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights of the columns of x and the offset of a logistic curve, by Newton's steps with a weak prior; no weight is negative."""
+    used = np.arange(x.shape[1])
+    while True:
+        mean = np.average(x[:, used], axis=0, weights=weight)
+        rows = np.column_stack([x[:, used] - mean, np.ones(len(x))])
+        prior = np.array([0.01] * len(used) + [0.001])
+        a = np.zeros(len(prior))
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(rows @ a, -30, 30)))
+            grad = rows.T @ (weight * (p - y)) + prior * a
+            step = np.linalg.solve((rows * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ rows + np.diag(prior), grad)
+            a = a - np.clip(step, -3, 3)
+            if np.abs(step).max() < 1e-8:
+                break
+        if not len(used) or a[:-1].min() >= 0:
+            out = np.zeros(x.shape[1] + 1)
+            out[used], out[-1] = a[:-1], a[-1] - a[:-1] @ mean
+            return out
+        used = used[a[:-1] > 0]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, by Newton's steps with a weak prior on the slope."""
-    a, mean = np.zeros(2), np.average(x, weights=weight)
-    rows = np.stack([x - mean, np.ones_like(x)], 1)
-    prior = np.array([0.01, 0.001])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(rows @ a, -30, 30)))
-        grad = rows.T @ (weight * (p - y)) + prior * a
-        step = np.linalg.solve((rows * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ rows + np.diag(prior), grad)
-        a = a - np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-8:
-            break
-    return max(0.0, float(a[0])), float(a[1] - a[0] * mean)
+def _binned(values: np.ndarray, bins: tuple[float, float, float]) -> np.ndarray:
+    return np.rint(np.clip(values, *bins[:2]) / bins[2]).astype(np.int32)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fits the models on labelled rows: counts from folds 0 and 1, the curve from fold 3, nothing from fold 2."""
-    marks = labels.select(labels[id_col].alias("id"), labels[label_col].alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)")
-    marks = marks.groupBy("id").agg(F.max("toxic").cast("tinyint").alias("toxic")).withColumn("fold", fold(F.col("id"))).where("fold <> 2")
-    marks = stored(marks)
+    marks, c = numbered(labels), lambda name: f"c{place(labels, name)}"
+    marks = marks.select(F.col(c(id_col)).alias("id"), F.col(c(label_col)).alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)")
+    marks = stored(marks.groupBy("id").agg(F.max("toxic").cast("tinyint").alias("toxic")).withColumn("fold", fold(F.col("id"))).where("fold <> 2"))
     if marks.count() <= BROADCAST_ROWS:
         marks = F.broadcast(marks)
     rows = picked(docs, id_col, text_col).join(marks, "id").select("fold", "toxic", "text")
 
-    pairs = _pairs(rows.where("fold < 2").select("toxic", "text"))
-    words = stored(pairs.groupBy("word", "stem").agg(F.sum((F.col("toxic") == 1).cast("double")).alias("t"), F.sum((F.col("toxic") == 0).cast("double")).alias("o")))
-    d = DISCOUNT
-    over = lambda c: F.greatest(F.col(c) - d, F.lit(0.0))
-    stems = words.groupBy("stem").agg(F.sum("t").alias("ht"), F.sum("o").alias("ho"), F.sum(over("t")).alias("et"), F.sum(over("o")).alias("eo"))
-    stems = stored(stems)
-    total = stems.agg(F.sum("ht"), F.sum("ho"), F.sum(over("ht")), F.sum(over("ho"))).first()
-    if not total[0] or not total[1]:
-        none = np.zeros(0, np.int64)
-        return Model(none, none.astype(float), none.astype(np.int32), none.astype(float), 0.0)
-    nt, no, et, eo = map(float, total)
-    shared = (F.col("ht") + F.col("ho")) / (nt + no)
-    of = lambda h, n, e: over(h) / n + (1 - e / n) * shared
-    rest = lambda h, e: 1 - F.col(e) / (F.col(h) + d)
-    stems = stems.withColumns({"at": of("ht", nt, et), "ao": of("ho", no, eo), "lt": rest("ht", "et"), "lo": rest("ho", "eo")})
-    by_stem = stems.select("stem", (F.col("ht") + F.col("ho")).alias("weight"), F.log(F.col("at") * F.col("lt") / (F.col("ao") * F.col("lo"))).alias("value"))
-    ratio = (F.col("t") + F.col("o")) / (F.col("ht") + F.col("ho"))
-    part = lambda c, h, a, l: F.col(a) * (over(c) / (F.col(h) + d) + F.col(l) * ratio)  # noqa: E731, E741
-    by_word = words.where((F.col("t") > d) | (F.col("o") > d)).join(stems, "stem")
-    by_word = by_word.select("word", (F.col("t") + F.col("o")).alias("weight"), F.log(part("t", "ht", "at", "lt") / part("o", "ho", "ao", "lo")).alias("value"))
-    (*of_words, rest_words), (*of_stems, rest_stems) = _table(by_word, "word"), _table(by_stem, "stem")
-    model = Model(*of_words, *of_stems, float(np.log((1 - et / nt) / (1 - eo / no))), rest_words=rest_words, rest_stems=rest_stems)
-
-    def give(_, batch: pa.RecordBatch, values: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.rint(values * 50).astype(np.int32)), batch["toxic"]], ["bin", "toxic"])
-
-    bins = _valued(rows.where("fold = 3").select("text", "toxic"), model, give, "bin int, toxic tinyint").groupBy("bin", "toxic").count().toPandas()
-    if bins["toxic"].nunique() == 2:  # at most a few hundred bins
-        model.slope, model.offset = _logistic(bins["bin"].to_numpy() / 50, bins["toxic"].to_numpy(float), bins["count"].to_numpy(float))
+    counts = stored(bigrams(rows.where("fold < 2").select("toxic", "text")))
+    is_ = lambda c, k: F.sum((F.col(c) == k).cast("long"))
+    top = counts.agg(F.sum("t"), F.sum("o"), is_("t", 1), is_("t", 2), is_("o", 1), is_("o", 2)).first()
+    empty = [x for kind in (np.int32, np.int64, np.int32, np.int64) for x in (np.zeros(0, kind), np.zeros(0))]
+    if not top[0] or not top[1]:
+        share = marks.agg(F.avg("toxic")).first()[0] or 0.0
+        return Model(*empty, 0.0, offset=float(np.clip(np.log(share / (1 - share)) if 0 < share < 1 else 50 * (2 * share - 1), -50, 50)))
+    dt, do = discount(*top[2:4]), discount(*top[4:6])
+
+    seen = lambda c: F.sum((F.col(c) > 0).cast("long")).alias(c)
+    all_words = stored(counts.groupBy("word", "stem").agg(seen("t"), seen("o")))
+    all_stems = stored(all_words.groupBy("stem").agg(F.sum("t").alias("t"), F.sum("o").alias("o")))
+    facts = lambda rows: rows.agg(F.sum("t"), F.sum("o"), seen("t"), seen("o"), is_("t", 1), is_("t", 2), is_("o", 1), is_("o", 2), F.count(F.lit(1))).first()
+    of_words, of_stems = facts(all_words), facts(all_stems)
+    nt, no = float(of_words[0]), float(of_words[1])
+    over = lambda c, d: F.greatest(F.col(c) - d, F.lit(0.0))
+
+    def smoothed(rows: DataFrame, fact, t: Column, o: Column) -> tuple[DataFrame, float, float]:
+        """pt and po of rows that aren't tied, whose probabilities at the level below are t and o; what the others' are multiplied by."""
+        dt, do = discount(*fact[4:6]), discount(*fact[6:8])
+        rows = rows.withColumns({"bt": t, "bo": o})
+        rows = stored(rows.withColumns({"pt": over("t", dt) / nt + dt * fact[2] / nt * F.col("bt"), "po": over("o", do) / no + do * fact[3] / no * F.col("bo")}))
+        pt, po, bt, bo = (x or 0.0 for x in rows.agg(*(F.sum(c) for c in ("pt", "po", "bt", "bo"))).first())
+        return rows, max(1e-9, 1 - pt) / max(1e-9, 1 - bt), max(1e-9, 1 - po) / max(1e-9, 1 - bo)
+
+    apart, stem_limit = _kept(all_stems.withColumn("g", _statistic("t", "o", F.lit(nt / (nt + no)))))
+    part = (F.col("t") + F.col("o")) / (nt + no + 1)
+    stems, mt, mo = smoothed(apart, of_stems, part, part)
+    stems = stems.select("stem", F.col("pt").alias("st"), F.col("po").alias("so"))
+    # a word or bigram is told apart from what its stem or word says already
+    said = lambda t, o, a, b: a * F.col(t) / (a * F.col(t) + b * F.col(o))
+    of_stem = all_stems.select("stem", (F.col("t") + F.col("o")).alias("n_stem"))
+
+    def below(rows: DataFrame) -> DataFrame:
+        """bt and bo, the probabilities at the stems' level, of words (word, stem, t, o)."""
+        rows = rows.join(of_stem, "stem").join(stems, "stem", "left")
+        in_stem, shared = (F.col("t") + F.col("o")) / (F.col("n_stem") + 1), F.col("n_stem") / (nt + no + 1)
+        return rows.select("word", "stem", "t", "o", (F.coalesce("st", mt * shared) * in_stem).alias("bt"), (F.coalesce("so", mo * shared) * in_stem).alias("bo"))
+
+    apart, word_limit = _kept(all_words.join(stems, "stem", "left").withColumn("g", _statistic("t", "o", F.coalesce(said("st", "so", nt, no), F.lit(nt / (nt + no))))))
+    words, lt, lo = smoothed(below(apart.select("word", "stem", "t", "o")), of_words, F.col("bt"), F.col("bo"))
+    words = words.select("word", "pt", "po")
+    share = F.coalesce(said("pt", "po", *map(float, top[:2])), said("st", "so", *map(float, top[:2])), F.lit(top[0] / (top[0] + top[1])))
+    apart, pair_limit = _kept(counts.join(words, "word", "left").join(stems, "stem", "left").withColumn("g", _statistic("t", "o", share)))
+    apart = stored(apart.select("word", "left", "t", "o"))
+    context = counts.join(apart.select("left").distinct(), "left", "left_semi").groupBy("left").agg(F.sum("t").alias("ht"), F.sum("o").alias("ho"), seen("t").alias("vt"), seen("o").alias("vo"))
+    back = below(all_words.join(apart.select("word").distinct(), "word", "left_semi")).join(words, "word", "left")
+    back = back.select("word", F.coalesce("pt", lt * F.col("bt")).alias("bt"), F.coalesce("po", lo * F.col("bo")).alias("bo"))
+    after = lambda c, d: F.when(F.col(f"h{c}") > 0, (over(c, d) + d * F.col(f"v{c}") * F.col(f"b{c}")) / F.col(f"h{c}")).otherwise(F.col(f"b{c}"))
+    pairs = stored(apart.join(context, "left").join(back, "word").select("word", "left", after("t", dt).alias("pt"), after("o", do).alias("po"), "bt", "bo"))
+    rest = lambda c: F.greatest(1 - F.sum(f"p{c}"), F.lit(1e-9)) / F.greatest(1 - F.sum(f"b{c}"), F.lit(1e-9))
+    lefts = pairs.groupBy("left").agg(F.log(rest("t") / rest("o")).alias("value"))
+    found = pairs.select("word", "left", F.log(F.col("pt") / F.col("po")).alias("value")).toPandas()  # MODEL_ROWS at most
+    key = _key(found["word"].to_numpy(np.int64).view(W.U), found["left"].to_numpy(np.int32).view(np.uint32).astype(W.U)).view(np.int64)
+    order = np.argsort(key)
+    (of_kept, kept_values), (of_tied, tied_values) = _table(words.select("word", F.log(F.col("pt") / F.col("po")).alias("value")), "word"), _table(stems.select("stem", (F.log(F.col("st") / F.col("so")) + float(np.log(lt / lo))).alias("value")), "stem")
+    model = Model(
+        of_tied, tied_values, of_kept, kept_values, *_table(lefts, "left"), key[order], found["value"].to_numpy(float)[order], float(np.log(lt * mt / (lo * mo))),
+        limits=(pair_limit, word_limit, stem_limit), tied=(counts.count() - len(key), of_words[8] - len(of_kept), of_stems[8] - len(of_tied)),
+    )
+
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        mean, most = sent.value.values(batch["text"])
+        return pa.RecordBatch.from_arrays([pa.array(_binned(mean, MEAN_BINS)), pa.array(_binned(most, SPAN_BINS)), batch["toxic"]], ["mean", "most", "toxic"])
+
+    bins = arrow_pass(rows.where("fold = 3").select("text", "toxic"), each, "mean int, most int, toxic tinyint").groupBy("mean", "most", "toxic").count().toPandas()
+    if bins["toxic"].nunique() == 2:
+        *weights, offset = _logistic(np.column_stack([bins["mean"] * MEAN_BINS[2], bins["most"] * SPAN_BINS[2]]), bins["toxic"].to_numpy(float), bins["count"].to_numpy(float)).tolist()
+        model.weights, model.offset = tuple(weights), offset
+    else:
+        toxic, all_ = marks.where("fold < 2").agg(F.sum("toxic"), F.count(F.lit(1))).first()
+        model.weights, model.offset = (1.0, 1.0), float(np.log((toxic + 0.5) / (all_ - toxic + 0.5)))
     return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of ``docs``: its id and ``score``."""
     rows = picked(docs, id_col, text_col)
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
-    def give(model: Model, batch: pa.RecordBatch, values: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch["id"], pa.array(model.scores(values))], ["id", "score"])
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch["id"], pa.array(sent.value.scores(*sent.value.values(batch["text"])))], ["id", "score"])
 
-    return _valued(rows, model, give, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
+    return arrow_pass(rows, each, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -504,28 +504,105 @@ def test_toxicity(spark, edges, none):
     e = rows(toxicity.score(edges, model))
     assert len(e) == len(EDGES) and all(0 <= r["score"] <= 1 for r in e) and rows(toxicity.score(none, model)) == []
     nothing = toxicity.train(none, lab)
-    assert {r["score"] < 0.3 for r in rows(toxicity.score(edges, nothing))} == {True}
-    assert toxicity.train(d, lab.where("toxic = 0")).slope == 0
-
-
-def test_toxicity_beyond_the_bound(spark, edges, monkeypatch):
-    """However few words and stems are sent to the texts, all scores stay the same."""
-    docs = [(k, prose(k, 40) + (" grumph" if k % 3 == 0 else ""), "x") for k in range(300)]
-    d = spark.createDataFrame([*docs, *docs[:40], (None, None, "x"), (None, "", "x")], "doc_id bigint, text string, own string")
-    lab = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(300)], "doc_id bigint, toxic int")
-
-    def told():
-        model = toxicity.train(d, lab)
-        return model, *(sorted((str(r["doc_id"]), round(r["score"], 9)) for r in rows(toxicity.score(x, model))) for x in (d, edges))
-
-    full, *want = told()
-    for bound in (0.5, 40):
-        monkeypatch.setattr(toxicity, "MODEL_ROWS", bound)
-        model, *got = told()
-        assert model.rest_words is not None and model.rest_stems is not None and len(model.words) < len(full.words)
-        assert (model.slope, model.offset) == pytest.approx((full.slope, full.offset)) and got == want
+    share = np.mean([y for i, _, y in labels if zlib.crc32(str(i).encode()) % 4 != 2])
+    assert {round(r["score"], 9) for r in rows(toxicity.score(edges, nothing))} == {round(share, 9)}
+    assert {r["score"] for r in rows(toxicity.score(edges, toxicity.train(d, lab.limit(0))))} == {pytest.approx(0, abs=1e-9)}
+    assert toxicity.train(d, lab.where("toxic = 0")).weights == (0.0, 0.0)
+
+
+def brute_model(rows_, level):
+    """(ratio of word after left, sums of both classes after each left) by plain counting of (words, class)."""
+    c, n, h = {}, {}, {}
+    for words, k in rows_:
+        for left, w in zip(["", *words], words):
+            c.setdefault((left, w), [0, 0])[k] += 1
+    for (_, w), x in c.items():
+        for k in (0, 1):
+            n.setdefault(w, [0, 0])[k] += x[k] > 0
+    for w, x in n.items():
+        for k in (0, 1):
+            h.setdefault(w[:4], [0, 0])[k] += x[k]
+    total = [sum(x[k] for x in n.values()) for k in (0, 1)]
+    every = sum(total) + 1
+    cut = lambda table, k: (lambda a, b: a / (a + 2 * b) if a else 0.5)(*(sum(x[k] == m for x in table.values()) for m in (1, 2)))
+    stat = lambda x, p: 2 * sum(m * np.log(m / (sum(x) * q)) for m, q in zip(x, (1 - p, p)) if m)
+
+    def lower(table, apart, below, totals=total):
+        """Probabilities of both classes for what is apart, and the factors for the others."""
+        out, factor = {}, []
+        for k in (0, 1):
+            d, kinds = cut(table, k), sum(x[k] > 0 for x in table.values())
+            for w in apart:
+                out.setdefault(w, []).append(max(table[w][k] - d, 0) / totals[k] + d * kinds / totals[k] * below(w)[k])
+            factor.append((1 - sum(out[w][k] for w in apart)) / (1 - sum(below(w)[k] for w in apart)))
+        return out, factor
+
+    stems, m = lower(h, [s for s, x in h.items() if stat(x, total[1] / sum(total)) > level], lambda s: [sum(h[s]) / every] * 2)
+    of_stem = lambda s: stems.get(s) or [f * (sum(h[s]) / every) for f in m]
+    in_stem = lambda w: [p * sum(n[w]) / (sum(h[w[:4]]) + 1) for p in of_stem(w[:4])]
+    share = lambda p, size: size[1] * p[1] / (size[0] * p[0] + size[1] * p[1]) if p else size[1] / sum(size)
+    words, f = lower(n, [w for w, x in n.items() if stat(x, share(stems.get(w[:4]), total)) > level], in_stem)
+    of_word = lambda w: words.get(w) or [a * b for a, b in zip(f, in_stem(w))]
+    size = [sum(x[k] for x in c.values()) for k in (0, 1)]
+    apart = {b for b, x in c.items() if stat(x, share(words.get(b[1]) or stems.get(b[1][:4]), size)) > level}
+    d = [cut(c, k) for k in (0, 1)]
+
+    def after(left):
+        own = {w: x for (a, w), x in c.items() if a == left}
+        out = {}
+        for k in (0, 1):
+            all_, kinds = sum(x[k] for x in own.values()), sum(x[k] > 0 for x in own.values())
+            mine = {w: (max(own[w][k] - d[k], 0) + d[k] * kinds * of_word(w)[k]) / all_ if all_ else of_word(w)[k] for w in own if (left, w) in apart}
+            rest = (1 - sum(mine.values())) / (1 - sum(of_word(w)[k] for w in mine))
+            for w in n:
+                out.setdefault(w, []).append(mine.get(w, rest * of_word(w)[k]))
+        return out
+
+    unknown = [1 - sum(of_word(w)[k] for w in n) for k in (0, 1)]
+    return n, after, unknown, of_word, (len(stems), len(words), len(apart))
+
+
+def test_kneser_ney_by_plain_counting(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEVEL", 2.0)
+    rnd = random.Random(8)
+    vocabulary = ["the", "quiet", "quietly", "réeuxment", "réeuxvi", "naïve", "日本語文字", "日本語文", "you", "total", "total1", "x"]
+    docs, labels = [], []
+    for k in range(160):
+        bad = int(k % 4 == 0)
+        docs.append((k, " ".join(rnd.choices(vocabulary, [6, 1, 1, 1 + 4 * bad, 2 * bad, 1, 1, 1, 2, 2, 1, 1], k=20)) + " you total x" * bad))
+        labels.append((k, bad))
+    d, lab = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = toxicity.train(d, lab)
+    counted = [(t.lower().split(), y) for (i, t), (_, y) in zip(docs, labels) if zlib.crc32(str(i).encode()) % 4 < 2]
+    n, after, unknown, of_word, sizes = brute_model(counted, 2.0)
+    assert sizes == (len(model.stems), len(model.words), len(model.pairs)) and min(sizes) >= 1
+    checked = 0
+    for left in ["", *n]:
+        told = after(left)
+        for k in (0, 1):  # what contexts leave to unknown words is what all leave to them, rescaled
+            assert 0 < sum(p[k] for p in told.values()) < 1
+        for w, p in told.items():
+            if left:
+                s = next(W.slices(pa.array([f"{left} {w}"])))
+                read, stem, before = toxicity._read(s)
+                assert model.ratios(read.hash[1:], stem[1:], before[1:])[0] == pytest.approx(np.log(p[1] / p[0]), abs=1e-9), (left, w)
+                checked += 1
+    assert checked > 100 and all(0 < u < 1 for u in unknown)
+
+
+def test_curve_without_a_class(spark):
+    docs = [(k, prose(k, 20) + (" grumph grumph" if k % 2 else "")) for k in range(200)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    fold = lambda k: zlib.crc32(str(k).encode()) % 4
+    lab = spark.createDataFrame([(k, k % 2) for k in range(200) if fold(k) < 2 or k % 2 == 0], "doc_id bigint, toxic int")
+    got = {r["doc_id"]: r["score"] for r in rows(toxicity.score(d, toxicity.train(d, lab)))}
+    assert np.mean([got[k] for k in range(1, 200, 2)]) > np.mean([got[k] for k in range(0, 200, 2)]) + 0.1
+    only = {r["score"] for r in rows(toxicity.score(d, toxicity.train(d, lab.where("toxic = 1"))))}
+    assert len(only) == 1 and only.pop() > 0.99
 
 
 def test_values_by_hand():
-    m = toxicity.Model(np.array([], np.int64), np.array([]), np.array([], np.int32), np.array([]), 2.0)
-    assert m.values(pa.array(["", None, "one", "one two", "one two three"])).tolist() == [0, 0, 1, 2, 2]
+    none = [x for kind in (np.int32, np.int64, np.int32, np.int64) for x in (np.zeros(0, kind), np.zeros(0))]
+    m = toxicity.Model(*none, 2.0)
+    mean, most = m.values(pa.array(["", None, "one", "one two", "one two three"]))
+    assert mean.tolist() == [0, 0, 2, 2, 2] and most.tolist() == [0, 0, 1, 2, 2]
