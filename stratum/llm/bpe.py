@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from stratum.llm.shared import arrow_pass, picked
+from stratum.llm.shared import arrow_pass, chosen, numbered, picked, place
 
 SHORT = 64
 REMEMBER = 400_000
@@ -162,7 +162,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """For each row of ``tokens``: its id and ``text``, what its ids decode to; null ids count as none."""
-    rows = tokens.select(tokens[id_col].alias("id"), tokens[ids_col].alias("ids"))
+    rows = chosen(tokens, id=id_col, ids=ids_col)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(path)
@@ -173,9 +173,11 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Encodes and decodes each text in one pass: the id, ``n_tokens``, ``ids_sha256`` of the ids in decimal, joined by
-    commas, and ``decoded_sha256``.  With ``carry`` the columns of ``docs`` come first, as they are."""
-    rows = docs if carry else picked(docs, id_col, text_col)
-    text = text_col if carry else "text"
+    commas, and ``decoded_sha256``.  With ``carry`` the columns of ``docs`` come first, as they are, but for those that
+    have one of these names in any case: they are replaced."""
+    names = ("n_tokens", "ids_sha256", "decoded_sha256")
+    rows = numbered(docs) if carry else picked(docs, id_col, text_col)
+    text = f"c{place(docs, text_col)}" if carry else "text"
     new = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -191,10 +193,9 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         return pa.RecordBatch.from_arrays([*kept.columns, *columns], [*kept.schema.names, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     if carry:
-        schema = docs.schema
-        for c in ("n_tokens", "ids_sha256", "decoded_sha256"):
-            schema = T.StructType([*schema, T.StructField(c, T.LongType() if c == "n_tokens" else T.StringType())])
-        return arrow_pass(docs.select(*(docs[c] for c in docs.columns)), each, schema)
+        schema = T.StructType([*rows.schema, *(T.StructField(c, T.LongType() if c == "n_tokens" else T.StringType()) for c in names)])
+        kept = [i for i, c in enumerate(docs.columns) if c.lower() not in names]
+        return arrow_pass(rows, each, schema).select(*(f"c{i}" for i in kept), *names).toDF(*(docs.columns[i] for i in kept), *names)
     kind = rows.schema["id"].dataType.simpleString()
     return arrow_pass(rows, each, f"id {kind}, {new}").withColumnRenamed("id", id_col)
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratum.llm import words as W
-from stratum.llm.shared import picked
+from stratum.llm.shared import numbered, picked, place
 
 WINDOW = 13
 SHARD_WORDS = 1 << 19
@@ -209,10 +209,11 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: bool = False) -> DataFrame:
     """For each row of ``docs``: its id, ``n_words``, ``spans`` (merged, of words, ends exclusive) and ``items`` (ids as strings, sorted).
 
-    With ``carry`` all columns of ``docs`` come along in a struct ``row``.
+    With ``carry`` all columns of ``docs`` come along in a struct ``row``, under the names c0, c1, ...
     """
     spark = docs.sparkSession
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), *([F.struct(*(docs[c] for c in docs.columns)).alias("row")] if carry else []))
+    rows, id_, text = numbered(docs), F.col(f"c{place(docs, id_col)}"), F.col(f"c{place(docs, text_col)}")
+    rows = rows.select(id_.alias("id"), text.cast("string").alias("text"), *([F.struct(*rows.columns).alias("row")] if carry else []))
     rows = rows.select("*", F.lit(0).cast("bigint").alias("n_words"), F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) if not carry else rows.schema
     for block in _blocks(benchmark, item_col, item_text_col):
@@ -285,7 +286,7 @@ def contaminated(n_hit: F.Column, n_words: F.Column) -> F.Column:
 def kept_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated, all columns as they are."""
     found = scan(docs, benchmark, id_col, text_col, carry=True)
-    return found.where(~contaminated(_hits(F.col("spans")), F.col("n_words"))).select("row.*")
+    return found.where(~contaminated(_hits(F.col("spans")), F.col("n_words"))).select("row.*").toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

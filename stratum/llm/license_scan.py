@@ -25,6 +25,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratum.llm.shared import picked
+
 THRESHOLD = 0.8
 #: Usual short notices (fixed values), by SPDX identifier.
 TEMPLATES = (
@@ -119,7 +121,7 @@ def matches(text: Column, templates=TEMPLATES, threshold: float = THRESHOLD) ->
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """For each row of ``docs``: its id, ``license`` and ``dice`` of the best line, and ``n_matches``, the lines like a template."""
-    rows = docs.select(docs[id_col].alias("id"), matches(docs[text_col].cast("string"), templates, threshold).alias("found"))
+    rows = picked(docs, id_col, text_col).select("id", matches(F.col("text"), templates, threshold).alias("found"))
     rows = rows.select("id", F.array_max("found").alias("best"), F.size("found").cast("bigint").alias("n_matches"))
     return rows.select(F.col("id").alias(id_col), F.col("best.license").alias("license"), F.col("best.dice").alias("dice"), "n_matches")
 
@@ -195,7 +197,7 @@ def windows(text: Column, templates=TEMPLATES + FULL, threshold: float = THRESHO
 
 def scan_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES + FULL, threshold: float = THRESHOLD) -> DataFrame:
     """For each row of ``docs``: its id, ``license`` and ``dice`` of the best window, ``whole_dice`` of the whole text with the same template, and ``n_templates`` that some window is like."""
-    rows = docs.select(docs[id_col].alias("id"), windows(docs[text_col].cast("string"), templates, threshold).alias("found"))
+    rows = picked(docs, id_col, text_col).select("id", windows(F.col("text"), templates, threshold).alias("found"))
     rows = rows.select("id", F.array_max("found").alias("best"), F.coalesce(F.size("found"), F.lit(0)).cast("bigint").alias("n_templates"))
     return rows.select(F.col("id").alias(id_col), F.col("best.license").alias("license"), F.col("best.dice").alias("dice"), F.col("best.whole").alias("whole_dice"), F.greatest("n_templates", F.lit(0)).cast("bigint").alias("n_templates"))
 

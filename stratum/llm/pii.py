@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.shared import arrow_pass, picked
+from stratum.llm.shared import arrow_pass, numbered, picked, place
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 8
@@ -109,7 +109,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             at = m.end()
         a = text.find("@", max(a + 1, at))
     if _DIGIT.search(text):
-        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(q := p.lstrip("0")) <= 3 and int(q or 0) <= 255 for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             if 16 <= m.end() - m.start() <= 37 and 16 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(d):
                 out.append(("card", *m.span()))
@@ -363,18 +363,19 @@ def masked(text: str, model: SemiMarkov) -> str:
 def masked_rows(docs: DataFrame, model: SemiMarkov, text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
     """The rows of ``docs`` with masked texts (null stays null); a column of the text's length, if there is one, follows."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    rows, k = numbered(docs), place(docs, text_col)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        k = batch.schema.get_field_index(text_col)
-        new = [None if t is None else masked(t, sent.value) for t in batch[text_col].to_pylist()]
+        new = [None if t is None else masked(t, sent.value) for t in batch.column(k).to_pylist()]
         columns = list(batch.columns)
         columns[k] = pa.array(new, batch.schema.field(k).type)
         return pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    out = arrow_pass(docs, each, docs.schema)
+    out = arrow_pass(rows, each, rows.schema)
     if size_col and size_col in docs.columns:
-        out = out.withColumn(size_col, F.when(F.col(text_col).isNull(), F.col(size_col)).otherwise(F.length(text_col).cast(docs.schema[size_col].dataType)))
-    return out
+        size = f"c{place(docs, size_col)}"
+        out = out.withColumn(size, F.when(F.col(f"c{k}").isNull(), F.col(size)).otherwise(F.length(f"c{k}").cast(rows.schema[size].dataType)))
+    return out.toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

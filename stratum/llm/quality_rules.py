@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratum.llm import words as W
-from stratum.llm.shared import arrow_pass, picked
+from stratum.llm.shared import arrow_pass, numbered, picked, place
 
 #: Bit of each rule. A rule is a test of the measures: true where a text fails.
 RULES = {
@@ -111,10 +111,12 @@ def ablation(rows: DataFrame, version: int = POLICY) -> DataFrame:
 def kept_rows(docs: DataFrame, text_col: str = "text", version: int = POLICY) -> DataFrame:
     """The rows of ``docs`` that pass a policy, all columns as they are."""
 
+    rows, text = numbered(docs), place(docs, text_col)
+
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array((failures(measure(batch[text_col])) & POLICIES[version]) == 0))
+        return batch.filter(pa.array((failures(measure(batch.column(text))) & POLICIES[version]) == 0))
 
-    return arrow_pass(docs, each, docs.schema)
+    return arrow_pass(rows, each, rows.schema).toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ QUERIES = {
     "op10_toxicity": toxicity.query,
 }
 SQL = {
+    "op2_warc_zstd": warc.SQL,
     "op1_sharding": sharding.sql(),
     "op4_url_filters": url_filter.SQL,
     "op5_quality_rules": quality_rules.SQL,

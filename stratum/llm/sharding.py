@@ -16,6 +16,9 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratum.llm.shared import chosen, numbered
+from stratum.llm.shared import place as place_of
+
 #: Slots: a prime, over a hundred for each of the shards, so that shares differ by less than 1 %.
 SLOTS = 6553
 SHARDS = tuple(f"shard-{i:02d}" for i in range(64))
@@ -51,7 +54,7 @@ def slot(key: Column, slots: int = SLOTS) -> Column:
 def place(rows: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> DataFrame:
     """(key, slot, shard) for each row."""
     table = rows.sparkSession.createDataFrame(list(enumerate(shards[k] for k in lookup_table(shards, slots))), "slot int, shard string")
-    found = rows.select(rows[key].alias("key"), slot(rows[key], slots).alias("slot"))
+    found = chosen(rows, key=key).withColumn("slot", slot(F.col("key"), slots))
     # ``slots`` rows, whatever the input
     return found.join(F.broadcast(table), "slot").select(F.col("key").alias(key), "slot", "shard")
 
@@ -60,9 +63,10 @@ def write(rows: DataFrame, key: str, path: str, files: int = 4, shards: tuple[st
     """Writes the rows as Parquet, a folder for each shard, at most ``files`` files in each; a row of which the key
     is very common is dealt out over its shard's files by its other columns."""
     table = rows.sparkSession.createDataFrame(list(enumerate(shards[k] for k in lookup_table(shards, slots))), "slot__ int, shard__ string")
-    placed = rows.withColumn("slot__", slot(rows[key], slots)).join(F.broadcast(table), "slot__").drop("slot__")
-    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(files))
-    placed.repartition(len(shards) * files, "shard__", salt).write.partitionBy("shard__").parquet(path)
+    placed = numbered(rows)
+    salt = F.pmod(F.xxhash64(*(F.to_json(F.struct(c)) for c in placed.columns)), F.lit(files))
+    placed = placed.withColumn("slot__", slot(F.col(f"c{place_of(rows, key)}"), slots)).join(F.broadcast(table), "slot__").drop("slot__")
+    placed.repartition(len(shards) * files, "shard__", salt).toDF(*rows.columns, "shard__").write.partitionBy("shard__").parquet(path)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from stratum.sources.shared import dropped, folder, stored, stored_at
 
-__all__ = ["arrow_pass", "dropped", "folder", "numbered", "picked", "place", "runs", "stored", "stored_at"]
+__all__ = ["arrow_pass", "chosen", "dropped", "folder", "numbered", "picked", "place", "runs", "stored", "stored_at"]
 
 #: Rows that are handled at a time, so that temporary arrays stay small.
 PIECE = 512
@@ -61,7 +62,12 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
 
 
+def chosen(df: DataFrame, **names: str) -> DataFrame:
+    """Only the named columns, under new names: other columns, whatever their names, play no part."""
+    rows = numbered(df)
+    return rows.select(*(rows[f"c{place(df, name)}"].alias(alias) for alias, name in names.items()))
+
+
 def picked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the id and the text, under fixed names: other columns, whatever their names, play no part."""
-    rows, id_, text = numbered(df), f"c{place(df, id_col)}", f"c{place(df, text_col)}"
-    return rows.select(rows[id_].alias("id"), rows[text].cast("string").alias("text"))
+    """The id and the text alone."""
+    return chosen(df, id=id_col, text=text_col).withColumn("text", F.col("text").cast("string"))

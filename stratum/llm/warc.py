@@ -1,10 +1,9 @@
 """WARC archives of Zstandard frames with a shared dictionary.
 
-An archive is one skippable frame that holds the dictionary, then one frame for each record.  Archives
-are rows (``path``, ``content``) as Spark's ``binaryFile`` source gives them, so archives in a folder
-and archives in a table are read alike.  They are written as a table by Spark's own committer, which
-leaves no half-written file when an executor is lost; ``export`` puts them as ``.warc.zst`` files into
-a folder that all executors mount.
+An archive is one skippable frame that holds the dictionary, then one frame for each record.  Tasks write
+archives as ``.warc.zst`` files into a folder that all executors share, by any file system that ``pyarrow.fs``
+knows, under a name of partition and number: a file appears whole or not at all, and a task that runs again
+writes the same files again.  They are read by Spark's ``binaryFile`` source.
 
 Records with equal payloads: that of the largest page id is the response, the others revisit it
 (rows that share that largest id are all responses).  Null html is an empty payload.  A null page id
@@ -16,17 +15,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import struct
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm.shared import stored
+from stratum.llm.shared import chosen, folder, stored
 
 #: Magic number of the frame with the dictionary, and the range of all skippable frames (fixed values of the format).
 DICTIONARY_FRAME = 0x184D2A5D
@@ -38,6 +38,8 @@ ARCHIVE_BYTES = 16 << 20
 SAMPLE_BYTES = 1 << 20
 DICTIONARY_BYTES = 16 << 10
 LEVEL = 3
+#: Digests of repeated payloads (fixed-size rows) up to this number are sent to the pages.
+BROADCAST_DIGESTS = 500_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -157,21 +159,37 @@ def parse(raw: bytes) -> dict:
     return out
 
 
-def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Archives (path, content) with a record for each row of ``pages``, as a table in the shared folder."""
-    html = F.coalesce(pages[html_col].cast("string").cast("binary"), F.lit(b""))
-    rows = pages.select(pages[id_col].cast("bigint").alias("id"), pages[url_col].cast("string").alias("url"), html.alias("html"))
-    rows = rows.withColumn("key", F.sha1("html"))
+def _put(path: str, name: str, content: bytes) -> None:
+    fs, base = pafs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
+    fs.create_dir(base, recursive=True)
+    part = f"{base}/.{name}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(part) as f:
+        f.write(content)
+    fs.move(part, f"{base}/{name}")
+
+
+def write(pages: DataFrame, into: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> int:
+    """Writes archives with a record for each row of ``pages`` into a shared folder; how many archives.
+
+    Only digests are shuffled, to learn which payloads repeat.  Up to ``BROADCAST_DIGESTS`` of these are sent to the pages;
+    beyond that pages are joined with them by a shuffle, and sorted so that archives are the same if a task runs again."""
+    rows = chosen(pages, id=id_col, url=url_col, html=html_col)
+    rows = rows.select(F.col("id").cast("bigint"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"")).alias("html"))
+    rows = rows.withColumn("key", F.unhex(F.sha1("html")))
     largest = rows.where(F.length("html") >= min_bytes).groupBy("key").agg(F.max("id").alias("largest"), F.count(F.lit(1)).alias("m")).where("m > 1 AND largest IS NOT NULL")
-    rows = rows.join(largest.select("key", "largest"), "key", "left")
+    largest = stored(largest.select("key", "largest"))
+    few = largest.count() <= BROADCAST_DIGESTS
+    rows = rows.join(F.broadcast(largest) if few else largest, "key", "left")
     rows = rows.select("id", "url", "html", "largest", (F.col("largest").isNotNull() & ~F.col("id").eqNullSafe(F.col("largest"))).alias("revisit"))
+    if not few:
+        rows = rows.sortWithinPartitions("id", "url", F.sha1("html"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
-        size = 0
+        size = n = 0
 
-        def close() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f"{uuid.uuid4().hex}.warc.zst"]), pa.array([archive(held)], pa.binary())], ["path", "content"])
+        def close() -> None:
+            _put(into, f"{TaskContext.get().partitionId():06d}-{n:06d}.warc.zst", archive(held))
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -179,35 +197,19 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
                 held.append(record(page, url, html, largest if revisit else None, revisit))
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
-                    yield close()
-                    held, size = [], 0
+                    close()
+                    held, size, n = [], 0, n + 1
         if held:
-            yield close()
-
-    return stored(rows.mapInArrow(each, "path string, content binary"))
-
-
-def export(archives: DataFrame, folder: str) -> DataFrame:
-    """Writes each archive as a file into a folder that all executors mount; (path, bytes) of the files. A file appears whole or not at all."""
+            close()
+            n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(folder, exist_ok=True)
-        for batch in batches:
-            paths = []
-            for path, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
-                paths.append(os.path.join(folder, os.path.basename(path)))
-                part = f"{paths[-1]}.{uuid.uuid4().hex}"
-                with open(part, "wb") as f:
-                    f.write(content.as_buffer())
-                os.replace(part, paths[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array([os.path.getsize(p) for p in paths], pa.int64())], ["path", "bytes"])
-
-    return archives.select("path", "content").mapInArrow(each, "path string, bytes bigint")
+    return rows.mapInArrow(each, "n bigint").agg(F.sum("n")).first()[0] or 0
 
 
-def archives_in(spark: SparkSession, folder: str) -> DataFrame:
-    """The archives of a folder."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "content")
+def archives_in(spark: SparkSession, path: str) -> DataFrame:
+    """The archives (path, content) of a folder."""
+    return spark.read.schema("path string, modificationTime timestamp, length bigint, content binary").format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("path", "content")
 
 
 SCHEMA = "path string, offset bigint, record_type string, record_id string, url string, refers_to string, payload_digest string, payload_bytes bigint, payload binary, error string"
@@ -242,9 +244,20 @@ def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = read(write(spark.read.parquet(f"{sf_dir}/pages.parquet")), payloads=False)
+    archives = folder(spark)
+    n = write(spark.read.parquet(f"{sf_dir}/pages.parquet"), archives)
+    found = read(archives_in(spark, archives) if n else spark.createDataFrame([], "path string, content binary"), payloads=False)
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(.*)>$', 1) AS BIGINT)")
     return found.select(
         number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.when(F.col("record_type") == "revisit", number("refers_to")).alias("refers_to"), F.col("error").isNull().alias("valid"),
     )
+
+
+SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT page_id, strlen(t) AS payload_bytes, sha1(t) AS hex, count(*) OVER (PARTITION BY sha1(t)) AS m, max(page_id) OVER (PARTITION BY sha1(t)) AS largest FROM p),
+r AS (SELECT *, m > 1 AND largest IS NOT NULL AND page_id IS DISTINCT FROM largest AS revisit FROM d)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, i * 5 // 4 + 1, 2))::INT >> (3 - (i * 5) % 4)) & 31), 1)), '') AS payload_digest,
+  CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN revisit THEN largest END AS refers_to, true AS valid FROM r
+"""

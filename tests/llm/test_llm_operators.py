@@ -67,6 +67,27 @@ def test_hashes_tell_ranges_apart():
     assert h[0] == h[1] == h[2] != h[3] and h[4] == h[5]
 
 
+@pytest.mark.parametrize("name", ["place", "write", "digests", "encode", "judge", "ledger", "quality", "contamination", "benchmark", "scan", "masked", "licenses", "license_texts", "join", "kept", "toxicity"])
+def test_columns_that_differ_in_case(spark, items, name, vocabulary, tmp_path):
+    """A column whose name differs from that of a used one in case only plays no part and stays as it is."""
+    df = spark.createDataFrame([(1, "a b c " + prose(1, 60), "X", 7), (2, None, "Y", 8)], "doc_id bigint, text string, TEXT string, N_tokens bigint")
+    pages = df.toDF("page_id", "url", "URL", "PAGE_ID")
+    one = lambda: pii.SemiMarkov()
+    got = {
+        "place": lambda: sharding.place(df, "text"), "write": lambda: [warc.write(pages.toDF("page_id", "html", "HTML", "url"), f"file://{tmp_path}/w"), warc.read(warc.archives_in(spark, f"file://{tmp_path}/w"))][1], "digests": lambda: bpe.digests(df, vocabulary, carry=True), "encode": lambda: bpe.encode(df, vocabulary),
+        "judge": lambda: url_filter.judge(pages), "ledger": lambda: quality_rules.ledger(df), "quality": lambda: quality_rules.kept_rows(df), "contamination": lambda: fm_index.kept_rows(df, items),
+        "benchmark": lambda: fm_index.scan(df, items.toDF("item_id", "text", "TEXT")), "scan": lambda: pii.scan(df, one()), "masked": lambda: pii.masked_rows(df, one()), "licenses": lambda: license_scan.scan(df),
+        "license_texts": lambda: license_scan.scan_texts(df), "join": lambda: ngram_join.join(df), "kept": lambda: ngram_join.kept_rows(df),
+        "toxicity": lambda: toxicity.score(df, toxicity.train(df, df.selectExpr("doc_id", "1 AS toxic", "0 AS TOXIC"))),
+    }[name]()
+    rows_ = got.collect()
+    assert len(rows_) == (1 if name == "quality" else 2)
+    if name in ("quality", "contamination", "masked", "kept"):
+        assert got.columns == df.columns and {r[2] for r in rows_} <= {"X", "Y"}
+    if name == "digests":
+        assert got.columns == ["doc_id", "text", "TEXT", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
 # 1
 
 
@@ -102,10 +123,12 @@ def test_placing(spark, edges, none, tmp_path):
 # 2
 
 
-def test_archives(spark, tmp_path):
+def test_archives(spark, tmp_path, monkeypatch):
     pages = [(1, "http://a", "same", 1), (2, "http://b\r\nX: y", "same", 1), (2, "http://b", "same", 1), (3, None, None, 1), (4, "", "", 1), (None, "u", "same", 1), (5, "u", "\r\n\r\nWARC/1.1 日本" * 9, None), (6, "u", LONG, 1)]
     df = spark.createDataFrame(pages, "page_id bigint, url string, html string, id bigint")
-    archives = warc.write(df)
+    at = lambda name: f"file://{tmp_path}/{name}"
+    assert warc.write(df, at("a")) == len(list((tmp_path / "a").glob("*.warc.zst"))) > 0
+    archives = warc.archives_in(spark, at("a"))
     back = rows(warc.read(archives))
     assert all(r["error"] is None for r in back) and len(back) == len(pages)
     kinds = sorted((r["record_id"], r["record_type"], r["refers_to"] or "") for r in back)
@@ -114,10 +137,16 @@ def test_archives(spark, tmp_path):
     for r in back:
         if r["record_id"] == u(6):
             assert bytes(r["payload"]) == LONG.encode() and r["payload_digest"] == base64.b32encode(hashlib.sha1(LONG.encode()).digest()).decode()
-    warc.export(archives, str(tmp_path)).collect()
-    assert sorted(map(str, rows(warc.read(warc.archives_in(spark, f"file://{tmp_path}")).drop("path")))) == sorted(map(str, rows(warc.read(archives).drop("path"))))
-    assert rows(warc.read(warc.write(df.limit(0)))) == []
-    assert {r["record_type"] for r in rows(warc.read(warc.write(df, min_bytes=5)))} == {"response"}
+    told = lambda name: sorted(str(r) for r in rows(warc.read(warc.archives_in(spark, at(name))).drop("path", "offset")))
+    first = told("a")
+    warc.write(df, at("a"))  # as if all tasks ran again
+    assert told("a") == first
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 300)
+    assert warc.write(df, at("b")) > 2 and told("b") == first
+    assert warc.write(df.limit(0), at("c")) == 0
+    warc.write(df, at("d"), min_bytes=5)
+    assert {r["record_type"] for r in rows(warc.read(warc.archives_in(spark, at("d"))))} == {"response"}
 
 
 def test_broken_archives(spark):
@@ -182,16 +211,20 @@ def test_bpe_edges(edges, none, vocabulary):
 # 4
 
 
-def test_cascade_is_exact(spark):
+def test_cascade_is_exact(spark, monkeypatch):
     keys = spark.range(20_000).selectExpr("cast(id AS string) AS key", "id % 7 = 0 AS listed")
-    cascade = url_filter.build(keys)
-    assert len(cascade.levels) > 2
-    got = rows(url_filter.listed(keys, "key", cascade, keys, "member"))
-    assert all(r["member"] == r["listed"] for r in got)
-    assert all(r["member"] == r["listed"] for r in rows(url_filter.listed(keys.limit(500), "key", None, keys, "member")))
-    for k in (True, False):
-        only = keys.where(f"listed = {k}")
-        assert all(r["member"] == r["listed"] for r in rows(url_filter.listed(only, "key", url_filter.build(only), only, "member")))
+    for part, sent in ((1 << 20, 1 << 20), (3000, 1 << 20), (3000, 0)):
+        monkeypatch.setattr(url_filter, "PART_KEYS", part)
+        monkeypatch.setattr(url_filter, "SENT_BYTES", sent)
+        cascades = url_filter.build(keys)
+        assert cascades.parts == -(-20_000 // part) and cascades.bytes
+        got = rows(url_filter.listed(keys, "key", cascades, "member"))
+        assert len(got) == 20_000 and all(r["member"] == r["listed"] for r in got)
+        for k in (True, False):
+            only = keys.where(f"listed = {k}")
+            assert all(r["member"] == r["listed"] for r in rows(url_filter.listed(only, "key", url_filter.build(only), "member")))
+    twice = spark.createDataFrame([(None, True), ("", False), ("a", False), ("b", None), ("c", True)], "key string, listed boolean")
+    assert {r["key"]: r["member"] for r in rows(url_filter.listed(twice, "key", url_filter.build(twice), "member"))} == {None: True, "": True, "a": False, "b": False, "c": True}
 
 
 def test_urls(spark):
@@ -296,7 +329,7 @@ def test_fm_index():
 
 def brute_base(t):
     b = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
-    b += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    b += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(len(x.lstrip("0")) < 4 and int(x[-3:]) <= 255 for x in m[0].split("."))]
     b += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(re.sub("[^0-9]", "", m[0])) <= 19 and pii.luhn(re.sub("[^0-9]", "", m[0]))]
     return b + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
 
@@ -307,6 +340,7 @@ def test_base_spans():
     for _ in range(4000):
         text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12)))
         assert pii.base_spans(text) == brute_base(text), text
+    assert pii.base_spans("0" * 5000 + "1.1.1.1") == [("ip", 0, 5007)] and pii.base_spans("1" * 5000 + ".1.1.1") == []
     assert pii.base_spans("a" * 300_000 + "1" * 300_000 + "." * 300_000) == []
 
 
@@ -506,7 +540,7 @@ def test_toxicity(spark, edges, none):
     nothing = toxicity.train(none, lab)
     share = np.mean([y for i, _, y in labels if zlib.crc32(str(i).encode()) % 4 != 2])
     assert {round(r["score"], 9) for r in rows(toxicity.score(edges, nothing))} == {round(share, 9)}
-    assert {r["score"] for r in rows(toxicity.score(edges, toxicity.train(d, lab.limit(0))))} == {pytest.approx(0, abs=1e-9)}
+    assert max(r["score"] for r in rows(toxicity.score(edges, toxicity.train(d, lab.limit(0))))) < 1e-9
     assert toxicity.train(d, lab.where("toxic = 0")).weights == (0.0, 0.0)
 
 
