@@ -70,11 +70,10 @@ def candidate_priority_rank(spark, d):
     return C.priority_rank(V.candidates(spark, d)).select("candidate_id", "priority_rank")
 
 
-@query(f"""SELECT unnest(['total_candidates', 'sources', 'scale_levels', 'systems', 'high', 'medium', 'low', 'unknown', 'score_avg', 'score_max', 'area_sum', 'area_max']) AS metric,
- round(unnest([count(*)::DOUBLE, count(DISTINCT source_label), count(DISTINCT scale_level), count(DISTINCT native_crs), count(*) FILTER ({BAND} = 'Yuksek'), count(*) FILTER ({BAND} = 'Orta'), count(*) FILTER ({BAND} = 'Dusuk'),
- count(*) FILTER ({BAND} = 'Bilinmiyor'), avg(score_mean), max(score_mean), sum(area_m2), max(area_m2)]), 3) AS amount FROM candidates""", "candidates")
+@query()
 def candidate_summary_metrics(spark, d):
-    return C.summary_metrics(V.candidates(spark, d)).withColumn("amount", F.round("amount", 3))
+    rows = V.candidates(spark, d)
+    return C.summary_metrics(rows, _clusters(rows).select("cluster").distinct(), SMALL_CLUSTER).withColumn("amount", F.round("amount", 3))
 
 
 @query("""SELECT source_label, scale_level, candidate_id, round(score_mean, 6) AS score_mean FROM candidates QUALIFY row_number() OVER (PARTITION BY source_label, scale_level ORDER BY coalesce(score_mean, -1) DESC, candidate_id) = 1""", "candidates")
@@ -104,7 +103,7 @@ def confidence_tiers(spark, d):
 
 
 @query("""SELECT CASE WHEN conf < 0.5 THEN '0.0-0.5' WHEN conf < 0.75 THEN '0.5-0.75' WHEN conf < 0.85 THEN '0.75-0.85' WHEN conf < 0.95 THEN '0.85-0.95' ELSE '0.95-1.0' END AS bucket, count(*) AS n,
- round(quantile_cont(conf, 0.5), 6) AS median, round(quantile_cont(conf, 0.9), 6) AS p90 FROM boxes GROUP BY ALL""", "boxes")
+ (SELECT round(quantile_cont(conf, 0.5), 6) FROM boxes) AS median, (SELECT round(quantile_cont(conf, 0.9), 6) FROM boxes) AS p90 FROM boxes GROUP BY ALL""", "boxes")
 def confidence_histogram(spark, d):
     return rounded(E.confidence_histogram(V.boxes(spark, d), "conf"), "median", "p90")
 
@@ -178,7 +177,7 @@ def _placed_boxes(spark, d) -> DataFrame:
     b = V.boxes(spark, d)
     dx, dy = F.col("tile_id") % 50 * 40, (F.col("tile_id") / 50).cast("bigint") * 25
     moved = b.withColumns({"x1": F.col("x1") + dx, "x2": F.col("x2") + dx, "y1": F.col("y1") + dy, "y2": F.col("y2") + dy})
-    return moved.withColumn("ord", F.col("tile_id") * 10 + F.col("ord"))
+    return moved.withColumn("ord", F.col("tile_id") * 1000 + F.col("ord"))
 
 
 @query()
@@ -195,18 +194,25 @@ def nms_cross_tile(spark, d):
 SMALL_CLUSTER = 3.0
 
 
+def _clusters(rows: DataFrame) -> DataFrame:
+    labels = G.label_edges(C.distance_pairs(rows, SMALL_CLUSTER))
+    return rows.join(labels, rows["candidate_id"] == labels["id"], "left").select("candidate_id", F.coalesce("label", "candidate_id").alias("cluster"))
+
+
 @query(f"""p AS MATERIALIZED (SELECT a.candidate_id AS a, b.candidate_id AS b FROM candidates a JOIN candidates b ON a.native_crs = b.native_crs AND a.candidate_id < b.candidate_id
   AND abs(a.x - b.x) <= {SMALL_CLUSTER} AND abs(a.y - b.y) <= {SMALL_CLUSTER} AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= {SMALL_CLUSTER**2}),
 e AS MATERIALIZED (SELECT a, b FROM p UNION SELECT b, a FROM p),
 r(id, at) AS (SELECT candidate_id, candidate_id FROM candidates UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.at)
 SELECT id AS candidate_id, min(at) AS cluster FROM r GROUP BY id""")
 def distance_clusters(spark, d):
-    rows = V.candidates(spark, d)
-    labels = G.label_edges(C.distance_pairs(rows, SMALL_CLUSTER))
-    return rows.join(labels, rows["candidate_id"] == labels["id"], "left").select("candidate_id", F.coalesce("label", "candidate_id").alias("cluster"))
+    return _clusters(V.candidates(spark, d))
 
 
 SQL["distance_clusters"] = "WITH RECURSIVE candidates AS MATERIALIZED (" + V.SQL["candidates"] + "),\n" + SQL["distance_clusters"].replace("r(id, at)", "r(id, z)").replace("r.at", "r.z").replace("min(at)", "min(z)")
+SQL["candidate_summary_metrics"] = SQL["distance_clusters"].replace("SELECT id AS candidate_id, min(z) AS cluster FROM r GROUP BY id", f""", k AS (SELECT count(DISTINCT cluster) AS n FROM (SELECT min(z) AS cluster FROM r GROUP BY id))
+SELECT unnest(['toplam_aday_sayisi', 'fallback_aday_sayisi', 'toplam_kume_sayisi', 'benzersiz_kaynak_sayisi', 'benzersiz_scale_sayisi', 'yuksek_oncelik_aday_sayisi', 'orta_oncelik_aday_sayisi', 'dusuk_oncelik_aday_sayisi', 'score_mean_avg', 'score_mean_max', 'area_m2_sum', 'cluster_distance_m']) AS metric,
+ round(unnest([count(*)::DOUBLE, count(*) FILTER (candidate_type = 'fallback_top_score'), (SELECT n FROM k), count(DISTINCT source_label), count(DISTINCT scale_factor), count(*) FILTER ({BAND} = 'Yuksek'), count(*) FILTER ({BAND} = 'Orta'), count(*) FILTER ({BAND} = 'Dusuk'),
+ avg(score_mean), max(score_mean), sum(area_m2), {SMALL_CLUSTER}]), 3) AS amount FROM candidates""")
 
 
 @query("""SELECT cluster, count(*) AS members, arg_max(candidate_id, (coalesce(score_mean, -1), coalesce(area_m2, -1), -candidate_id)) AS best_id, round(avg(x), 6) AS x_mean, round(avg(y), 6) AS y_mean,
@@ -479,9 +485,9 @@ def slope_degrees(spark, d):
     return R.slope(V.mosaic(spark, d)).select("row", "col", r6("slope").alias("slope"))
 
 
-@query(_after_views(GRADIENT + " SELECT row, col, round(greatest((sin(radians(45)) - cos(radians(45)) * sin(radians(315)) * gx + cos(radians(45)) * cos(radians(315)) * gy) / sqrt(1 + gx * gx + gy * gy), 0) * 255, 5) AS shade FROM g", "mosaic"))
+@query(_after_views(GRADIENT + " SELECT row, col, round((light + 1) * 127.5, 5) AS shade, round_even((light + 1) * 127.5, 0)::INT AS shade8 FROM (SELECT row, col, sin(radians(45)) * sin(steep) + cos(radians(45)) * cos(steep) * cos(radians(315) - atan2(-gx, gy)) AS light FROM (SELECT *, pi() / 2 - atan(sqrt(gx * gx + gy * gy)) AS steep FROM g))", "mosaic"))
 def hillshade_lambert(spark, d):
-    return R.hillshade(V.mosaic(spark, d)).select("row", "col", F.round("shade", 5).alias("shade"))
+    return R.hillshade(V.mosaic(spark, d)).select("row", "col", F.round("shade", 5).alias("shade"), "shade8")
 
 
 @query(_after_views("""l AS (SELECT row, col, v, coalesce(lag(v) OVER w, v) AS l, coalesce(lead(v) OVER w, v) AS r FROM mosaic WINDOW w AS (PARTITION BY row ORDER BY col)), s AS (SELECT row, col, r - l AS dx, l + 2 * v + r AS s FROM l),
@@ -491,41 +497,63 @@ def hillshade_horn(spark, d):
     return R.horn(V.mosaic(spark, d)).select("row", "col", F.round("shade", 5).alias("shade"))
 
 
-BOX = """f AS (SELECT row, col, v, sum(v) OVER w AS s, count(v) OVER w AS n, sum(v * v) OVER w AS q FROM mosaic WINDOW w AS (PARTITION BY row ORDER BY col ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
-m AS (SELECT row, col, v, sum(s) OVER w / sum(n) OVER w AS mean, sum(q) OVER w / sum(n) OVER w AS squares FROM f WINDOW w AS (PARTITION BY col ORDER BY row ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))"""
+ENDS = "e AS (SELECT max(row) AS mr, max(col) AS mc FROM mosaic)"
+
+
+def _edge(i: str, last: str, mode: str) -> str:
+    """The place that stands for place i of a line from 0 to last."""
+    return f"least(greatest({i}, 0), {last})" if mode == "nearest" else f"CASE WHEN {i} < 0 THEN -({i}) - 1 WHEN {i} > {last} THEN 2 * {last} + 1 - ({i}) ELSE {i} END"
+
+
+def _filtered(out: str, source: str, kernel: str = "k", mode: str = "nearest", down: str = "w", across: str = "w", value: str = "v") -> str:
+    """A common table expression: the kernel's weights ``down`` along columns of cells, then ``across`` along rows."""
+    return f"""{out}_h AS (SELECT a.row, a.col, sum(b.{value} * {kernel}.{down}) AS v FROM {source} a, {kernel}, e JOIN {source} b ON b.col = a.col AND b.row = {_edge(f'a.row + {kernel}.d', 'e.mr', mode)} GROUP BY ALL),
+{out} AS (SELECT a.row, a.col, sum(b.v * {kernel}.{across}) AS v FROM {out}_h a, {kernel}, e JOIN {out}_h b ON b.row = a.row AND b.col = {_edge(f'a.col + {kernel}.d', 'e.mc', mode)} GROUP BY ALL)"""
+
 
+def _box(name: str, half: int) -> str:
+    return f"{name} AS (SELECT unnest(range({-half}, {half + 1})) AS d, {1 / (2 * half + 1)!r}::DOUBLE AS w)"
 
-@query(_after_views(BOX + " SELECT row, col, round(mean, 6) AS mean FROM m", "mosaic"))
+
+def _bell(name: str, sigma: float) -> str:
+    """A Gaussian and its derivatives."""
+    half = int(4 * sigma + 0.5)
+    return f"{name} AS (SELECT d, w, d / {sigma**2} * w AS w1, (d * d / {sigma**2} - 1) / {sigma**2} * w AS w2 FROM (SELECT d, exp(-0.5 * d * d / {sigma**2}) / sum(exp(-0.5 * d * d / {sigma**2})) OVER () AS w FROM (SELECT unnest(range({-half}, {half + 1})) AS d)))"
+
+
+@query(_after_views(f"{ENDS}, {_box('k', 2)}, {_filtered('m', 'mosaic')}, {_filtered('n', 'mosaic', mode='reflect')} SELECT row, col, round(m.v, 6) AS mean, round(n.v, 6) AS mirrored FROM m JOIN n USING (row, col)", "mosaic"))
 def box_mean(spark, d):
-    return R.box_mean(V.mosaic(spark, d), 2).select("row", "col", r6("mean").alias("mean"))
+    both = R.box_mean(R.box_mean(V.mosaic(spark, d), 2), 2, into="mirrored", mode="reflect")
+    return rounded(both.select("row", "col", "mean", "mirrored"), "mean", "mirrored")
 
 
-@query(_after_views(BOX + " SELECT row, col, round(greatest(squares - mean * mean, 0), 6) AS variance FROM m", "mosaic"))
+@query(_after_views(f"{ENDS}, {_box('k', 3)}, s AS (SELECT row, col, v * v AS v FROM mosaic), {_filtered('m', 'mosaic')}, {_filtered('q', 's')} SELECT row, col, round(greatest(q.v - m.v * m.v, 0), 6) AS variance FROM m JOIN q USING (row, col)", "mosaic"))
 def local_variance(spark, d):
-    return R.local_variance(V.mosaic(spark, d), 2).select("row", "col", r6("variance").alias("variance"))
+    return R.local_variance(V.mosaic(spark, d), 3).select("row", "col", r6("variance").alias("variance"))
 
 
-def _frames(*steps: str) -> str:
-    """Common table expressions k1, k2 ... for frame minima and maxima along rows, then along columns."""
-    out, last = [], "mosaic"
+def _frames(out: str, size: int, *steps: str) -> str:
+    """Common table expressions for frame minima (cells before first for even sizes) and maxima; ``out`` is the last one."""
+    parts, last = [], "mosaic"
     for i, fn in enumerate(steps):
-        a, b = f"a{i}", f"k{i}"
-        out.append(f"{a} AS (SELECT row, col, {fn}(v) OVER (PARTITION BY row ORDER BY col ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM {last})")
-        out.append(f"{b} AS (SELECT row, col, {fn}(v) OVER (PARTITION BY col ORDER BY row ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM {a})")
+        before, after = (size // 2, size - 1 - size // 2) if fn == "min" else (size - 1 - size // 2, size // 2)
+        a, b = f"{out}_a{i}", out if i == len(steps) - 1 else f"{out}_b{i}"
+        frame = f"ROWS BETWEEN {before} PRECEDING AND {after} FOLLOWING"
+        parts.append(f"{a} AS (SELECT row, col, {fn}(v) OVER (PARTITION BY row ORDER BY col {frame}) AS v FROM {last})")
+        parts.append(f"{b} AS (SELECT row, col, {fn}(v) OVER (PARTITION BY col ORDER BY row {frame}) AS v FROM {a})")
         last = b
-    return ", ".join(out)
+    return ", ".join(parts)
 
 
-@query(_after_views(_frames("min") + ", " + _frames("max").replace("a0", "c0").replace("k0", "d0") + " SELECT row, col, round(k0.v, 6) AS eroded, round(d0.v, 6) AS dilated FROM k0 JOIN d0 USING (row, col)", "mosaic"))
+@query(_after_views(_frames("lo", 3, "min") + ", " + _frames("hi", 3, "max") + " SELECT row, col, round(lo.v, 6) AS eroded, round(hi.v, 6) AS dilated FROM lo JOIN hi USING (row, col)", "mosaic"))
 def erode_dilate(spark, d):
-    m = V.mosaic(spark, d)
-    both = R.separable(m, F.min, 1).withColumnRenamed("v", "eroded").join(R.separable(m, F.max, 1).withColumnRenamed("v", "dilated"), ["row", "col"])
-    return rounded(both, "eroded", "dilated")
+    both = R.separable(R.separable(V.mosaic(spark, d), F.min, 3, into="eroded"), F.max, 3, into="dilated", flip=True)
+    return rounded(both.drop("v"), "eroded", "dilated")
 
 
-@query(_after_views(_frames("min", "max") + ", " + _frames("max", "min").replace("a0", "c0").replace("k0", "d0").replace("a1", "c1").replace("k1", "d1") + " SELECT row, col, round(m.v - k1.v, 6) AS white, round(d1.v - m.v, 6) AS black FROM mosaic m JOIN k1 USING (row, col) JOIN d1 USING (row, col)", "mosaic"))
+@query(_after_views(_frames("o", 4, "min", "max") + ", " + _frames("c", 4, "max", "min") + " SELECT row, col, round(m.v - o.v, 6) AS white, round(c.v - m.v, 6) AS black FROM mosaic m JOIN o USING (row, col) JOIN c USING (row, col)", "mosaic"))
 def opening_tophat(spark, d):
-    return rounded(R.top_hats(V.mosaic(spark, d), 1).select("row", "col", "white", "black"), "white", "black")
+    return rounded(R.top_hats(V.mosaic(spark, d), 4).select("row", "col", "white", "black"), "white", "black")
 
 
 @query(_after_views("""k AS (SELECT d, exp(-0.5 * d * d) / sum(exp(-0.5 * d * d)) OVER () AS w FROM (SELECT unnest(range(-4, 5)) AS d)), e AS (SELECT max(row) AS mr, max(col) AS mc FROM mosaic),
@@ -564,40 +592,53 @@ def component_boxes(spark, d):
 # terrain
 
 
-KERNEL = """k AS (SELECT d, exp(-0.5 * d * d) / sum(exp(-0.5 * d * d)) OVER () AS w FROM (SELECT unnest(range(-4, 5)) AS d)), e AS (SELECT max(row) AS mr, max(col) AS mc FROM mosaic)"""
-SMOOTH = """h AS (SELECT a.row, a.col, sum(b.v * k.w) AS v FROM {0} a, k, e JOIN {0} b ON b.row = a.row AND b.col = least(greatest(a.col + k.d, 0), e.mc) GROUP BY ALL),
-s AS (SELECT a.row, a.col, sum(b.v * k.w) AS v FROM h a, k, e JOIN h b ON b.col = a.col AND b.row = least(greatest(a.row + k.d, 0), e.mr) GROUP BY ALL)"""
-
-
-@query(_after_views(KERNEL + ", " + SMOOTH.format("mosaic") + " SELECT row, col, round(m.v - s.v, 6) AS lrm FROM mosaic m JOIN s USING (row, col)", "mosaic"))
+@query(_after_views(f"{ENDS}, {_bell('k', 1.0)}, {_filtered('s', 'mosaic', mode='reflect')} SELECT row, col, round(m.v - s.v, 6) AS lrm FROM mosaic m JOIN s USING (row, col)", "mosaic"))
 def local_relief(spark, d):
     return rounded(T.local_relief(V.mosaic(spark, d), 1.0).select("row", "col", "lrm"), "lrm")
 
 
-@query(_after_views(KERNEL + ", " + _frames("min", "max") + ", " + SMOOTH.format("k1") + " SELECT row, col, round(least(m.v, s.v), 6) AS v FROM mosaic m JOIN s USING (row, col)", "mosaic"))
+@query(_after_views(f"{ENDS}, {_bell('k', 1.0)}, {_frames('o', 3, 'min', 'max')}, {_filtered('s', 'o')} SELECT row, col, round(least(m.v, s.v), 6) AS v FROM mosaic m JOIN s USING (row, col)", "mosaic"))
 def ground_surface(spark, d):
-    return rounded(T.ground(V.mosaic(spark, d), 1, 1.0), "v")
+    return rounded(T.ground(V.mosaic(spark, d), 3, 1.0), "v")
 
 
-@query(_after_views(BOX + " SELECT row, col, round(v - mean, 6) AS tpi FROM m", "mosaic"))
+@query(_after_views(f"""{ENDS}, {_box('k', 2)}, {_box('l', 5)}, {_filtered('a', 'mosaic', mode='reflect')}, {_filtered('b', 'mosaic', 'l', mode='reflect')}, t AS (SELECT row, col, m.v - a.v AS a, m.v - b.v AS b FROM mosaic m JOIN a USING (row, col) JOIN b USING (row, col)),
+x AS (SELECT stddev_pop(a) AS sa, stddev_pop(b) AS sb FROM t) SELECT row, col, round((least(greatest(a / (3 * sa), -1), 1) + least(greatest(b / (3 * sb), -1), 1)) / 2, 6) AS tpi FROM t, x""", "mosaic"))
 def position_index(spark, d):
-    return rounded(T.position_index(V.mosaic(spark, d), (2,)).select("row", "col", "tpi"), "tpi")
+    return rounded(T.position_index(V.mosaic(spark, d), (2, 5)).select("row", "col", "tpi"), "tpi")
+
 
+def _step(c: str, axis: str) -> str:
+    w = "(PARTITION BY row ORDER BY col)" if axis == "col" else "(PARTITION BY col ORDER BY row)"
+    return f"(coalesce(lead({c}) OVER {w}, {c}) - coalesce(lag({c}) OVER {w}, {c})) / (CASE WHEN lead({c}) OVER {w} IS NOT NULL AND lag({c}) OVER {w} IS NOT NULL THEN 2.0 ELSE 1.0 END)"
 
-@query(_after_views("""x AS (SELECT row, col, v, coalesce(lead(v) OVER w, v) + coalesce(lag(v) OVER w, v) - 2 * v AS x FROM mosaic WINDOW w AS (PARTITION BY row ORDER BY col)),
-y AS (SELECT *, coalesce(lead(v) OVER w, v) + coalesce(lag(v) OVER w, v) - 2 * v AS y FROM x WINDOW w AS (PARTITION BY col ORDER BY row)) SELECT row, col, round(greatest(least(x + y, 0.1), -0.1), 6) AS curvature FROM y""", "mosaic"))
+
+@query(_after_views(f"""g AS (SELECT row, col, {_step('v', 'col')} AS fx, {_step('v', 'row')} AS fy FROM mosaic), h AS (SELECT *, {_step('fx', 'col')} AS fxx, {_step('fx', 'row')} AS fxy, {_step('fy', 'row')} AS fyy FROM g), p AS (SELECT *, greatest(fx * fx + fy * fy, 1e-10) ** 1.5 AS below FROM h)
+SELECT row, col, round(greatest(least(-(fxx * fy * fy - 2 * fxy * fx * fy + fyy * fx * fx) / below, 0.1), -0.1), 6) AS plan, round(greatest(least(-(fxx * fx * fx + 2 * fxy * fx * fy + fyy * fy * fy) / below, 0.1), -0.1), 6) AS profile FROM p""", "mosaic"))
 def curvature(spark, d):
-    return rounded(T.curvature(V.mosaic(spark, d)).select("row", "col", "curvature"), "curvature")
+    return rounded(T.curvature(V.mosaic(spark, d)).select("row", "col", "plan", "profile"), "plan", "profile")
+
+
+def _normal(name: str, value: str, source: str) -> str:
+    """A value of ``source`` clipped between its 2nd and 98th percentile, as a common table expression."""
+    return f"{name} AS (SELECT row, col, {CLIPPED.replace('v', '(' + value + ')')} AS v FROM {source}, (SELECT quantile_cont({value}, 0.02) AS lo, quantile_cont({value}, 0.98) AS hi FROM {source}))"
 
 
-@query(_after_views(_frames("min", "max") + ", " + _frames("max", "min").replace("a0", "c0").replace("k0", "d0").replace("a1", "c1").replace("k1", "d1") + " SELECT row, col, round(greatest(m.v - k1.v, d1.v - m.v), 6) AS prominence FROM mosaic m JOIN k1 USING (row, col) JOIN d1 USING (row, col)", "mosaic"))
+@query(_after_views(", ".join(_frames(f"{n}{size}", size, *steps) for size in (3, 4) for n, steps in (("o", ("min", "max")), ("c", ("max", "min")))) + """, t AS (SELECT m.row, m.col, m.v - o3.v AS w3, c3.v - m.v AS b3, m.v - o4.v AS w4, c4.v - m.v AS b4 FROM mosaic m
+ JOIN o3 ON o3.row = m.row AND o3.col = m.col JOIN c3 ON c3.row = m.row AND c3.col = m.col JOIN o4 ON o4.row = m.row AND o4.col = m.col JOIN c4 ON c4.row = m.row AND c4.col = m.col), """ + ", ".join(_normal(f"n_{c}", c, "t") for c in ("w3", "b3", "w4", "b4")) + """
+SELECT row, col, round(max(v), 6) AS prominence FROM (FROM n_w3 UNION ALL FROM n_b3 UNION ALL FROM n_w4 UNION ALL FROM n_b4) GROUP BY row, col""", "mosaic"))
 def prominence(spark, d):
-    return rounded(T.prominence(V.mosaic(spark, d), (1,)), "prominence")
+    return rounded(T.prominence(V.mosaic(spark, d), (3, 4)), "prominence")
 
 
-@query()
+def _ridge(name: str, kernel: str) -> str:
+    parts = ", ".join(_filtered(f"{name}_{c}", "mosaic", kernel, down=down, across=across) for c, down, across in (("yy", "w2", "w"), ("xy", "w1", "w1"), ("xx", "w", "w2")))
+    return parts + f", {name}_s AS (SELECT row, col, abs((xx.v + yy.v) / 2 - sqrt(greatest(((xx.v + yy.v) ** 2) / 4 - (xx.v * yy.v - xy.v * xy.v), 0))) AS l2 FROM {name}_xx xx JOIN {name}_yy yy USING (row, col) JOIN {name}_xy xy USING (row, col)), " + _normal(name, "l2", f"{name}_s")
+
+
+@query(_after_views(f"{ENDS}, {_bell('k', 1.0)}, {_bell('l', 2.0)}, {_ridge('a', 'k')}, {_ridge('b', 'l')} SELECT row, col, round(greatest(a.v, b.v), 6) AS ridge FROM a JOIN b USING (row, col)", "mosaic"))
 def hessian_ridge(spark, d):
-    return rounded(T.hessian(V.mosaic(spark, d), 1.0), "ridge")
+    return rounded(T.hessian(V.mosaic(spark, d), (1.0, 2.0)), "ridge")
 
 
 @query()
@@ -607,26 +648,27 @@ def sky_view_factor(spark, d):
 
 @query()
 def classic_score(spark, d):
-    """The relief score of the terms that this mosaic has: local relief, slope, variance, sky view; then Otsu's threshold on it."""
+    """The relief score, then Otsu's threshold on it."""
     m = V.mosaic(spark, d)
-    parts = {"lrm": (T.local_relief(m, 1.0), "lrm"), "slope": (R.slope(m), "slope"), "variance": (R.local_variance(m, 2), "variance"), "svf": (T.sky_view(m, 5, tile=64), "svf")}
-    score = stored(T.combined(parts, T.RELIEF_WEIGHTS))
+    score = stored(T.relief_score(m, T.sky_view(m, 5, tile=64), sigmas=(1.0, 2.0), relief_sigma=2.0))
     cut = R.otsu(score.withColumnRenamed("score", "v"))
     return rounded(score.crossJoin(F.broadcast(cut)).withColumn("mask", (F.col("score") >= F.col("threshold")).cast("int")).drop("threshold"), "score")
 
 
-@query("""SELECT tile, p, round(1 / (1 + exp(-8 * (v - avg(v) OVER (PARTITION BY tile)))), 6) AS score FROM tiles WHERE tile % 5 <> 0""", "tiles")
+@query("""SELECT tile, p, round(1 / (1 + exp(-8 * (v - avg(v) OVER (PARTITION BY tile)))), 6) AS score FROM tiles QUALIFY max(v) OVER (PARTITION BY tile) > 0.01 AND stddev_pop(v) OVER (PARTITION BY tile) >= 0.12""", "tiles")
 def injected_scorer(spark, d):
-    """Tiles scored by an injected function; every fifth tile is skipped before it."""
+    """Tiles scored by an injected function; empty and featureless ones never reach it."""
     tiles = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("tile"), F.col("embedding").cast("array<double>").alias("values"))
+    facts = R.tile_facts(V.tiles(spark, d), 0.12).select("tile", "empty", "featureless")
     model = lambda x: 1 / (1 + np.exp(-8 * (x - x.mean((1, 2), keepdims=True))))
-    return rounded(T.score_tiles(tiles, model, V.TILE, F.col("tile") % 5 == 0), "score")
+    return rounded(T.score_tiles(tiles.join(facts, "tile"), model, V.TILE, F.col("empty") | F.col("featureless")), "score")
 
 
-@query("""p AS (SELECT least(greatest(prob, 1e-7), 1 - 1e-7) AS p, truth::DOUBLE AS t FROM eval_pairs), l AS (SELECT 1 - (2 * sum(p * t) + 1) / (sum(p) + sum(t) + 1) AS dice, avg(-(t * ln(p) + (1 - t) * ln(1 - p))) AS cross_entropy,
- avg(CASE WHEN t > 0 THEN (1 - p) ** 2 * -ln(p) ELSE p ** 2 * -ln(1 - p) END) AS focal FROM p) SELECT round(dice, 6) AS dice, round(cross_entropy, 6) AS cross_entropy, round(focal, 6) AS focal, round(dice + cross_entropy, 6) AS combined FROM l""")
+@query("""p AS (SELECT 1 / (1 + exp(-8 * (prob - 0.5))) AS p, truth::DOUBLE AS t FROM eval_pairs), l AS (SELECT 1 - (2 * sum(p * t) + 1) / (sum(p) + sum(t) + 1) AS dice, avg(-(3 * t * ln(p) + (1 - t) * ln(1 - p))) AS cross_entropy,
+ avg(CASE WHEN t > 0 THEN 0.25 * (1 - p) ** 2 * -ln(p) ELSE 0.25 * p ** 2 * -ln(1 - p) END) AS focal FROM p) SELECT round(dice, 6) AS dice, round(cross_entropy, 6) AS cross_entropy, round(focal, 6) AS focal, round(0.5 * dice + 0.5 * cross_entropy, 6) AS combined FROM l""")
 def losses(spark, d):
-    return rounded(T.losses(V.eval_pairs(spark, d)), "dice", "cross_entropy", "focal", "combined")
+    pairs = V.eval_pairs(spark, d).withColumn("logit", 8 * (F.col("prob") - 0.5))
+    return rounded(T.losses(pairs, positive_weight=3.0), "dice", "cross_entropy", "focal", "combined")
 
 
 SQL["losses"] = "WITH eval_pairs AS (" + V.SQL["eval_pairs"] + "),\n" + SQL["losses"]

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Bands of the mean score (fixed values): high, medium, low, unknown.
 HIGH, MEDIUM, LOW, UNKNOWN = "Yuksek", "Orta", "Dusuk", "Bilinmiyor"
+#: Type of candidates that were taken for want of others (fixed value).
+FALLBACK = "fallback_top_score"
 #: Tiers of a confidence (fixed values), by their lower bounds.
 TIERS = ((0.95, "very_high_095"), (0.90, "strong_090"), (0.75, "candidate_075"))
 
@@ -50,16 +52,18 @@ def group_summary(rows: DataFrame) -> DataFrame:
     )
 
 
-def summary_metrics(rows: DataFrame) -> DataFrame:
-    """Twelve metrics of the whole table, in long form."""
+def summary_metrics(rows: DataFrame, clusters: DataFrame, reach: float) -> DataFrame:
+    """The twelve metrics of a whole run, in long form; ``clusters`` has a row for each cluster, found at the distance ``reach``."""
     band = priority_band(F.col("score_mean"))
+    label = F.trim("source_label")
     metrics = {
-        "total_candidates": F.count(F.lit(1)), "sources": F.count_distinct("source_label"), "scale_levels": F.count_distinct("scale_level"), "systems": F.count_distinct("native_crs"),
-        "high": F.count_if(band == HIGH), "medium": F.count_if(band == MEDIUM), "low": F.count_if(band == LOW), "unknown": F.count_if(band == UNKNOWN),
-        "score_avg": F.avg("score_mean"), "score_max": F.max("score_mean"), "area_sum": F.sum("area_m2"), "area_max": F.max("area_m2"),
+        "toplam_aday_sayisi": F.count(F.lit(1)), "fallback_aday_sayisi": F.count_if(F.col("candidate_type") == FALLBACK), "benzersiz_kaynak_sayisi": F.count_distinct(F.when(label != "", label)),
+        "benzersiz_scale_sayisi": F.count_distinct("scale_factor"), "yuksek_oncelik_aday_sayisi": F.count_if(band == HIGH), "orta_oncelik_aday_sayisi": F.count_if(band == MEDIUM),
+        "dusuk_oncelik_aday_sayisi": F.count_if(band == LOW), "score_mean_avg": F.avg("score_mean"), "score_mean_max": F.max("score_mean"), "area_m2_sum": F.sum("area_m2"),
     }
-    one = rows.agg(*(m.cast("double").alias(k) for k, m in metrics.items()))
-    return one.selectExpr(f"stack({len(metrics)}, " + ", ".join(f"'{k}', {k}" for k in metrics) + ") AS (metric, amount)")
+    one = rows.agg(*(m.cast("double").alias(k) for k, m in metrics.items()), F.lit(float(reach)).alias("cluster_distance_m"))
+    one = one.crossJoin(F.broadcast(clusters.agg(F.count(F.lit(1)).cast("double").alias("toplam_kume_sayisi"))))  # one row
+    return one.selectExpr(f"stack({len(one.columns)}, " + ", ".join(f"'{k}', {k}" for k in one.columns) + ") AS (metric, amount)")
 
 
 def best_per_group(rows: DataFrame, keys: list[str], score: str, tie: str) -> DataFrame:
@@ -143,9 +147,9 @@ def suppress(rows: DataFrame, key: str, least: float) -> DataFrame:
 
 
 def distance_pairs(rows: DataFrame, reach: float, key: str = "candidate_id") -> DataFrame:
-    """Pairs (a, b), a < b, of points of one coordinate system at most ``reach`` apart, by a grid of cells of that size."""
+    """Pairs (a, b), a < b, of points of one known coordinate system at most ``reach`` apart, by a grid of cells of that size."""
     cell = lambda c: F.floor(F.col(c) / reach)
-    points = rows.where("x IS NOT NULL AND y IS NOT NULL AND native_crs IS NOT NULL").select(key, "native_crs", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+    points = rows.where("x IS NOT NULL AND y IS NOT NULL AND lower(trim(native_crs)) NOT IN ('', 'unknown')").select(key, "native_crs", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
     near = F.explode(F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
     a = points.select(F.col(key).alias("a"), "native_crs", F.col("x").alias("xa"), F.col("y").alias("ya"), near.alias("n")).select("a", "native_crs", "xa", "ya", "n.cx", "n.cy")
     b = points.select(F.col(key).alias("b"), "native_crs", F.col("x").alias("xb"), F.col("y").alias("yb"), "cx", "cy")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratum.operators.raster import percentiles
+
 #: Thresholds of the sweep (fixed values).
 SWEEP = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 
@@ -77,8 +79,10 @@ def auc(curve: DataFrame) -> DataFrame:
 
 
 def confidence_histogram(rows: DataFrame, value: str) -> DataFrame:
-    """Counts, median and 90th percentile of five buckets of a confidence."""
-    c = F.col(value)
+    """Counts of five buckets of a confidence (missing counts as 0), and the median and 90th percentile of all rows."""
+    c = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
+    rows = rows.select(c.alias("v"))
+    c = F.col("v")
     bucket = F.when(c < 0.5, "0.0-0.5").when(c < 0.75, "0.5-0.75").when(c < 0.85, "0.75-0.85").when(c < 0.95, "0.85-0.95").otherwise("0.95-1.0")
-    q = F.percentile(c, F.array(F.lit(0.5), F.lit(0.9)))
-    return rows.where(c.isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), q[0].alias("median"), q[1].alias("p90"))
+    q = percentiles(rows, "v", 50, 90).select(F.col("lo").alias("median"), F.col("hi").alias("p90"))
+    return rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(q))  # one row

@@ -1,7 +1,8 @@
 """Raster algebra on pixel rows (row, col, v): normalising, stencils, blending, histograms, merging.
 
-Stencils are windows along one axis at a time, partitioned by the other axis (within blocks of lines
-where a kernel allows it), so no window holds more than one line of a raster.
+Stencils are windows along one axis at a time, partitioned by the other axis, so no window holds more than
+one line of a raster; cells beyond the edges are copies of those near them. They add columns and carry the
+others, so nothing is joined back to its source.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratum.sources.shared import stored
+
 BINS = 256
 
 
@@ -20,14 +23,54 @@ def clip01(x: Column, lo: Column, hi: Column) -> Column:
     return F.coalesce(F.least(F.greatest(y, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
 
 
+def ranked(long: DataFrame, shares: tuple[float, ...], levels: int = 2, bins: int = 4096) -> DataFrame:
+    """(name, share, value): exact percentiles with linear interpolation of the values (name, v) of each name.
+
+    Each of the two values between which a percentile lies is looked for in the bin that holds its rank, then in the bins
+    of that bin: a few thousand counts a pass, whatever the number of values, and no task holds more of them. There are few
+    names, such as the columns of a table."""
+    x = long.where("v IS NOT NULL").select("name", "v")
+    at = F.array(*(F.struct(F.lit(s).alias("share"), (F.lit(s) * (F.col("n") - 1)).alias("at")) for s in shares))
+    t = x.groupBy("name").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).select("name", "lo", "hi", "n", F.inline(at))
+    both = F.array(F.struct(F.lit(0).alias("up"), F.floor("at").alias("rank")), F.struct(F.lit(1).alias("up"), F.least(F.floor("at") + 1, F.col("n") - 1).alias("rank")))
+    t = t.select("name", "share", "lo", "hi", (F.col("at") - F.floor("at")).alias("part"), F.inline(both), F.lit(0).cast("bigint").alias("base"))
+    one = ["name", "share", "up"]
+    before = F.col("base") + F.coalesce(F.sum("n").over(Window.partitionBy(*one).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    def counted(bin_: Column) -> DataFrame:
+        rows = x.join(F.broadcast(t), "name").where("v BETWEEN lo AND hi")  # two rows a percentile
+        sums = rows.groupBy(*one, "rank", "part", "base", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        return sums.withColumn("before", before).where("rank >= before AND rank < before + n").drop("base", "bin", "n")
+
+    for _ in range(levels):
+        t = counted(F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(0)).withColumnRenamed("before", "base")
+    found = counted(F.col("v"))
+    low, high = (F.max(F.when(F.col("up") == u, F.col("lo"))) for u in (0, 1))
+    return found.groupBy("name", "share").agg((low + (high - low) * F.max("part")).alias("value"))
+
+
 def percentiles(rows: DataFrame, value: str, low: float, high: float, by: list[str] | None = None) -> DataFrame:
-    """Exact percentiles ``lo`` and ``hi``, with linear interpolation, of all rows or by group."""
+    """Exact percentiles ``lo`` and ``hi``, with linear interpolation: one row of all rows, or one of each group (a tile)."""
+    if not by:
+        q = ranked(rows.select(F.lit("v").alias("name"), F.col(value).cast("double").alias("v")), (low / 100, high / 100))
+        return q.agg(*(F.max(F.when(F.col("share") == p / 100, F.col("value"))).alias(n) for n, p in (("lo", low), ("hi", high))))
     both = F.percentile(value, F.array(F.lit(low / 100), F.lit(high / 100)))
-    return rows.groupBy(*(by or [])).agg(both.alias("q")).select(*(by or []), F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    return rows.groupBy(*by).agg(both.alias("q")).select(*by, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+
+
+def normalised_columns(rows: DataFrame, names: list[str], low: float = 2, high: float = 98) -> DataFrame:
+    """The rows, stored, with each named column clipped between its percentiles; missing cells stay missing."""
+    rows = stored(rows)
+    long = rows.select(F.inline(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("v")) for n in names))))
+    q = ranked(long, (low / 100, high / 100))
+    told = q.agg(*(F.max(F.when((F.col("name") == n) & (F.col("share") == p / 100), F.col("value"))).alias(f"__{k}{i}") for i, n in enumerate(names) for k, p in (("l", low), ("h", high))))
+    both = rows.crossJoin(F.broadcast(told))  # one row
+    return both.withColumns({n: F.when(F.col(n).isNotNull(), clip01(F.col(n), F.col(f"__l{i}"), F.col(f"__h{i}"))) for i, n in enumerate(names)}).select(*rows.columns)
 
 
 def normalised(rows: DataFrame, low: float = 2, high: float = 98, by: list[str] | None = None) -> DataFrame:
     """The rows with v clipped between percentiles of all rows (one row is sent) or of each group."""
+    rows = rows if by else stored(rows)
     q = percentiles(rows, "v", low, high, by)
     rows = rows.join(q, by) if by else rows.crossJoin(F.broadcast(q))  # one row
     return rows.withColumn("v", clip01(F.col("v"), F.col("lo"), F.col("hi"))).drop("lo", "hi")
@@ -109,16 +152,18 @@ def _at(value: str, along: str, other: str, step: int) -> Column:
     return F.coalesce(F.lead(value, step).over(w) if step > 0 else F.lag(value, -step).over(w), F.col(value))
 
 
+def difference(value: str, axis: str, cell: float = 1.0) -> Column:
+    """Central difference of a column along an axis, one-sided at the edges."""
+    w = Window.partitionBy("row" if axis == "col" else "col").orderBy(axis)
+    after, before = F.lead(value).over(w), F.lag(value).over(w)
+    n = F.when(after.isNotNull() & before.isNotNull(), 2.0).otherwise(1.0)
+    return (F.coalesce(after, F.col(value)) - F.coalesce(before, F.col(value))) / (n * cell)
+
+
 def gradient(rows: DataFrame, cell: float = 1.0) -> DataFrame:
     """``gx`` and ``gy``: central differences, one-sided at the edges."""
 
-    def along(axis: str, other: str) -> Column:
-        w = Window.partitionBy(other).orderBy(axis)
-        after, before = F.lead("v").over(w), F.lag("v").over(w)
-        n = F.when(after.isNotNull() & before.isNotNull(), 2.0).otherwise(1.0)
-        return (F.coalesce(after, F.col("v")) - F.coalesce(before, F.col("v"))) / (n * cell)
-
-    return rows.withColumn("gx", along("col", "row")).withColumn("gy", along("row", "col"))
+    return rows.withColumn("gx", difference("v", "col", cell)).withColumn("gy", difference("v", "row", cell))
 
 
 def slope(rows: DataFrame, cell: float = 1.0) -> DataFrame:
@@ -126,12 +171,13 @@ def slope(rows: DataFrame, cell: float = 1.0) -> DataFrame:
 
 
 def hillshade(rows: DataFrame, azimuth: float = 315.0, altitude: float = 45.0, cell: float = 1.0) -> DataFrame:
-    """Lambert shading in 0..255."""
+    """Lambert shading: ``shade`` in 0..255, and ``shade8``, the same rounded half to even."""
     az, alt = math.radians(azimuth), math.radians(altitude)
     g = gradient(rows, cell)
     length = F.sqrt(1 + F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))
     light = (math.sin(alt) - math.cos(alt) * math.sin(az) * F.col("gx") + math.cos(alt) * math.cos(az) * F.col("gy")) / length
-    return g.withColumn("shade", F.greatest(light, F.lit(0.0)) * 255)
+    shade = F.least(F.greatest((light + 1) / 2, F.lit(0.0)), F.lit(1.0)) * 255
+    return g.withColumn("shade", shade).withColumn("shade8", F.rint("shade").cast("int"))
 
 
 def horn(rows: DataFrame, azimuth: float = 315.0, altitude: float = 45.0, cell: float = 1.0, z: float = 1.0) -> DataFrame:
@@ -146,58 +192,103 @@ def horn(rows: DataFrame, azimuth: float = 315.0, altitude: float = 45.0, cell:
     return both.withColumn("shade", F.greatest(shade, F.lit(0.0)) * 255).drop("l", "r", "dx", "s", "dzdx", "dzdy")
 
 
-def separable(rows: DataFrame, fn, half: int, value: str = "v") -> DataFrame:
-    """``fn`` (min, max, sum ...) over 2 half + 1 cells along rows, then along columns; frames are clipped at the edges."""
-    one = rows.withColumn(value, fn(value).over(Window.partitionBy("row").orderBy("col").rowsBetween(-half, half)))
-    return one.withColumn(value, fn(value).over(Window.partitionBy("col").orderBy("row").rowsBetween(-half, half)))
+def edged(rows: DataFrame, axis: str, other: str, before: int, after: int, mode: str) -> DataFrame:
+    """The rows at their place ``__p`` along an axis, and copies of cells at places beyond both ends of their line.
+
+    ``nearest`` repeats the last cell, ``reflect`` mirrors the line about its edge, again and again if it is short."""
+    line = Window.partitionBy(other)
+    rows = rows.withColumns({"__a": F.min(axis).over(line), "__b": F.max(axis).over(line)})
+    a, b, at = F.col("__a"), F.col("__b"), F.col(axis)
+    if mode == "nearest":
+        steps = lambda x, y: F.when(y >= x, F.sequence(x, y)).otherwise(F.array().cast("array<int>"))
+        none = F.array().cast("array<int>")
+        extra = F.concat(F.when(at == a, steps(a - before, a - 1)).otherwise(none), F.when(at == b, steps(b + 1, b + after)).otherwise(none))
+    elif mode == "reflect":
+        n = b - a + 1
+        turns = F.ceil(max(before, after) / (2 * n)).cast("int") + 1
+        again = F.flatten(F.transform(F.sequence(-turns, turns), lambda k: F.array(at + 2 * n * k, 2 * a - 1 - at + 2 * n * k)))
+        near = (at - a < before) | (b - at < after)
+        extra = F.when(near, F.filter(again, lambda p: (p != at) & (p >= a - before) & (p <= b + after))).otherwise(F.array().cast("array<int>"))
+    else:
+        raise ValueError(f"unknown edge mode {mode}")
+    return rows.withColumn("__p", F.explode(F.concat(F.array(at), extra))).drop("__a", "__b")
+
+
+def along(rows: DataFrame, axis: str, half: int, mode: str, columns) -> DataFrame:
+    """``columns(window, frame)`` (name to column) of each cell over its line, and over ``half`` cells to both sides."""
+    other = "row" if axis == "col" else "col"
+    w = Window.partitionBy(other).orderBy("__p")
+    ext = edged(rows, axis, other, half, half, mode)
+    return ext.withColumns(columns(w, w.rowsBetween(-half, half))).where(F.col("__p") == F.col(axis)).drop("__p")
+
+
+def separable(rows: DataFrame, fn, size: int, value: str = "v", into: str | None = None, flip: bool = False) -> DataFrame:
+    """``fn`` (min or max) over ``size`` cells along rows, then along columns.  Cells beyond the edges repeat the edge, which a
+    smallest or largest value doesn't notice.  Of an even size one more cell stands before than after; after if ``flip``."""
+    before, after = size // 2, size - 1 - size // 2
+    if flip:
+        before, after = after, before
+    into = into or value
+    one = rows.withColumn(into, fn(value).over(Window.partitionBy("row").orderBy("col").rowsBetween(-before, after)))
+    return one.withColumn(into, fn(into).over(Window.partitionBy("col").orderBy("row").rowsBetween(-before, after)))
 
 
-def box_mean(rows: DataFrame, half: int, value: str = "v", into: str = "mean") -> DataFrame:
-    """Mean of the valid cells of a box clipped at the edges: sums and counts along one axis, then the other."""
-    w1, w2 = (Window.partitionBy(a).orderBy(b).rowsBetween(-half, half) for a, b in (("row", "col"), ("col", "row")))
-    one = rows.withColumns({"__s": F.sum(value).over(w1), "__n": F.count(value).over(w1)})
-    return one.withColumns({"__s": F.sum("__s").over(w2), "__n": F.sum("__n").over(w2)}).withColumn(into, F.try_divide("__s", "__n")).drop("__s", "__n")
+def box_mean(rows: DataFrame, half: int, value: str = "v", into: str = "mean", mode: str = "nearest") -> DataFrame:
+    """Mean of the valid cells of a box: sums and counts along one axis, then the other."""
+    one = along(rows, "col", half, mode, lambda w, f: {"__s": F.sum(value).over(f), "__n": F.count(value).over(f)})
+    two = along(one, "row", half, mode, lambda w, f: {"__s2": F.sum("__s").over(f), "__n2": F.sum("__n").over(f)})
+    return two.withColumn(into, F.try_divide("__s2", "__n2")).drop("__s", "__n", "__s2", "__n2")
 
 
-def local_variance(rows: DataFrame, half: int) -> DataFrame:
+def local_variance(rows: DataFrame, half: int, into: str = "variance", mode: str = "nearest") -> DataFrame:
     """Mean of squares less squared mean, 0 at least."""
-    both = box_mean(box_mean(rows.withColumn("__q", F.col("v") * F.col("v")), half), half, "__q", "__qm")
-    return both.withColumn("variance", F.greatest(F.col("__qm") - F.col("mean") * F.col("mean"), F.lit(0.0))).drop("__q", "__qm", "mean")
+    both = box_mean(box_mean(rows.withColumn("__q", F.col("v") * F.col("v")), half, into="__m", mode=mode), half, "__q", "__qm", mode)
+    return both.withColumn(into, F.greatest(F.col("__qm") - F.col("__m") * F.col("__m"), F.lit(0.0))).drop("__q", "__qm", "__m")
 
 
-def opening(rows: DataFrame, half: int) -> DataFrame:
-    return separable(separable(rows, F.min, half), F.max, half)
+def opening(rows: DataFrame, size: int, value: str = "v", into: str | None = None) -> DataFrame:
+    into = into or value
+    return separable(separable(rows, F.min, size, value, into), F.max, size, into, flip=True)
 
 
-def closing(rows: DataFrame, half: int) -> DataFrame:
-    return separable(separable(rows, F.max, half), F.min, half)
+def closing(rows: DataFrame, size: int, value: str = "v", into: str | None = None) -> DataFrame:
+    into = into or value
+    return separable(separable(rows, F.max, size, value, into, flip=True), F.min, size, into)
 
 
-def top_hats(rows: DataFrame, half: int) -> DataFrame:
-    """``white`` = v - opening and ``black`` = closing - v."""
-    o, c = opening(rows, half).withColumnRenamed("v", "__o"), closing(rows, half).withColumnRenamed("v", "__c")
-    out = rows.join(o, ["row", "col"]).join(c, ["row", "col"])
-    return out.withColumns({"white": F.col("v") - F.col("__o"), "black": F.col("__c") - F.col("v")}).drop("__o", "__c")
+def top_hats(rows: DataFrame, size: int, white: str = "white", black: str = "black") -> DataFrame:
+    """``white`` = v - opening and ``black`` = closing - v; the source's columns come along."""
+    both = closing(opening(rows, size, "v", white), size, "v", black)
+    return both.withColumns({white: F.col("v") - F.col(white), black: F.col(black) - F.col("v")})
 
 
-def gaussian(rows: DataFrame, sigma: float, truncate: float = 4.0) -> DataFrame:
-    """Separable Gaussian smoothing with the nearest cell beyond the edges; rasters start at (0, 0)."""
+def _kernel(sigma: float, order: int, half: int) -> list[float]:
+    """Weights of the cells at 0, 1, ... half to the right, for a Gaussian's value, first or second derivative."""
+    raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(half + 1)]
+    total = raw[0] + 2 * sum(raw[1:])
+    factor = {0: lambda k: 1.0, 1: lambda k: k / sigma**2, 2: lambda k: (k * k / sigma**2 - 1) / sigma**2}[order]
+    return [factor(k) * x / total for k, x in enumerate(raw)]
+
+
+def gaussians(rows: DataFrame, sigma: float, into: dict[str, tuple[int, int]], value: str = "v", mode: str = "nearest", truncate: float = 4.0) -> DataFrame:
+    """Gaussian filters of a column: ``into`` names them by order of derivative (along columns of cells, along rows)."""
     half = int(truncate * sigma + 0.5)
-    raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-half, half + 1)]
-    kernel = [x / sum(raw) for x in raw]
-
-    def along(df: DataFrame, axis: str, other: str) -> DataFrame:
-        w = Window.partitionBy(other).orderBy(axis)
-        line = Window.partitionBy(other).orderBy(axis).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        first, last = F.first("v").over(line), F.last("v").over(line)
-        df = df.withColumns({"__f": first, "__l": last})
-        cell = lambda k: F.col("v") if k == 0 else F.coalesce(F.lag("v", -k).over(w), F.col("__f")) if k < 0 else F.coalesce(F.lead("v", k).over(w), F.col("__l"))
-        total = kernel[half] * F.col("v")
+
+    def filtered(source: str, order: int, w) -> Column:
+        weights, sign = _kernel(sigma, order, half), -1 if order == 1 else 1
+        total = weights[0] * F.col(source)
         for k in range(1, half + 1):
-            total = total + kernel[half + k] * (cell(-k) + cell(k))
-        return df.withColumn("v", total).drop("__f", "__l")
+            total = total + weights[k] * (F.lead(source, k).over(w) + sign * F.lag(source, k).over(w))
+        return total
+
+    down = sorted({y for y, _ in into.values()})
+    one = along(rows, "row", half, mode, lambda w, f: {f"__g{y}": filtered(value, y, w) for y in down})
+    return along(one, "col", half, mode, lambda w, f: {n: filtered(f"__g{y}", x, w) for n, (y, x) in into.items()}).drop(*(f"__g{y}" for y in down))
+
 
-    return along(along(rows, "col", "row"), "row", "col")
+def gaussian(rows: DataFrame, sigma: float, truncate: float = 4.0, mode: str = "nearest") -> DataFrame:
+    """Gaussian smoothing of ``v``."""
+    return gaussians(rows, sigma, {"__v": (0, 0)}, mode=mode, truncate=truncate).withColumn("v", F.col("__v")).drop("__v")
 
 
 # tiles and blending

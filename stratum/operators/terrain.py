@@ -7,81 +7,102 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratum.operators import raster as R
+from stratum.sources.shared import stored
 
-#: Weights of the terms of the relief score (fixed values): sky view, openness, local relief, slope, Laplacian with gradient, variance.
-RELIEF_WEIGHTS = {"svf": 0.30, "openness": 0.20, "lrm": 0.15, "slope": 0.15, "log": 0.10, "variance": 0.10}
+#: Weights of the terms of the relief score (fixed values): Laplacian of Gaussian, local relief, sky view (turned), slope,
+#: negative openness, variance.
+RELIEF_WEIGHTS = {"log": 0.30, "lrm": 0.20, "svf": 0.15, "slope": 0.15, "openness": 0.10, "variance": 0.10}
+#: Scales (fixed values): of the Laplacian and the ridges, of openings; sigma of the gradient; window of the variance; sigma of the relief.
+SIGMAS, SIZES, GRADIENT_SIGMA, VARIANCE_SIZE, RELIEF_SIGMA = (1.0, 2.0, 4.0, 8.0), (3, 5, 9, 15), 1.5, 7, 6.0
 
 
-def local_relief(rows: DataFrame, sigma: float) -> DataFrame:
-    """``lrm``: height above the smoothed surface."""
-    smooth = R.gaussian(rows, sigma).withColumnRenamed("v", "__s")
-    return rows.join(smooth, ["row", "col"]).withColumn("lrm", F.col("v") - F.col("__s")).drop("__s")
+def local_relief(rows: DataFrame, sigma: float = RELIEF_SIGMA) -> DataFrame:
+    """``lrm``: height above the smoothed surface, which is mirrored at its edges."""
+    return R.gaussians(rows, sigma, {"lrm": (0, 0)}, mode="reflect").withColumn("lrm", F.col("v") - F.col("lrm"))
 
 
-def position_index(rows: DataFrame, halves: tuple[int, ...]) -> DataFrame:
-    """``tpi``: mean over scales of height above the box mean, by its deviation within the box."""
-    out = rows
-    for i, h in enumerate(halves):
-        out = R.box_mean(out, h, into=f"__m{i}")
-    return out.withColumn("tpi", sum((F.col("v") - F.col(f"__m{i}") for i in range(len(halves))), F.lit(0.0)) / len(halves)).drop(*(f"__m{i}" for i in range(len(halves))))
+def position_index(rows: DataFrame, halves: tuple[int, ...] = (5, 15, 30)) -> DataFrame:
+    """``tpi``: mean over scales of the height above the box mean, by three of its deviations, clipped to -1..1."""
+    out, names = rows, [f"__m{i}" for i in range(len(halves))]
+    for n, h in zip(names, halves, strict=True):
+        out = R.box_mean(out, h, into=n, mode="reflect").withColumn(n, F.col("v") - F.col(n))
+    out = stored(out)
+    one = out.crossJoin(F.broadcast(out.agg(*(F.stddev_pop(n).alias(f"{n}s") for n in names))))  # one row
+    part = lambda n: F.greatest(F.least(F.when(F.col(f"{n}s") > 0, F.col(n) / (3 * F.col(f"{n}s"))).otherwise(F.col(n)), F.lit(1.0)), F.lit(-1.0))
+    return one.withColumn("tpi", sum((part(n) for n in names), F.lit(0.0)) / len(names)).drop(*names, *(f"{n}s" for n in names))
 
 
 def curvature(rows: DataFrame, cell: float = 1.0, limit: float = 0.1) -> DataFrame:
-    """``curvature``: the Laplacian, clipped; cells beyond the edges repeat the edge."""
+    """``plan`` and ``profile`` curvature from differences of differences, clipped."""
+    g = R.gradient(rows, cell)
+    g = g.withColumns({"__xy": R.difference("gx", "row", cell), "__yy": R.difference("gy", "row", cell)}).withColumn("__xx", R.difference("gx", "col", cell))
+    p, q = F.col("gx") * F.col("gx"), F.col("gy") * F.col("gy")
+    mixed, below = 2 * F.col("__xy") * F.col("gx") * F.col("gy"), F.pow(F.greatest(p + q, F.lit(1e-10)), F.lit(1.5))
+    clip = lambda x: F.greatest(F.least(x, F.lit(limit)), F.lit(-limit))
+    plan, profile = -(F.col("__xx") * q - mixed + F.col("__yy") * p) / below, -(F.col("__xx") * p + mixed + F.col("__yy") * q) / below
+    return g.withColumns({"plan": clip(plan), "profile": clip(profile)}).drop("gx", "gy", "__xx", "__xy", "__yy")
+
+
+def ridge_size(rows: DataFrame, sigma: float, into: str = "ridge") -> DataFrame:
+    """Size of the smaller eigenvalue of the Hessian by derivatives of a Gaussian, not yet normalised."""
+    g = R.gaussians(rows, sigma, {"__yy": (2, 0), "__xy": (1, 1), "__xx": (0, 2)})
+    half, gap = (F.col("__xx") + F.col("__yy")) / 2, (F.col("__xx") - F.col("__yy")) / 2
+    low = half - F.sqrt(gap * gap + F.col("__xy") * F.col("__xy"))
+    return g.withColumn(into, F.abs(low)).drop("__xx", "__xy", "__yy")
 
-    def second(axis: str, other: str) -> Column:
-        w = Window.partitionBy(other).orderBy(axis)
-        return F.coalesce(F.lead("v").over(w), F.col("v")) + F.coalesce(F.lag("v").over(w), F.col("v")) - 2 * F.col("v")
 
-    both = rows.withColumn("__x", second("col", "row")).withColumn("__y", second("row", "col"))
-    value = (F.col("__x") + F.col("__y")) / (cell * cell)
-    return both.withColumn("curvature", F.greatest(F.least(value, F.lit(limit)), F.lit(-limit))).drop("__x", "__y")
+def hessian(rows: DataFrame, sigmas: tuple[float, ...] = SIGMAS) -> DataFrame:
+    """``ridge``: the largest over scales of the normalised sizes."""
+    names = [f"__r{i}" for i in range(len(sigmas))]
+    for n, s in zip(names, sigmas, strict=True):
+        rows = ridge_size(rows, s, n)
+    return R.normalised_columns(rows, names).select("row", "col", F.array_max(F.array(*names)).alias("ridge"))
 
 
-def hessian(rows: DataFrame, sigma: float) -> DataFrame:
-    """``ridge``: the smaller eigenvalue of the Hessian of the smoothed surface, turned so that ridges are positive."""
-    s = R.gaussian(rows, sigma)
+def prominence(rows: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
+    """``prominence``: the largest of the top-hats of all sizes, each normalised."""
+    names = []
+    for s in sizes:
+        rows = R.top_hats(rows, s, f"__w{s}", f"__b{s}")
+        names += [f"__w{s}", f"__b{s}"]
+    return R.normalised_columns(rows, names).select("row", "col", F.array_max(F.array(*names)).alias("prominence"))
 
-    def step(value: str, axis: str, other: str) -> Column:
-        w = Window.partitionBy(other).orderBy(axis)
-        return (F.coalesce(F.lead(value).over(w), F.col(value)) - F.coalesce(F.lag(value).over(w), F.col(value))) / 2
 
-    s = s.withColumn("__x", step("v", "col", "row")).withColumn("__y", step("v", "row", "col"))
-    s = s.withColumn("__xx", step("__x", "col", "row")).withColumn("__xy", step("__x", "row", "col")).withColumn("__yy", step("__y", "row", "col"))
-    half, gap = (F.col("__xx") + F.col("__yy")) / 2, (F.col("__xx") - F.col("__yy")) / 2
-    low = half - F.sqrt(gap * gap + F.col("__xy") * F.col("__xy"))
-    return s.select("row", "col", F.greatest(-low, F.lit(0.0)).alias("ridge"))
+def blob_size(rows: DataFrame, sigmas: tuple[float, ...] = SIGMAS, into: str = "log") -> DataFrame:
+    """The largest over scales of the Laplacian of Gaussian's size."""
+    names = [f"__l{i}" for i in range(len(sigmas))]
+    for n, s in zip(names, sigmas, strict=True):
+        rows = R.gaussians(rows, s, {"__yy": (2, 0), "__xx": (0, 2)}).withColumn(n, F.abs(F.col("__yy") + F.col("__xx"))).drop("__yy", "__xx")
+    return rows.withColumn(into, F.array_max(F.array(*names))).drop(*names)
 
 
-def prominence(rows: DataFrame, halves: tuple[int, ...]) -> DataFrame:
-    """``prominence``: the larger of the top-hats, over all sizes."""
-    out = None
-    for h in halves:
-        one = R.top_hats(rows, h).select("row", "col", F.greatest("white", "black").alias("prominence"))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("row", "col").agg(F.max("prominence").alias("prominence"))
+def gradient_size(rows: DataFrame, sigma: float = GRADIENT_SIGMA, into: str = "slope") -> DataFrame:
+    """The gradient's length by derivatives of a Gaussian."""
+    g = R.gaussians(rows, sigma, {"__y": (1, 0), "__x": (0, 1)})
+    return g.withColumn(into, F.sqrt(F.col("__y") * F.col("__y") + F.col("__x") * F.col("__x"))).drop("__y", "__x")
 
 
-def ground(rows: DataFrame, half: int, sigma: float) -> DataFrame:
+def relief_score(rows: DataFrame, svf: DataFrame, openness: DataFrame | None = None, sigmas: tuple[float, ...] = SIGMAS, relief_sigma: float = RELIEF_SIGMA, gradient_sigma: float = GRADIENT_SIGMA, variance_size: int = VARIANCE_SIZE) -> DataFrame:
+    """``score``: the weighted sum of normalised terms; ``svf`` (row, col, svf) counts turned, missing ``openness`` as 0."""
+    g = R.local_variance(gradient_size(blob_size(local_relief(rows, relief_sigma), sigmas), gradient_sigma), variance_size // 2)
+    g = g.join(svf.select("row", "col", "svf"), ["row", "col"])
+    g = g.join(openness.select("row", "col", "openness"), ["row", "col"]) if openness is not None else g.withColumn("openness", F.lit(0.0))
+    g = R.normalised_columns(g.select("row", "col", *RELIEF_WEIGHTS), list(RELIEF_WEIGHTS)).withColumn("svf", 1 - F.col("svf"))
+    g = R.normalised_columns(g, ["svf"])
+    return g.select("row", "col", sum((w * F.col(n) for n, w in RELIEF_WEIGHTS.items()), F.lit(0.0)).alias("score"))
+
+
+def ground(rows: DataFrame, size: int, sigma: float) -> DataFrame:
     """A terrain surface from a surface with objects: opened, smoothed, and nowhere above the input.
     Missing cells count as the highest value and 100 more while opening."""
     high = rows.agg((F.max("v") + 100).alias("__h"))  # one row
-    filled = rows.crossJoin(F.broadcast(high)).withColumn("v", F.coalesce("v", "__h")).drop("__h")
-    low = R.gaussian(R.opening(filled, half), sigma).withColumnRenamed("v", "__g")
-    return rows.join(low, ["row", "col"]).select("row", "col", F.least("v", "__g").alias("v"))
-
-
-def combined(parts: dict[str, tuple[DataFrame, str]], weights: dict[str, float]) -> DataFrame:
-    """``score``: weighted sum of columns, each clipped between its 2nd and 98th percentile."""
-    out = None
-    for name, (rows, column) in parts.items():
-        one = R.normalised(rows.select("row", "col", F.col(column).alias("v"))).withColumnRenamed("v", f"__{name}")
-        out = one if out is None else out.join(one, ["row", "col"])
-    return out.select("row", "col", sum((weights[n] * F.col(f"__{n}") for n in parts), F.lit(0.0)).alias("score"))
+    filled = rows.crossJoin(F.broadcast(high)).withColumn("__g", F.coalesce("v", "__h")).drop("__h")
+    low = R.gaussians(R.opening(filled, size, "__g"), sigma, {"__s": (0, 0)}, "__g")
+    return low.select("row", "col", F.least("v", "__s").alias("v"))
 
 
 def halo_tiles(rows: DataFrame, tile: int, halo: int) -> DataFrame:
@@ -137,11 +158,15 @@ def score_tiles(tiles: DataFrame, scorer: Callable[[np.ndarray], np.ndarray], si
     return scored.select("tile", F.posexplode("scores").alias("p", "score"))
 
 
-def losses(pairs: DataFrame, gamma: float = 2.0, positive_weight: float = 1.0, eps: float = 1e-7) -> DataFrame:
-    """Dice, weighted cross-entropy, their sum and focal loss of (prob, truth): one row."""
-    p = F.least(F.greatest(F.col("prob"), F.lit(eps)), F.lit(1 - eps))
-    t = F.col("truth").cast("double")
-    cross = -(positive_weight * t * F.log(p) + (1 - t) * F.log(1 - p))
-    hit = F.when(t > 0, p).otherwise(1 - p)
-    out = pairs.agg((1 - (2 * F.sum(p * t) + 1) / (F.sum(p) + F.sum(t) + 1)).alias("dice"), F.avg(cross).alias("cross_entropy"), F.avg(F.pow(1 - hit, F.lit(gamma)) * -F.log(hit)).alias("focal"))
-    return out.withColumn("combined", F.col("dice") + F.col("cross_entropy"))
+def losses(pairs: DataFrame, positive_weight: float = 1.0, alpha: float = 0.25, gamma: float = 2.0, smooth: float = 1.0) -> DataFrame:
+    """Dice loss, weighted cross-entropy, half of each together, and focal loss of (logit, truth): one row."""
+    x, t = F.col("logit").cast("double"), F.col("truth").cast("double")
+    p = 1 / (1 + F.exp(-x))
+    softplus = lambda y: F.greatest(y, F.lit(0.0)) + F.log1p(F.exp(-F.abs(y)))
+    plain = t * softplus(-x) + (1 - t) * softplus(x)
+    cross = positive_weight * t * softplus(-x) + (1 - t) * softplus(x)
+    out = pairs.agg(
+        (1 - (2 * F.sum(p * t) + smooth) / (F.sum(p) + F.sum(t) + smooth)).alias("dice"), F.avg(cross).alias("cross_entropy"),
+        F.avg(alpha * F.pow(1 - F.exp(-plain), F.lit(gamma)) * plain).alias("focal"),
+    )
+    return out.withColumn("combined", (F.col("dice") + F.col("cross_entropy")) / 2)

@@ -7,7 +7,7 @@ never NaN.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Vectors of 64 numbers are 8 x 8 tiles, 25 tiles to a row of the mosaic.
@@ -48,15 +48,17 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 17 != 0, F.col("value") / 500).alias("score_mean"), F.when(F.col("event_id") % 19 != 0, F.col("value") * 10).alias("area_m2"),
         ((F.col("event_id") * 37) % 1000).cast("double").alias("x"), ((F.col("event_id") * 91) % 1000).cast("double").alias("y"),
         F.when(F.col("user_id") % 2 == 0, "EPSG:3857").otherwise("EPSG:32636").alias("native_crs"),
+        F.when(F.col("event_id") % 23 == 0, "fallback_top_score").otherwise("detected").alias("candidate_type"),
     )
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detection boxes by tile, with their order in it."""
+    """Detection boxes by tile, numbered from 1 in their order in it."""
     li = table(spark, sf_dir, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount")
     x, y = F.col("l_quantity"), (F.col("l_linenumber") % 3 * 10).cast("double")
     return li.select(
-        F.col("l_orderkey").alias("tile_id"), F.col("l_linenumber").alias("ord"), x.alias("x1"), y.alias("y1"), (x + 10 + F.col("l_partkey") % 9).alias("x2"), (y + 5 + F.col("l_suppkey") % 9).alias("y2"),
+        F.col("l_orderkey").alias("tile_id"), F.row_number().over(order).alias("ord"), x.alias("x1"), y.alias("y1"), (x + 10 + F.col("l_partkey") % 9).alias("x2"), (y + 5 + F.col("l_suppkey") % 9).alias("y2"),
         F.round(1 - F.col("l_discount") * 5, 6).alias("conf"),
     )
 
@@ -82,8 +84,8 @@ SQL = {
     "tiles": "SELECT vec_id AS tile, label, (generate_subscripts(embedding, 1) - 1)::INT AS p, unnest(embedding)::DOUBLE AS v FROM embeddings",
     "candidates": """SELECT event_id AS candidate_id, event_type AS source_label, (1 + user_id % 3)::INT AS scale_level, (1 + user_id % 3) * 0.5::DOUBLE AS scale_factor,
   CASE WHEN event_id % 17 <> 0 THEN value / 500 END AS score_mean, CASE WHEN event_id % 19 <> 0 THEN value * 10 END AS area_m2, ((event_id * 37) % 1000)::DOUBLE AS x, ((event_id * 91) % 1000)::DOUBLE AS y,
-  CASE WHEN user_id % 2 = 0 THEN 'EPSG:3857' ELSE 'EPSG:32636' END AS native_crs FROM events""",
-    "boxes": """SELECT l_orderkey AS tile_id, l_linenumber AS ord, l_quantity AS x1, (l_linenumber % 3 * 10)::DOUBLE AS y1, l_quantity + 10 + l_partkey % 9 AS x2, (l_linenumber % 3 * 10)::DOUBLE + 5 + l_suppkey % 9 AS y2,
+  CASE WHEN user_id % 2 = 0 THEN 'EPSG:3857' ELSE 'EPSG:32636' END AS native_crs, CASE WHEN event_id % 23 = 0 THEN 'fallback_top_score' ELSE 'detected' END AS candidate_type FROM events""",
+    "boxes": """SELECT l_orderkey AS tile_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount))::INT AS ord, l_quantity AS x1, (l_linenumber % 3 * 10)::DOUBLE AS y1, l_quantity + 10 + l_partkey % 9 AS x2, (l_linenumber % 3 * 10)::DOUBLE + 5 + l_suppkey % 9 AS y2,
   round(1 - l_discount * 5, 6) AS conf FROM lineitem""",
     "tile_log": "SELECT conv_id AS tile_index, turn % 3 AS candidate_index, conv_id * 1000 + turn AS line_no, role, CASE WHEN length(text) % 5 = 0 THEN 'error' ELSE 'ok' END AS status, length(text)::INT AS size FROM conversations",
     "eval_pairs": "SELECT doc_id, quality AS truth, (n_chars % 1009) / 1008.0::DOUBLE AS prob FROM labels JOIN documents USING (doc_id)",

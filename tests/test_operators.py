@@ -114,6 +114,88 @@ def test_otsu(spark):
     assert raster.otsu(cells(spark, [[None]])).first()["threshold"] == 0.5
 
 
+def filtered(g, down, across, mode):
+    """Weights along columns, then along rows; ``symmetric`` mirrors the edges, ``edge`` repeats them."""
+    h = len(down) // 2
+    big = np.pad(g, h, mode=mode)
+    one = sum(w * big[a : a + g.shape[0]] for a, w in enumerate(down))
+    return sum(w * one[:, b : b + g.shape[1]] for b, w in enumerate(across))
+
+
+def bell(sigma, order=0):
+    x = np.arange(-int(4 * sigma + 0.5), int(4 * sigma + 0.5) + 1)
+    k = np.exp(-0.5 * (x / sigma) ** 2)
+    return k / k.sum() * (1, x / sigma**2, (x * x / sigma**2 - 1) / sigma**2)[order]
+
+
+def norm(a):
+    lo, hi = np.percentile(a, [2, 98])
+    return np.clip((a - lo) / (hi - lo) if hi - lo > 1e-6 else a - lo, 0, 1)
+
+
+def opened(g, size, first, then):
+    """Frames of an even size reach one cell further before for minima, after for maxima."""
+    for fn in (first, then):
+        before = size // 2 if fn is np.min else size - 1 - size // 2
+        big = np.pad(g, ((before, size - 1 - before),) * 2, mode="edge")
+        g = fn([big[a : a + g.shape[0], b : b + g.shape[1]] for a in range(size) for b in range(size)], 0)
+    return g
+
+
+def test_terrain_scores_by_numpy(spark):
+    g = np.random.default_rng(7).random((14, 17)) * 3
+    df = cells(spark, g)
+    flat = lambda h: np.full(2 * h + 1, 1 / (2 * h + 1))
+    assert np.allclose(grid(raster.box_mean(df, 2), "mean"), filtered(g, flat(2), flat(2), "edge")) and np.allclose(grid(raster.box_mean(df, 20, mode="reflect"), "mean"), filtered(g, flat(20), flat(20), "symmetric"))
+    variance = np.maximum(filtered(g * g, flat(3), flat(3), "edge") - filtered(g, flat(3), flat(3), "edge") ** 2, 0)
+    assert np.allclose(grid(raster.local_variance(df, 3), "variance"), variance)
+    above = [g - filtered(g, flat(h), flat(h), "symmetric") for h in (2, 5)]
+    assert np.allclose(grid(terrain.position_index(df, (2, 5)), "tpi"), np.mean([np.clip(a / (3 * a.std()), -1, 1) for a in above], 0))
+    fy, fx = np.gradient(g)
+    (fyy, _), (fxy, fxx) = np.gradient(fy), np.gradient(fx)
+    p, q = fx**2, fy**2
+    below = np.maximum(p + q, 1e-10) ** 1.5
+    c = terrain.curvature(df)
+    assert np.allclose(grid(c, "plan"), np.clip(-(fxx * q - 2 * fxy * fx * fy + fyy * p) / below, -0.1, 0.1)) and np.allclose(grid(c, "profile"), np.clip(-(fxx * p + 2 * fxy * fx * fy + fyy * q) / below, -0.1, 0.1))
+
+    def second(s):
+        return [filtered(g, bell(s, y), bell(s, x), "edge") for y, x in ((2, 0), (1, 1), (0, 2))]
+
+    def ridge(s):
+        yy, xy, xx = second(s)
+        return norm(np.abs((xx + yy) / 2 - np.sqrt(np.maximum((xx + yy) ** 2 / 4 - (xx * yy - xy * xy), 0))))
+
+    assert np.allclose(grid(terrain.hessian(df, (1.0, 2.0)), "ridge"), np.maximum(ridge(1.0), ridge(2.0)))
+    hats = [norm(x) for s in (3, 4) for x in (g - opened(g, s, np.min, np.max), opened(g, s, np.max, np.min) - g)]
+    assert np.allclose(grid(terrain.prominence(df, (3, 4)), "prominence"), np.max(hats, 0))
+    svf = np.random.default_rng(8).random(g.shape)
+    blob = np.max([np.abs(second(s)[0] + second(s)[2]) for s in (1.0, 2.0)], 0)
+    slope = np.hypot(filtered(g, bell(1.5, 1), bell(1.5), "edge"), filtered(g, bell(1.5), bell(1.5, 1), "edge"))
+    lrm = g - filtered(g, bell(2.0), bell(2.0), "symmetric")
+    want = 0.3 * norm(blob) + 0.2 * norm(lrm) + 0.15 * norm(1 - norm(svf)) + 0.15 * norm(slope) + 0.1 * norm(variance)
+    got = terrain.relief_score(df, cells(spark, svf).withColumnRenamed("v", "svf"), sigmas=(1.0, 2.0), relief_sigma=2.0)
+    assert np.allclose(grid(got, "score"), want)
+
+
+def test_percentiles_by_numpy(spark):
+    rng = np.random.default_rng(3)
+    for x in (rng.random(500), np.array([0.0, 10, 50, 90, 100]), np.ones(7), np.r_[np.zeros(400), rng.random(3)], np.array([4.0]), rng.integers(0, 4, 100) * 1e-9):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+        (r,) = raster.percentiles(df, "v", 2, 98).collect()
+        assert (r["lo"], r["hi"]) == pytest.approx(tuple(np.percentile(x, [2, 98])))
+    clipped = raster.normalised(cells(spark, [[0, 10, 50, 90, 100]]))
+    assert np.allclose(grid(clipped), norm(np.array([[0.0, 10, 50, 90, 100]])))
+    assert raster.percentiles(spark.createDataFrame([], "v double"), "v", 2, 98).first()["lo"] is None
+
+
+def test_shading_and_losses_by_hand(spark):
+    flat = raster.hillshade(cells(spark, np.ones((3, 3)))).first()
+    assert flat["shade"] == pytest.approx((np.sin(np.pi / 4) + 1) * 127.5) and flat["shade8"] == 218
+    pairs = spark.createDataFrame([(0.0, 1), (0.0, 0)], "logit double, truth int")
+    r = terrain.losses(pairs).first()
+    assert r["cross_entropy"] == pytest.approx(np.log(2)) and r["focal"] == pytest.approx(0.25 * 0.25 * np.log(2)) and r["dice"] == pytest.approx(1 - 2 / 3) and r["combined"] == pytest.approx((np.log(2) + 1 / 3) / 2)
+
+
 def test_stencils_by_numpy(spark):
     g = np.random.default_rng(2).random((9, 11))
     df = cells(spark, g)
@@ -121,14 +203,14 @@ def test_stencils_by_numpy(spark):
     assert np.allclose(grid(raster.slope(df), "slope"), np.degrees(np.arctan(np.hypot(gx, gy))))
     pad = np.pad(g, 1, mode="edge")
     low = np.min([pad[a : a + 9, b : b + 11] for a in range(3) for b in range(3)], 0)
-    assert np.allclose(grid(raster.separable(df, F.min, 1)), low)
+    assert np.allclose(grid(raster.separable(df, F.min, 3)), low)
     x = np.arange(-4, 5)
     k = np.exp(-0.5 * x * x) / np.exp(-0.5 * x * x).sum()
     big = np.pad(g, 4, mode="edge")
     smooth = sum(k[a] * big[a : a + 9] for a in range(9))
     smooth = sum(k[b] * smooth[:, b : b + 11] for b in range(9))
     assert np.allclose(grid(raster.gaussian(df, 1.0)), smooth)
-    assert np.allclose(grid(terrain.local_relief(df, 1.0), "lrm"), g - smooth)
+    assert np.allclose(grid(terrain.local_relief(df, 1.0), "lrm"), g - filtered(g, bell(1.0), bell(1.0), "symmetric"))
     whole, tiled = grid(terrain.sky_view(df, 3, tile=64), "svf"), grid(terrain.sky_view(df, 3, tile=4), "svf")
     assert np.allclose(whole, tiled) and whole.max() <= 1
     assert grid(terrain.sky_view(cells(spark, np.ones((6, 6))), 2), "svf").min() == 1
@@ -181,8 +263,8 @@ def test_logs(spark):
 def test_answers(spark):
     said = 'see {"a": 1} and {candidates: [{"x": "}"}],} or {"b": {"c": 2}} {"d'
     assert text.balanced_objects(said) == ['{"a": 1}', '{candidates: [{"x": "}"}],}', '{"b": {"c": 2}}']
-    df = spark.createDataFrame([(said,), (None,), ("no",), ('{"q": 1} {"r": 2}',)], "t string")
-    assert [r["x"] for r in df.select(text.model_answer("t").alias("x")).collect()] == ['{"candidates": [{"x": "}"}]}', None, None, '{"r": 2}']
+    df = spark.createDataFrame([(said,), (None,), ("no",), ('{"q": 1} {"r": 2}',), ('He wrote "{" and then {"candidate": 1}',), ('{candidate: "{a: 1,}",}',), ('```json\n{"confirmed": true}\n```',)], "t string")
+    assert [r["x"] for r in df.select(text.model_answer("t").alias("x")).collect()] == ['{"candidates": [{"x": "}"}]}', None, None, None, '{"candidate": 1}', '{"candidate": "{a: 1,}"}', '{"confirmed": true}']
     assert one(spark, text.csv_ints(F.lit(" 1, x,3"))) == [1, 3] and one(spark, text.trimmed_number(F.lit(0.50))) == "0.5" and one(spark, text.scale_token(F.lit(None).cast("double"))) == "-"
 
 
