@@ -182,20 +182,20 @@ def _placed_boxes(spark, d) -> DataFrame:
 
 @query()
 def nms_cross_tile(spark, d):
-    """Greedy suppression over all tiles: overlaps are found by grid cell, and only their components meet in a group."""
+    """Greedy suppression over all tiles: overlaps are found by grid cell and settled in rounds."""
     rows = _placed_boxes(spark, d)
     cell = 40
     span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
     keyed = rows.withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(span("y1", "y2"))).withColumn("cell", F.col("cx") * 1_000_000 + F.col("cy"))
     pairs = C.iou_pairs(keyed, "cell", "ord", 0.5).select("a", "b").distinct()
-    return G.suppress_across(rows, "ord", 0.5, pairs, C.suppress).select("tile_id", "ord", "conf")
+    return G.suppress_across(rows, "ord", pairs).select("tile_id", "ord", "conf")
 
 
 SMALL_CLUSTER = 3.0
 
 
 def _clusters(rows: DataFrame) -> DataFrame:
-    labels = G.label_edges(C.distance_pairs(rows, SMALL_CLUSTER))
+    labels = G.label_edges(C.distance_links(rows, SMALL_CLUSTER))
     return rows.join(labels, rows["candidate_id"] == labels["id"], "left").select("candidate_id", F.coalesce("label", "candidate_id").alias("cluster"))
 
 
@@ -456,11 +456,12 @@ def overlap_blend(spark, d):
     return rounded(R.blend(rows.select("row", "col", F.col("v").alias("p"), weight.alias("w"), F.lit(True).alias("valid"))), "prob")
 
 
-@query("WITH z AS (SELECT unnest(range(1, 33))::INT AS size), i AS (SELECT size, unnest(range(0, size))::INT AS pos FROM z), n AS (SELECT i.*, n FROM i, (SELECT count(*) AS n FROM region)) SELECT size, pos, round(" + _ramp("pos", "size") + ", 6) AS weight, n AS n_regions FROM n")
+@query("WITH " + SIZES + ", g AS (SELECT raster, r AS row_off, c AS col_off, least(32, h - r) AS height, least(32, w - c) AS width FROM (SELECT *, unnest(range(0, w, 24))::INT AS c FROM (SELECT *, unnest(range(0, h, 24))::INT AS r FROM z))) SELECT raster, row_off, col_off, round(list_sum(list_transform(range(0, height), lambda i: " + _ramp("i", "height") + ")) * list_sum(list_transform(range(0, width), lambda i: " + _ramp("i", "width") + ")), 6) AS weight FROM g")
 def feather_weights(spark, d):
-    sizes = V.table(spark, d, "region").agg(F.count(F.lit(1)).alias("n_regions")).select("n_regions", F.explode(F.sequence(F.lit(1), F.lit(32))).alias("size"))
-    rows = sizes.withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
-    return rows.select("size", "pos", r6(R.feather(F.col("pos"), F.col("size"), 32, 8)).alias("weight"), "n_regions")
+    """The weight that each tile of all rasters has as a whole: the product of the sums along both axes."""
+    tiles = _sizes(spark, d).select("raster", F.explode(R.tile_grid(F.col("h"), F.col("w"), 32, 8)).alias("t")).select("raster", "t.*")
+    total = lambda n: F.aggregate(F.sequence(F.lit(0), F.col(n) - 1), F.lit(0.0), lambda a, i: a + R.feather(i, F.col(n), 32, 8))
+    return tiles.select("raster", "row_off", "col_off", r6(total("height") * total("width")).alias("weight"))
 
 
 @query(f"""SELECT least(floor({UNIT} * 256), 255)::INT AS bin, count(*) AS n FROM mosaic GROUP BY ALL""", "mosaic")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratum.sources.shared import stored
+
 #: Bands of the mean score (fixed values): high, medium, low, unknown.
 HIGH, MEDIUM, LOW, UNKNOWN = "Yuksek", "Orta", "Dusuk", "Bilinmiyor"
 #: Type of candidates that were taken for want of others (fixed value).
@@ -30,16 +32,15 @@ def confidence_tier(confidence: Column) -> Column:
 def priority_rank(rows: DataFrame, into: str = "priority_rank") -> DataFrame:
     """Global rank: score descending, nulls last; then area, source, scale and id.
 
-    The rank is counted in two steps: rows below a score band are counted first, so that the window
-    that numbers rows is partitioned by that band instead of holding the whole table."""
+    Rows are dealt out by ranges of the whole order and sorted within them; a row's rank is its place in its range and
+    the rows of the ranges before."""
     score, area = F.coalesce("score_mean", F.lit(-1.0)), F.coalesce("area_m2", F.lit(-1.0))
-    band = F.floor(F.least(F.greatest(score, F.lit(-1.0)), F.lit(1.0)) * 1000)
-    rows = rows.withColumn("__band", band)
-    sizes = rows.groupBy("__band").count()  # at most 2001 rows
-    above = sizes.select("__band", F.coalesce(F.sum("count").over(Window.orderBy(F.desc("__band")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__above"))
-    order = Window.partitionBy("__band").orderBy(score.desc(), area.desc(), "source_label", F.coalesce("scale_level", F.lit(999999)), F.coalesce("candidate_id", F.lit(999999)))
-    ranked = rows.withColumn("__n", F.row_number().over(order)).join(F.broadcast(above), "__band")
-    return ranked.withColumn(into, (F.col("__n") + F.col("__above")).cast("bigint")).drop("__band", "__n", "__above")
+    order = [score.desc(), area.desc(), F.asc("source_label"), F.coalesce("scale_level", F.lit(999999)).asc(), F.coalesce("candidate_id", F.lit(999999)).asc()]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = stored(dealt.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = dealt.groupBy("__part").count().select("__part", before.alias("__before"))  # a row for each range
+    return dealt.join(F.broadcast(sizes), "__part").withColumn(into, (F.col("__at") + F.col("__before") + 1).cast("bigint")).drop("__part", "__at", "__before")
 
 
 def group_summary(rows: DataFrame) -> DataFrame:
@@ -133,10 +134,10 @@ def iou_pairs(rows: DataFrame, key: str, order: str, least: float) -> DataFrame:
 
 
 def suppress(rows: DataFrame, key: str, least: float) -> DataFrame:
-    """Greedy suppression within each key (a tile, or a component of overlapping boxes): by falling confidence,
+    """Greedy suppression within each key: by falling confidence,
     boxes are kept that overlap none of those kept. Boxes without corners are always kept; ties go by ``ord``.
 
-    A key's boxes are folded in one array, so a key should be a tile or a component, not a whole raster."""
+    A key's boxes are folded in one array, so a key should be a tile, not a whole raster (see ``components.suppress_across``)."""
     rest = [c for c in rows.columns if c != key]
     order = F.struct(F.coalesce(-F.col("conf"), F.lit(float("inf"))).alias("k"), F.col("ord").alias("o"), F.struct(*rest).alias("b"))
     box = lambda r: tuple(r["b"][c] for c in ("x1", "y1", "x2", "y2"))
@@ -146,15 +147,25 @@ def suppress(rows: DataFrame, key: str, least: float) -> DataFrame:
     return kept.select(*(F.col(key) if c == key else F.col(f"r.b.{c}").alias(c) for c in rows.columns))
 
 
-def distance_pairs(rows: DataFrame, reach: float, key: str = "candidate_id") -> DataFrame:
-    """Pairs (a, b), a < b, of points of one known coordinate system at most ``reach`` apart, by a grid of cells of that size."""
-    cell = lambda c: F.floor(F.col(c) / reach)
-    points = rows.where("x IS NOT NULL AND y IS NOT NULL AND lower(trim(native_crs)) NOT IN ('', 'unknown')").select(key, "native_crs", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
-    near = F.explode(F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    a = points.select(F.col(key).alias("a"), "native_crs", F.col("x").alias("xa"), F.col("y").alias("ya"), near.alias("n")).select("a", "native_crs", "xa", "ya", "n.cx", "n.cy")
-    b = points.select(F.col(key).alias("b"), "native_crs", F.col("x").alias("xb"), F.col("y").alias("yb"), "cx", "cy")
+def distance_links(rows: DataFrame, reach: float, key: str = "candidate_id") -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of points at most ``reach`` apart, within one known coordinate system.
+
+    A cell's diagonal is at most ``reach``, so its points hang on its smallest one; points of different cells are compared by
+    place, once for all points at that place, and give one link for each two cells."""
+    cell = lambda c: F.floor(F.col(c) / (reach / 1.41422)).cast("bigint")
+    points = rows.where("x IS NOT NULL AND y IS NOT NULL AND lower(trim(native_crs)) NOT IN ('', 'unknown')")
+    points = points.select(F.col(key).alias("id"), "native_crs", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), cell("x").alias("cx"), cell("y").alias("cy"))
+    one = ["native_crs", "cx", "cy"]
+    heads = points.groupBy(*one).agg(F.min("id").alias("a"))
+    inner = points.join(heads, one).where("id <> a").select("a", F.col("id").alias("b"))
+    places = points.select(*one, "x", "y").distinct().join(heads, one)
+    steps = [(i, j) for i in range(3) for j in range(-2, 3) if i > 0 or j > 0]  # each two cells once
+    near = F.inline(F.array(*(F.struct((F.col("cx") + i).alias("nx"), (F.col("cy") + j).alias("ny")) for i, j in steps)))
+    left = places.select("native_crs", F.col("x").alias("xa"), F.col("y").alias("ya"), "a", near)
+    right = places.select("native_crs", F.col("cx").alias("nx"), F.col("cy").alias("ny"), "x", "y", F.col("a").alias("b"))
     d = lambda p, q: (F.col(p) - F.col(q)) * (F.col(p) - F.col(q))
-    return a.join(b, ["native_crs", "cx", "cy"]).where((F.col("a") < F.col("b")) & (d("xa", "xb") + d("ya", "yb") <= reach * reach)).select("a", "b")
+    outer = left.join(right, ["native_crs", "nx", "ny"]).where(d("xa", "x") + d("ya", "y") <= reach * reach).select("a", "b").distinct()
+    return inner.unionByName(outer)
 
 
 def cluster_rollup(rows: DataFrame, cluster: str = "cluster") -> DataFrame:

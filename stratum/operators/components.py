@@ -37,27 +37,29 @@ def label_edges(edges: DataFrame) -> DataFrame:
 
 
 def _label_tile(r: np.ndarray, c: np.ndarray, eight: bool) -> np.ndarray:
-    """For the set cells of a tile: the index of the first cell (row-major) of each one's component."""
-    order = np.lexsort((c, r))
-    place = {(int(a), int(b)): k for k, (a, b) in enumerate(zip(r[order], c[order], strict=True))}
-    up = list(range(len(order)))
-
-    def top(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    near = ((0, -1), (-1, 0), (-1, -1), (-1, 1)) if eight else ((0, -1), (-1, 0))
-    for (a, b), k in place.items():
-        for da, db in near:
-            j = place.get((a + da, b + db))
-            if j is not None:
-                p, q = top(k), top(j)
-                up[max(p, q)] = min(p, q)
-    out = np.empty(len(order), np.int64)
-    out[order] = [order[top(k)] for k in range(len(order))]
-    return out
+    """For the set cells of a tile: the index of the first cell (row-major) of each one's component.
+
+    Labels hang on the smallest label beside any of their cells, and then on its root, until nothing changes."""
+    h, w = int(r.max() - r.min()) + 3, int(c.max() - c.min()) + 3
+    place = (r - r.min() + 1) * w + (c - c.min() + 1)
+    at = np.sort(place)
+    index = np.full(h * w, -1, np.int64)
+    index[at] = np.arange(len(at))
+    steps = (-1, 1, -w, w, -w - 1, -w + 1, w - 1, w + 1) if eight else (-1, 1, -w, w)
+    ends = [(np.flatnonzero(n >= 0), n[n >= 0]) for s in steps if (n := index[at + s]) is not None]
+    label = np.arange(len(at))
+    while True:
+        up = np.arange(len(at))
+        for a, b in ends:
+            np.minimum.at(up, label[a], label[b])
+        while (nxt := up[up]).tolist() != up.tolist():
+            up = nxt
+        new = up[label]
+        if (new == label).all():
+            break
+        label = new
+    origin = np.argsort(place)
+    return origin[label[index[place]]]
 
 
 def label_mask(pixels: DataFrame, width: int, eight: bool = True, tile: int = 256) -> DataFrame:
@@ -91,12 +93,28 @@ def component_boxes(labels: DataFrame, scores: DataFrame, cell: float = 1.0, lea
     return out.withColumn("area", F.col("cells") * cell * cell).where(F.col("area") >= least_area)
 
 
-def suppress_across(boxes: DataFrame, order: str, least: float, pairs: DataFrame, suppress) -> DataFrame:
-    """Greedy suppression over a whole table: only boxes of one component of overlaps can suppress each other."""
-    labels = label_edges(pairs)
-    rows = boxes.join(labels, boxes[order] == labels["id"], "left").withColumn("__c", F.coalesce("label", order)).drop("id", "label")
-    return suppress(rows, "__c", least).drop("__c")
-
+def suppress_across(boxes: DataFrame, order: str, pairs: DataFrame) -> DataFrame:
+    """Greedy suppression over a whole table, ``pairs`` (a, b) being the boxes, by ``order``, that overlap too much.
+
+    In each round the boxes that are stronger than all they still overlap stay, and those they overlap go: what is left
+    is what a fold from the strongest to the weakest box leaves.  The rounds grow with the longest chain of falling
+    strength, and the table of open pairs shrinks with each."""
+    told = lambda c: boxes.select(F.col(order).alias(c), F.struct(F.coalesce("conf", F.lit(float("-inf"))).alias("k"), (-F.col(order)).alias("o")).alias(f"k{c}"))
+    both = pairs.where("a <> b").join(told("a"), "a").join(told("b"), "b")
+    first = F.col("ka") > F.col("kb")
+    open_, path = stored_at(both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("s"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("w")).distinct())
+    gone = []
+    while not open_.isEmpty():
+        stay = open_.join(open_.select(F.col("w").alias("s")).distinct(), "s", "left_anti")
+        gone.append(stored(stay.select(F.col("w").alias("g")).distinct()))
+        left = open_.join(gone[-1], open_["s"] == gone[-1]["g"], "left_anti")
+        left = left.join(gone[-1], left["w"] == gone[-1]["g"], "left_anti")
+        old = path
+        open_, path = stored_at(left)
+        dropped(boxes.sparkSession, old)
+    for g in gone:
+        boxes = boxes.join(g, boxes[order] == g["g"], "left_anti")
+    return boxes
 
 
 def rings(segments: DataFrame) -> DataFrame:

@@ -14,8 +14,17 @@ def draw(key: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))).cast("binary"))
 
 
-def _ranked(rows: DataFrame, by: list[str], key: str, seed: int) -> DataFrame:
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(draw(F.col(key), seed), key)))
+def _ranked(rows: DataFrame, by: list[str], key: str, seed: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """``__n``: the place of a row in its group's order of drawing.
+
+    Draws are counted by their first four digits, at most 65,536 counts a group; rows are numbered within these and
+    moved on by what is counted before, so that no task sorts a whole group."""
+    rows = rows.withColumn("__d", draw(F.col(key), seed)).withColumn("__p", F.substring("__d", 1, 4))
+    one = rows.groupBy(*by, "__p").agg(F.count(F.lit(1)).alias("__c"))
+    before = F.coalesce(F.sum("__c").over(Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy(*by, "__p").orderBy("__d", key, *ties))
+    rows = rows.withColumn("__n", place).join(one.withColumn("__b", before).drop("__c"), [*by, "__p"])
+    return rows.withColumn("__n", F.col("__n") + F.col("__b")).drop("__d", "__p", "__b")
 
 
 def keep_ratio(rows: DataFrame, by: list[str], key: str, ratio: float, seed: int) -> DataFrame:
@@ -57,10 +66,9 @@ def split_or_fallback(windows: DataFrame, tile: int, height: int, ratio: float,
     """``split`` by the dividing line, or drawn at random where one side would be empty; ``mode`` tells which."""
     rows = windows.withColumn("__s", split_rows_two(F.col(key), tile, height, ratio))
     facts = rows.agg((F.count_if(F.col("__s") == "train") * F.count_if(F.col("__s") == "val") == 0).alias("__random"), F.floor(F.count(F.lit(1)) * ratio).alias("__take"))  # one row
-    drawn = F.row_number().over(Window.partitionBy("__random").orderBy(draw(F.col(key), seed), *windows.columns))
-    rows = rows.crossJoin(F.broadcast(facts))
-    split = F.when(F.col("__random"), F.when(drawn <= F.col("__take"), "train").otherwise("val")).otherwise(F.col("__s"))
-    return rows.withColumn("split", split).withColumn("mode", F.when(F.col("__random"), "random_fallback").otherwise("spatial")).drop("__s", "__random", "__take")
+    rows = _ranked(rows, [], key, seed, tuple(windows.columns)).crossJoin(F.broadcast(facts))
+    split = F.when(F.col("__random"), F.when(F.col("__n") <= F.col("__take"), "train").otherwise("val")).otherwise(F.col("__s"))
+    return rows.withColumn("split", split).withColumn("mode", F.when(F.col("__random"), "random_fallback").otherwise("spatial")).drop("__s", "__n", "__random", "__take")
 
 
 def windows_of_box(lo: Column, hi: Column, tile: int, stride: int, limit: int) -> Column:

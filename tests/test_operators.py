@@ -48,9 +48,62 @@ def test_suppression(spark):
 
 
 def test_chain_of_distances(spark):
-    points = [(1, 0.0, 0.0, "a"), (2, 20.0, 0.0, "a"), (3, 40.0, 0.0, "a"), (4, 61.0, 0.0, "a"), (5, 0.0, 1.0, "b"), (6, None, None, "a")]
+    points = [(1, 0.0, 0.0, "a"), (2, 20.0, 0.0, "a"), (3, 40.0, 0.0, "a"), (4, 61.0, 0.0, "a"), (5, 0.0, 1.0, "b"), (6, None, None, "a"), (7, 0.0, 0.0, " "), (8, 0.0, 0.0, "Unknown"), (9, 0.0, 0.0, None)]
     df = spark.createDataFrame(points, "candidate_id bigint, x double, y double, native_crs string")
-    assert {(r["id"], r["label"]) for r in components.label_edges(candidates.distance_pairs(df, 20.0)).collect()} == {(2, 1), (3, 1)}
+    assert {(r["id"], r["label"]) for r in components.label_edges(candidates.distance_links(df, 20.0)).collect()} == {(2, 1), (3, 1)}
+
+
+def test_links_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    xy = np.concatenate([rng.random((150, 2)) * 40 - 20, rng.integers(0, 5, (60, 2)) * 1.0])
+    df = spark.createDataFrame([(i, float(x), float(y), "a") for i, (x, y) in enumerate(xy)], "candidate_id bigint, x double, y double, native_crs string")
+    near = ((xy[:, None] - xy[None]) ** 2).sum(2) <= 4.0
+    label = np.arange(len(xy))
+    for _ in xy:
+        label = np.min(np.where(near, label[None], len(xy)), 1)
+    got = {r["id"]: r["label"] for r in components.label_edges(candidates.distance_links(df, 2.0)).collect()}
+    assert [got.get(i, i) for i in range(len(xy))] == label.tolist()
+
+
+def test_suppression_across_tiles(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(i), float(x), float(y), float(x + 6), float(y + 6), None if i % 11 == 0 else round(float(c), 1)) for i, (x, y, c) in enumerate(rng.random((120, 3)) * (30, 30, 1))]
+    df = spark.createDataFrame(rows, "ord bigint, x1 double, y1 double, x2 double, y2 double, conf double")
+    pairs = candidates.iou_pairs(df.withColumn("k", F.lit(1)), "k", "ord", 0.3)
+    kept = []
+    for r in sorted(rows, key=lambda r: (float("inf") if r[5] is None else -r[5], r[0])):
+        if all(one_iou(r, k) < 0.3 for k in kept):
+            kept.append(r)
+    assert {r["ord"] for r in components.suppress_across(df, "ord", pairs).collect()} == {r[0] for r in kept}
+
+
+def one_iou(a, b):
+    w, h = max(0, min(a[3], b[3]) - max(a[1], b[1])), max(0, min(a[4], b[4]) - max(a[2], b[2]))
+    return w * h / (72 - w * h)
+
+
+def test_ranks_and_draws(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, None if i % 3 == 0 else float(rng.integers(0, 4)) / 2, None if i % 5 == 0 else 1.0, "ab"[i % 2], 1) for i in range(200)]
+    df = spark.createDataFrame(rows, "candidate_id bigint, score_mean double, area_m2 double, source_label string, scale_level int").repartition(5)
+    want = [r[0] for r in sorted(rows, key=lambda r: (-(-1 if r[1] is None else r[1]), -(-1 if r[2] is None else r[2]), r[3], r[4], r[0]))]
+    got = {r["priority_rank"]: r["candidate_id"] for r in candidates.priority_rank(df).collect()}
+    assert [got[k + 1] for k in range(200)] == want
+    import hashlib
+
+    drawn = sampling._ranked(df, ["source_label"], "candidate_id", 3).collect()
+    for s in "ab":
+        order = sorted((r[0] for r in rows if r[3] == s), key=lambda i: hashlib.md5(f"{i}:3".encode()).hexdigest())
+        assert [r["candidate_id"] for r in sorted(drawn, key=lambda r: r["__n"]) if r["source_label"] == s] == order
+
+
+def test_fingerprints(spark):
+    import hashlib
+    import json
+
+    fields = {"b": F.lit("x"), "a": F.lit(1), "c": F.lit(None).cast("string")}
+    raw = json.dumps({"a": 1, "b": "x", "c": None}, sort_keys=True, separators=(",", ":")).encode()
+    assert one(spark, scanlog.fingerprint(fields)) == hashlib.sha256(raw).hexdigest() and one(spark, scanlog.cache_key(fields)) == hashlib.sha1(raw).hexdigest()[:16]
 
 
 def test_suppressed_top_k(spark):
