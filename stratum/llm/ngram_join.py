@@ -441,7 +441,8 @@ def _labelled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = stored(members.groupBy("start").agg(F.min("m").alias("g"), F.count(F.lit(1)).alias("w")))
     of_group = groups.where("w > 1").join(members.select("start", "m"), "start").select("g", "m")
     # one row for each shared key of a group's prefix
-    posts = members.where(F.size("prefix") > 0).select("start", "m", "n", "prefix", F.posexplode("prefix").alias("pos", "key"), "before").join(groups, "start").where("m = g")
+    posts = members.where(F.size("prefix") > 0).select("start", "m", "n", "before", "prefix").join(groups, "start").where("m = g")
+    posts = posts.select("g", "n", "w", "before", "prefix", F.posexplode("prefix").alias("pos", "key"))
     posts = posts.select("key", "g", "n", "w", (F.col("pos") + F.col("before")).alias("pos"), F.when(F.col("pos") > 0, F.element_at("prefix", F.col("pos"))).alias("last"))
     posts = stored(posts)
     shared = posts.groupBy("key").agg(F.sum("w").alias("many"), F.min("g").alias("head")).where("many > 1")
