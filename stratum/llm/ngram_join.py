@@ -44,13 +44,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratum.llm import words as W
-from stratum.llm.shared import arrow_pass, numbered, picked, place, runs, stored
+from stratum.llm.shared import arrow_pass, numbered, picked, pieces, place, runs, stored
 from stratum.operators.components import label_edges
 
 SHINGLE = 5
 PERCENT = 80
 #: Shingles of a unit, and of a range of hashes, at which it is closed (one text more may stand in a unit).
-UNIT = RANGE = 1 << 20
+UNIT = RANGE = 1 << 19
 #: Documents of a unit at most: their numbers take two bytes.
 UNIT_DOCS = (1 << 16) - 1
 #: Ranges at most: beyond UNIT * MOST_RANGES shingles a range, and what a task holds of it, grows.
@@ -157,7 +157,7 @@ def _units(rows: DataFrame, bits: int) -> DataFrame:
             ]
             return pa.RecordBatch.from_arrays(columns, ["unit", "range", "hashes", "docs", "ids", "info", "sketches"])
 
-        for batch in batches:
+        for batch in pieces(batches):
             for t, g, doc in shingles(batch["text"]):
                 size = np.bincount(doc, minlength=len(t))
                 ends = np.concatenate([[0], np.cumsum(size)])
@@ -321,7 +321,7 @@ def _links(pairs: DataFrame, members: DataFrame, rows: DataFrame) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, mine, last = None, np.zeros(0, W.U), -1
-        for batch in batches:
+        for batch in pieces(batches):
             a, part, m = (np.asarray(batch[c]) for c in ("a", "part", "m"))
             out = []
             for t, g, doc in shingles(batch["text"]):

@@ -11,20 +11,26 @@ from pyspark.sql import functions as F
 
 from stratum.sources.shared import dropped, folder, stored, stored_at
 
-__all__ = ["arrow_pass", "chosen", "dropped", "folder", "numbered", "picked", "place", "runs", "stored", "stored_at"]
+__all__ = ["arrow_pass", "chosen", "dropped", "folder", "numbered", "picked", "pieces", "place", "runs", "stored", "stored_at"]
 
 #: Rows that are handled at a time, so that temporary arrays stay small.
 PIECE = 512
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut into pieces of at most PIECE rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECE):
+            yield batch.slice(at, PIECE)
+
+
 def arrow_pass(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``each`` applied to pieces of the Arrow batches of ``df``; its result's columns in the order of ``schema``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, PIECE):
-                if (out := each(batch.slice(at, PIECE))) is not None:
-                    yield out
+        for piece in pieces(batches):
+            if (out := each(piece)) is not None:
+                yield out
 
     return df.mapInArrow(run, schema)
 
