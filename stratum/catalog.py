@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.functions import channels, geo, text
+from stratum.operators import answers as A
 from stratum.operators import candidates as C
 from stratum.operators import components as G
 from stratum.operators import evaluation as E
@@ -926,3 +927,119 @@ def stream_dead_letters(spark, d):
     X.export(X.source(spark, source, log.schema, files_per_trigger=1), good, bad, folder(spark), "status = 'ok'").awaitTermination()
     both = spark.read.parquet(good).withColumn("good", F.lit(True)).unionByName(spark.read.parquet(bad).withColumn("good", F.lit(False)))
     return both.groupBy("good").agg(F.count(F.lit(1)).alias("n"))
+
+
+# numbering, projections, answers, rules and selections
+
+
+@query(""", k AS (SELECT cluster, count(*) AS members, max(score_mean) AS score_max, round(sum(area_m2), 3) AS area_sum, min(source_label) AS label FROM (SELECT *, native_crs || ':' || floor(x / 50)::BIGINT || ':' || floor(y / 50)::BIGINT AS cluster FROM candidates) GROUP BY cluster)
+SELECT cluster, row_number() OVER (ORDER BY coalesce(nullif(score_max, 0), -1) DESC, members DESC, coalesce(nullif(area_sum, 0), -1) DESC, label, cluster) AS cluster_id FROM k""", "candidates")
+def cluster_numbers(spark, d):
+    key = F.concat_ws(":", "native_crs", F.floor(F.col("x") / 50), F.floor(F.col("y") / 50))
+    one = V.candidates(spark, d).groupBy(key.alias("cluster")).agg(F.count(F.lit(1)).alias("members"), F.max("score_mean").alias("score_max"), F.round(F.sum("area_m2"), 3).alias("area_sum"), F.min("source_label").alias("label"))
+    return C.numbered_clusters(one, "score_max", "members", "area_sum", "label", "cluster").select("cluster", "cluster_id")
+
+
+@query("WITH RECURSIVE mosaic AS (" + V.SQL["mosaic"] + "),\n" + MASK + ",\n" + REACHED + """, c AS (SELECT label, count(*) * 4.0::DOUBLE AS area_m2, avg(v) AS s, 3000000 + 2 * (avg(col) + 0.5) AS x, 4500000 - 2 * (avg(row) + 0.5) AS y FROM l JOIN m USING (row, col) GROUP BY label HAVING count(*) * 4 >= 12)
+SELECT row_number() OVER (ORDER BY label) AS id, area_m2, round(s, 6) AS score_mean, round(x, 6) AS x, round(y, 6) AS y, round(degrees(x / 6378137.0), 6) AS lon, round(degrees(2 * atan(exp(y / 6378137.0)) - pi() / 2), 6) AS lat FROM c""")
+def component_candidates(spark, d):
+    """From a scored raster to candidate rows: components, an area rule, ids without gaps, places on the ground."""
+    found = G.component_boxes(_labels(spark, d), V.mosaic(spark, d), 2.0, 12.0)
+    rows = C.dense_ids(found, ["label"], 4.0, 12.0, "cells")
+    x, y = geo.affine(F.array(*map(F.lit, (2.0, 0.0, 3e6, 0.0, -2.0, 4.5e6))), F.col("col_mean") + 0.5, F.col("row_mean") + 0.5)
+    lon, lat = geo.to_wgs84(x, y, F.lit("EPSG:3857"))
+    return rows.select("id", "area_m2", r6("score_mean").alias("score_mean"), r6(x).alias("x"), r6(y).alias("y"), r6(lon).alias("lon"), r6(lat).alias("lat"))
+
+
+@query(""", q AS (SELECT candidate_id, 450000 + x AS x, 4200000 + y AS y, 0.0818191908426215 ** 2 AS e2 FROM candidates WHERE native_crs = 'EPSG:32636'),
+a AS (SELECT *, e2 / (1 - e2) AS ep, (1 - sqrt(1 - e2)) / (1 + sqrt(1 - e2)) AS e1, y / 0.9996 / (6378137.0 * (1 - e2 / 4 - 3 * e2 ** 2 / 64 - 5 * e2 ** 3 / 256 - 175 * e2 ** 4 / 16384)) AS mu FROM q),
+b AS (SELECT *, mu + (1.5 * e1 - 27 * e1 ** 3 / 32) * sin(2 * mu) + (21 * e1 ** 2 / 16 - 55 * e1 ** 4 / 32) * sin(4 * mu) + 151 * e1 ** 3 / 96 * sin(6 * mu) + 1097 * e1 ** 4 / 512 * sin(8 * mu) AS p FROM a),
+c AS (SELECT *, ep * cos(p) ** 2 AS c1, tan(p) ** 2 AS t, 6378137.0 / sqrt(1 - e2 * sin(p) ** 2) AS n, 6378137.0 * (1 - e2) / (1 - e2 * sin(p) ** 2) ** 1.5 AS r FROM b),
+d AS (SELECT *, (x - 500000) / (n * 0.9996) AS d FROM c)
+SELECT candidate_id, round(33 + degrees((d - (1 + 2 * t + c1) * d ** 3 / 6 + (5 - 2 * c1 + 28 * t - 3 * c1 ** 2 + 8 * ep + 24 * t ** 2) * d ** 5 / 120) / cos(p)), 6) AS lon,
+ round(degrees(p - n * tan(p) / r * (d ** 2 / 2 - (5 + 3 * t + 10 * c1 - 4 * c1 ** 2 - 9 * ep) * d ** 4 / 24 + (61 + 90 * t + 298 * c1 + 45 * t ** 2 - 252 * ep - 3 * c1 ** 2) * d ** 6 / 720)), 6) AS lat FROM d""", "candidates")
+def utm_to_wgs84(spark, d):
+    """The SQL takes the series over the footpoint latitude, not the one of the operator."""
+    lon, lat = geo.to_wgs84(F.col("x") + 450000, F.col("y") + 4200000, F.col("native_crs"))
+    return V.candidates(spark, d).where("native_crs = 'EPSG:32636'").select("candidate_id", r6(lon).alias("lon"), r6(lat).alias("lat"))
+
+
+ANSWER = """e AS (SELECT event_id AS tile, event_id % 4 AS k, (event_id % 10) / 10.0::DOUBLE AS b, least(value / 1000, 1)::DOUBLE AS a FROM events)
+SELECT tile, true AS candidate, round(greatest(a, b), 6) AS conf, CASE WHEN a >= b THEN 'mound' ELSE 'unknown' END AS candidate_type, 4.0::DOUBLE AS x2, 'ok' AS status, CASE WHEN greatest(a, b) >= 0.5 THEN 1 ELSE 2 END AS candidate_index, 2 AS candidate_count FROM e WHERE k = 0
+UNION ALL SELECT tile, true, 0.5, 'terrace', 8.0, 'ok', CASE WHEN greatest(a, b) >= 0.5 THEN 2 ELSE 1 END, 2 FROM e WHERE k = 0
+UNION ALL SELECT tile, false, 0.0, 'none', NULL, CASE WHEN k = 1 THEN 'warning' ELSE 'ok' END, 0, 0 FROM e WHERE k IN (1, 2)
+UNION ALL SELECT tile, true, 0.7, 'tumulus', 8.0, 'ok', 1, 1 FROM e WHERE k = 3"""
+
+
+@query("WITH " + ANSWER)
+def model_records(spark, d):
+    """Answers in prose and fences, with misspelt fields, overlapping boxes, boxes without area and no candidates."""
+    e = V.table(spark, d, "events").select(F.col("event_id").alias("tile"), F.least(F.col("value") / 1000, F.lit(1.0)).alias("a"), ((F.col("event_id") % 10) / 10.0).alias("b"))
+    two = F.concat(
+        F.lit('{"candidates": [7, {"candidate": false}, {confidence: '), F.col("a").cast("string"), F.lit(', "candidate_type": "Mound", "bbox_xyxy": [0, 0, 4, 4]}, {"confidence": '), F.col("b").cast("string"),
+        F.lit(', "_candidate_type": "hill", "bbox_xyxy": [-1, 0, 4, 4],}, {"confidence": 0.5, "candidate_type": "terrace", "bbox_xyxy": [5, 5, 9, 9]}]}'),
+    )
+    said = (
+        F.when(F.col("tile") % 4 == 0, two).when(F.col("tile") % 4 == 1, '{"candidates": [{"confidence": 1, "bbox_xyxy": [3, 3, 3, 8]}]}')
+        .when(F.col("tile") % 4 == 2, '{"candidate": false, "confidence": 0.9}').otherwise('Seen: {"candidate": true, "_candidate_type": " Tumulus", "bbox_xyxy": [1, 1, 99, 6], "confidence": "0.7"} so.')
+    )
+    found = A.records(e.select("tile", text.model_answer(said).alias("answer")), "tile", 8, 8)
+    return found.select("tile", "candidate", r6("conf").alias("conf"), "candidate_type", "x2", "status", "candidate_index", "candidate_count")
+
+
+@query(""", r AS (SELECT tile_index, line_no, size / 500.0::DOUBLE AS conf, size % 7 <> 0 AND size % 11 <> 0 AND size / 500.0 >= 0.5 AS e, role = 'user' AND size % 90 / 90.0 >= 0.5 AS c FROM tile_log)
+SELECT tile_index, line_no, 1 AS stage FROM r WHERE e UNION ALL SELECT tile_index, line_no, 2 FROM r WHERE e AND c""", "tile_log")
+def review_stages(spark, d):
+    size, geometry = F.col("size"), F.col("size") % 11 != 0
+    first = C.exportable(size % 7 != 0, size / 500.0, 0.5, geometry)
+    second = C.review_confirmed(size % 7 != 0, size / 500.0, geometry, F.col("role") == "user", size % 90 / 90.0, 0.5)
+    return C.review_lists(V.tile_log(spark, d).withColumn("confidence", size / 500.0), first, second).select("tile_index", "line_no", "stage")
+
+
+@query("""SELECT tile_index, line_no, status = 'error' AND (size % 3 = 0 OR size % 3 = 1 AND size % 4 <> 3) AS again, size % 3 = 1 AND size % 4 = 1 AS stops FROM tile_log""", "tile_log")
+def retryable_records(spark, d):
+    size = F.col("size")
+    kind = F.when(size % 3 == 0, " Invalid_JSON").when(size % 3 == 1, "api_error").otherwise("model_not_found")
+    message = F.when(size % 2 == 0, "HTTP 503: Service Unavailable").when(size % 4 == 1, "the Model is not loaded").otherwise("no such tensor")
+    return V.tile_log(spark, d).select("tile_index", "line_no", L.retryable(F.col("status"), kind, message).alias("again"), L.stops_scan(kind, message).alias("stops"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_linenumber IN (1, 3, 4)""")
+def class_filter(spark, d):
+    names = {1: "mound", 2: "terrace", 3: "ring_ditch", 4: "wall_trace", 5: "foundation"}
+    return C.of_classes(V.table(spark, d, "lineitem"), "l_linenumber", " Ring_Ditch, 1,wall_trace,3", names).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("""SELECT event_id, CASE WHEN m = 0 AND user_id % 2 = 0 THEN 'terrain_derivative' WHEN m < 2 AND user_id % 2 = 1 THEN 'mixed_topo' ELSE coalesce(CASE event_id % 7 WHEN 0 THEN 'hillshade' WHEN 1 THEN 'slrm' WHEN 2 THEN 'svf' WHEN 3 THEN 'slope' WHEN 4 THEN 'dsm' WHEN 5 THEN 'rgb' END,
+ CASE WHEN m < 2 THEN 'terrain_derivative' WHEN user_id % 2 = 0 THEN 'single_band' ELSE 'rgb' END) END AS kind FROM (SELECT *, user_id % 5 AS m FROM events)""")
+def source_kinds(spark, d):
+    word = F.element_at(F.array(*map(F.lit, ("Hill_Shade slope", "area local-relief", "skyview dsm", "EGIM", "canopy dtm", "Satellite", "field 7"))), (F.col("event_id") % 7 + 1).cast("int"))
+    views = F.when(F.col("user_id") % 5 == 0, F.array(F.lit("SVF"), F.lit("slope"))).when(F.col("user_id") % 5 == 1, F.array(F.lit(" dtm"))).otherwise(F.array(F.lit("rgb")))
+    return V.table(spark, d, "events").select("event_id", channels.source_kind(word, views, F.col("user_id") % 2 == 0).alias("kind"))
+
+
+@query("""SELECT row, col, round(CASE WHEN a.v - b.v > 0.2 THEN 0 ELSE a.v END, 6) AS prob FROM mosaic a LEFT JOIN mosaic_b b USING (row, col)""", "mosaic", "mosaic_b")
+def mask_tall(spark, d):
+    a, b = V.mosaic(spark, d), V.mosaic(spark, d, 1).withColumnRenamed("v", "dtm")
+    return a.join(b, ["row", "col"], "left").select("row", "col", r6(R.without_tall(F.col("v"), F.col("v") - F.col("dtm"), 0.2)).alias("prob"))
+
+
+@query(f"""WITH r AS (SELECT doc_id, toxic, quality, CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 9 THEN 'val' ELSE 'test' END AS split FROM labels),
+s AS (SELECT split, count(*) FILTER (toxic = 0 AND quality <= 0) > 0 AS h, round_even(count(*) FILTER (toxic = 1) * 1.5, 0) AS t FROM r GROUP BY split),
+p AS (SELECT r.*, t, row_number() OVER (PARTITION BY split ORDER BY {DRAW.format(k='doc_id')}, doc_id) AS rn FROM r JOIN s USING (split) WHERE toxic = 0 AND (quality <= 0 OR NOT h))
+SELECT doc_id, split, toxic FROM r WHERE toxic = 1 UNION ALL SELECT doc_id, split, toxic FROM p WHERE rn <= t""")
+def selected_regions(spark, d):
+    split = F.when(F.col("doc_id") % 10 < 7, "train").when(F.col("doc_id") % 10 < 9, "val").otherwise("test")
+    rows = V.table(spark, d, "labels").select("doc_id", "toxic", "quality", split.alias("split"))
+    return S.selected_regions(rows, "split", "quality", "toxic", "doc_id", 1.5, 42).select("doc_id", "split", "toxic")
+
+
+@query("""WITH w AS (SELECT user_id % 3 AS split, user_id % 50 * 64 AS row_off, event_id % 20 * 64 AS col_off, value FROM events) SELECT DISTINCT split, row_off, col_off FROM w EXCEPT SELECT split, row_off, col_off FROM w WHERE value > 100""")
+def negative_windows(spark, d):
+    w = V.table(spark, d, "events").select((F.col("user_id") % 3).alias("split"), (F.col("user_id") % 50 * 64).alias("row_off"), (F.col("event_id") % 20 * 64).alias("col_off"), "value")
+    return S.negative_windows(w.select("split", "row_off", "col_off").distinct(), w.where("value > 100"))
+
+
+@query("""SELECT event_type, list_sort(list(value))[count(*) // 2 + 1] AS median FROM events GROUP BY event_type""")
+def upper_median(spark, d):
+    return E.upper_median(V.table(spark, d, "events"), ["event_type"], "value")

@@ -23,11 +23,37 @@ def mercator_to_wgs84(x: Column, y: Column) -> tuple[Column, Column]:
     return F.degrees(x / SPHERE), F.degrees(2 * F.atan(F.exp(y / SPHERE)) - math.pi / 2)
 
 
+def utm_to_wgs84(x: Column, y: Column, zone: Column, south: Column) -> tuple[Column, Column]:
+    """(lon, lat) of Universal Transverse Mercator on WGS84, by Krueger's series in the third flattening, to its fourth power at least."""
+    f = 1 - math.sqrt(1 - ECC**2)
+    n = f / (2 - f)
+    a = SPHERE / (1 + n) * (1 + n**2 / 4 + n**4 / 64 + n**6 / 256)
+    beta = (
+        n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360 - 81 * n**5 / 512, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440 + 46 * n**5 / 105,
+        17 * n**3 / 480 - 37 * n**4 / 840 - 209 * n**5 / 4480, 4397 * n**4 / 161280 - 11 * n**5 / 504,
+    )
+    xi, eta = (y - F.when(south, 1e7).otherwise(0.0)) / (0.9996 * a), (x - 5e5) / (0.9996 * a)
+    xi0, eta0 = xi, eta
+    for j, b in enumerate(beta, 1):
+        xi0, eta0 = xi0 - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta), eta0 - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(xi0) / F.cosh(eta0))  # the conformal latitude, and the geographic one from it
+    delta = (
+        2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45 + 26 * n**5 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45 + 2704 * n**5 / 315,
+        56 * n**3 / 15 - 136 * n**4 / 35 - 1262 * n**5 / 105, 4279 * n**4 / 630 - 332 * n**5 / 35,
+    )
+    lat = chi
+    for j, k in enumerate(delta, 1):
+        lat = lat + k * F.sin(2 * j * chi)
+    return zone * 6 - 183 + F.degrees(F.atan2(F.sinh(eta0), F.cos(xi0))), F.degrees(lat)
+
+
 def to_wgs84(x: Column, y: Column, crs: Column) -> tuple[Column, Column]:
-    """(lon, lat) for Web Mercator and geographic coordinates; NULL for other systems."""
-    lon, lat = mercator_to_wgs84(x, y)
-    pick = lambda m, g: F.when(crs == "EPSG:3857", m).when(crs == "EPSG:4326", g)
-    return pick(lon, x), pick(lat, y)
+    """(lon, lat) for Web Mercator, geographic and UTM coordinates (EPSG:326zz and 327zz); NULL for other systems."""
+    name = F.upper(F.trim(crs))
+    zone = F.when(name.rlike("^EPSG:32[67][0-9]{2}$"), F.substring(name, 9, 2).cast("int"))
+    zone = F.when(zone.between(1, 60), zone)
+    pick = lambda m, g, u: F.when(name == "EPSG:3857", m).when(name == "EPSG:4326", g).when(zone.isNotNull(), u)
+    return tuple(pick(*c) for c in zip(mercator_to_wgs84(x, y), (x, y), utm_to_wgs84(x, y, zone, F.substring(name, 8, 1) == "7"), strict=True))
 
 
 def equal_area(lon: Column, lat: Column) -> tuple[Column, Column]:
@@ -68,3 +94,13 @@ def yolo_box(x: Column, y: Column, w: Column, h: Column, width: float, height: f
 def cells_of_radius(radius: Column, cell: float) -> Column:
     """A radius in cells, 1 at least, half to even."""
     return F.greatest(F.lit(1), F.bround(radius / cell).cast("int"))
+
+
+def stencil_cells(radius: Column, cell: float, least: int = 10, most: int = 50) -> Column:
+    """A radius in cells within the bounds of the local relief filter (fixed values)."""
+    return F.least(F.greatest(cells_of_radius(radius, cell), F.lit(least)), F.lit(most))
+
+
+def halo(cell: float, radii: tuple[float, ...] = (), sigma: float = 0.0, position_radii: tuple[int, ...] = ()) -> int:
+    """Cells around a tile that its stencils reach: radii in metres, the others in cells; two at least, which is what curvature needs."""
+    return max(2, math.ceil(max(radii, default=0.0) / cell), math.ceil(4 * sigma), *position_radii)

@@ -29,13 +29,11 @@ def confidence_tier(confidence: Column) -> Column:
     return out.otherwise("below_075")
 
 
-def priority_rank(rows: DataFrame, into: str = "priority_rank") -> DataFrame:
-    """Global rank: score descending, nulls last; then area, source, scale and id.
+def ranked(rows: DataFrame, order: list[Column], into: str) -> DataFrame:
+    """Numbers from 1 in a whole order, without a window over all rows.
 
-    Rows are dealt out by ranges of the whole order and sorted within them; a row's rank is its place in its range and
+    Rows are dealt out by ranges of the whole order and sorted within them; a row's number is its place in its range and
     the rows of the ranges before."""
-    score, area = F.coalesce("score_mean", F.lit(-1.0)), F.coalesce("area_m2", F.lit(-1.0))
-    order = [score.desc(), area.desc(), F.asc("source_label"), F.coalesce("scale_level", F.lit(999999)).asc(), F.coalesce("candidate_id", F.lit(999999)).asc()]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     dealt = stored(dealt.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
     before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -43,6 +41,43 @@ def priority_rank(rows: DataFrame, into: str = "priority_rank") -> DataFrame:
     return dealt.join(F.broadcast(sizes), "__part").withColumn(into, (F.col("__at") + F.col("__before") + 1).cast("bigint")).drop("__part", "__at", "__before")
 
 
+def priority_rank(rows: DataFrame, into: str = "priority_rank") -> DataFrame:
+    """Global rank: score descending, nulls last; then area, source, scale and id."""
+    score, area = F.coalesce("score_mean", F.lit(-1.0)), F.coalesce("area_m2", F.lit(-1.0))
+    order = [score.desc(), area.desc(), F.asc("source_label"), F.coalesce("scale_level", F.lit(999999)).asc(), F.coalesce("candidate_id", F.lit(999999)).asc()]
+    return ranked(rows, order, into)
+
+
+def numbered_clusters(clusters: DataFrame, score: str, members: str, area: str, label: str, tie: str, into: str = "cluster_id") -> DataFrame:
+    """Numbers of clusters: best score, members and area descending, then label. A score or area of 0 counts as a missing one."""
+    told = lambda c: F.coalesce(F.nullif(F.col(c).cast("double"), F.lit(0.0)), F.lit(-1.0)).desc()
+    return ranked(clusters, [told(score), F.desc(members), told(area), F.coalesce(label, F.lit("")).asc(), F.asc(tie)], into)
+
+
+def dense_ids(components: DataFrame, order: list[str], cell_area: float, least: float, pixels: str = "pixels", into: str = "id") -> DataFrame:
+    """Components with ``area_m2`` of at least ``least``, numbered without gaps in their order."""
+    rows = components.where(F.col(pixels) > 0).withColumn("area_m2", F.col(pixels) * cell_area).where(F.col("area_m2") >= least)
+    return ranked(rows, [F.asc(c) for c in order], into)
+
+
+def class_ids(wanted: str | None, names: dict[int, str]) -> list[int] | None:
+    """Ids of classes named, by name or id, in a comma-separated list; None for all of them."""
+    parts = [p.strip() for p in (wanted or "").split(",") if p.strip()]
+    if not parts or [p.lower() for p in parts] == ["all"]:
+        return None
+    known = {str(k): k for k, v in names.items() if v.strip()} | {v.strip().lower(): k for k, v in names.items() if v.strip() and not v.strip().isdigit()}
+    unknown = [p for p in parts if p.lower() not in known]
+    if unknown:
+        raise ValueError(f"no such classes: {', '.join(unknown)}")
+    return list(dict.fromkeys(known[p.lower()] for p in parts))
+
+
+def of_classes(rows: DataFrame, column: str, wanted: str | None, names: dict[int, str]) -> DataFrame:
+    """The rows of the wanted classes."""
+    ids = class_ids(wanted, names)
+    return rows if ids is None else rows.where(F.col(column).isin(*ids))
+
+
 def group_summary(rows: DataFrame) -> DataFrame:
     """Per source and scale: counts by band, mean and largest score, area."""
     band = priority_band(F.col("score_mean"))
@@ -116,6 +151,12 @@ def review_confirmed(candidate: Column, confidence: Column, has_geometry: Column
     return exportable(candidate, confidence, threshold, has_geometry) & F.coalesce(confirmed, F.lit(False)) & (F.coalesce(review_confidence, F.lit(0.0)) >= threshold)
 
 
+def review_lists(rows: DataFrame, exported: Column, confirmed: Column, confidence: str = "confidence", tile: str = "tile_index") -> DataFrame:
+    """The exportable rows (``stage`` 1), and those of them that a review confirmed (``stage`` 2), each by falling confidence, then tile."""
+    stages = F.filter(F.array(F.when(exported, 1), F.when(confirmed, 2)), lambda x: x.isNotNull())
+    return rows.withColumn("stage", F.explode(stages)).orderBy("stage", F.coalesce(F.col(confidence), F.lit(0.0)).desc(), tile)
+
+
 def bbox_iou(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     """Intersection over union of two boxes (x1, y1, x2, y2); 0 where one is missing or has no area."""
     w = F.greatest(F.least(a[2], b[2]) - F.greatest(a[0], b[0]), F.lit(0.0))

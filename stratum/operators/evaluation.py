@@ -86,3 +86,8 @@ def confidence_histogram(rows: DataFrame, value: str) -> DataFrame:
     bucket = F.when(c < 0.5, "0.0-0.5").when(c < 0.75, "0.5-0.75").when(c < 0.85, "0.75-0.85").when(c < 0.95, "0.85-0.95").otherwise("0.95-1.0")
     q = percentiles(rows, "v", 50, 90).select(F.col("lo").alias("median"), F.col("hi").alias("p90"))
     return rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(q))  # one row
+
+
+def upper_median(rows: DataFrame, by: list[str], value: str, into: str = "median") -> DataFrame:
+    """The median of each group; of two middle values the larger one."""
+    return rows.groupBy(*by).agg((-F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY -`{value}`)")).alias(into))

@@ -428,3 +428,8 @@ def turned(rows: DataFrame, way: Column, size: int) -> DataFrame:
     last = size - 1
     new = {"row": F.when(k == 0, r).when(k == 1, last - c).when(k == 2, last - r).otherwise(c), "col": F.when(k == 0, c).when(k == 1, r).when(k == 2, last - c).otherwise(last - r)}
     return rows.withColumns(new).drop("__r", "__c", "__k")
+
+
+def without_tall(prob: Column, height: Column, limit: float) -> Column:
+    """The score, 0 where something stands higher than the limit; missing heights hide nothing."""
+    return F.when(height > limit, 0.0).otherwise(prob)

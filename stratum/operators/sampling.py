@@ -46,6 +46,30 @@ def negatives_to_positives(rows: DataFrame, label: str, key: str, ratio: float,
     return _ranked(rows, [label], key, seed).crossJoin(F.broadcast(take)).where((F.col(label) > 0) | (F.col("__n") <= F.col("__take"))).drop("__n", "__take")
 
 
+#: Splits in the order of manifests (fixed values).
+SPLITS = ("train", "val", "test")
+
+
+def manifest_order(split: str = "split", source: str = "source_name", row: str = "row_off", col: str = "col_off") -> list[Column]:
+    """The order of manifests: split, source, row, column."""
+    place = F.array_position(F.array(*map(F.lit, SPLITS)), F.col(split))
+    return [place.asc(), F.asc(source), F.asc(row), F.asc(col)]
+
+
+def negative_windows(windows: DataFrame, positives: DataFrame, keys: tuple[str, ...] = ("split", "row_off", "col_off")) -> DataFrame:
+    """Windows that aren't among the positive ones of their split."""
+    return windows.join(positives.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def selected_regions(rows: DataFrame, split: str, ratio_col: str, label: str, key: str, ratio: float, seed: int) -> DataFrame:
+    """All positives (``label`` 1), and of each split ``ratio`` times as many negatives: of those without any positive pixel, or of
+    all of them where the split has none such. Negatives are drawn by hash."""
+    clean = (F.col(label) == 0) & (F.coalesce(F.col(ratio_col), F.lit(0.0)) <= 0)
+    sizes = rows.groupBy(split).agg((F.count_if(clean) > 0).alias("__has"), F.bround(F.count_if(F.col(label) == 1) * ratio).cast("bigint").alias("__take"))
+    pool = rows.where(F.col(label) == 0).join(F.broadcast(sizes), split).where(clean | ~F.col("__has"))  # a row for each split
+    return rows.where(F.col(label) == 1).unionByName(_ranked(pool, [split], key, seed).where("__n <= __take").select(*rows.columns))
+
+
 def split_rows_two(row_off: Column, tile: int, height: int, ratio: float) -> Column:
     """``train`` above the dividing line, ``val`` below, ``discard`` across it."""
     line = int(height * ratio)
