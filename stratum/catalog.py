@@ -15,6 +15,7 @@ from stratum.functions import channels, geo, text
 from stratum.operators import answers as A
 from stratum.operators import candidates as C
 from stratum.operators import components as G
+from stratum.operators import datasets as D
 from stratum.operators import evaluation as E
 from stratum.operators import raster as R
 from stratum.operators import sampling as S
@@ -1043,3 +1044,34 @@ def negative_windows(spark, d):
 @query("""SELECT event_type, list_sort(list(value))[count(*) // 2 + 1] AS median FROM events GROUP BY event_type""")
 def upper_median(spark, d):
     return E.upper_median(V.table(spark, d, "events"), ["event_type"], "value")
+
+
+@query("""SELECT tile, label, CASE WHEN tile % 10 < 8 THEN 'train' ELSE 'val' END AS split, count(*) AS n, round(max(v) FILTER (p = 5), 6) AS v5, round(max(v) FILTER (p = 60), 6) AS v60 FROM tiles GROUP BY tile, label""", "tiles")
+def tile_arrays(spark, d):
+    """Tiles as arrays, filed by split and label, and read again."""
+    rows = D.tile_arrays(V.tiles(spark, d), ["tile", "label"], "p", "v").withColumn("split", F.when(F.col("tile") % 10 < 8, "train").otherwise("val"))
+    path = folder(spark)
+    D.append_tiles(rows, path, {"tile_size": V.TILE})
+    at = lambda i: r6(F.get("values", F.lit(i))).alias(f"v{i}")
+    return D.tiles(spark, path).select("tile", F.col("label").cast(rows.schema["label"].dataType), "split", F.size("values").cast("bigint").alias("n"), at(5), at(60))
+
+
+@query("""WITH m AS (SELECT lang, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY lang), f AS (SELECT lang, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY lang)
+SELECT coalesce(m.lang, f.lang) AS lang, m.n AS told, f.n AS found, m.n IS NOT DISTINCT FROM f.n AS agree FROM m FULL JOIN f ON m.lang IS NOT DISTINCT FROM f.lang""")
+def manifest_reconciled(spark, d):
+    docs, labels = V.table(spark, d, "documents").select("doc_id", "lang"), V.table(spark, d, "labels")
+    told = D.counters(docs.join(labels, "doc_id"), ["lang"], F.col("toxic") > 0)
+    return D.reconciled(told, D.counters(docs.where("doc_id % 2 = 0"), ["lang"], F.lit(True)), "lang", "total")
+
+
+@query("""SELECT CASE WHEN grouping(native_crs) = 0 THEN native_crs END AS source, count(*) AS n_rows, round(sum(area_m2), 3) AS area_m2 FROM candidates GROUP BY ROLLUP (native_crs)""", "candidates")
+def source_summary(spark, d):
+    rows = V.candidates(spark, d)
+    parts = {c: rows.where(F.col("native_crs") == c) for c in ("EPSG:3857", "EPSG:32636")}
+    return D.source_summary(parts, ["area_m2"]).withColumn("area_m2", F.round("area_m2", 3))
+
+
+@query("""SELECT source_label, '| ' || source_label || ' | ' || printf('%.4f', round(avg(score_mean), 6)) || ' | ' || printf('%.4f', max(scale_factor)) || ' |' AS line FROM candidates GROUP BY source_label""", "candidates")
+def metric_lines(spark, d):
+    rows = V.candidates(spark, d).groupBy("source_label").agg(r6(F.avg("score_mean")).alias("score"), F.max("scale_factor").alias("scale"))
+    return D.metric_lines(rows, "source_label", ["score", "scale"]).select("source_label", "line")

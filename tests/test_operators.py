@@ -1,6 +1,7 @@
 """Operators on small inputs whose results are worked out by hand."""
 
 import io
+import json
 import struct
 
 import numpy as np
@@ -431,3 +432,97 @@ def test_rings(spark):
     got = components.rings(raster.outline(spark.createDataFrame(ring, "row int, col int, label int"))).collect()
     sizes = sorted((r["label"], r["n"]) for r in got)
     assert sizes == [(1, 4), (1, 4), (2, 4), (2, 4)] or sizes == [(1, 4), (1, 4), (2, 8)]
+
+
+def test_model_records_by_hand(spark):
+    from stratum.operators import answers
+
+    box = lambda conf, b, **more: {"confidence": conf, "candidate_type": "mound", "bbox_xyxy": b, **more}
+    told = {
+        "disjoint": {"candidates": [box(0.8, [0, 0, 3, 3]), box(0.9, [4, 4, 8, 8])]}, "overlap": {"candidates": [box(0.71, [1, 1, 5, 5]), box(0.92, [1, 1, 5, 5])]},
+        "many": {"candidates": [box(c / 10, [c, 0, c + 1, 1]) for c in range(5)]}, "bad box": {"candidates": [box(0.9, [5, 5, 5, 8]), "text", {"candidate": False}]}, "none": {"candidates": []},
+        "alone": {"candidate": True, "confidence": 3, "_candidate_type": "Tumulus", "bbox_xyxy": [0, 0, 20, 2]}, "null": {"candidates": None, "candidate": None}, "null type": box(0.5, [0, 0, 1, 1], candidate=True, candidate_type=None),
+    }
+    rows = [(k, json.dumps(v)) for k, v in told.items()] + [("no json", "{"), ("no answer", None), ("list", "[1]")]
+    got: dict = {}
+    for r in answers.records(spark.createDataFrame(rows, "tile string, answer string"), "tile", 8, 8).orderBy("tile", "candidate_index").collect():
+        got.setdefault(r["tile"], []).append((r["candidate_index"], r["candidate_count"], r["conf"], r["candidate_type"], r["status"], r["x2"]))
+    assert got["disjoint"] == [(1, 2, 0.9, "mound", "ok", 8.0), (2, 2, 0.8, "mound", "ok", 3.0)] and got["overlap"] == [(1, 1, 0.92, "mound", "ok", 5.0)]
+    assert [(i, n, c) for i, n, c, *_ in got["many"]] == [(1, 3, 0.4), (2, 3, 0.3), (3, 3, 0.2)] and got["bad box"] == [(0, 0, 0.0, "none", "warning", None)]
+    assert got["alone"] == [(1, 1, 1.0, "tumulus", "ok", 8.0)] and got["null type"] == [(1, 1, 0.5, "none", "ok", 1.0)]
+    assert all(got[k] == [(0, 0, 0.0, "none", "ok", None)] for k in ("none", "null", "no json", "no answer", "list")) and len(got) == len(rows)
+    assert answers.records(spark.createDataFrame([], "tile string, answer string"), "tile", 8, 8).count() == 0
+
+
+def test_numbers_by_hand(spark):
+    rows = spark.createDataFrame([("a", 0.0, 2, 1.0, "x"), ("b", None, 3, 0.0, None), ("c", 0.5, 1, None, "y"), ("d", None, 2, 1.0, "w")], "k string, s double, n int, area double, label string")
+    assert [r["k"] for r in candidates.numbered_clusters(rows, "s", "n", "area", "label", "k").orderBy("cluster_id").collect()] == ["c", "b", "d", "a"]
+    found = spark.createDataFrame([(7, 4), (9, 0), (3, 1), (12, 5)], "first int, pixels int")
+    assert [(r["first"], r["id"], r["area_m2"]) for r in candidates.dense_ids(found, ["first"], 4.0, 16.0).orderBy("id").collect()] == [(7, 1, 16.0), (12, 2, 20.0)]
+    names = {0: "mound", 1: " Terrace ", 2: ""}
+    assert candidates.class_ids("terrace, 0,TERRACE", names) == [1, 0] and candidates.class_ids(" ALL ", names) is None and candidates.class_ids(None, names) is None
+    for bad in ("2", "tomb", "mound,9"):
+        with pytest.raises(ValueError):
+            candidates.class_ids(bad, names)
+    medians = evaluation.upper_median(spark.createDataFrame([("a", 1.0), ("a", 4.0), ("b", 3.0), ("b", 1.0), ("b", 2.0), ("c", None)], "k string, v double"), ["k"], "v")
+    assert {r["k"]: r["median"] for r in medians.collect()} == {"a": 4.0, "b": 2.0, "c": None}
+    assert geo.halo(0.5, (10.0, 20.0), 1.5, (3, 5)) == 40 and geo.halo(1.0) == 2 and [one(spark, geo.stencil_cells(F.lit(r), 1.0)) for r in (1.0, 20.0, 90.0)] == [10, 20, 50]
+
+
+def test_places_by_hand(spark):
+    at = lambda x, y, crs: tuple(one(spark, c) for c in geo.to_wgs84(F.lit(float(x)), F.lit(float(y)), F.lit(crs)))
+    lon, lat = at(500000, 4200000, "EPSG:32636")
+    # on the central meridian the northing is the meridian's length times the scale
+    e2, p = geo.ECC**2, np.linspace(0, np.radians(lat), 200001)
+    m = geo.SPHERE * (1 - e2) / (1 - e2 * np.sin(p) ** 2) ** 1.5
+    assert abs(lon - 33) < 1e-12 and abs(np.trapezoid(m, p) * 0.9996 - 4200000) < 1e-3
+    south = at(500000, 1e7 - 4200000, "epsg:32736")
+    assert np.allclose(south, (33, -lat), atol=1e-10) and at(5, 7, "EPSG:4326") == (5.0, 7.0)
+    assert at(1, 1, "EPSG:32699") == at(1, 1, "EPSG:2320") == at(1, 1, "unknown") == (None, None)
+    lon, lat = at(500, 500, "EPSG:3857")
+    assert abs(lon - 0.00449) < 1e-5 and abs(lat - 0.00449) < 1e-5
+
+
+def test_selections_by_hand(spark):
+    rows = [(i, "train", 1 if i < 2 else 0, 0.5 if i < 4 else 0.0) for i in range(10)] + [(10 + i, "val", 1 if i == 0 else 0, 0.1) for i in range(4)]
+    got = sampling.selected_regions(spark.createDataFrame(rows, "id int, split string, label int, share double"), "split", "share", "label", "id", 2.0, 1).collect()
+    train, val = [r for r in got if r["split"] == "train"], [r for r in got if r["split"] == "val"]
+    assert sum(r["label"] for r in train) == 2 and [r["share"] for r in train if not r["label"]] == [0.0] * 4 and len(val) == 3
+    w = spark.createDataFrame([("train", 0, 0), ("train", 0, 64), ("val", 0, 64)], "split string, row_off int, col_off int")
+    assert sorted(map(tuple, sampling.negative_windows(w, w.where("split = 'val'")).collect())) == [("train", 0, 0), ("train", 0, 64)]
+    order = w.withColumn("source_name", F.lit("s")).unionByName(spark.createDataFrame([("test", 0, 0, "a")], "split string, row_off int, col_off int, source_name string")).orderBy(*sampling.manifest_order())
+    assert [r["split"] for r in order.collect()] == ["train", "train", "val", "test"]
+    assert one(spark, raster.without_tall(F.lit(0.7), F.lit(3.0), 2.0)) == 0.0 and one(spark, raster.without_tall(F.lit(0.7), F.lit(None).cast("double"), 2.0)) == 0.7
+    again = lambda *c: one(spark, scanlog.retryable(*map(F.lit, c)))
+    assert again("error", "reasoning_only", None) and again("needs_retry", "api_error", "HTTP 429") and not again("ok", "invalid_json", "") and not again("error", "api_error", "bad request")
+    plan = spark.createDataFrame([(1, 0, 0, 8, 8)], "tile_index int, tile_row int, tile_col int, tile_width int, tile_height int")
+    assert scanlog.in_plan(plan.unionByName(plan.withColumn("tile_width", F.lit(9))), plan).count() == 1
+
+
+def test_source_kinds_by_hand(spark):
+    from stratum.functions import channels
+
+    kind = lambda words, views, single: one(spark, channels.source_kind(F.lit(words), F.array(*map(F.lit, views)) if views else F.array().cast("array<string>"), F.lit(single)))
+    assert kind("a", ["svf", "dsm"], True) == "terrain_derivative" and kind("hillshade", ["svf"], False) == "mixed_topo" and kind("Hillshade", ["svf"], True) == "hillshade"
+    assert kind("slope dsm", [], True) == "slope" and kind(None, ["svf"], True) == "terrain_derivative" and kind(None, [], True) == "single_band" and kind("x", [], False) == "rgb"
+
+
+def test_datasets_by_hand(spark, tmp_path):
+    from stratum.operators import datasets
+
+    rows = spark.createDataFrame([(1, 2, None), (1, 0, 5.0), (1, 1, 6.0), (2, 0, 7.0)], "tile int, p int, v double")
+    tiles = datasets.tile_arrays(rows, ["tile"], "p", "v")
+    assert {r["tile"]: r["values"] for r in tiles.collect()} == {1: [5.0, 6.0, None], 2: [7.0]}
+    path, facts = f"file://{tmp_path}/tiles", {"bands": [1, 2, 3], "tile_size": 8}
+    placed = tiles.withColumns({"split": F.lit("train"), "label": F.lit(1)})
+    datasets.append_tiles(placed, path, facts)
+    datasets.append_tiles(placed.where("tile = 2").withColumn("split", F.lit("val")), path, facts)
+    assert sorted((r["tile"], r["split"], r["label"]) for r in datasets.tiles(spark, path).collect()) == [(1, "train", 1), (2, "train", 1), (2, "val", 1)]
+    for bad in (lambda: datasets.append_tiles(placed, path, {**facts, "tile_size": 16}), lambda: datasets.append_tiles(placed.withColumn("more", F.lit(1)), path, facts)):
+        with pytest.raises(ValueError):
+            bad()
+    said, seen = spark.createDataFrame([("a", 2, 1), ("b", 1, 0)], "split string, total long, positives long"), spark.createDataFrame([("a", 2, 1), ("c", 1, 1)], "split string, total long, positives long")
+    got = {r["split"]: (r["told"], r["found"], r["agree"]) for r in datasets.reconciled(said, seen, "split", "total").collect()}
+    assert got == {"a": (2, 2, True), "b": (1, None, False), "c": (None, 1, False)}
+    lines = datasets.markdown(spark.createDataFrame([("x|y", 0.5, None), ("z", 0.75, 1.0)], "model string, iou double, f1 double"), "model", ["iou", "f1"])
+    assert lines == ["| model | iou | f1 |", "|-|-|-|", "| z | 0.7500 | 1.0000 |", "| x\\|y | 0.5000 | - |"]
