@@ -525,4 +525,4 @@ def test_datasets_by_hand(spark, tmp_path):
     got = {r["split"]: (r["told"], r["found"], r["agree"]) for r in datasets.reconciled(said, seen, "split", "total").collect()}
     assert got == {"a": (2, 2, True), "b": (1, None, False), "c": (None, 1, False)}
     lines = datasets.markdown(spark.createDataFrame([("x|y", 0.5, None), ("z", 0.75, 1.0)], "model string, iou double, f1 double"), "model", ["iou", "f1"])
-    assert lines == ["| model | iou | f1 |", "|-|-|-|", "| z | 0.7500 | 1.0000 |", "| x\\|y | 0.5000 | - |"]
+    assert lines == ["| model | iou | f1 |", "|-|-|-|", "| z | 0.7500 | 1.0000 |", r"| x\|y | 0.5000 | - |"]
