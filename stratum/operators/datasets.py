@@ -60,7 +60,7 @@ def source_summary(sources: dict[str, DataFrame], sums: list[str]) -> DataFrame:
 
 def metric_lines(rows: DataFrame, name: str, metrics: list[str], into: str = "line") -> DataFrame:
     """A line of a markdown table for each row; missing metrics are ``-``."""
-    cells = [F.regexp_replace(F.coalesce(F.col(name).cast("string"), F.lit("-")), r"\|", r"\\\\|"), *(F.coalesce(F.when(F.col(m).isNotNull(), F.format_string("%.4f", F.col(m).cast("double"))), F.lit("-")) for m in metrics)]
+    cells = [F.regexp_replace(F.coalesce(F.col(name).cast("string"), F.lit("-")), r"\|", r"\\|"), *(F.coalesce(F.when(F.col(m).isNotNull(), F.format_string("%.4f", F.col(m).cast("double"))), F.lit("-")) for m in metrics)]
     return rows.withColumn(into, F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")))
 
 
