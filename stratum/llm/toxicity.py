@@ -17,9 +17,9 @@ and level.
 
 What doesn't tell the classes apart is tied at all three levels (``LEVEL``, a limit of the log-likelihood ratio
 statistic): both classes give it the probability of the level below, times what their other probabilities leave, so
-all distributions still sum to 1.  What isn't tied decides how large the model is that is sent to the texts; if a
-level were above ``MODEL_ROWS`` rows, its limit rises until it isn't.  ``Model.limits`` and ``Model.tied`` tell the
-limits and how many bigrams, words and stems were tied.
+all distributions still sum to 1.  The limit is the same however large the corpus is, and all that isn't tied is
+used: a model of up to ``MODEL_ROWS`` rows a level is sent to the texts, a larger one stays in written tables that the
+texts' bigrams are joined with.  Both ways give the same values.
 
 The value of a text is its log-likelihood ratio divided by its number of words.  A long text thins out what a few of
 its words say, so the largest mean ratio of ``SPAN`` neighbouring words is a second value.  A logistic curve of both,
@@ -47,8 +47,10 @@ from stratum.llm.shared import arrow_pass, numbered, picked, place, stored
 #: Limit of the statistic (chi square with one degree of freedom, one in a million: it is asked of millions of counts).
 LEVEL = 24.0
 STEM = 4
-#: Rows of the model at most, of bigrams, words and stems each: 16 bytes a row.
+#: Rows of a model that is sent to the texts at most, of bigrams, contexts, words and stems each: 16 bytes a row.
 MODEL_ROWS = 1 << 21
+#: Bigrams of which each makes up more than one in this number of all are joined by a broadcast: fewer than this number.
+HOT_KEYS = 4096
 SPAN = 2
 THRESHOLD = 0.3
 #: Labelled ids are sent to the texts up to this number, and joined with a shuffle beyond it.
@@ -116,9 +118,21 @@ def bigrams(train: DataFrame) -> DataFrame:
     return rows.groupBy("word", "stem", "left").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
+@dataclass
+class Tables:
+    """The same ratios as written tables: stems (stem, of_stem), words (word, of_word), contexts (left, of_left), bigrams (word, left, of_pair)."""
+
+    stems: DataFrame
+    words: DataFrame
+    lefts: DataFrame
+    pairs: DataFrame
+
+
 @dataclass
 class Model:
-    """Log-likelihood ratios (keys ascending): of kept stems, kept words, contexts (what a context adds to a word's ratio), kept bigrams; the curve."""
+    """Log-likelihood ratios (keys ascending): of kept stems, kept words, contexts (what a context adds to a word's ratio), kept bigrams; the curve.
+
+    A model that is too large to be sent has its ratios in ``tables``, and the arrays are empty."""
 
     stems: np.ndarray
     stem_values: np.ndarray
@@ -132,8 +146,7 @@ class Model:
     other: float
     weights: tuple[float, float] = (0.0, 0.0)
     offset: float = -50.0
-    limits: tuple[float, ...] = ()
-    tied: tuple[int, ...] = ()
+    tables: Tables | None = None
 
     @staticmethod
     def _found(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, out: np.ndarray) -> np.ndarray:
@@ -168,8 +181,9 @@ class Model:
             mean[t.first + w.doc[first]] = np.add.reduceat(ratio, first) / n
         return mean, most
 
-    def scores(self, mean: np.ndarray, most: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.weights[0] * mean + self.weights[1] * most + self.offset, -50, 50)))
+    def score(self, mean: Column, most: Column) -> Column:
+        at = self.weights[0] * mean + self.weights[1] * most + self.offset
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), at))))
 
 
 def discount(n1: float, n2: float) -> float:
@@ -183,18 +197,66 @@ def _statistic(t: str, o: str, share: Column) -> Column:
     return 2 * (part(t, share) + part(o, 1 - share))
 
 
-def _kept(rows: DataFrame) -> tuple[DataFrame, float]:
-    """The rows whose ``g`` is above the limit, MODEL_ROWS at most, and the limit."""
-    rows, limit = rows.where(F.col("g") > LEVEL), LEVEL
-    while (n := rows.count()) > MODEL_ROWS:
-        limit = max(rows.selectExpr(f"percentile_approx(g, {1 - MODEL_ROWS / n}, 10000)").first()[0], np.nextafter(limit, np.inf))
-        rows = rows.where(F.col("g") > limit)
-    return rows, limit
+def _table(rows: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+    found = rows.toPandas().sort_values(key)  # MODEL_ROWS at most
+    return found[key].to_numpy(), found[value].to_numpy(float)
+
+
+def _hot_join(rows: DataFrame, table: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join with the rows of ``table``, one a key at most.
+
+    ``counts`` (keys, n) tells the rows of each key.  Keys of more than one in HOT_KEYS of all rows are joined by a
+    broadcast, so that no task of the shuffled join meets more than that of one key."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = stored(counts.where(F.col("n") * HOT_KEYS > total).select(*keys).join(table, keys, "left").withColumn("hot", F.lit(True)))
+    rows = rows.join(F.broadcast(hot), keys, "left")
+    values = [c for c in table.columns if c not in keys]
+    known = rows.where("hot").drop("hot")
+    return known.unionByName(rows.where("hot IS NULL").drop("hot", *values).join(table, keys, "left"))
+
+
+def _by_joins(rows: DataFrame, tables: Tables, other: float) -> DataFrame:
+    """(carry, mean, most) of the rows (carry, text): their bigrams joined with the model's tables."""
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        parts = [(t.first + w.doc, w.hash.view(np.int64), _int(stem), _int(left)) for t in W.slices(batch["text"], lower=True) for w, stem, left in [_read(t)]]
+        doc, *columns = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ends = np.cumsum(np.bincount(doc.astype(np.int64), minlength=batch.num_rows))
+        ends = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+        return pa.RecordBatch.from_arrays([batch["row"], batch["carry"], *(pa.ListArray.from_arrays(ends, pa.array(c)) for c in columns)], ["row", "carry", "word", "stem", "left"])
+
+    kind = rows.schema["carry"].dataType.simpleString()
+    # written once: later plans read the same row numbers
+    read = stored(arrow_pass(rows.withColumn("row", F.monotonically_increasing_id()), each, f"row bigint, carry {kind}, word array<bigint>, stem array<int>, left array<int>"))
+    tokens = read.select("row", F.posexplode(F.arrays_zip("word", "stem", "left")).alias("at", "b")).select("row", "at", "b.*")
+    # each different bigram is looked up once
+    asked = stored(tokens.groupBy("word", "stem", "left").agg(F.count(F.lit(1)).alias("n")))
+    of = lambda key: asked.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    found = asked.join(tables.pairs, ["word", "left"], "left")
+    for key, table in (("word", tables.words), ("stem", tables.stems), ("left", tables.lefts)):
+        found = _hot_join(found, table, of(key), [key])
+    ratio = F.coalesce("of_pair", F.coalesce("of_word", "of_stem", F.lit(other)) + F.coalesce("of_left", F.lit(0.0)))
+    found = stored(found.select("word", "left", ratio.alias("ratio")))
+    tokens = _hot_join(tokens.drop("stem"), found, asked.select("word", "left", "n"), ["word", "left"])
+    # each word adds to the spans that begin at it and at those before it
+    spans = tokens.select("row", "at", "ratio", F.explode(F.sequence(F.greatest(F.col("at") - SPAN + 1, F.lit(0)), "at")).alias("start"))
+    spans = spans.groupBy("row", "start").agg(F.sum("ratio").alias("sum"), F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("at") == F.col("start"), F.col("ratio"))).alias("ratio"))
+    whole = F.max(F.when(F.col("n") == SPAN, F.col("sum")))
+    values = spans.groupBy("row").agg(F.avg("ratio").alias("mean"), (F.coalesce(whole, F.max("sum")) / SPAN).alias("most"))
+    return read.select("row", "carry").join(values, "row", "left").select("carry", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("most", F.lit(0.0)).alias("most"))
+
+
+def _values(rows: DataFrame, model: Model) -> DataFrame:
+    """(carry, mean, most): both values of the texts of the rows (carry, text)."""
+    if model.tables:
+        return _by_joins(rows, model.tables, model.other)
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        mean, most = sent.value.values(batch["text"])
+        return pa.RecordBatch.from_arrays([batch["carry"], pa.array(mean), pa.array(most)], ["carry", "mean", "most"])
 
-def _table(rows: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
-    found = rows.select(key, "value").toPandas().sort_values(key)  # MODEL_ROWS at most
-    return found[key].to_numpy(), found["value"].to_numpy(float)
+    return arrow_pass(rows, each, f"carry {rows.schema['carry'].dataType.simpleString()}, mean double, most double")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -219,8 +281,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
         used = used[a[:-1] > 0]
 
 
-def _binned(values: np.ndarray, bins: tuple[float, float, float]) -> np.ndarray:
-    return np.rint(np.clip(values, *bins[:2]) / bins[2]).astype(np.int32)
+def _binned(value: str, bins: tuple[float, float, float]) -> Column:
+    return F.rint(F.greatest(F.lit(bins[0]), F.least(F.lit(bins[1]), F.col(value))) / bins[2]).cast("int").alias(value)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -244,7 +306,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     seen = lambda c: F.sum((F.col(c) > 0).cast("long")).alias(c)
     all_words = stored(counts.groupBy("word", "stem").agg(seen("t"), seen("o")))
     all_stems = stored(all_words.groupBy("stem").agg(F.sum("t").alias("t"), F.sum("o").alias("o")))
-    facts = lambda rows: rows.agg(F.sum("t"), F.sum("o"), seen("t"), seen("o"), is_("t", 1), is_("t", 2), is_("o", 1), is_("o", 2), F.count(F.lit(1))).first()
+    facts = lambda rows: rows.agg(F.sum("t"), F.sum("o"), seen("t"), seen("o"), is_("t", 1), is_("t", 2), is_("o", 1), is_("o", 2)).first()
     of_words, of_stems = facts(all_words), facts(all_stems)
     nt, no = float(of_words[0]), float(of_words[1])
     over = lambda c, d: F.greatest(F.col(c) - d, F.lit(0.0))
@@ -257,7 +319,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         pt, po, bt, bo = (x or 0.0 for x in rows.agg(*(F.sum(c) for c in ("pt", "po", "bt", "bo"))).first())
         return rows, max(1e-9, 1 - pt) / max(1e-9, 1 - bt), max(1e-9, 1 - po) / max(1e-9, 1 - bo)
 
-    apart, stem_limit = _kept(all_stems.withColumn("g", _statistic("t", "o", F.lit(nt / (nt + no)))))
+    apart = all_stems.where(_statistic("t", "o", F.lit(nt / (nt + no))) > LEVEL)
     part = (F.col("t") + F.col("o")) / (nt + no + 1)
     stems, mt, mo = smoothed(apart, of_stems, part, part)
     stems = stems.select("stem", F.col("pt").alias("st"), F.col("po").alias("so"))
@@ -271,11 +333,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         in_stem, shared = (F.col("t") + F.col("o")) / (F.col("n_stem") + 1), F.col("n_stem") / (nt + no + 1)
         return rows.select("word", "stem", "t", "o", (F.coalesce("st", mt * shared) * in_stem).alias("bt"), (F.coalesce("so", mo * shared) * in_stem).alias("bo"))
 
-    apart, word_limit = _kept(all_words.join(stems, "stem", "left").withColumn("g", _statistic("t", "o", F.coalesce(said("st", "so", nt, no), F.lit(nt / (nt + no))))))
+    apart = all_words.join(stems, "stem", "left").where(_statistic("t", "o", F.coalesce(said("st", "so", nt, no), F.lit(nt / (nt + no)))) > LEVEL)
     words, lt, lo = smoothed(below(apart.select("word", "stem", "t", "o")), of_words, F.col("bt"), F.col("bo"))
     words = words.select("word", "pt", "po")
     share = F.coalesce(said("pt", "po", *map(float, top[:2])), said("st", "so", *map(float, top[:2])), F.lit(top[0] / (top[0] + top[1])))
-    apart, pair_limit = _kept(counts.join(words, "word", "left").join(stems, "stem", "left").withColumn("g", _statistic("t", "o", share)))
+    apart = counts.join(words, "word", "left").join(stems, "stem", "left").where(_statistic("t", "o", share) > LEVEL)
     apart = stored(apart.select("word", "left", "t", "o"))
     context = counts.join(apart.select("left").distinct(), "left", "left_semi").groupBy("left").agg(F.sum("t").alias("ht"), F.sum("o").alias("ho"), seen("t").alias("vt"), seen("o").alias("vo"))
     back = below(all_words.join(apart.select("word").distinct(), "word", "left_semi")).join(words, "word", "left")
@@ -283,23 +345,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     after = lambda c, d: F.when(F.col(f"h{c}") > 0, (over(c, d) + d * F.col(f"v{c}") * F.col(f"b{c}")) / F.col(f"h{c}")).otherwise(F.col(f"b{c}"))
     pairs = stored(apart.join(context, "left").join(back, "word").select("word", "left", after("t", dt).alias("pt"), after("o", do).alias("po"), "bt", "bo"))
     rest = lambda c: F.greatest(1 - F.sum(f"p{c}"), F.lit(1e-9)) / F.greatest(1 - F.sum(f"b{c}"), F.lit(1e-9))
-    lefts = pairs.groupBy("left").agg(F.log(rest("t") / rest("o")).alias("value"))
-    found = pairs.select("word", "left", F.log(F.col("pt") / F.col("po")).alias("value")).toPandas()  # MODEL_ROWS at most
-    key = _key(found["word"].to_numpy(np.int64).view(W.U), found["left"].to_numpy(np.int32).view(np.uint32).astype(W.U)).view(np.int64)
-    order = np.argsort(key)
-    (of_kept, kept_values), (of_tied, tied_values) = _table(words.select("word", F.log(F.col("pt") / F.col("po")).alias("value")), "word"), _table(stems.select("stem", (F.log(F.col("st") / F.col("so")) + float(np.log(lt / lo))).alias("value")), "stem")
-    model = Model(
-        of_tied, tied_values, of_kept, kept_values, *_table(lefts, "left"), key[order], found["value"].to_numpy(float)[order], float(np.log(lt * mt / (lo * mo))),
-        limits=(pair_limit, word_limit, stem_limit), tied=(counts.count() - len(key), of_words[8] - len(of_kept), of_stems[8] - len(of_tied)),
-    )
-
-    sent = rows.sparkSession.sparkContext.broadcast(model)
-
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        mean, most = sent.value.values(batch["text"])
-        return pa.RecordBatch.from_arrays([pa.array(_binned(mean, MEAN_BINS)), pa.array(_binned(most, SPAN_BINS)), batch["toxic"]], ["mean", "most", "toxic"])
-
-    bins = arrow_pass(rows.where("fold = 3").select("text", "toxic"), each, "mean int, most int, toxic tinyint").groupBy("mean", "most", "toxic").count().toPandas()
+    ratio = lambda a, b, name, more=0.0: (F.log(F.col(a) / F.col(b)) + more).alias(name)
+    tables = Tables(
+        stored(stems.select("stem", ratio("st", "so", "of_stem", float(np.log(lt / lo))))),
+        stored(words.select("word", ratio("pt", "po", "of_word"))),
+        stored(pairs.groupBy("left").agg(F.log(rest("t") / rest("o")).alias("of_left"))),
+        stored(pairs.select("word", "left", ratio("pt", "po", "of_pair"))),
+    )
+    other = float(np.log(lt * mt / (lo * mo)))
+    if max(t.count() for t in (tables.stems, tables.words, tables.lefts, tables.pairs)) > MODEL_ROWS:
+        model = Model(*empty, other, tables=tables)
+    else:
+        found = tables.pairs.toPandas()  # MODEL_ROWS at most
+        key = _key(found["word"].to_numpy(np.int64).view(W.U), found["left"].to_numpy(np.int32).view(np.uint32).astype(W.U)).view(np.int64)
+        order = np.argsort(key)
+        of_pairs = key[order], found["of_pair"].to_numpy(float)[order]
+        model = Model(*_table(tables.stems, "stem", "of_stem"), *_table(tables.words, "word", "of_word"), *_table(tables.lefts, "left", "of_left"), *of_pairs, other)
+
+    found = _values(rows.where("fold = 3").select(F.col("toxic").alias("carry"), "text"), model)
+    bins = found.groupBy(_binned("mean", MEAN_BINS), _binned("most", SPAN_BINS), F.col("carry").alias("toxic")).count().toPandas()
     if bins["toxic"].nunique() == 2:
         *weights, offset = _logistic(np.column_stack([bins["mean"] * MEAN_BINS[2], bins["most"] * SPAN_BINS[2]]), bins["toxic"].to_numpy(float), bins["count"].to_numpy(float)).tolist()
         model.weights, model.offset = tuple(weights), offset
@@ -311,13 +375,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of ``docs``: its id and ``score``."""
-    rows = picked(docs, id_col, text_col)
-    sent = rows.sparkSession.sparkContext.broadcast(model)
-
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch["id"], pa.array(sent.value.scores(*sent.value.values(batch["text"])))], ["id", "score"])
-
-    return arrow_pass(rows, each, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
+    found = _values(picked(docs, id_col, text_col).withColumnRenamed("id", "carry"), model)
+    return found.select(F.col("carry").alias(id_col), model.score(F.col("mean"), F.col("most")).alias("score"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -624,6 +624,25 @@ def test_kneser_ney_by_plain_counting(spark, monkeypatch):
     assert checked > 100 and all(0 < u < 1 for u in unknown)
 
 
+def test_large_models_stay_in_tables(spark, edges, none, monkeypatch):
+    """Joined with the model's tables, texts get the values that a model sent to them gives."""
+    monkeypatch.setattr(toxicity, "LEVEL", 4.0)
+    docs = [(k, prose(k, 30) + " you total grumph you total grumph" * (k % 3 == 0)) for k in range(300)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    lab = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(300)], "doc_id bigint, toxic int")
+    sent = toxicity.train(d, lab)
+    monkeypatch.setattr(toxicity, "MODEL_ROWS", 0)
+    joined = toxicity.train(d, lab)
+    assert len(sent.pairs) and not len(joined.pairs) and joined.tables
+    assert (*joined.weights, joined.offset) == pytest.approx((*sent.weights, sent.offset), rel=1e-6)
+    for hot in (toxicity.HOT_KEYS, 8):  # with hot keys and without
+        monkeypatch.setattr(toxicity, "HOT_KEYS", hot)
+        for table in (d, edges):
+            expected = sorted((str(r["doc_id"]), round(r["score"], 6)) for r in rows(toxicity.score(table, sent)))
+            assert sorted((str(r["doc_id"]), round(r["score"], 6)) for r in rows(toxicity.score(table, joined))) == expected
+    assert rows(toxicity.score(none, joined)) == []
+
+
 def test_curve_without_a_class(spark):
     docs = [(k, prose(k, 20) + (" grumph grumph" if k % 2 else "")) for k in range(200)]
     d = spark.createDataFrame(docs, "doc_id bigint, text string")
