@@ -20,6 +20,7 @@ from stratum.operators import evaluation as E
 from stratum.operators import raster as R
 from stratum.operators import sampling as S
 from stratum.operators import scanlog as L
+from stratum.operators import scoring as P
 from stratum.operators import terrain as T
 from stratum.plans import views as V
 from stratum.sources.shared import folder, stored
@@ -677,6 +678,68 @@ def losses(spark, d):
 SQL["losses"] = "WITH eval_pairs AS (" + V.SQL["eval_pairs"] + "),\n" + SQL["losses"]
 
 
+def _tile_model(x: np.ndarray) -> np.ndarray:
+    """Stands in for a trained model: how far a cell is above its window's mean."""
+    return 1 / (1 + np.exp(-8 * (x - np.nanmean(x, (1, 2), keepdims=True))))
+
+
+@query(_after_views(IN_TILES + f""", x AS (SELECT max(row) + 1 AS nr, max(col) + 1 AS nc FROM mosaic),
+f AS (SELECT *, avg(v) OVER t AS mean FROM j WINDOW t AS (PARTITION BY row_off, col_off) QUALIFY max(v) OVER t > 0.01),
+k AS (SELECT row, col, 1 / (1 + exp(-8 * (v - mean))) AS s, row - row_off AS a, col - col_off AS b, least(32, nr - row_off) AS h, least(32, nc - col_off) AS w FROM f, x),
+w AS (SELECT row, col, s, ({_ramp('a', 'h')}) * ({_ramp('b', 'w')}) AS wt FROM k)
+SELECT row, col, round(CASE WHEN sum(wt) > 0 THEN sum(s * wt) / sum(wt) ELSE 0 END, 6) AS prob FROM w GROUP BY ALL""", "mosaic"))
+def tiled_scores(spark, d):
+    return rounded(P.tiled_scores(V.mosaic(spark, d), _tile_model, 32, 8), "prob")
+
+
+@query()
+def scored_candidates(spark, d):
+    """Windows, model, blending, Otsu, components, area rule, candidate rows: from raster to candidates in one plan."""
+    scores = stored(P.tiled_scores(V.mosaic(spark, d), _tile_model, 32, 8))
+    rows = P.scored_candidates(scores, V.WIDTH, 2.0, 12.0, tile=64)
+    return rounded(rows.select("id", "cells", "area_m2", "score_mean", "score_max", "row_mean", "col_mean"), "score_mean", "score_max", "row_mean", "col_mean")
+
+
+@query(_after_views("""c AS (SELECT tile_id, conf, greatest(0, least(trunc(x1)::INT, 63)) AS a, greatest(0, least(trunc(x2)::INT, 64)) AS b, greatest(0, least(trunc(y1)::INT, 63)) AS c, greatest(0, least(trunc(y2)::INT, 64)) AS d FROM boxes),
+r AS (SELECT *, unnest(range(c, d))::INT AS row FROM c), p AS (SELECT *, unnest(range(a, b))::INT AS col FROM r) SELECT tile_id, row, col, round(max(conf), 6) AS prob FROM p GROUP BY ALL""", "boxes"))
+def detection_map(spark, d):
+    return rounded(P.detection_map(V.boxes(spark, d), 64), "prob")
+
+
+@query(_after_views(GRADIENT + f""", {ENDS}, {_bell('k', 1.0)}, {_filtered('s', 'mosaic', mode='reflect')} SELECT row, col, round(degrees(atan(sqrt(gx * gx + gy * gy))), 6) AS slope,
+ round((sin(radians(45)) * sin(steep) + cos(radians(45)) * cos(steep) * cos(radians(315) - atan2(-gx, gy)) + 1) * 127.5, 5) AS hillshade, round(g.v - s.v, 6) AS slrm
+ FROM (SELECT *, pi() / 2 - atan(sqrt(gx * gx + gy * gy)) AS steep FROM g) g JOIN s USING (row, col)""", "mosaic"))
+def terrain_products(spark, d):
+    """Several products of a surface in one plan."""
+    out = P.terrain_products(V.mosaic(spark, d), ("slope", "hillshade", "slrm"), relief_sigma=1.0)
+    return out.select("row", "col", r6("slope").alias("slope"), F.round("hillshade", 5).alias("hillshade"), r6("slrm").alias("slrm"))
+
+
+@query()
+def tile_pictures(spark, d):
+    return P.tile_pictures(V.tiles(spark, d), V.TILE)
+
+
+@query("""WITH o AS (SELECT o_orderkey AS raster, o_custkey AS c, (64 + o_orderkey % 3)::INT AS h, 80 AS w, CASE WHEN o_orderkey % 5 = 0 THEN 'EPSG:32636' ELSE 'EPSG:3857' END AS crs, (o_orderkey % 4)::DOUBLE AS x FROM orders),
+b AS (SELECT c, arg_min(h, raster) AS h, arg_min(w, raster) AS w, arg_min(crs, raster) AS crs, arg_min(x, raster) AS x FROM o GROUP BY c)
+SELECT raster, concat_ws(',', CASE WHEN o.h <> b.h OR o.w <> b.w THEN 'size' END, CASE WHEN o.crs <> b.crs THEN 'crs' END, CASE WHEN abs(o.x - b.x) > 1e-5 THEN 'transform' END) AS faults FROM o JOIN b USING (c)""")
+def grid_checks(spark, d):
+    """Rasters of a customer held against the customer's first one."""
+    k = F.col("o_orderkey")
+    crs = F.when(k % 5 == 0, "EPSG:32636").otherwise("EPSG:3857")
+    rows = V.table(spark, d, "orders").select(k.alias("raster"), F.col("o_custkey").alias("c"), F.struct((64 + k % 3).alias("height"), F.lit(80).alias("width"), crs.alias("crs"), F.array((k % 4).cast("double"), F.lit(1.0)).alias("transform")).alias("a"))
+    first = rows.groupBy("c").agg(F.min_by("a", "raster").alias("b"))
+    of = lambda side: {n: F.col(f"{side}.{n}") for n in ("height", "width", "crs", "transform")}
+    return rows.join(first, "c").select("raster", F.concat_ws(",", P.grid_faults(of("a"), of("b"))).alias("faults"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 > 1 THEN round(value, 6) END AS value, (event_id % 2)::INT AS odd FROM events")
+def sheet_values(spark, d):
+    k = F.col("event_id")
+    value = F.when(k % 5 == 0, float("nan")).when(k % 5 == 1, float("inf")).otherwise(r6("value"))
+    return P.layer_values(P.sheet_values(V.table(spark, d, "events").select("event_id", value.alias("value"), (k % 2 == 1).alias("odd"))))
+
+
 # other grids and shapes
 
 

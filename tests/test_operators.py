@@ -526,3 +526,108 @@ def test_datasets_by_hand(spark, tmp_path):
     assert got == {"a": (2, 2, True), "b": (1, None, False), "c": (None, 1, False)}
     lines = datasets.markdown(spark.createDataFrame([("x|y", 0.5, None), ("z", 0.75, 1.0)], "model string, iou double, f1 double"), "model", ["iou", "f1"])
     assert lines == ["| model | iou | f1 |", "|-|-|-|", "| z | 0.7500 | 1.0000 |", r"| x\|y | 0.5000 | - |"]
+
+
+def _ramp(n, overlap):
+    m = max(1, min(overlap, n // 2))
+    w = np.ones(n)
+    for i in range(m):
+        w[i] = w[n - 1 - i] = 0.5 * (1 - np.cos(np.pi * i / m))
+    return w
+
+
+def test_scoring_by_numpy(spark):
+    from stratum.operators import scoring
+
+    rng = np.random.default_rng(5)
+    grid = rng.random((37, 45))
+    grid[10:14, 20:25] = np.nan
+    grid[:8, 16:24] += 3
+    grid[24:, 36:] = 0.0  # the last window of all holds nothing
+    cells = spark.createDataFrame([(r, c, None if np.isnan(v) else float(v)) for (r, c), v in np.ndenumerate(grid)], "row int, col int, v double")
+    model = lambda x: x / (1 + np.nanmax(x, (1, 2), keepdims=True))
+    got = {(r["row"], r["col"]): r["prob"] for r in scoring.tiled_scores(cells, model, 16, 4).collect()}
+    a, b, seen = np.zeros(grid.shape), np.zeros(grid.shape), np.zeros(grid.shape, bool)
+    for r in range(0, 37, 12):
+        for c in range(0, 45, 12):
+            x = grid[r : r + 16, c : c + 16]
+            if np.isfinite(x).mean() < 0.01 or np.nanmax(x) <= 0.01:
+                continue
+            w, ok, s = np.outer(_ramp(x.shape[0], 4), _ramp(x.shape[1], 4)), np.isfinite(x), x / (1 + np.nanmax(x))
+            a[r : r + 16, c : c + 16] += np.where(ok, s * w, 0)
+            b[r : r + 16, c : c + 16] += np.where(ok, w, 0)
+            seen[r : r + 16, c : c + 16] = True
+    assert set(got) == {(int(r), int(c)) for r, c in np.argwhere(seen)} and len(got) < grid.size
+    for (r, c), p in got.items():
+        if np.isnan(grid[r, c]):
+            assert p is None
+        else:
+            assert p == pytest.approx(a[r, c] / b[r, c] if b[r, c] > 0 else 0.0)
+    # candidates of the map, by filling
+    scores = spark.createDataFrame([(*k, p) for k, p in got.items()], "row int, col int, prob double")
+    high = {k for k, p in got.items() if p is not None and p >= 0.47}
+    parts, left = [], set(high)
+    while left:
+        todo, part = [left.pop()], []
+        while todo:
+            r, c = todo.pop()
+            part.append((r, c))
+            near = {(r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+            left -= near
+            todo += near
+        parts.append(part)
+    rows = scoring.scored_candidates(scores, 45, 2.0, 12.0, cut=0.47, tile=8).collect()
+    assert sorted((r["cells"], round(r["score_max"], 9)) for r in rows) == sorted((len(p), round(max(got[k] for k in p), 9)) for p in parts if len(p) >= 3) and len(rows) > 1
+    assert sorted(r["id"] for r in rows) == list(range(1, len(rows) + 1))
+    assert scoring.scored_candidates(scores, 45).count() >= 1  # Otsu's threshold
+    nothing = scoring.tiled_scores(cells.limit(0), model, 16, 4)
+    assert nothing.count() == 0
+
+
+def test_detections_by_hand(spark):
+    from stratum.operators import scoring
+
+    boxes = [(1, 0.9, 1.9, 1.0, 3.2, 2.0), (1, 0.5, 2.0, 0.0, 9.0, 2.0), (1, 0.7, 3.0, 3.0, 3.5, 4.0), (2, 0.4, -5.0, -5.0, 1.0, 1.9), (2, 0.8, None, 0.0, 2.0, 2.0)]
+    df = spark.createDataFrame(boxes, "tile_id int, conf double, x1 double, y1 double, x2 double, y2 double")
+    got = {(r["tile_id"], r["row"], r["col"]): r["prob"] for r in scoring.detection_map(df, 4).collect()}
+    assert got == {(1, 1, 1): 0.9, (1, 1, 2): 0.9, (1, 0, 2): 0.5, (1, 0, 3): 0.5, (1, 1, 3): 0.5, (2, 0, 0): 0.4}
+
+
+def test_pictures(spark):
+    import base64
+    import zlib
+
+    from stratum.operators import scoring
+
+    tiles = [(1, p, float(p)) for p in range(4)] + [(2, p, None) for p in range(4)] + [(3, p, 7.0) for p in range(4)]
+    rows = scoring.tile_pictures(spark.createDataFrame(tiles, "tile int, p int, v double"), 2, 0, 100).collect()
+    grey = {}
+    for r in rows:
+        head, _, data = r["url"].partition(",")
+        raw = base64.b64decode(data)
+        assert head == "data:image/png;base64" and raw[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">IIBB", raw[16:26]) == (2, 2, 8, 2)
+        at = raw.index(b"IDAT")
+        size = struct.unpack(">I", raw[at - 4 : at])[0]
+        assert struct.unpack(">I", raw[at + 4 + size : at + 8 + size])[0] == zlib.crc32(raw[at : at + 4 + size])
+        grey[r["tile"]] = np.frombuffer(zlib.decompress(raw[at + 4 : at + 4 + size]), np.uint8).reshape(2, 7)[:, 1::3].ravel().tolist()
+    assert grey == {1: [0, 85, 170, 255], 2: [0] * 4, 3: [0] * 4}
+
+
+def test_checks_and_cells_by_hand(spark):
+    import datetime
+
+    from stratum.operators import scoring
+
+    side = lambda h, crs, t: {"height": F.lit(h), "width": F.lit(5), "crs": F.lit(crs).cast("string"), "transform": F.array(*map(F.lit, t))}
+    ask = lambda a, b: spark.range(1).select(scoring.grid_faults(a, b).alias("x")).first()["x"]
+    one = side(4, "EPSG:3857", (2.0, 0.0))
+    assert ask(one, side(4, "EPSG:3857", (2.000001, 0.0))) == []
+    assert ask(one, side(5, None, (2.1, 0.0))) == ["size", "crs", "transform"] and ask(one, side(4, "EPSG:3857", (2.0,))) == ["transform"]
+    bands = lambda types, asked: spark.range(1).select(scoring.band_faults(F.array(*map(F.lit, types)), asked).alias("x")).first()["x"]
+    assert bands(["uint8"] * 3, [1, 2, 3, 4]) == ["bands"] and bands(["uint8"] * 5, [1, 2, 3, 4, 5]) == ["heights of 8 bits"]
+    assert bands(["uint8"] * 3 + ["float32"] * 2, [1, 2, 3, 4, 5]) == []
+    df = spark.createDataFrame([(1, float("nan"), True, datetime.date(2024, 1, 2)), (2, 1.5, None, None), (3, float("-inf"), False, None)], "k int, v double, b boolean, d date")
+    assert [tuple(r) for r in scoring.layer_values(scoring.sheet_values(df)).orderBy("k").collect()] == [(1, None, 1, "2024-01-02"), (2, 1.5, None, None), (3, None, 0, None)]
+    cells = spark.createDataFrame([(r, c, float(r * c % 5)) for r in range(9) for c in range(7)], "row int, col int, v double")
+    out = scoring.terrain_products(cells, svf_radius=2, relief_sigma=1.0, tile=4)
+    assert out.columns == ["row", "col", "hillshade", "svf", "slrm", "slope"] and out.count() == 63 and out.where("hillshade IS NULL OR svf IS NULL OR slrm IS NULL OR slope IS NULL").count() == 0
