@@ -701,9 +701,12 @@ def scored_candidates(spark, d):
 
 
 @query(_after_views("""c AS (SELECT tile_id, conf, greatest(0, least(trunc(x1)::INT, 63)) AS a, greatest(0, least(trunc(x2)::INT, 64)) AS b, greatest(0, least(trunc(y1)::INT, 63)) AS c, greatest(0, least(trunc(y2)::INT, 64)) AS d FROM boxes),
-r AS (SELECT *, unnest(range(c, d))::INT AS row FROM c), p AS (SELECT *, unnest(range(a, b))::INT AS col FROM r) SELECT tile_id, row, col, round(max(conf), 6) AS prob FROM p GROUP BY ALL""", "boxes"))
+r AS (SELECT *, unnest(range(c, d))::INT AS row FROM c), p AS (SELECT *, unnest(range(a, b))::INT AS col FROM r), m AS (SELECT tile_id, row, col, max(conf) AS prob FROM p GROUP BY ALL)
+SELECT tile_id, count(*) AS cells, round(max(prob), 6) AS prob_max, round(sum(prob), 6) AS prob_sum FROM m GROUP BY tile_id""", "boxes"))
 def detection_map(spark, d):
-    return rounded(P.detection_map(V.boxes(spark, d), 64), "prob")
+    """The maps of all tiles, each summed up in a row."""
+    m = P.detection_map(V.boxes(spark, d), 64)
+    return m.groupBy("tile_id").agg(F.count(F.lit(1)).alias("cells"), r6(F.max("prob")).alias("prob_max"), r6(F.sum("prob")).alias("prob_sum"))
 
 
 @query(_after_views(GRADIENT + f""", {ENDS}, {_bell('k', 1.0)}, {_filtered('s', 'mosaic', mode='reflect')} SELECT row, col, round(degrees(atan(sqrt(gx * gx + gy * gy))), 6) AS slope,

@@ -73,7 +73,8 @@ def detection_map(boxes: DataFrame, size: int, key: str = "tile_id") -> DataFram
     high = lambda c: F.greatest(F.lit(0), F.least(F.col(c).cast("int"), F.lit(size)))
     rows = boxes.where("x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL")
     rows = rows.select(key, "conf", low("x1").alias("a"), high("x2").alias("b"), low("y1").alias("c"), high("y2").alias("d")).where("b > a AND d > c")
-    rows = rows.withColumn("row", F.explode(F.expr("sequence(c, d - 1)"))).withColumn("col", F.explode(F.expr("sequence(a, b - 1)")))
+    # lines of boxes are shuffled, not their cells: grouping by cell keeps this partitioning
+    rows = rows.withColumn("row", F.explode(F.expr("sequence(c, d - 1)"))).repartition(key, "row").withColumn("col", F.explode(F.expr("sequence(a, b - 1)")))
     return rows.groupBy(key, "row", "col").agg(F.max("conf").alias("prob"))
 
 
