@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratum.llm import bpe, fm_index, license_scan, ngram_join, pii, quality_rules, sharding, toxicity, url_filter, warc
+from stratum.llm import bpe, fm_index, license_scan, ngram_join, pii, quality_rules, sharding, toxicity, turn_repair, url_filter, warc
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_license_texts": license_scan.query_texts,
     "op9_ngram_jaccard_join": ngram_join.query,
     "op10_toxicity": toxicity.query,
+    "op11_conversation_repair": turn_repair.query,
 }
 SQL = {
     "op2_warc_zstd": warc.SQL,
@@ -25,4 +26,5 @@ SQL = {
     "op6_benchmark_decontamination": fm_index.SQL,
     "op8_license_scans": license_scan.sql(),
     "op9_ngram_jaccard_join": ngram_join.SQL,
+    "op11_conversation_repair": turn_repair.SQL,
 }
