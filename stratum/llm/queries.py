@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratum.llm import bpe, fm_index, license_scan, ngram_join, pii, quality_rules, sharding, toxicity, turn_repair, url_filter, warc
+from stratum.llm import bpe, fm_index, license_scan, ngram_join, packing, pii, quality_rules, sharding, toxicity, turn_repair, url_filter, warc
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_ngram_jaccard_join": ngram_join.query,
     "op10_toxicity": toxicity.query,
     "op11_conversation_repair": turn_repair.query,
+    "op12_packing": packing.query,
 }
 SQL = {
     "op2_warc_zstd": warc.SQL,
