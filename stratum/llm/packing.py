@@ -31,25 +31,61 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.shared import picked, pieces, runs, stored
+from stratum.llm.bpe import byte_characters
+from stratum.llm.shared import picked, runs, stored
+from stratum.llm.words import LOWER, Texts, slices
 
 CAPACITY = 4096
 END = 1
 #: Pieces of a partition.
 ITEMS = 1 << 16
 ROUNDS = 12
-REMEMBER = 500_000
+REMEMBER = 800_000
 #: Highest k of the rounding functions among the bounds.
 STEPS = 60
 
-#: Latin letters but U+0130, whose lower case ends in a combining mark.
-_L = "A-Za-zÀ-ÖØ-öø-\u012F\u0131-\u024F"
-#: Latin words, marks of punctuation, and whatever else stands between white space; the splitting rule parts them from each other.
-CHUNKS = re.compile(rf"[{_L}]+(?![^ \t-\r.,;:!?])|[.,;:!?]+(?![^ \t-\r{_L}])|[^ \t-\r]+")
+#: Byte classes: white space, marks of punctuation, ASCII letters, first bytes of Latin letters of two bytes (U+00C0 to U+023F).
+_SPACE, _MARK, _LETTER, _LATIN = (np.isin(np.arange(256), x) for x in ([0x20, *range(0x09, 0x0E)], [*b".,;:!?"], [*range(0x41, 0x5B), *range(0x61, 0x7B)], range(0xC3, 0xC9)))
+
+
+def chunks(texts: Texts) -> tuple[pa.StringArray, np.ndarray]:
+    """Stretches of text that are encoded each for itself, and where each text's stretches begin.
+
+    They are what stands between ASCII white space; where that is Latin letters and marks of punctuation alone,
+    letters and marks are parted too.  Not so U+00D7 and U+00F7, which are no letters, and U+0130, whose lower
+    case ends in a combining mark."""
+    data, n = texts.data[:-8], len(texts.data) - 8
+    space, mark = _SPACE[data], _MARK[data]
+    next_ = texts.data[1 : n + 1]
+    two = _LATIN[data] & ~((data == 0xC3) & ((next_ == 0x97) | (next_ == 0xB7))) & ~((data == 0xC4) & (next_ == 0xB0))
+    letter = _LETTER[data] | two
+    letter[1:] |= two[:-1]
+    start = ~space
+    start[1:] &= space[:-1]
+    first = texts.lo[texts.hi > texts.lo]
+    start[first] = ~space[first]
+    chunk = np.cumsum(start, dtype=np.int32) - 1
+    plain = np.ones(max(1, int(chunk[-1]) + 1 if n else 1), bool)
+    plain[chunk[~(space | letter | mark)]] = False
+    plain = plain[chunk]  # bytes of chunks of letters and marks alone
+    turn = np.zeros(n, bool)
+    turn[1:] = (letter[1:] & mark[:-1]) | (mark[1:] & letter[:-1])
+    at = np.flatnonzero(start | (turn & ~space & plain))
+    solid = np.concatenate([[0], np.cumsum(~space, dtype=np.int32)])  # bytes that aren't space, before each
+    offsets = np.append(solid[at], solid[-1]).astype(np.int32)
+    low = np.where(plain, LOWER[data], data)  # the vocabulary knows no capitals
+    values = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(low[~space]))
+    return values, np.searchsorted(at, np.append(texts.lo, n))
+
+
+#: Words of the letters that chunks() knows.
+_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-\u012F\u0131-\u023F]+")
 
 
 class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes."""
+    """Token ids of texts, by the tokenizers library.
+
+    Words of Latin letters go to its model at once, past normalising and splitting, which only lower their case."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
@@ -59,19 +95,38 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        chunks, known = CHUNKS.findall(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            new = list(set(chunks) - known.keys())
-        if len(known) + len(new) > REMEMBER:
-            known.clear()
-            new = list(set(chunks))
-        for chunk, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[chunk] = np.array(found.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, chunks))
+        self.characters = {b: c for c, b in byte_characters().items()}
+        tried = ["the", "été", "zürich", "ǆßñĳ", "unbelievable"]
+        self.direct = [self._of_word(w) for w in tried] == [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(tried, add_special_tokens=False)]
+
+    def _of_word(self, word: str) -> bytes:
+        found = self.tokenizer.model.tokenize(word.lower().encode().decode("latin-1").translate(self.characters))
+        return np.array([t.id for t in found], "<u4").tobytes()
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > REMEMBER:
+            self.known.clear()
+            new = words
+        words_only = [w for w in new if self.direct and _WORD.fullmatch(w)]
+        self.known.update((w, self._of_word(w)) for w in words_only)
+        new = [w for w in new if w not in self.known]
+        for w, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(found.ids, "<u4").tobytes()
+        return [self.known[w] for w in words]
+
+    def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts behind one another, and where each text's begin."""
+        values, begins = chunks(texts)
+        coded = values.dictionary_encode()
+        index = np.asarray(coded.indices)
+        found = self._ids(coded.dictionary.to_pylist())
+        size = np.array([len(x) // 4 for x in found], np.int32)
+        flat, start = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size, dtype=np.int32) - size
+        each = size[index]
+        ends = np.concatenate([[0], np.cumsum(each, dtype=np.int32)])
+        ids = flat[np.arange(ends[-1], dtype=np.int32) + np.repeat(start[index] - ends[:-1], each)]
+        return ids, ends[begins]
 
 
 @cache
@@ -82,23 +137,24 @@ def _encoder(path: str) -> Encoder:
 def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of all documents: id, ``item`` (its own for each), ``piece``, ``start``, ``length``, ``ids_crc32``.  The file must be at ``path`` on every machine."""
     rows = picked(docs, id_col, text_col)
-    end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, item = _encoder(path), TaskContext.get().partitionId() << 40
-        for batch in pieces(batches):
-            owner, columns = [], ([], [], [], [])
-            for i, text in enumerate(batch["text"]):
-                ids = encoder.encode(text.as_py() or "") + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    owner.append(i)
-                    for column, value in zip(columns, (k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        column.append(value)
-            numbers = pa.array(np.arange(item, item + len(owner)))
-            item += len(owner)
-            kept = batch["id"].take(pa.array(owner, pa.int64()))
-            yield pa.RecordBatch.from_arrays([kept, numbers, pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["id", "item", "piece", "start", "length", "ids_crc32"])
+        for batch in batches:
+            for texts in slices(batch["text"]):
+                ids, begins = encoder.encode(texts)
+                owner, columns = [], ([], [], [], [])
+                for i, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)):
+                    whole = np.append(ids[a:b], np.uint32(END)).astype("<u4")
+                    for k, at in enumerate(range(0, len(whole), capacity)):
+                        part = whole[at : at + capacity]
+                        owner.append(texts.first + i)
+                        for column, value in zip(columns, (k, at, len(part), zlib.crc32(part.tobytes())), strict=True):
+                            column.append(value)
+                numbers = pa.array(np.arange(item, item + len(owner)))
+                item += len(owner)
+                kept = batch["id"].take(pa.array(owner, pa.int64()))
+                yield pa.RecordBatch.from_arrays([kept, numbers, pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["id", "item", "piece", "start", "length", "ids_crc32"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, item bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
