@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratum.llm import bpe, fm_index, license_scan, ngram_join, packing, pii, quality_rules, sharding, toxicity, turn_repair, url_filter, warc
+from stratum.llm import bpe, collocations, fm_index, license_scan, ngram_join, packing, pii, quality_rules, sharding, toxicity, turn_repair, url_filter, warc
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_toxicity": toxicity.query,
     "op11_conversation_repair": turn_repair.query,
     "op12_packing": packing.query,
+    "op13_collocations": collocations.query,
 }
 SQL = {
     "op2_warc_zstd": warc.SQL,
@@ -28,4 +29,5 @@ SQL = {
     "op8_license_scans": license_scan.sql(),
     "op9_ngram_jaccard_join": ngram_join.SQL,
     "op11_conversation_repair": turn_repair.SQL,
+    "op13_collocations": collocations.SQL,
 }
