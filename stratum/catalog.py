@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions import channels, geo, text
 from stratum.operators import answers as A
+from stratum.operators import blocks as B
 from stratum.operators import candidates as C
 from stratum.operators import components as G
 from stratum.operators import datasets as D
@@ -527,13 +528,13 @@ def _bell(name: str, sigma: float) -> str:
 
 @query(_after_views(f"{ENDS}, {_box('k', 2)}, {_filtered('m', 'mosaic')}, {_filtered('n', 'mosaic', mode='reflect')} SELECT row, col, round(m.v, 6) AS mean, round(n.v, 6) AS mirrored FROM m JOIN n USING (row, col)", "mosaic"))
 def box_mean(spark, d):
-    both = R.box_mean(R.box_mean(V.mosaic(spark, d), 2), 2, into="mirrored", mode="reflect")
+    both = B.stencil(V.mosaic(spark, d), 2, lambda g: {"mean": B.box_mean(g["v"], 2), "mirrored": B.box_mean(g["v"], 2, "reflect")}, ["mean", "mirrored"])
     return rounded(both.select("row", "col", "mean", "mirrored"), "mean", "mirrored")
 
 
 @query(_after_views(f"{ENDS}, {_box('k', 3)}, s AS (SELECT row, col, v * v AS v FROM mosaic), {_filtered('m', 'mosaic')}, {_filtered('q', 's')} SELECT row, col, round(greatest(q.v - m.v * m.v, 0), 6) AS variance FROM m JOIN q USING (row, col)", "mosaic"))
 def local_variance(spark, d):
-    return R.local_variance(V.mosaic(spark, d), 3).select("row", "col", r6("variance").alias("variance"))
+    return B.variances(V.mosaic(spark, d), 3).select("row", "col", r6("variance").alias("variance"))
 
 
 def _frames(out: str, size: int, *steps: str) -> str:
@@ -551,20 +552,20 @@ def _frames(out: str, size: int, *steps: str) -> str:
 
 @query(_after_views(_frames("lo", 3, "min") + ", " + _frames("hi", 3, "max") + " SELECT row, col, round(lo.v, 6) AS eroded, round(hi.v, 6) AS dilated FROM lo JOIN hi USING (row, col)", "mosaic"))
 def erode_dilate(spark, d):
-    both = R.separable(R.separable(V.mosaic(spark, d), F.min, 3, into="eroded"), F.max, 3, into="dilated", flip=True)
+    both = B.stencil(V.mosaic(spark, d), 3, lambda g: {"eroded": B.extreme(g["v"], 3, False), "dilated": B.extreme(g["v"], 3, True, flip=True)}, ["eroded", "dilated"])
     return rounded(both.drop("v"), "eroded", "dilated")
 
 
 @query(_after_views(_frames("o", 4, "min", "max") + ", " + _frames("c", 4, "max", "min") + " SELECT row, col, round(m.v - o.v, 6) AS white, round(c.v - m.v, 6) AS black FROM mosaic m JOIN o USING (row, col) JOIN c USING (row, col)", "mosaic"))
 def opening_tophat(spark, d):
-    return rounded(R.top_hats(V.mosaic(spark, d), 4).select("row", "col", "white", "black"), "white", "black")
+    return rounded(B.top_hats(V.mosaic(spark, d), 4).select("row", "col", "white", "black"), "white", "black")
 
 
 @query(_after_views("""k AS (SELECT d, exp(-0.5 * d * d) / sum(exp(-0.5 * d * d)) OVER () AS w FROM (SELECT unnest(range(-4, 5)) AS d)), e AS (SELECT max(row) AS mr, max(col) AS mc FROM mosaic),
 h AS (SELECT a.row, a.col, sum(b.v * k.w) AS v FROM mosaic a, k, e JOIN mosaic b ON b.row = a.row AND b.col = least(greatest(a.col + k.d, 0), e.mc) GROUP BY ALL)
 SELECT a.row, a.col, round(sum(b.v * k.w), 6) AS v FROM h a, k, e JOIN h b ON b.col = a.col AND b.row = least(greatest(a.row + k.d, 0), e.mr) GROUP BY ALL""", "mosaic"))
 def gaussian_convolution(spark, d):
-    return rounded(R.gaussian(V.mosaic(spark, d), 1.0), "v")
+    return rounded(B.smoothed(V.mosaic(spark, d), 1.0).select("row", "col", F.col("smooth").alias("v")), "v")
 
 
 @query(f"""SELECT row, col, floor(least(v * 2, 1) * 255)::INT AS red, floor(CASE WHEN v <= 0.5 THEN least(v * 2, 1) ELSE 1 - (v * 2 - 1) END * 255)::INT AS green, floor((1 - least(v * 2, 1)) * 255)::INT AS blue FROM (SELECT row, col, {UNIT} AS v FROM mosaic)""", "mosaic")
@@ -654,7 +655,7 @@ def sky_view_factor(spark, d):
 def classic_score(spark, d):
     """The relief score, then Otsu's threshold on it."""
     m = V.mosaic(spark, d)
-    score = stored(T.relief_score(m, T.sky_view(m, 5, tile=64), sigmas=(1.0, 2.0), relief_sigma=2.0))
+    score = stored(T.relief_score(m, 5, sigmas=(1.0, 2.0), relief_sigma=2.0))
     cut = R.otsu(score.withColumnRenamed("score", "v"))
     return rounded(score.crossJoin(F.broadcast(cut)).withColumn("mask", (F.col("score") >= F.col("threshold")).cast("int")).drop("threshold"), "score")
 
@@ -714,7 +715,7 @@ def detection_map(spark, d):
  FROM (SELECT *, pi() / 2 - atan(sqrt(gx * gx + gy * gy)) AS steep FROM g) g JOIN s USING (row, col)""", "mosaic"))
 def terrain_products(spark, d):
     """Several products of a surface in one plan."""
-    out = P.terrain_products(V.mosaic(spark, d), ("slope", "hillshade", "slrm"), relief_sigma=1.0)
+    out = T.products(V.mosaic(spark, d), ("slope", "hillshade", "slrm"), relief_sigma=1.0)
     return out.select("row", "col", r6("slope").alias("slope"), F.round("hillshade", 5).alias("hillshade"), r6("slrm").alias("slrm"))
 
 

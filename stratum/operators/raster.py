@@ -1,8 +1,7 @@
 """Raster algebra on pixel rows (row, col, v): normalising, stencils, blending, histograms, merging.
 
-Stencils are windows along one axis at a time, partitioned by the other axis, so no window holds more than
-one line of a raster; cells beyond the edges are copies of those near them. They add columns and carry the
-others, so nothing is joined back to its source.
+Differences of neighbours are windows along one axis at a time, partitioned by the other axis, so no window holds more than
+one line of a raster. Wider stencils work on tiles (``blocks``).
 """
 
 from __future__ import annotations
@@ -192,77 +191,7 @@ def horn(rows: DataFrame, azimuth: float = 315.0, altitude: float = 45.0, cell:
     return both.withColumn("shade", F.greatest(shade, F.lit(0.0)) * 255).drop("l", "r", "dx", "s", "dzdx", "dzdy")
 
 
-def edged(rows: DataFrame, axis: str, other: str, before: int, after: int, mode: str) -> DataFrame:
-    """The rows at their place ``__p`` along an axis, and copies of cells at places beyond both ends of their line.
-
-    ``nearest`` repeats the last cell, ``reflect`` mirrors the line about its edge, again and again if it is short."""
-    line = Window.partitionBy(other)
-    rows = rows.withColumns({"__a": F.min(axis).over(line), "__b": F.max(axis).over(line)})
-    a, b, at = F.col("__a"), F.col("__b"), F.col(axis)
-    if mode == "nearest":
-        steps = lambda x, y: F.when(y >= x, F.sequence(x, y)).otherwise(F.array().cast("array<int>"))
-        none = F.array().cast("array<int>")
-        extra = F.concat(F.when(at == a, steps(a - before, a - 1)).otherwise(none), F.when(at == b, steps(b + 1, b + after)).otherwise(none))
-    elif mode == "reflect":
-        n = b - a + 1
-        turns = F.ceil(max(before, after) / (2 * n)).cast("int") + 1
-        again = F.flatten(F.transform(F.sequence(-turns, turns), lambda k: F.array(at + 2 * n * k, 2 * a - 1 - at + 2 * n * k)))
-        near = (at - a < before) | (b - at < after)
-        extra = F.when(near, F.filter(again, lambda p: (p != at) & (p >= a - before) & (p <= b + after))).otherwise(F.array().cast("array<int>"))
-    else:
-        raise ValueError(f"unknown edge mode {mode}")
-    return rows.withColumn("__p", F.explode(F.concat(F.array(at), extra))).drop("__a", "__b")
-
-
-def along(rows: DataFrame, axis: str, half: int, mode: str, columns) -> DataFrame:
-    """``columns(window, frame)`` (name to column) of each cell over its line, and over ``half`` cells to both sides."""
-    other = "row" if axis == "col" else "col"
-    w = Window.partitionBy(other).orderBy("__p")
-    ext = edged(rows, axis, other, half, half, mode)
-    return ext.withColumns(columns(w, w.rowsBetween(-half, half))).where(F.col("__p") == F.col(axis)).drop("__p")
-
-
-def separable(rows: DataFrame, fn, size: int, value: str = "v", into: str | None = None, flip: bool = False) -> DataFrame:
-    """``fn`` (min or max) over ``size`` cells along rows, then along columns.  Cells beyond the edges repeat the edge, which a
-    smallest or largest value doesn't notice.  Of an even size one more cell stands before than after; after if ``flip``."""
-    before, after = size // 2, size - 1 - size // 2
-    if flip:
-        before, after = after, before
-    into = into or value
-    one = rows.withColumn(into, fn(value).over(Window.partitionBy("row").orderBy("col").rowsBetween(-before, after)))
-    return one.withColumn(into, fn(into).over(Window.partitionBy("col").orderBy("row").rowsBetween(-before, after)))
-
-
-def box_mean(rows: DataFrame, half: int, value: str = "v", into: str = "mean", mode: str = "nearest") -> DataFrame:
-    """Mean of the valid cells of a box: sums and counts along one axis, then the other."""
-    one = along(rows, "col", half, mode, lambda w, f: {"__s": F.sum(value).over(f), "__n": F.count(value).over(f)})
-    two = along(one, "row", half, mode, lambda w, f: {"__s2": F.sum("__s").over(f), "__n2": F.sum("__n").over(f)})
-    return two.withColumn(into, F.try_divide("__s2", "__n2")).drop("__s", "__n", "__s2", "__n2")
-
-
-def local_variance(rows: DataFrame, half: int, into: str = "variance", mode: str = "nearest") -> DataFrame:
-    """Mean of squares less squared mean, 0 at least."""
-    both = box_mean(box_mean(rows.withColumn("__q", F.col("v") * F.col("v")), half, into="__m", mode=mode), half, "__q", "__qm", mode)
-    return both.withColumn(into, F.greatest(F.col("__qm") - F.col("__m") * F.col("__m"), F.lit(0.0))).drop("__q", "__qm", "__m")
-
-
-def opening(rows: DataFrame, size: int, value: str = "v", into: str | None = None) -> DataFrame:
-    into = into or value
-    return separable(separable(rows, F.min, size, value, into), F.max, size, into, flip=True)
-
-
-def closing(rows: DataFrame, size: int, value: str = "v", into: str | None = None) -> DataFrame:
-    into = into or value
-    return separable(separable(rows, F.max, size, value, into, flip=True), F.min, size, into)
-
-
-def top_hats(rows: DataFrame, size: int, white: str = "white", black: str = "black") -> DataFrame:
-    """``white`` = v - opening and ``black`` = closing - v; the source's columns come along."""
-    both = closing(opening(rows, size, "v", white), size, "v", black)
-    return both.withColumns({white: F.col("v") - F.col(white), black: F.col(black) - F.col("v")})
-
-
-def _kernel(sigma: float, order: int, half: int) -> list[float]:
+def kernel(sigma: float, order: int, half: int) -> list[float]:
     """Weights of the cells at 0, 1, ... half to the right, for a Gaussian's value, first or second derivative."""
     raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(half + 1)]
     total = raw[0] + 2 * sum(raw[1:])
@@ -270,27 +199,6 @@ def _kernel(sigma: float, order: int, half: int) -> list[float]:
     return [factor(k) * x / total for k, x in enumerate(raw)]
 
 
-def gaussians(rows: DataFrame, sigma: float, into: dict[str, tuple[int, int]], value: str = "v", mode: str = "nearest", truncate: float = 4.0) -> DataFrame:
-    """Gaussian filters of a column: ``into`` names them by order of derivative (along columns of cells, along rows)."""
-    half = int(truncate * sigma + 0.5)
-
-    def filtered(source: str, order: int, w) -> Column:
-        weights, sign = _kernel(sigma, order, half), -1 if order == 1 else 1
-        total = weights[0] * F.col(source)
-        for k in range(1, half + 1):
-            total = total + weights[k] * (F.lead(source, k).over(w) + sign * F.lag(source, k).over(w))
-        return total
-
-    down = sorted({y for y, _ in into.values()})
-    one = along(rows, "row", half, mode, lambda w, f: {f"__g{y}": filtered(value, y, w) for y in down})
-    return along(one, "col", half, mode, lambda w, f: {n: filtered(f"__g{y}", x, w) for n, (y, x) in into.items()}).drop(*(f"__g{y}" for y in down))
-
-
-def gaussian(rows: DataFrame, sigma: float, truncate: float = 4.0, mode: str = "nearest") -> DataFrame:
-    """Gaussian smoothing of ``v``."""
-    return gaussians(rows, sigma, {"__v": (0, 0)}, mode=mode, truncate=truncate).withColumn("v", F.col("__v")).drop("__v")
-
-
 # tiles and blending
 
 

@@ -78,20 +78,6 @@ def detection_map(boxes: DataFrame, size: int, key: str = "tile_id") -> DataFram
     return rows.groupBy(key, "row", "col").agg(F.max("conf").alias("prob"))
 
 
-def terrain_products(cells: DataFrame, names: tuple[str, ...] = ("hillshade", "svf", "slrm", "slope"), cell: float = 1.0, relief_sigma: float = T.RELIEF_SIGMA, svf_radius: int = 10, tile: int = 256) -> DataFrame:
-    """(row, col) and a column for each product asked for: one gradient serves shading and slope; sky view is computed
-    by tiles with a halo of its radius, so that seams make no difference."""
-    out = R.hillshade(cells.select("row", "col", "v"), cell=cell) if {"hillshade", "slope"} & set(names) else cells.select("row", "col", "v")
-    columns = {"hillshade": "shade", "slope": "slope", "slrm": "lrm", "svf": "svf"}
-    if "slope" in names:
-        out = out.withColumn("slope", F.degrees(F.atan(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")))))
-    if "slrm" in names:
-        out = T.local_relief(out, relief_sigma)
-    if "svf" in names:
-        out = out.join(T.sky_view(cells, svf_radius, cell=cell, tile=tile), ["row", "col"])
-    return out.select("row", "col", *(F.col(columns[n]).alias(n) for n in names))
-
-
 def png(pixels: np.ndarray) -> bytes:
     """An 8-bit PNG of (height, width) grey values or (height, width, 3) colours."""
     shape = pixels.shape

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratum.operators import blocks as B
 from stratum.operators import raster as R
 from stratum.sources.shared import stored
 
@@ -20,18 +21,23 @@ RELIEF_WEIGHTS = {"log": 0.30, "lrm": 0.20, "svf": 0.15, "slope": 0.15, "opennes
 SIGMAS, SIZES, GRADIENT_SIGMA, VARIANCE_SIZE, RELIEF_SIGMA = (1.0, 2.0, 4.0, 8.0), (3, 5, 9, 15), 1.5, 7, 6.0
 
 
-def local_relief(rows: DataFrame, sigma: float = RELIEF_SIGMA) -> DataFrame:
+def local_relief(rows: DataFrame, sigma: float = RELIEF_SIGMA, tile: int = B.TILE) -> DataFrame:
     """``lrm``: height above the smoothed surface, which is mirrored at its edges."""
-    return R.gaussians(rows, sigma, {"lrm": (0, 0)}, mode="reflect").withColumn("lrm", F.col("v") - F.col("lrm"))
+    return B.stencil(rows, B.gaussian_reach(sigma), lambda g: {"lrm": _relief(g["v"], sigma)}, ["lrm"], tile=tile)
 
 
-def position_index(rows: DataFrame, halves: tuple[int, ...] = (5, 15, 30)) -> DataFrame:
+def _relief(g: B.Grid, sigma: float) -> B.Grid:
+    return B.combined(np.subtract, g, B.gaussian(g, sigma, mode="reflect"))
+
+
+def position_index(rows: DataFrame, halves: tuple[int, ...] = (5, 15, 30), tile: int = B.TILE) -> DataFrame:
     """``tpi``: mean over scales of the height above the box mean, by three of its deviations, clipped to -1..1."""
-    out, names = rows, [f"__m{i}" for i in range(len(halves))]
-    for n, h in zip(names, halves, strict=True):
-        out = R.box_mean(out, h, into=n, mode="reflect").withColumn(n, F.col("v") - F.col(n))
-    out = stored(out)
-    one = out.crossJoin(F.broadcast(out.agg(*(F.stddev_pop(n).alias(f"{n}s") for n in names))))  # one row
+    names = [f"__m{i}" for i in range(len(halves))]
+    chain = lambda g: {n: B.combined(np.subtract, g["v"], B.box_mean(g["v"], h, "reflect")) for n, h in zip(names, halves, strict=True)}
+    out = stored(B.stencil(rows, max(halves), chain, names, tile=tile))
+    key = [c for c in out.columns if c == "raster"]
+    spread = out.groupBy(*key).agg(*(F.stddev_pop(n).alias(f"{n}s") for n in names))
+    one = out.join(spread, key) if key else out.crossJoin(F.broadcast(spread))  # one row
     part = lambda n: F.greatest(F.least(F.when(F.col(f"{n}s") > 0, F.col(n) / (3 * F.col(f"{n}s"))).otherwise(F.col(n)), F.lit(1.0)), F.lit(-1.0))
     return one.withColumn("tpi", sum((part(n) for n in names), F.lit(0.0)) / len(names)).drop(*names, *(f"{n}s" for n in names))
 
@@ -47,69 +53,60 @@ def curvature(rows: DataFrame, cell: float = 1.0, limit: float = 0.1) -> DataFra
     return g.withColumns({"plan": clip(plan), "profile": clip(profile)}).drop("gx", "gy", "__xx", "__xy", "__yy")
 
 
-def ridge_size(rows: DataFrame, sigma: float, into: str = "ridge") -> DataFrame:
-    """Size of the smaller eigenvalue of the Hessian by derivatives of a Gaussian, not yet normalised."""
-    g = R.gaussians(rows, sigma, {"__yy": (2, 0), "__xy": (1, 1), "__xx": (0, 2)})
-    half, gap = (F.col("__xx") + F.col("__yy")) / 2, (F.col("__xx") - F.col("__yy")) / 2
-    low = half - F.sqrt(gap * gap + F.col("__xy") * F.col("__xy"))
-    return g.withColumn(into, F.abs(low)).drop("__xx", "__xy", "__yy")
-
-
-def hessian(rows: DataFrame, sigmas: tuple[float, ...] = SIGMAS) -> DataFrame:
-    """``ridge``: the largest over scales of the normalised sizes."""
+def hessian(rows: DataFrame, sigmas: tuple[float, ...] = SIGMAS, tile: int = B.TILE) -> DataFrame:
+    """``ridge``: the largest over scales of the normalised sizes of the Hessian's smaller eigenvalue; all scales in one pass over tiles."""
     names = [f"__r{i}" for i in range(len(sigmas))]
-    for n, s in zip(names, sigmas, strict=True):
-        rows = ridge_size(rows, s, n)
-    return R.normalised_columns(rows, names).select("row", "col", F.array_max(F.array(*names)).alias("ridge"))
+    chain = lambda g: {n: B.ridge_size(g["v"], s) for n, s in zip(names, sigmas, strict=True)}
+    out = R.normalised_columns(B.stencil(rows, B.gaussian_reach(max(sigmas)), chain, names, tile=tile), names)
+    return out.withColumn("ridge", F.array_max(F.array(*names))).drop("v", *names)
 
 
-def prominence(rows: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
+def prominence(rows: DataFrame, sizes: tuple[int, ...] = SIZES, tile: int = B.TILE) -> DataFrame:
     """``prominence``: the largest of the top-hats of all sizes, each normalised."""
-    names = []
-    for s in sizes:
-        rows = R.top_hats(rows, s, f"__w{s}", f"__b{s}")
-        names += [f"__w{s}", f"__b{s}"]
-    return R.normalised_columns(rows, names).select("row", "col", F.array_max(F.array(*names)).alias("prominence"))
+    names = [f"__{k}{s}" for s in sizes for k in "wb"]
+
+    def chain(g):
+        v = g["v"]
+        white = {f"__w{s}": B.combined(np.subtract, v, B.opening(v, s)) for s in sizes}
+        return white | {f"__b{s}": B.combined(np.subtract, B.closing(v, s), v) for s in sizes}
 
+    out = R.normalised_columns(B.stencil(rows, 2 * max(sizes), chain, names, tile=tile), names)
+    return out.withColumn("prominence", F.array_max(F.array(*names))).drop("v", *names)
 
-def blob_size(rows: DataFrame, sigmas: tuple[float, ...] = SIGMAS, into: str = "log") -> DataFrame:
-    """The largest over scales of the Laplacian of Gaussian's size."""
-    names = [f"__l{i}" for i in range(len(sigmas))]
-    for n, s in zip(names, sigmas, strict=True):
-        rows = R.gaussians(rows, s, {"__yy": (2, 0), "__xx": (0, 2)}).withColumn(n, F.abs(F.col("__yy") + F.col("__xx"))).drop("__yy", "__xx")
-    return rows.withColumn(into, F.array_max(F.array(*names))).drop(*names)
 
+def relief_score(rows: DataFrame, svf: DataFrame | int, openness: DataFrame | None = None, sigmas: tuple[float, ...] = SIGMAS, relief_sigma: float = RELIEF_SIGMA, gradient_sigma: float = GRADIENT_SIGMA, variance_size: int = VARIANCE_SIZE, tile: int = B.TILE) -> DataFrame:
+    """``score``: the weighted sum of normalised terms; sky view counts turned, missing ``openness`` as 0.
 
-def gradient_size(rows: DataFrame, sigma: float = GRADIENT_SIGMA, into: str = "slope") -> DataFrame:
-    """The gradient's length by derivatives of a Gaussian."""
-    g = R.gaussians(rows, sigma, {"__y": (1, 0), "__x": (0, 1)})
-    return g.withColumn(into, F.sqrt(F.col("__y") * F.col("__y") + F.col("__x") * F.col("__x"))).drop("__y", "__x")
+    ``svf`` is a table (row, col, svf), or the radius of a sky view that the same pass over tiles computes."""
+    radius = svf if isinstance(svf, int) else 0
+    own = radius > 0
+    names = [n for n in RELIEF_WEIGHTS if n != "openness" and (own or n != "svf")]
 
+    def chain(g):
+        v = g["v"]
+        out = {"log": B.combined(lambda *x: np.max(x, 0), *(B.blob_size(v, s) for s in sigmas)), "lrm": _relief(v, relief_sigma), "slope": B.gradient_size(v, gradient_sigma), "variance": B.local_variance(v, variance_size // 2)}
+        return out | ({"svf": _sky_grid(v, radius)} if own else {})
 
-def relief_score(rows: DataFrame, svf: DataFrame, openness: DataFrame | None = None, sigmas: tuple[float, ...] = SIGMAS, relief_sigma: float = RELIEF_SIGMA, gradient_sigma: float = GRADIENT_SIGMA, variance_size: int = VARIANCE_SIZE) -> DataFrame:
-    """``score``: the weighted sum of normalised terms; ``svf`` (row, col, svf) counts turned, missing ``openness`` as 0."""
-    g = R.local_variance(gradient_size(blob_size(local_relief(rows, relief_sigma), sigmas), gradient_sigma), variance_size // 2)
-    g = g.join(svf.select("row", "col", "svf"), ["row", "col"])
-    g = g.join(openness.select("row", "col", "openness"), ["row", "col"]) if openness is not None else g.withColumn("openness", F.lit(0.0))
-    g = R.normalised_columns(g.select("row", "col", *RELIEF_WEIGHTS), list(RELIEF_WEIGHTS)).withColumn("svf", 1 - F.col("svf"))
+    reach = max(B.gaussian_reach(max(*sigmas, relief_sigma, gradient_sigma)), variance_size // 2, radius)
+    g = B.stencil(rows, reach, chain, names, tile=tile)
+    key = [c for c in g.columns if c in ("raster", "row", "col")]
+    if not own:
+        g = g.join(svf.select(*key, "svf"), key)
+    g = g.join(openness.select(*key, "openness"), key) if openness is not None else g.withColumn("openness", F.lit(0.0))
+    g = R.normalised_columns(g.select(*key, *RELIEF_WEIGHTS), list(RELIEF_WEIGHTS)).withColumn("svf", 1 - F.col("svf"))
     g = R.normalised_columns(g, ["svf"])
-    return g.select("row", "col", sum((w * F.col(n) for n, w in RELIEF_WEIGHTS.items()), F.lit(0.0)).alias("score"))
+    return g.select(*key, sum((w * F.col(n) for n, w in RELIEF_WEIGHTS.items()), F.lit(0.0)).alias("score"))
 
 
-def ground(rows: DataFrame, size: int, sigma: float) -> DataFrame:
+def ground(rows: DataFrame, size: int, sigma: float, tile: int = B.TILE) -> DataFrame:
     """A terrain surface from a surface with objects: opened, smoothed, and nowhere above the input.
     Missing cells count as the highest value and 100 more while opening."""
-    high = rows.agg((F.max("v") + 100).alias("__h"))  # one row
-    filled = rows.crossJoin(F.broadcast(high)).withColumn("__g", F.coalesce("v", "__h")).drop("__h")
-    low = R.gaussians(R.opening(filled, size, "__g"), sigma, {"__s": (0, 0)}, "__g")
-    return low.select("row", "col", F.least("v", "__s").alias("v"))
-
-
-def halo_tiles(rows: DataFrame, tile: int, halo: int) -> DataFrame:
-    """Each pixel with the tiles whose core, grown by ``halo`` cells, holds it: (tr, tc) and ``core``."""
-    span = lambda c: F.explode(F.sequence(F.greatest(F.floor((F.col(c) - halo) / tile), F.lit(0)).cast("int"), F.floor((F.col(c) + halo) / tile).cast("int")))
-    out = rows.withColumn("tr", span("row")).withColumn("tc", span("col"))
-    return out.withColumn("core", (F.floor(F.col("row") / tile) == F.col("tr")) & (F.floor(F.col("col") / tile) == F.col("tc")))
+    key = [c for c in rows.columns if c == "raster"]
+    high = rows.groupBy(*key).agg((F.max("v") + 100).alias("__h"))
+    held = rows.join(high, key) if key else rows.crossJoin(F.broadcast(high))  # one row
+    held = held.withColumn("__g", F.coalesce("v", "__h"))
+    low = B.stencil(held, 2 * size + B.gaussian_reach(sigma), lambda g: {"__s": B.gaussian(B.opening(g["__g"], size), sigma)}, ["__s"], ["v", "__g"], tile)
+    return low.select(*key, "row", "col", F.least("v", "__s").alias("v"))
 
 
 def _sky_view(grid: np.ndarray, radius: int, directions: int, cell: float) -> np.ndarray:
@@ -128,18 +125,69 @@ def _sky_view(grid: np.ndarray, radius: int, directions: int, cell: float) -> np
     return 1 - total / directions
 
 
-def sky_view(rows: DataFrame, radius: int, directions: int = 16, cell: float = 1.0, tile: int = 256) -> DataFrame:
+def _sky_grid(g: B.Grid, radius: int, directions: int = 16, cell: float = 1.0) -> B.Grid:
+    """Sky view of a grid; within a rim of the radius it isn't right yet, so that is cut off but for where the raster ends."""
+    out = g.like(np.where(np.isnan(g.v), np.nan, _sky_view(g.v, radius, directions, cell)))
+    top, left, below, right = (0 if end else radius for end in g.ends)
+    return out.cut(g.row + top, g.col + left, g.v.shape[0] - top - below, g.v.shape[1] - left - right)
+
+
+def sky_view(rows: DataFrame, radius: int, directions: int = 16, cell: float = 1.0, tile: int = B.TILE) -> DataFrame:
     """``svf`` of each cell, tile by tile with a halo of the radius, so that seams make no difference."""
+    return B.stencil(rows, radius, lambda g: {"svf": _sky_grid(g["v"], radius, directions, cell)}, ["svf"], tile=tile).drop("v")
+
+
+def gradients(g: B.Grid, cell: float = 1.0) -> tuple[B.Grid, B.Grid]:
+    """Central differences along rows and along columns of cells, one-sided where a neighbour is missing."""
+
+    def step(axis: int) -> B.Grid:
+        def one(w: np.ndarray) -> np.ndarray:
+            low, mid, high = w[..., 0], w[..., 1], w[..., 2]
+            both = ~np.isnan(low) & ~np.isnan(high)
+            return (np.where(np.isnan(high), mid, high) - np.where(np.isnan(low), mid, low)) / (np.where(both, 2.0, 1.0) * cell)
+
+        return B.along(g, axis, 1, 1, np.nan, one)
+
+    return tuple(B.common(step(1), step(0)))
+
+
+def shades(gx: B.Grid, gy: B.Grid, azimuth: float = 315.0, altitude: float = 45.0) -> B.Grid:
+    """Lambert shading in 0..255, as raster.hillshade."""
+    az, alt = math.radians(azimuth), math.radians(altitude)
+
+    def light(x, y):
+        at = (math.sin(alt) - math.cos(alt) * math.sin(az) * x + math.cos(alt) * math.cos(az) * y) / np.sqrt(1 + x * x + y * y)
+        return np.clip((at + 1) / 2, 0, 1) * 255
+
+    return B.combined(light, gx, gy)
+
+
+def products(rows: DataFrame, names: tuple[str, ...] = ("hillshade", "svf", "slrm", "slope"), cell: float = 1.0, relief_sigma: float = RELIEF_SIGMA, svf_radius: int = 10, tile: int = B.TILE, fill_reach: int = 0) -> DataFrame:
+    """A column for each product asked for, all from one pass over tiles.
+
+    With ``fill_reach`` missing cells take the nearest value at most so many cells away while products are computed, and are
+    masked out of them afterwards."""
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = pdf["row"].min(), pdf["col"].min()
-        grid = np.full((pdf["row"].max() - r0 + 1, pdf["col"].max() - c0 + 1), np.nan)
-        grid[pdf["row"] - r0, pdf["col"] - c0] = pdf["v"]
-        core = pdf[pdf["core"]]
-        values = _sky_view(grid, radius, directions, cell)[core["row"] - r0, core["col"] - c0]
-        return pd.DataFrame({"row": core["row"].to_numpy(), "col": core["col"].to_numpy(), "svf": values})
+    def chain(g):
+        v, hole = g["v"], np.isnan(g["v"].v)
+        if fill_reach:
+            v = v.like(B.nearest_valid(v.v, fill_reach))
+            top, left, below, right = (0 if end else fill_reach for end in v.ends)
+            v = v.cut(v.row + top, v.col + left, v.v.shape[0] - top - below, v.v.shape[1] - left - right)
+        out = {}
+        if {"hillshade", "slope"} & set(names):
+            gx, gy = gradients(v, cell)
+            out = {"hillshade": shades(gx, gy), "slope": B.combined(lambda x, y: np.degrees(np.arctan(np.sqrt(x * x + y * y))), gx, gy)}
+        if "slrm" in names:
+            out["slrm"] = _relief(v, relief_sigma)
+        if "svf" in names:
+            out["svf"] = _sky_grid(v, svf_radius, cell=cell)
+        if fill_reach:
+            out = {n: B.combined(lambda x, h: np.where(h, np.nan, x), x, g["v"].like(hole)) for n, x in out.items()}
+        return out
 
-    return halo_tiles(rows.select("row", "col", "v"), tile, radius).groupBy("tr", "tc").applyInPandas(each, "row int, col int, svf double")
+    reach = fill_reach + max(1, B.gaussian_reach(relief_sigma) if "slrm" in names else 0, svf_radius if "svf" in names else 0)
+    return B.stencil(rows, reach, chain, list(names), tile=tile).drop("v")
 
 
 def score_tiles(tiles: DataFrame, scorer: Callable[[np.ndarray], np.ndarray], size: int, skip: Column | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from stratum.functions import geo, text
-from stratum.operators import candidates, components, evaluation, raster, sampling, scanlog, terrain
+from stratum.operators import blocks, candidates, components, evaluation, raster, sampling, scanlog, terrain
 from stratum.sources import files
 from stratum.streaming import scan as streams
 
@@ -200,9 +200,9 @@ def test_terrain_scores_by_numpy(spark):
     g = np.random.default_rng(7).random((14, 17)) * 3
     df = cells(spark, g)
     flat = lambda h: np.full(2 * h + 1, 1 / (2 * h + 1))
-    assert np.allclose(grid(raster.box_mean(df, 2), "mean"), filtered(g, flat(2), flat(2), "edge")) and np.allclose(grid(raster.box_mean(df, 20, mode="reflect"), "mean"), filtered(g, flat(20), flat(20), "symmetric"))
+    assert np.allclose(grid(blocks.box_means(df, 2, tile=5), "mean"), filtered(g, flat(2), flat(2), "edge")) and np.allclose(grid(blocks.box_means(df, 20, mode="reflect"), "mean"), filtered(g, flat(20), flat(20), "symmetric"))
     variance = np.maximum(filtered(g * g, flat(3), flat(3), "edge") - filtered(g, flat(3), flat(3), "edge") ** 2, 0)
-    assert np.allclose(grid(raster.local_variance(df, 3), "variance"), variance)
+    assert np.allclose(grid(blocks.variances(df, 3, tile=4), "variance"), variance)
     above = [g - filtered(g, flat(h), flat(h), "symmetric") for h in (2, 5)]
     assert np.allclose(grid(terrain.position_index(df, (2, 5)), "tpi"), np.mean([np.clip(a / (3 * a.std()), -1, 1) for a in above], 0))
     fy, fx = np.gradient(g)
@@ -257,13 +257,13 @@ def test_stencils_by_numpy(spark):
     assert np.allclose(grid(raster.slope(df), "slope"), np.degrees(np.arctan(np.hypot(gx, gy))))
     pad = np.pad(g, 1, mode="edge")
     low = np.min([pad[a : a + 9, b : b + 11] for a in range(3) for b in range(3)], 0)
-    assert np.allclose(grid(raster.separable(df, F.min, 3)), low)
+    assert np.allclose(grid(blocks.stencil(df, 1, lambda g: {"low": blocks.extreme(g["v"], 3, False)}, ["low"], tile=4), "low"), low)
     x = np.arange(-4, 5)
     k = np.exp(-0.5 * x * x) / np.exp(-0.5 * x * x).sum()
     big = np.pad(g, 4, mode="edge")
     smooth = sum(k[a] * big[a : a + 9] for a in range(9))
     smooth = sum(k[b] * smooth[:, b : b + 11] for b in range(9))
-    assert np.allclose(grid(raster.gaussian(df, 1.0)), smooth)
+    assert np.allclose(grid(blocks.smoothed(df, 1.0, tile=4), "smooth"), smooth)
     assert np.allclose(grid(terrain.local_relief(df, 1.0), "lrm"), g - filtered(g, bell(1.0), bell(1.0), "symmetric"))
     whole, tiled = grid(terrain.sky_view(df, 3, tile=64), "svf"), grid(terrain.sky_view(df, 3, tile=4), "svf")
     assert np.allclose(whole, tiled) and whole.max() <= 1
@@ -629,5 +629,5 @@ def test_checks_and_cells_by_hand(spark):
     df = spark.createDataFrame([(1, float("nan"), True, datetime.date(2024, 1, 2)), (2, 1.5, None, None), (3, float("-inf"), False, None)], "k int, v double, b boolean, d date")
     assert [tuple(r) for r in scoring.layer_values(scoring.sheet_values(df)).orderBy("k").collect()] == [(1, None, 1, "2024-01-02"), (2, 1.5, None, None), (3, None, 0, None)]
     cells = spark.createDataFrame([(r, c, float(r * c % 5)) for r in range(9) for c in range(7)], "row int, col int, v double")
-    out = scoring.terrain_products(cells, svf_radius=2, relief_sigma=1.0, tile=4)
+    out = terrain.products(cells, svf_radius=2, relief_sigma=1.0, tile=4)
     assert out.columns == ["row", "col", "hillshade", "svf", "slrm", "slope"] and out.count() == 63 and out.where("hillshade IS NULL OR svf IS NULL OR slrm IS NULL OR slope IS NULL").count() == 0
