@@ -18,6 +18,7 @@ from stratum.operators import candidates as C
 from stratum.operators import components as G
 from stratum.operators import datasets as D
 from stratum.operators import evaluation as E
+from stratum.operators import pointcloud as PC
 from stratum.operators import raster as R
 from stratum.operators import sampling as S
 from stratum.operators import scanlog as L
@@ -1142,3 +1143,53 @@ def source_summary(spark, d):
 def metric_lines(spark, d):
     rows = V.candidates(spark, d).groupBy("source_label").agg(r6(F.avg("score_mean")).alias("score"), F.max("scale_factor").alias("scale"))
     return D.metric_lines(rows, "source_label", ["score", "scale"]).select("source_label", "line")
+
+
+# point clouds
+
+GROUND = PC.GroundRule(window=3.0, fill=4)
+
+
+def _gaps(name: str, source: str, reach: int) -> str:
+    """Missing cells of ``source`` (cloud, row, col, v) filled from the nearest ring that has values."""
+    return f"""{name}_n AS (SELECT h.cloud, h.row, h.col, greatest(abs(h.row - k.row), abs(h.col - k.col)) AS ring, k.v FROM {source} h JOIN {source} k ON k.cloud = h.cloud AND k.row BETWEEN h.row - {reach} AND h.row + {reach} AND k.col BETWEEN h.col - {reach} AND h.col + {reach} WHERE h.v IS NULL AND k.v IS NOT NULL),
+{name}_m AS (SELECT cloud, row, col, avg(v) AS v FROM (SELECT *, min(ring) OVER (PARTITION BY cloud, row, col) AS least FROM {name}_n) WHERE ring = least GROUP BY ALL),
+{name} AS (SELECT s.cloud, s.row, s.col, coalesce(s.v, m.v) AS v FROM {source} s LEFT JOIN {name}_m m USING (cloud, row, col))"""
+
+
+def _diamond(name: str, source: str, fn: str, radius: int, value: str = "v") -> str:
+    places = f"(SELECT a, b FROM (SELECT unnest(range({-radius}, {radius + 1})) AS a), (SELECT unnest(range({-radius}, {radius + 1})) AS b) WHERE abs(a) + abs(b) <= {radius})"
+    return f"{name} AS (SELECT s.cloud, s.row, s.col, {fn}(k.{value}) AS v FROM {source} s, {places} d JOIN {source} k ON k.cloud = s.cloud AND k.row = s.row + d.a AND k.col = s.col + d.b GROUP BY ALL)"
+
+
+def _ground_sql(rest: str) -> str:
+    rule, opened = GROUND, []
+    for r in range(1, rule.steps + 1):
+        opened += [_diamond(f"e{r}", "solid", "min", r), _diamond(f"o{r}", f"e{r}", "max", r)]
+    limits = " OR ".join(f"{'solid.v' if r == 1 else f'o{r - 1}.v'} - o{r}.v > {rule.slope * rule.cell * r}" for r in range(1, rule.steps + 1))
+    joins = " ".join(f"JOIN o{r} USING (cloud, row, col)" for r in range(1, rule.steps + 1))
+    step = lambda axis: f"(coalesce(lead(v) OVER {axis}, v) - coalesce(lag(v) OVER {axis}, v)) / (CASE WHEN lead(v) OVER {axis} IS NOT NULL AND lag(v) OVER {axis} IS NOT NULL THEN 2.0 ELSE 1.0 END)"
+    return _after_views(f"""p AS (SELECT *, floor(y)::INT AS row, floor(x)::INT AS col FROM points), low AS (SELECT cloud, row, col, min(z) AS v FROM p GROUP BY ALL),
+ends AS (SELECT cloud, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM low GROUP BY cloud), lines AS (SELECT cloud, c0, c1, unnest(range(r0, r1 + 1))::INT AS row FROM ends),
+dense AS (SELECT cloud, row, unnest(range(c0, c1 + 1))::INT AS col FROM lines), cells AS (SELECT d.cloud, d.row, d.col, low.v FROM dense d LEFT JOIN low USING (cloud, row, col)),
+{_gaps('solid', 'cells', rule.fill)}, turned AS (SELECT cloud, row, col, -v AS v FROM solid), {_diamond('te', 'turned', 'min', 1)}, {_diamond('to_', 'te', 'max', 1)}, {', '.join(opened)},
+marks AS (SELECT cloud, row, col, coalesce(turned.v - to_.v > {rule.low_slope * rule.cell}, false) OR coalesce({limits}, false) AS object FROM solid JOIN turned USING (cloud, row, col) JOIN to_ USING (cloud, row, col) {joins}),
+bare AS (SELECT c.cloud, c.row, c.col, CASE WHEN NOT object THEN c.v END AS v FROM cells c JOIN marks USING (cloud, row, col)), {_gaps('ground', 'bare', rule.fill)},
+raw AS (SELECT cloud, row, col, sqrt(gx * gx + gy * gy) AS v FROM (SELECT *, {step('(PARTITION BY cloud, row ORDER BY col)')} AS gx, {step('(PARTITION BY cloud, col ORDER BY row)')} AS gy FROM ground)), {_gaps('steep', 'raw', rule.fill)},
+told AS (SELECT p.*, z - g.v AS height, coalesce(abs(z - g.v) <= {rule.threshold} + {rule.scalar} * coalesce(s.v, 0), false) AS is_ground FROM p JOIN ground g USING (cloud, row, col) JOIN steep s USING (cloud, row, col))
+{rest}""", "points")
+
+
+@query(_ground_sql("SELECT cloud, row, col, count(*) AS points, count(*) FILTER (is_ground) AS ground_points, round(max(height), 5) AS highest, bool_and(m.object) AS object FROM told JOIN marks m USING (cloud, row, col) GROUP BY ALL"))
+def ground_points(spark, d):
+    """Points told ground or not, summed up by cell."""
+    points = stored(PC.placed(V.points(spark, d), GROUND.cell))
+    sums = PC.classified(points, GROUND).groupBy("cloud", "row", "col").agg(F.count(F.lit(1)).alias("points"), F.count_if("is_ground").alias("ground_points"), F.round(F.max("height"), 5).alias("highest"))
+    return sums.join(PC.surface(points, GROUND).select("cloud", "row", "col", "object"), ["cloud", "row", "col"])
+
+
+@query(_ground_sql(f"""SELECT cloud, row, col, round(coalesce(avg(z) FILTER (d = 0), sum(z / d) FILTER (d > 0) / sum(1 / d) FILTER (d > 0)), 5) AS v, count(*) AS n FROM (
+SELECT e.cloud, e.row, e.col, z, sqrt((x - e.col - 0.5) * (x - e.col - 0.5) + (y - e.row - 0.5) * (y - e.row - 0.5)) AS d FROM told t JOIN dense e ON e.cloud = t.cloud AND e.row BETWEEN t.row - 2 AND t.row + 2 AND e.col BETWEEN t.col - 2 AND t.col + 2 WHERE is_ground) WHERE d <= 1.5 GROUP BY ALL"""))
+def ground_terrain(spark, d):
+    """A terrain grid of the points told ground."""
+    return PC.terrain(V.points(spark, d), GROUND).select("cloud", "row", "col", F.round("v", 5).alias("v"), "n")

@@ -63,6 +63,16 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two point clouds over sloping ground: (cloud, x, y, z), with plants on a fifth of the points and houses of 6 by 6."""
+    li = table(spark, sf_dir, "lineitem")
+    x, y = (F.col("l_orderkey") % 300) * 0.7 + F.col("l_linenumber") * 0.31, F.floor(F.col("l_orderkey") / 300) * 0.9 + F.col("l_partkey") % 10 * 0.13
+    at = li.select((F.col("l_suppkey") % 2).cast("int").alias("cloud"), x.cast("double").alias("x"), y.cast("double").alias("y"), "l_suppkey", "l_quantity", "l_discount")
+    plant = F.when(F.col("l_quantity") > 40, 2 + F.col("l_discount") * 30).otherwise(0.0)
+    house = F.when((F.floor(F.col("x") / 6) % 4 == 0) & (F.floor(F.col("y") / 6) % 5 == 0), 6.0).otherwise(0.0)
+    return at.select("cloud", "x", "y", (100 + F.col("x") * 0.05 + F.col("y") * 0.02 + F.sin(F.col("x") * 7 + F.col("y") * 13) * 0.02 + F.col("l_suppkey") % 7 * 0.03 + plant + house).alias("z"))
+
+
 def tile_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scan log with several records of one candidate: the last line counts."""
     c = table(spark, sf_dir, "conversations")
@@ -87,6 +97,9 @@ SQL = {
   CASE WHEN user_id % 2 = 0 THEN 'EPSG:3857' ELSE 'EPSG:32636' END AS native_crs, CASE WHEN event_id % 23 = 0 THEN 'fallback_top_score' ELSE 'detected' END AS candidate_type FROM events""",
     "boxes": """SELECT l_orderkey AS tile_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount))::INT AS ord, l_quantity AS x1, (l_linenumber % 3 * 10)::DOUBLE AS y1, l_quantity + 10 + l_partkey % 9 AS x2, (l_linenumber % 3 * 10)::DOUBLE + 5 + l_suppkey % 9 AS y2,
   round(1 - l_discount * 5, 6) AS conf FROM lineitem""",
+    "points": """SELECT cloud, x, y, 100 + x * 0.05::DOUBLE + y * 0.02::DOUBLE + sin(x * 7 + y * 13) * 0.02::DOUBLE + l_suppkey % 7 * 0.03::DOUBLE + CASE WHEN l_quantity > 40 THEN 2 + l_discount::DOUBLE * 30 ELSE 0 END
+  + CASE WHEN floor(x / 6)::BIGINT % 4 = 0 AND floor(y / 6)::BIGINT % 5 = 0 THEN 6 ELSE 0 END AS z
+  FROM (SELECT *, (l_suppkey % 2)::INT AS cloud, (l_orderkey % 300) * 0.7::DOUBLE + l_linenumber * 0.31::DOUBLE AS x, (l_orderkey // 300) * 0.9::DOUBLE + l_partkey % 10 * 0.13::DOUBLE AS y FROM lineitem)""",
     "tile_log": "SELECT conv_id AS tile_index, turn % 3 AS candidate_index, conv_id * 1000 + turn AS line_no, role, CASE WHEN length(text) % 5 = 0 THEN 'error' ELSE 'ok' END AS status, length(text)::INT AS size FROM conversations",
     "eval_pairs": "SELECT doc_id, quality AS truth, (n_chars % 1009) / 1008.0::DOUBLE AS prob FROM labels JOIN documents USING (doc_id)",
 }
