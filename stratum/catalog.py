@@ -27,6 +27,7 @@ from stratum.operators import terrain as T
 from stratum.plans import views as V
 from stratum.sources.shared import folder, stored
 from stratum.streaming import scan as X
+from stratum.streaming import twostage
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -1193,3 +1194,22 @@ SELECT e.cloud, e.row, e.col, z, sqrt((x - e.col - 0.5) * (x - e.col - 0.5) + (y
 def ground_terrain(spark, d):
     """A terrain grid of the points told ground."""
     return PC.terrain(V.points(spark, d), GROUND).select("cloud", "row", "col", F.round("v", 5).alias("v"), "n")
+
+
+@query("""WITH RECURSIVE answers AS (""" + V.SQL["answers"] + """),
+s AS (SELECT DISTINCT key, 0::BIGINT AS i, 1 AS stage, 0 AS attempt, false AS asked, 1 AS requests, NULL::DOUBLE AS first, false AS done, NULL::VARCHAR AS kind, NULL::BOOLEAN AS candidate, NULL::DOUBLE AS confidence FROM answers
+UNION ALL SELECT s.key, i + 1, CASE WHEN review THEN 2 ELSE stage END, CASE WHEN again THEN attempt + 1 WHEN broken OR review THEN 0 ELSE attempt END, CASE WHEN broken THEN true WHEN review THEN false ELSE asked END,
+  CASE WHEN again OR broken OR review THEN requests + 1 ELSE requests END, CASE WHEN review THEN sure ELSE first END, NOT (again OR broken OR review), k, c, sure
+FROM (SELECT s.*, a.kind AS k, a.candidate AS c, a.confidence AS sure, coalesce(a.kind IN ('api_error', 'connection_failed'), false) AND attempt < 2 AS again, coalesce(a.kind = 'invalid_json', false) AND NOT asked AS broken,
+  stage = 1 AND a.kind IS NULL AND a.candidate AND a.confidence >= 0.5 AS review FROM s JOIN answers a ON a.key = s.key AND a.n = s.i WHERE NOT done) s)
+SELECT key, CASE WHEN stage = 2 OR kind IS NULL THEN 'ok' WHEN kind = 'reasoning_only' THEN 'needs_retry' ELSE 'error' END AS status, CASE WHEN stage = 2 THEN true ELSE kind IS NULL AND candidate END AS candidate,
+  CASE WHEN stage = 2 THEN first WHEN kind IS NULL THEN confidence ELSE 0 END AS confidence, CASE WHEN stage = 2 THEN CASE WHEN kind IS NULL THEN 'ok' ELSE 'error' END END AS review_status,
+  CASE WHEN stage = 2 THEN kind IS NULL AND candidate END AS review_confirmed, CASE WHEN stage = 2 THEN CASE WHEN kind IS NULL AND candidate THEN confidence ELSE 0 END END AS review_confidence, kind AS error_type, requests FROM s WHERE done""")
+def two_stage_scan(spark, d):
+    """The final log of a scan in two stages, its answers streamed in three batches that cut across keys."""
+    answers, source, out = V.answers(spark, d), folder(spark), folder(spark)
+    answers.repartition(3, "n").write.parquet(source)
+    stream = twostage.scanned(X.source(spark, source, answers.schema, files_per_trigger=1), late="3650 days")
+    stream.writeStream.format("parquet").option("checkpointLocation", folder(spark)).option("path", out).trigger(availableNow=True).start().awaitTermination()
+    names = ("key", "status", "candidate", "confidence", "review_status", "review_confirmed", "review_confidence", "error_type", "requests")
+    return spark.read.schema(stream.schema).parquet(out).where("what = 'record'").select(*names)

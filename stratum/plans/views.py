@@ -82,6 +82,15 @@ def tile_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to a scan's questions, numbered by key: good ones, troubles of several kinds, candidates of all confidences."""
+    c = table(spark, sf_dir, "conversations").withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1)
+    size = F.length("text")
+    kinds = F.array(*(F.lit(k) for k in ("api_error", "connection_failed", "invalid_json", "model_not_found", "reasoning_only")))
+    at = F.timestamp_seconds(1704067200 + F.col("conv_id") + F.col("n") * 20)
+    return c.select(F.col("conv_id").alias("key"), F.col("n").cast("bigint").alias("n"), at.alias("at"), F.get(kinds, ((size * 7 + F.col("conv_id")) % 11).cast("int")).alias("kind"), (size % 5 > 0).alias("candidate"), (size % 101 / 100).alias("confidence"))
+
+
 def eval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, truth, prob): labels and a score between 0 and 1."""
     labels, docs = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")
@@ -101,6 +110,8 @@ SQL = {
   + CASE WHEN floor(x / 6)::BIGINT % 4 = 0 AND floor(y / 6)::BIGINT % 5 = 0 THEN 6 ELSE 0 END AS z
   FROM (SELECT *, (l_suppkey % 2)::INT AS cloud, (l_orderkey % 300) * 0.7::DOUBLE + l_linenumber * 0.31::DOUBLE AS x, (l_orderkey // 300) * 0.9::DOUBLE + l_partkey % 10 * 0.13::DOUBLE AS y FROM lineitem)""",
     "tile_log": "SELECT conv_id AS tile_index, turn % 3 AS candidate_index, conv_id * 1000 + turn AS line_no, role, CASE WHEN length(text) % 5 = 0 THEN 'error' ELSE 'ok' END AS status, length(text)::INT AS size FROM conversations",
+    "answers": """SELECT conv_id AS key, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS n, (['api_error', 'connection_failed', 'invalid_json', 'model_not_found', 'reasoning_only'])[(length(text) * 7 + conv_id) % 11 + 1] AS kind,
+  length(text) % 5 > 0 AS candidate, length(text) % 101 / 100.0::DOUBLE AS confidence FROM conversations""",
     "eval_pairs": "SELECT doc_id, quality AS truth, (n_chars % 1009) / 1008.0::DOUBLE AS prob FROM labels JOIN documents USING (doc_id)",
 }
 
