@@ -25,6 +25,7 @@ from stratum.operators import scanlog as L
 from stratum.operators import scoring as P
 from stratum.operators import terrain as T
 from stratum.plans import views as V
+from stratum.sources import tiff as TF
 from stratum.sources.shared import folder, stored
 from stratum.streaming import scan as X
 from stratum.streaming import twostage
@@ -95,12 +96,22 @@ def candidate_fallback_union(spark, d):
 
 
 @query("""SELECT tile_index, candidate_index, line_no, CASE WHEN status = 'error' THEN 'error' WHEN size % 7 = 0 THEN 'no_candidate' WHEN size % 11 = 0 THEN 'missing_geometry' WHEN size % 13 = 0 THEN 'review_error'
- WHEN role = 'user' AND size % 90 < 45 THEN 'review_below_threshold' WHEN size % 13 < 4 AND role <> 'user' THEN 'review_rejected' WHEN size / 500.0 >= 0.5 THEN 'not_reviewed' ELSE 'below_threshold' END AS reason FROM tile_log""", "tile_log")
+ WHEN role = 'user' AND size % 90 < 45 THEN 'review_below_threshold' WHEN size % 13 < 4 AND role <> 'user' THEN 'review_rejected' WHEN size / 500.0 >= 0.5 THEN 'not_reviewed' ELSE 'below_threshold' END AS reason FROM tile_log
+ WHERE NOT (size % 7 <> 0 AND size % 11 <> 0 AND size / 500.0 >= 0.5 AND role = 'user' AND size % 90 >= 45)""", "tile_log")
 def candidate_not_found_reason(spark, d):
     size = F.col("size")
     review = F.when(size % 13 == 0, "error").when(size % 13 < 4, "ok")
     reason = C.not_found_reason(F.col("status"), size % 7 != 0, size % 11 != 0, size / 500.0, review, F.col("role") == "user", size % 90 / 90.0, 0.5)
-    return V.tile_log(spark, d).select("tile_index", "candidate_index", "line_no", reason.alias("reason"))
+    confirmed = C.review_confirmed(size % 7 != 0, size / 500.0, size % 11 != 0, F.col("role") == "user", size % 90 / 90.0, 0.5)
+    return V.tile_log(spark, d).where(~confirmed).select("tile_index", "candidate_index", "line_no", reason.alias("reason"))
+
+
+@query("""SELECT tile_index, line_no FROM tile_log WHERE size % 7 <> 0 AND size / 500.0 >= 0.5 AND size % 11 <> 0 AND size % 13 >= 4""", "tile_log")
+def review_pending(spark, d):
+    """Records that a second look still has to be taken at."""
+    size = F.col("size")
+    status = F.when(size % 13 == 0, "error").when(size % 13 < 4, "ok").otherwise(" ")
+    return V.tile_log(spark, d).where(L.needs_review(size % 7 != 0, size / 500.0, size % 11 != 0, 0.5, status)).select("tile_index", "line_no")
 
 
 @query("""SELECT CASE WHEN conf IS NULL OR conf <= 0 THEN 'none' WHEN conf >= 0.95 THEN 'very_high_095' WHEN conf >= 0.9 THEN 'strong_090' WHEN conf >= 0.75 THEN 'candidate_075' ELSE 'below_075' END AS tier, count(*) AS n FROM boxes GROUP BY ALL""", "boxes")
@@ -329,9 +340,9 @@ def robust_norm_per_tile(spark, d):
     return rounded(R.normalised(V.tiles(spark, d), by=["tile"]).select("tile", "p", "v"), "v")
 
 
-@query("""SELECT round(median(lo), 6) AS lo, round(median(hi), 6) AS hi FROM (SELECT quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM tiles WHERE tile < 100 GROUP BY tile)""", "tiles")
+@query("""SELECT round(median(lo), 6) AS lo, round(median(hi), 6) AS hi FROM (SELECT quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM tiles WHERE tile < 100 AND p // 8 BETWEEN 1 AND 6 AND p % 8 BETWEEN 1 AND 6 GROUP BY tile)""", "tiles")
 def global_norm_first_n(spark, d):
-    return rounded(R.global_normaliser(V.tiles(spark, d), 100), "lo", "hi")
+    return rounded(R.global_normaliser(V.tiles(spark, d), 100, size=V.TILE, crop=6), "lo", "hi")
 
 
 @query("""SELECT row, col, floor(least(greatest((v + 0.25) / 0.5, 0), 1) * 255)::INT AS u FROM mosaic""", "mosaic")
@@ -845,12 +856,13 @@ def resume_anti_join(spark, d):
     return L.unprocessed(log.select("tile_index").distinct(), L.compact(log, ["tile_index"], "line_no").where("status = 'ok'"), "tile_index")
 
 
-SAID = "CASE turn % 7 WHEN 0 THEN text || ' JSON' WHEN 1 THEN 'Connection ' || text WHEN 2 THEN text || ' no models loaded' WHEN 3 THEN 'The model ' || text || ' does not exist' WHEN 4 THEN 'vision ' || text WHEN 5 THEN text || ' 503' ELSE text END"
+SAID = "CASE turn % 7 WHEN 0 THEN text || ' JSON' WHEN 1 THEN 'Connection ' || text WHEN 2 THEN text || ' no models loaded' WHEN 3 THEN 'The model ' || text || ' does not exist' WHEN 4 THEN 'vision ' || text WHEN 5 THEN text || ' 503' ELSE CASE WHEN length(text) % 3 = 0 THEN 'Please load a model ' || text || ' in the Developer Page' ELSE text END END"
 
 
-@query(f"""SELECT conv_id, turn, CASE WHEN contains(t, 'json') THEN 'invalid_json' WHEN regexp_matches(t, 'connection|connect|refused|timed out|timeout|winerror 10061|server disconnected') THEN 'connection_failed' WHEN contains(t, 'no models loaded') OR contains(t, 'model is not loaded') THEN 'model_not_loaded'
+@query(f"""SELECT conv_id, turn, CASE WHEN contains(t, 'json') THEN 'invalid_json' WHEN regexp_matches(t, 'connection|connect|refused|timed out|timeout|winerror 10061|server disconnected') THEN 'connection_failed' WHEN loads THEN 'model_not_loaded'
  WHEN contains(t, 'model') AND (contains(t, 'not found') OR contains(t, 'does not exist')) THEN 'model_not_found' WHEN regexp_matches(t, 'vision|image_url|image input|does not support image|multimodal') THEN 'vision_unsupported' ELSE 'api_error' END AS kind,
- regexp_matches(t, 'no models loaded|model is not loaded|timeout|timed out|temporarily unavailable|service unavailable|internal server error|bad gateway|gateway timeout|connection|rate limit|429|500|502|503|504') AS transient FROM (SELECT *, lower(coalesce({SAID}, '')) AS t FROM conversations)""")
+ loads OR regexp_matches(t, 'timeout|timed out|temporarily unavailable|service unavailable|internal server error|bad gateway|gateway timeout|connection|rate limit|429|500|502|503|504') AS transient FROM (SELECT *, contains(t, 'no models loaded') OR contains(t, 'model is not loaded') OR (contains(t, 'load a model') AND (contains(t, 'developer page') OR contains(t, 'lms load'))) AS loads
+ FROM (SELECT *, lower(coalesce({SAID}, '')) AS t FROM conversations))""")
 def error_taxonomy(spark, d):
     said = F.expr(SAID)
     return V.table(spark, d, "conversations").select("conv_id", "turn", L.error_kind(said).alias("kind"), L.transient(said).alias("transient"))
@@ -1213,3 +1225,16 @@ def two_stage_scan(spark, d):
     stream.writeStream.format("parquet").option("checkpointLocation", folder(spark)).option("path", out).trigger(availableNow=True).start().awaitTermination()
     names = ("key", "status", "candidate", "confidence", "review_status", "review_confirmed", "review_confidence", "error_type", "requests")
     return spark.read.schema(stream.schema).parquet(out).where("what = 'record'").select(*names)
+
+
+@query(f"""WITH m AS ({V.SQL['mosaic']}), n AS ({V.SQL['mosaic_b']}), e AS (SELECT max(row) AS r FROM m), at AS (SELECT band, row, unnest(range(-3, {V.WIDTH + 3}))::INT AS col FROM (SELECT band, unnest(range(-2, r + 3))::INT AS row FROM e, (VALUES (1), (2)) b(band)))
+SELECT band, row, col, round(CASE WHEN band = 1 THEN m.v WHEN row BETWEEN 0 AND e.r AND col BETWEEN 0 AND {V.WIDTH - 1} THEN n.v END, 6) AS v FROM at CROSS JOIN e LEFT JOIN m USING (row, col) LEFT JOIN n USING (row, col)""".replace("at AS", "spots AS").replace("FROM at", "FROM spots"))
+def raster_files(spark, d):
+    """A raster of two bands written as a tiled TIFF, and read again by blocks with a rim beyond it."""
+    one = V.mosaic(spark, d).withColumn("band", F.lit(1))
+    top = one.agg(F.max("row")).first()[0]
+    two = V.mosaic(spark, d, 1).withColumn("band", F.lit(2)).where(F.col("row") <= top)
+    path = folder(spark)
+    TF.write_tiffs(one.unionByName(two).withColumn("raster", F.lit("mosaic")), path, "f8", 64, predictor=3)
+    back = TF.cells(spark, path, window=(-2, -3, top + 5, V.WIDTH + 6), boundless="true")
+    return back.select("band", "row", "col", r6("v").alias("v"))

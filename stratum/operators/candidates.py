@@ -61,10 +61,13 @@ def dense_ids(components: DataFrame, order: list[str], cell_area: float, least:
 
 
 def class_ids(wanted: str | None, names: dict[int, str]) -> list[int] | None:
-    """Ids of classes named, by name or id, in a comma-separated list; None for all of them."""
-    parts = [p.strip() for p in (wanted or "").split(",") if p.strip()]
-    if not parts or [p.lower() for p in parts] == ["all"]:
+    """Ids of classes named, by name or id, in a comma-separated list; None for all of them.  A list without any name is refused."""
+    text = (wanted or "").strip()
+    if text.lower() in ("", "all"):
         return None
+    parts = [p.strip() for p in text.split(",") if p.strip()]
+    if not parts:
+        raise ValueError(f"no classes in {text}")
     known = {str(k): k for k, v in names.items() if v.strip()} | {v.strip().lower(): k for k, v in names.items() if v.strip() and not v.strip().isdigit()}
     unknown = [p for p in parts if p.lower() not in known]
     if unknown:

@@ -103,18 +103,23 @@ def suppress_across(boxes: DataFrame, order: str, pairs: DataFrame) -> DataFrame
     both = pairs.where("a <> b").join(told("a"), "a").join(told("b"), "b")
     first = F.col("ka") > F.col("kb")
     open_, path = stored_at(both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("s"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("w")).distinct())
-    gone = []
+    gone, rounds = None, []
     while not open_.isEmpty():
         stay = open_.join(open_.select(F.col("w").alias("s")).distinct(), "s", "left_anti")
-        gone.append(stored(stay.select(F.col("w").alias("g")).distinct()))
-        left = open_.join(gone[-1], open_["s"] == gone[-1]["g"], "left_anti")
-        left = left.join(gone[-1], left["w"] == gone[-1]["g"], "left_anti")
+        new, at = stored_at(stay.select(F.col("w").alias("g")).distinct())
+        gone = new if gone is None else gone.unionByName(new)
+        rounds.append(at)
+        left = open_.join(new, open_["s"] == new["g"], "left_anti")
+        left = left.join(new, left["w"] == new["g"], "left_anti")
         old = path
         open_, path = stored_at(left)
         dropped(boxes.sparkSession, old)
-    for g in gone:
-        boxes = boxes.join(g, boxes[order] == g["g"], "left_anti")
-    return boxes
+    if gone is None:
+        return boxes
+    gone = stored(gone)  # a box goes in one round only
+    for at in rounds:
+        dropped(boxes.sparkSession, at)
+    return boxes.join(gone, boxes[order] == gone["g"], "left_anti")
 
 
 def rings(segments: DataFrame) -> DataFrame:

@@ -75,9 +75,15 @@ def normalised(rows: DataFrame, low: float = 2, high: float = 98, by: list[str]
     return rows.withColumn("v", clip01(F.col("v"), F.col("lo"), F.col("hi"))).drop("lo", "hi")
 
 
-def global_normaliser(tiles: DataFrame, first: int, low: float = 2, high: float = 98) -> DataFrame:
-    """Medians over the first tiles of their percentiles; (0, 1) if these have no values. One row."""
-    q = percentiles(tiles.where(F.col("tile") < first).where("v IS NOT NULL"), "v", low, high, ["tile"])
+def global_normaliser(tiles: DataFrame, first: int, low: float = 2, high: float = 98, size: int | None = None, crop: int = 256) -> DataFrame:
+    """Medians over the first tiles of their percentiles; a tile without values enters as (0, 1). One row.
+
+    Of tiles of ``size`` by ``size`` cells only the ``crop`` by ``crop`` in their middle count."""
+    rows = tiles.where(F.col("tile") < first)
+    if size is not None and crop < size:
+        a = (size - crop) // 2
+        rows = rows.where(F.floor(F.col("p") / size).between(a, a + crop - 1) & (F.col("p") % size).between(a, a + crop - 1))
+    q = percentiles(rows, "v", low, high, ["tile"]).select(F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(1.0)).alias("hi"))
     return q.agg(F.coalesce(F.percentile("lo", 0.5), F.lit(0.0)).alias("lo"), F.coalesce(F.percentile("hi", 0.5), F.lit(1.0)).alias("hi"))
 
 

@@ -14,6 +14,15 @@ def draw(key: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))).cast("binary"))
 
 
+def _beside(rows: DataFrame, facts: DataFrame, by: list[str], sent: bool = False) -> DataFrame:
+    """``rows`` with the columns of ``facts``, one row for each group; null is a group like any other."""
+    other = facts.withColumnsRenamed({c: f"__by_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    return rows.join(F.broadcast(other) if sent else other, same).drop(*(f"__by_{c}" for c in by))
+
+
 def _ranked(rows: DataFrame, by: list[str], key: str, seed: int, ties: tuple[str, ...] = ()) -> DataFrame:
     """``__n``: the place of a row in its group's order of drawing.
 
@@ -23,27 +32,29 @@ def _ranked(rows: DataFrame, by: list[str], key: str, seed: int, ties: tuple[str
     one = rows.groupBy(*by, "__p").agg(F.count(F.lit(1)).alias("__c"))
     before = F.coalesce(F.sum("__c").over(Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     place = F.row_number().over(Window.partitionBy(*by, "__p").orderBy("__d", key, *ties))
-    rows = rows.withColumn("__n", place).join(one.withColumn("__b", before).drop("__c"), [*by, "__p"])
+    rows = _beside(rows.withColumn("__n", place), one.withColumn("__b", before).drop("__c"), [*by, "__p"])
     return rows.withColumn("__n", F.col("__n") + F.col("__b")).drop("__d", "__p", "__b")
 
 
 def keep_ratio(rows: DataFrame, by: list[str], key: str, ratio: float, seed: int) -> DataFrame:
-    """A share of each group, one row at least."""
+    """A share of each group, one row at least; rows whose group is null are one too."""
     sizes = rows.groupBy(*by).agg(F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * ratio).cast("bigint")).alias("__take"))
-    return _ranked(rows, by, key, seed).join(sizes, by).where("__n <= __take").drop("__n", "__take")
+    return _beside(_ranked(rows, by, key, seed), sizes, by).where("__n <= __take").drop("__n", "__take")
 
 
 def holdout(rows: DataFrame, label: str, key: str, ratio: float, seed: int) -> DataFrame:
-    """``held``: a share of each class, one row at least and never all; a class of one row gives none."""
+    """``held``: a share of each class, one row at least and never all; a class of one row gives none.  Rows without a class are one."""
     n = F.count(F.lit(1))
     sizes = rows.groupBy(label).agg(F.least(n - 1, F.greatest(F.lit(1), F.bround(n * ratio).cast("bigint"))).alias("__take"))
-    return _ranked(rows, [label], key, seed).join(sizes, label).withColumn("held", F.col("__n") <= F.col("__take")).drop("__n", "__take")
+    return _beside(_ranked(rows, [label], key, seed), sizes, [label]).withColumn("held", F.col("__n") <= F.col("__take")).drop("__n", "__take")
 
 
 def negatives_to_positives(rows: DataFrame, label: str, key: str, ratio: float, seed: int) -> DataFrame:
-    """All positives, and negatives up to ``ratio`` times as many."""
-    take = rows.agg(F.bround(F.count_if(F.col(label) > 0) * ratio).cast("bigint").alias("__take"))  # one row
-    return _ranked(rows, [label], key, seed).crossJoin(F.broadcast(take)).where((F.col(label) > 0) | (F.col("__n") <= F.col("__take"))).drop("__n", "__take")
+    """All positives, and negatives up to ``ratio`` times as many; rows without a label count as negatives."""
+    positive = F.coalesce(F.col(label) > 0, F.lit(False))
+    take = rows.agg(F.bround(F.count_if(positive) * ratio).cast("bigint").alias("__take"))  # one row
+    ranked = _ranked(rows.withColumn("__positive", positive), ["__positive"], key, seed)
+    return ranked.crossJoin(F.broadcast(take)).where(F.col("__positive") | (F.col("__n") <= F.col("__take"))).drop("__positive", "__n", "__take")
 
 
 #: Splits in the order of manifests (fixed values).
@@ -63,10 +74,10 @@ def negative_windows(windows: DataFrame, positives: DataFrame, keys: tuple[str,
 
 def selected_regions(rows: DataFrame, split: str, ratio_col: str, label: str, key: str, ratio: float, seed: int) -> DataFrame:
     """All positives (``label`` 1), and of each split ``ratio`` times as many negatives: of those without any positive pixel, or of
-    all of them where the split has none such. Negatives are drawn by hash."""
+    all of them where the split has none such. Negatives are drawn by hash; rows without a split are one."""
     clean = (F.col(label) == 0) & (F.coalesce(F.col(ratio_col), F.lit(0.0)) <= 0)
     sizes = rows.groupBy(split).agg((F.count_if(clean) > 0).alias("__has"), F.bround(F.count_if(F.col(label) == 1) * ratio).cast("bigint").alias("__take"))
-    pool = rows.where(F.col(label) == 0).join(F.broadcast(sizes), split).where(clean | ~F.col("__has"))  # a row for each split
+    pool = _beside(rows.where(F.col(label) == 0), sizes, [split], sent=True).where(clean | ~F.col("__has"))  # a row for each split
     return rows.where(F.col(label) == 1).unionByName(_ranked(pool, [split], key, seed).where("__n <= __take").select(*rows.columns))
 
 

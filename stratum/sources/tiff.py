@@ -38,7 +38,8 @@ CELLS = 1 << 16
 
 
 def opened(path: str) -> pa.NativeFile:
-    system, place = fs.FileSystem.from_uri(path)
+    """A file for reads at any place; Spark writes local paths with one slash."""
+    system, place = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
     return system.open_input_file(place)
 
 

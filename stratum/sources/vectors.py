@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratum.sources.tiff import opened
+
 #: What marks a GeoPackage file, and the length of a geometry's envelope by its kind (fixed values of the format).
 APPLICATION = 0x47504B47
 ENVELOPE = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}
@@ -29,18 +31,18 @@ def wkb_polygon(ring: list[tuple[float, float]]) -> bytes:
 
 
 def write_gpkg(rows: DataFrame, ring: str, path: str, layer: str, srs: int) -> int:
-    """A GeoPackage of one polygon layer, for people's desktops: rows come one by one, nested values as JSON. The number of rows written."""
+    """A new polygon layer of a GeoPackage, which is made if it isn't there; for people's desktops: rows come one by one, nested values as JSON. The number of rows written."""
     kinds = {"tinyint": "INTEGER", "smallint": "INTEGER", "int": "INTEGER", "bigint": "INTEGER", "boolean": "BOOLEAN", "float": "REAL", "double": "REAL"}
     names = [c for c in rows.columns if c != ring]
     quoted = lambda c: '"' + c.replace('"', '""') + '"'
     con = sqlite3.connect(path)
     con.executescript(
         f"PRAGMA application_id = {APPLICATION}; PRAGMA user_version = 10200;"
-        "CREATE TABLE gpkg_spatial_ref_sys (srs_name TEXT NOT NULL, srs_id INTEGER PRIMARY KEY, organization TEXT NOT NULL, organization_coordsys_id INTEGER NOT NULL, definition TEXT NOT NULL, description TEXT);"
-        "CREATE TABLE gpkg_contents (table_name TEXT PRIMARY KEY, data_type TEXT NOT NULL, identifier TEXT UNIQUE, description TEXT DEFAULT '', last_change DATETIME DEFAULT (strftime('%Y-%m-%dT%H:%M:%fZ','now')), min_x DOUBLE, min_y DOUBLE, max_x DOUBLE, max_y DOUBLE, srs_id INTEGER);"
-        "CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT, geometry_type_name TEXT, srs_id INTEGER, z TINYINT, m TINYINT, PRIMARY KEY (table_name, column_name));"
+        "CREATE TABLE IF NOT EXISTS gpkg_spatial_ref_sys (srs_name TEXT NOT NULL, srs_id INTEGER PRIMARY KEY, organization TEXT NOT NULL, organization_coordsys_id INTEGER NOT NULL, definition TEXT NOT NULL, description TEXT);"
+        "CREATE TABLE IF NOT EXISTS gpkg_contents (table_name TEXT PRIMARY KEY, data_type TEXT NOT NULL, identifier TEXT UNIQUE, description TEXT DEFAULT '', last_change DATETIME DEFAULT (strftime('%Y-%m-%dT%H:%M:%fZ','now')), min_x DOUBLE, min_y DOUBLE, max_x DOUBLE, max_y DOUBLE, srs_id INTEGER);"
+        "CREATE TABLE IF NOT EXISTS gpkg_geometry_columns (table_name TEXT, column_name TEXT, geometry_type_name TEXT, srs_id INTEGER, z TINYINT, m TINYINT, PRIMARY KEY (table_name, column_name));"
     )
-    con.executemany("INSERT INTO gpkg_spatial_ref_sys VALUES (?, ?, ?, ?, 'undefined', NULL)", [("undefined", -1, "NONE", -1), ("undefined", 0, "NONE", 0), (f"EPSG:{srs}", srs, "EPSG", srs)])
+    con.executemany("INSERT OR IGNORE INTO gpkg_spatial_ref_sys VALUES (?, ?, ?, ?, 'undefined', NULL)", [("undefined", -1, "NONE", -1), ("undefined", 0, "NONE", 0), (f"EPSG:{srs}", srs, "EPSG", srs)])
     columns = "".join(f", {quoted(c)} {kinds.get(t, 'TEXT')}" for c, t in rows.dtypes if c != ring)
     con.execute(f"CREATE TABLE {quoted(layer)} (fid INTEGER PRIMARY KEY AUTOINCREMENT, geom POLYGON{columns})")
     head, n, bounds = b"GP\0\x01" + struct.pack("<i", srs), 0, [np.inf, np.inf, -np.inf, -np.inf]
@@ -96,14 +98,17 @@ def las_header(content: bytes) -> tuple[int, float, float, float, float]:
 
 
 def las_headers(spark: SparkSession, folder: str) -> DataFrame:
-    """Points, extent, and the cell whose area holds one point on average, of all point files under a folder."""
+    """Points, extent, and the cell whose area holds one point on average, of all point files under a folder; of each file only the head is read."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([(p, *las_header(bytes(c))) for p, c in zip(pdf["path"], pdf["head"], strict=True)], columns=["path", "points", "x1", "y1", "x2", "y2"])
+            found = []
+            for path in pdf["path"]:
+                with opened(path) as f:
+                    found.append((path, *las_header(f.read_at(400, 0))))
+            yield pd.DataFrame(found, columns=["path", "points", "x1", "y1", "x2", "y2"])
 
-    heads = _files(spark, folder, "*.la[sz]").select("path", F.substring("content", 1, 400).alias("head"))
-    found = heads.mapInPandas(read, "path string, points bigint, x1 double, y1 double, x2 double, y2 double")
+    found = _files(spark, folder, "*.la[sz]").select("path").mapInPandas(read, "path string, points bigint, x1 double, y1 double, x2 double, y2 double")
     area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     return found.withColumn("cell", F.when((F.col("points") > 0) & (area > 0), F.sqrt(area / F.col("points"))))
 

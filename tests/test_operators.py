@@ -382,9 +382,9 @@ def test_sheets_and_annotations(spark, tmp_path):
 def test_channels(spark):
     from stratum.functions import channels
 
-    assert channels.derived(channels.channels(" TOPO7 ")) == ("SVF", "SLRM", "Slope", "nDSM") and channels.source_bands("rgb3") == 3
-    assert channels.canonical(["r", "G", "b", "svf", "slrm"]) == channels.MODES["topo5"] and channels.band_indexes("1,2,3,0,4", 4) == (1, 2, 3, 0, 4) and channels.band_indexes(None, 7) == (1, 2, 3, 4, 5)
-    for bad in (lambda: channels.channels("x"), lambda: channels.canonical(["G", "R", "B"]), lambda: channels.band_indexes("1,2", 3), lambda: channels.band_indexes("", 2)):
+    assert channels.mode(" TOPO7 ").computed == ("SVF", "SLRM", "Slope", "nDSM") and channels.mode("rgb3").source_bands == 3
+    assert channels.mode(["r", "G", "b", "svf", "slrm"]) == channels.MODES["topo5"] and channels.band_indexes("1,2,3,0,4", 4) == (1, 2, 3, 0, 4) and channels.band_indexes(None, 7) == (1, 2, 3, 4, 5)
+    for bad in (lambda: channels.mode("x"), lambda: channels.mode(["G", "R", "B"]), lambda: channels.band_indexes("1,2", 3), lambda: channels.band_indexes("", 2)):
         with pytest.raises(ValueError):
             bad()
     plan = spark.createDataFrame([("b.tif", "rgb", 1), ("a.tif", "rgb", 1), ("c.tif", "dsm", 2)], "path string, view string, p int")
@@ -461,7 +461,7 @@ def test_numbers_by_hand(spark):
     assert [(r["first"], r["id"], r["area_m2"]) for r in candidates.dense_ids(found, ["first"], 4.0, 16.0).orderBy("id").collect()] == [(7, 1, 16.0), (12, 2, 20.0)]
     names = {0: "mound", 1: " Terrace ", 2: ""}
     assert candidates.class_ids("terrace, 0,TERRACE", names) == [1, 0] and candidates.class_ids(" ALL ", names) is None and candidates.class_ids(None, names) is None
-    for bad in ("2", "tomb", "mound,9"):
+    for bad in ("2", "tomb", "mound,9", ",", " , ,"):
         with pytest.raises(ValueError):
             candidates.class_ids(bad, names)
     medians = evaluation.upper_median(spark.createDataFrame([("a", 1.0), ("a", 4.0), ("b", 3.0), ("b", 1.0), ("b", 2.0), ("c", None)], "k string, v double"), ["k"], "v")
@@ -631,3 +631,38 @@ def test_checks_and_cells_by_hand(spark):
     cells = spark.createDataFrame([(r, c, float(r * c % 5)) for r in range(9) for c in range(7)], "row int, col int, v double")
     out = terrain.products(cells, svf_radius=2, relief_sigma=1.0, tile=4)
     assert out.columns == ["row", "col", "hillshade", "svf", "slrm", "slope"] and out.count() == 63 and out.where("hillshade IS NULL OR svf IS NULL OR slrm IS NULL OR slope IS NULL").count() == 0
+
+
+def test_rows_without_a_class_stay(spark):
+    rows = spark.createDataFrame([(i, [0, 1, None][i % 3], ["a", None][i % 2]) for i in range(30)], "k int, c int, s string")
+    assert sampling.holdout(rows, "c", "k", 0.2, 1).count() == 30 and sampling.keep_ratio(rows, ["c"], "k", 1.0, 1).count() == 30
+    held = {r["c"]: r["n"] for r in sampling.holdout(rows, "c", "k", 0.2, 1).groupBy("c").agg(F.count_if("held").alias("n")).collect()}
+    assert held == {0: 2, 1: 2, None: 2}
+    assert sampling.negatives_to_positives(rows, "c", "k", 9.0, 1).count() == 30 and sampling.negatives_to_positives(rows, "c", "k", 1.0, 1).count() == 20
+    got = sampling.selected_regions(rows.withColumn("share", F.lit(0.0)), "s", "share", "c", "k", 1.0, 1).collect()
+    assert sum(r["c"] == 0 and r["s"] is None for r in got) == 5 == sum(r["c"] == 0 and r["s"] == "a" for r in got)
+
+
+def test_records_told_by_hand(spark):
+    ask = lambda conf, shape, status: one(spark, scanlog.needs_review(F.lit(True), F.lit(conf), F.lit(shape), 0.5, F.lit(status)))
+    assert ask(0.5, True, None) and ask(0.9, True, " ") and not ask(0.9, False, None) and not ask(0.4, True, None) and not ask(0.9, True, "ok")
+    load = "Please Load a Model with lms load"
+    assert one(spark, scanlog.error_kind(F.lit(load))) == "model_not_loaded" and one(spark, scanlog.transient(F.lit(load))) and one(spark, scanlog.stops_scan(F.lit("api_error"), F.lit(load)))
+
+
+def test_normaliser_crops_and_counts_empty_tiles(spark):
+    rows = [(t, p, None if t == 2 else 100.0 if p // 4 in (0, 3) or p % 4 in (0, 3) else float(t)) for t in range(3) for p in range(16)]
+    df = spark.createDataFrame(rows, "tile int, p int, v double")
+    r = raster.global_normaliser(df, 9, size=4, crop=2).first()
+    assert (r["lo"], r["hi"]) == (0.0, 1.0) and raster.global_normaliser(df, 9).first()["hi"] == 100.0
+    r = raster.global_normaliser(df.where("tile = 2"), 9).first()
+    assert (r["lo"], r["hi"]) == (0.0, 1.0)
+
+
+def test_second_layer_of_a_package(spark, tmp_path):
+    from stratum.sources import vectors
+
+    rows = spark.range(2).select("id", geo.box_ring(F.lit(0.0), F.lit(0.0), F.lit(2.0), F.lit(1.0)).alias("ring"))
+    for layer in ("first", "second"):
+        assert vectors.write_gpkg(rows, "ring", str(tmp_path / "a.gpkg"), layer, 3857) == 2
+    assert {(r["layer"], r["fid"]) for r in vectors.gpkg(spark, f"file://{tmp_path}").collect()} == {(n, k) for n in ("first", "second") for k in (1, 2)}
