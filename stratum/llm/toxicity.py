@@ -22,8 +22,9 @@ used: a model of up to ``MODEL_ROWS`` rows a level is sent to the texts, a large
 texts' bigrams are joined with.  Both ways give the same values.
 
 The value of a text is its log-likelihood ratio divided by its number of words.  A long text thins out what a few of
-its words say, so the largest mean ratio of ``SPAN`` neighbouring words is a second value.  A logistic curve of both,
-fitted on training rows that gave no counts, gives the score.
+its words say, so the largest mean ratio of ``SPAN`` neighbouring words is a second value.  A logistic curve, fitted on
+training rows that gave no counts, gives the score: first of the value alone, then, with the value's weight as it is,
+of what the span adds to it, so that the second can't take the first one's place.
 
 Null and empty texts have values 0.  Rows with a null id are scored, and not held out.  Labels other than 0 and 1, and
 null ones, are not used; of several labels of one id the largest counts.  If the rows for the curve lack a class, the
@@ -259,8 +260,8 @@ def _values(rows: DataFrame, model: Model) -> DataFrame:
     return arrow_pass(rows, each, f"carry {rows.schema['carry'].dataType.simpleString()}, mean double, most double")
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Weights of the columns of x and the offset of a logistic curve, by Newton's steps with a weak prior; no weight is negative."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, base: np.ndarray | float = 0.0) -> np.ndarray:
+    """Weights of the columns of x and the offset of a logistic curve of them and of ``base``, by Newton's steps with a weak prior; no weight is negative."""
     used = np.arange(x.shape[1])
     while True:
         mean = np.average(x[:, used], axis=0, weights=weight)
@@ -268,7 +269,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
         prior = np.array([0.01] * len(used) + [0.001])
         a = np.zeros(len(prior))
         for _ in range(100):
-            p = 1 / (1 + np.exp(-np.clip(rows @ a, -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(rows @ a + base, -30, 30)))
             grad = rows.T @ (weight * (p - y)) + prior * a
             step = np.linalg.solve((rows * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ rows + np.diag(prior), grad)
             a = a - np.clip(step, -3, 3)
@@ -365,8 +366,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = _values(rows.where("fold = 3").select(F.col("toxic").alias("carry"), "text"), model)
     bins = found.groupBy(_binned("mean", MEAN_BINS), _binned("most", SPAN_BINS), F.col("carry").alias("toxic")).count().toPandas()
     if bins["toxic"].nunique() == 2:
-        *weights, offset = _logistic(np.column_stack([bins["mean"] * MEAN_BINS[2], bins["most"] * SPAN_BINS[2]]), bins["toxic"].to_numpy(float), bins["count"].to_numpy(float)).tolist()
-        model.weights, model.offset = tuple(weights), offset
+        mean, most = bins["mean"].to_numpy(float)[:, None] * MEAN_BINS[2], bins["most"].to_numpy(float)[:, None] * SPAN_BINS[2]
+        given = bins["toxic"].to_numpy(float), bins["count"].to_numpy(float)
+        of_mean, _ = _logistic(mean, *given)
+        of_most, offset = _logistic(most, *given, base=of_mean * mean[:, 0])
+        model.weights, model.offset = (float(of_mean), float(of_most)), float(offset)
     else:
         toxic, all_ = marks.where("fold < 2").agg(F.sum("toxic"), F.count(F.lit(1))).first()
         model.weights, model.offset = (1.0, 1.0), float(np.log((toxic + 0.5) / (all_ - toxic + 0.5)))
