@@ -24,6 +24,7 @@ from stratum.operators import sampling as S
 from stratum.operators import scanlog as L
 from stratum.operators import scoring as P
 from stratum.operators import terrain as T
+from stratum.operators import warp as WP
 from stratum.plans import views as V
 from stratum.sources import tiff as TF
 from stratum.sources.shared import folder, stored
@@ -131,10 +132,10 @@ def class_counters(spark, d):
 
 
 @query("""SELECT candidate_id, 'https://maps.google.com/?q=' || printf('%.8f', lat) || ',' || printf('%.8f', lon) AS url, printf('%.2fx', scale_factor) AS scale
- FROM (SELECT *, degrees(x / 6378137.0) AS lon, degrees(2 * atan(exp(y / 6378137.0)) - pi() / 2) AS lat FROM candidates WHERE native_crs = 'EPSG:3857')""", "candidates")
+ FROM (SELECT *, degrees(x / 6378137.0) AS lon, degrees(2 * atan(exp(y / 6378137.0)) - pi() / 2) AS lat FROM candidates)""", "candidates")
 def maps_url_format(spark, d):
-    rows = V.candidates(spark, d).where("native_crs = 'EPSG:3857'")
-    lon, lat = geo.to_wgs84(F.col("x"), F.col("y"), F.col("native_crs"))
+    rows = V.candidates(spark, d)
+    lon, lat = geo.to_wgs84(F.col("x"), F.col("y"), F.lit("EPSG:3857"))
     return rows.select("candidate_id", text.maps_query_url(lat, lon).alias("url"), text.scale_token(F.col("scale_factor")).alias("scale"))
 
 
@@ -1033,17 +1034,17 @@ def component_candidates(spark, d):
     return rows.select("id", "area_m2", r6("score_mean").alias("score_mean"), r6(x).alias("x"), r6(y).alias("y"), r6(lon).alias("lon"), r6(lat).alias("lat"))
 
 
-@query(""", q AS (SELECT candidate_id, 450000 + x AS x, 4200000 + y AS y, 0.0818191908426215 ** 2 AS e2 FROM candidates WHERE native_crs = 'EPSG:32636'),
+@query(""", q AS (SELECT candidate_id, 450000 + x AS x, 4200000 + y AS y, native_crs, 0.0818191908426215 ** 2 AS e2 FROM candidates),
 a AS (SELECT *, e2 / (1 - e2) AS ep, (1 - sqrt(1 - e2)) / (1 + sqrt(1 - e2)) AS e1, y / 0.9996 / (6378137.0 * (1 - e2 / 4 - 3 * e2 ** 2 / 64 - 5 * e2 ** 3 / 256 - 175 * e2 ** 4 / 16384)) AS mu FROM q),
 b AS (SELECT *, mu + (1.5 * e1 - 27 * e1 ** 3 / 32) * sin(2 * mu) + (21 * e1 ** 2 / 16 - 55 * e1 ** 4 / 32) * sin(4 * mu) + 151 * e1 ** 3 / 96 * sin(6 * mu) + 1097 * e1 ** 4 / 512 * sin(8 * mu) AS p FROM a),
 c AS (SELECT *, ep * cos(p) ** 2 AS c1, tan(p) ** 2 AS t, 6378137.0 / sqrt(1 - e2 * sin(p) ** 2) AS n, 6378137.0 * (1 - e2) / (1 - e2 * sin(p) ** 2) ** 1.5 AS r FROM b),
 d AS (SELECT *, (x - 500000) / (n * 0.9996) AS d FROM c)
-SELECT candidate_id, round(33 + degrees((d - (1 + 2 * t + c1) * d ** 3 / 6 + (5 - 2 * c1 + 28 * t - 3 * c1 ** 2 + 8 * ep + 24 * t ** 2) * d ** 5 / 120) / cos(p)), 6) AS lon,
- round(degrees(p - n * tan(p) / r * (d ** 2 / 2 - (5 + 3 * t + 10 * c1 - 4 * c1 ** 2 - 9 * ep) * d ** 4 / 24 + (61 + 90 * t + 298 * c1 + 45 * t ** 2 - 252 * ep - 3 * c1 ** 2) * d ** 6 / 720)), 6) AS lat FROM d""", "candidates")
+SELECT candidate_id, round(CASE WHEN native_crs = 'EPSG:3857' THEN degrees(x / 6378137.0) ELSE 33 + degrees((d - (1 + 2 * t + c1) * d ** 3 / 6 + (5 - 2 * c1 + 28 * t - 3 * c1 ** 2 + 8 * ep + 24 * t ** 2) * d ** 5 / 120) / cos(p)) END, 6) AS lon,
+ round(CASE WHEN native_crs = 'EPSG:3857' THEN degrees(2 * atan(exp(y / 6378137.0)) - pi() / 2) ELSE degrees(p - n * tan(p) / r * (d ** 2 / 2 - (5 + 3 * t + 10 * c1 - 4 * c1 ** 2 - 9 * ep) * d ** 4 / 24 + (61 + 90 * t + 298 * c1 + 45 * t ** 2 - 252 * ep - 3 * c1 ** 2) * d ** 6 / 720)) END, 6) AS lat FROM d""", "candidates")
 def utm_to_wgs84(spark, d):
     """The SQL takes the series over the footpoint latitude, not the one of the operator."""
     lon, lat = geo.to_wgs84(F.col("x") + 450000, F.col("y") + 4200000, F.col("native_crs"))
-    return V.candidates(spark, d).where("native_crs = 'EPSG:32636'").select("candidate_id", r6(lon).alias("lon"), r6(lat).alias("lat"))
+    return V.candidates(spark, d).select("candidate_id", r6(lon).alias("lon"), r6(lat).alias("lat"))
 
 
 ANSWER = """e AS (SELECT event_id AS tile, event_id % 4 AS k, (event_id % 10) / 10.0::DOUBLE AS b, least(value / 1000, 1)::DOUBLE AS a FROM events)
@@ -1238,3 +1239,18 @@ def raster_files(spark, d):
     TF.write_tiffs(one.unionByName(two).withColumn("raster", F.lit("mosaic")), path, "f8", 64, predictor=3)
     back = TF.cells(spark, path, window=(-2, -3, top + 5, V.WIDTH + 6), boundless="true")
     return back.select("band", "row", "col", r6("v").alias("v"))
+
+
+@query(f"""WITH m AS ({V.SQL['mosaic']}), e AS (SELECT max(row) + 1 AS h FROM m), g AS (SELECT unnest(range(0, (h * 1.2)::BIGINT))::INT AS row, h FROM e), t AS (SELECT row, unnest(range(0, 260))::INT AS col, h FROM g),
+b AS (SELECT row, col, h, (39 - degrees(2 * atan(exp((4721671.57 + 30 - (row + 0.5) * 1.3) / 6378137.0)) - pi() / 2)) / 1e-5 - 0.5 AS r, (degrees((3896182.18 - 20 + (col + 0.5) * 1.0) / 6378137.0) - 35) / 1e-5 - 0.5 AS c FROM t),
+n AS (SELECT row, col, floor(r)::INT + i AS sr, floor(c)::INT + j AS sc, (CASE WHEN i = 1 THEN r - floor(r) ELSE 1 - r + floor(r) END) * (CASE WHEN j = 1 THEN c - floor(c) ELSE 1 - c + floor(c) END) AS w
+  FROM b, (VALUES (0), (1)) x(i), (VALUES (0), (1)) y(j) WHERE r BETWEEN -0.5 AND h - 0.5 AND c BETWEEN -0.5 AND {V.WIDTH} - 0.5),
+s AS (SELECT n.row, n.col, sum(w * v) AS s, sum(w) AS w FROM n JOIN m ON m.row = sr AND m.col = sc GROUP BY ALL)
+SELECT row, col, round(CASE WHEN w > 1e-12 THEN s / w END, 5) AS v FROM t LEFT JOIN s USING (row, col)""")
+def warped_raster(spark, d):
+    """A raster of degrees brought onto a grid of metres that reaches beyond it."""
+    m = V.mosaic(spark, d)
+    h = m.agg(F.max("row")).first()[0] + 1
+    source = WP.GridSpec("EPSG:4326", (1e-5, 0.0, 35.0, 0.0, -1e-5, 39.0), h, V.WIDTH)
+    target = WP.GridSpec("EPSG:3857", (1.0, 0.0, 3896182.18 - 20, 0.0, -1.3, 4721671.57 + 30), int(h * 1.2), 260)
+    return WP.warped(m, source, target, 64).select("row", "col", F.round("v", 5).alias("v"))
