@@ -1242,15 +1242,15 @@ def raster_files(spark, d):
 
 
 @query(f"""WITH m AS ({V.SQL['mosaic']}), e AS (SELECT max(row) + 1 AS h FROM m), g AS (SELECT unnest(range(0, (h * 1.2)::BIGINT))::INT AS row, h FROM e), t AS (SELECT row, unnest(range(0, 260))::INT AS col, h FROM g),
-b AS (SELECT row, col, h, (39 - degrees(2 * atan(exp((4721671.57 + 30 - (row + 0.5) * 1.3) / 6378137.0)) - pi() / 2)) / 1e-5 - 0.5 AS r, (degrees((3896182.18 - 20 + (col + 0.5) * 1.0) / 6378137.0) - 35) / 1e-5 - 0.5 AS c FROM t),
+b AS (SELECT row, col, h, (39 - degrees(2 * atan(exp((4721671.57 + 30000 - (row + 0.5) * 1300) / 6378137.0)) - pi() / 2)) / 1e-2 - 0.5 AS r, (degrees((3896182.18 - 20000 + (col + 0.5) * 1000) / 6378137.0) - 35) / 1e-2 - 0.5 AS c FROM t),
 n AS (SELECT row, col, floor(r)::INT + i AS sr, floor(c)::INT + j AS sc, (CASE WHEN i = 1 THEN r - floor(r) ELSE 1 - r + floor(r) END) * (CASE WHEN j = 1 THEN c - floor(c) ELSE 1 - c + floor(c) END) AS w
   FROM b, (VALUES (0), (1)) x(i), (VALUES (0), (1)) y(j) WHERE r BETWEEN -0.5 AND h - 0.5 AND c BETWEEN -0.5 AND {V.WIDTH} - 0.5),
 s AS (SELECT n.row, n.col, sum(w * v) AS s, sum(w) AS w FROM n JOIN m ON m.row = sr AND m.col = sc GROUP BY ALL)
-SELECT row, col, round(CASE WHEN w > 1e-12 THEN s / w END, 5) AS v FROM t LEFT JOIN s USING (row, col)""")
+SELECT row, col, round(CASE WHEN w > 1e-12 THEN s / w END, 5) + 0 AS v FROM t LEFT JOIN s USING (row, col)""")
 def warped_raster(spark, d):
     """A raster of degrees brought onto a grid of metres that reaches beyond it."""
     m = V.mosaic(spark, d)
     h = m.agg(F.max("row")).first()[0] + 1
-    source = WP.GridSpec("EPSG:4326", (1e-5, 0.0, 35.0, 0.0, -1e-5, 39.0), h, V.WIDTH)
-    target = WP.GridSpec("EPSG:3857", (1.0, 0.0, 3896182.18 - 20, 0.0, -1.3, 4721671.57 + 30), int(h * 1.2), 260)
+    source = WP.GridSpec("EPSG:4326", (1e-2, 0.0, 35.0, 0.0, -1e-2, 39.0), h, V.WIDTH)
+    target = WP.GridSpec("EPSG:3857", (1000.0, 0.0, 3896182.18 - 20000, 0.0, -1300.0, 4721671.57 + 30000), int(h * 1.2), 260)
     return WP.warped(m, source, target, 64).select("row", "col", F.round("v", 5).alias("v"))
