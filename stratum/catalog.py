@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions import channels, geo, text
 from stratum.operators import answers as A
+from stratum.operators import arcs as AR
 from stratum.operators import blocks as B
 from stratum.operators import candidates as C
 from stratum.operators import components as G
@@ -1254,3 +1255,15 @@ def warped_raster(spark, d):
     source = WP.GridSpec("EPSG:4326", (1e-2, 0.0, 35.0, 0.0, -1e-2, 39.0), h, V.WIDTH)
     target = WP.GridSpec("EPSG:3857", (1000.0, 0.0, 3896182.18 - 20000, 0.0, -1300.0, 4721671.57 + 30000), int(h * 1.2), 260)
     return WP.warped(m, source, target, 64).select("row", "col", F.round("v", 5).alias("v"))
+
+
+@query(f"""WITH m AS ({V.SQL['mosaic']}), l AS (SELECT row, col, CASE WHEN v < -0.1 THEN 1 WHEN v < 0.1 THEN 2 ELSE 3 END AS label FROM m),
+s AS (SELECT a.label, count(*) FILTER (b.label IS DISTINCT FROM a.label) AS sides FROM l a CROSS JOIN (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) d(r, c) LEFT JOIN l b ON b.row = a.row + r AND b.col = a.col + c GROUP BY a.label)
+SELECT l.label, count(*)::DOUBLE AS cells, any_value(sides)::DOUBLE AS border FROM l JOIN s USING (label) GROUP BY l.label""")
+def joined_outlines(spark, d):
+    """Outlines of bands of height as shared arcs: by band, the area and length of what its rings enclose, which are its cells and their open sides."""
+    v = F.col("v")
+    bands = V.mosaic(spark, d).select("row", "col", F.when(v < -0.1, 1).when(v < 0.1, 2).otherwise(3).alias("label"))
+    rings = AR.polygons(bands, 0.0)
+    far = F.expr("aggregate(sequence(1, size(ring) - 1), 0D, (s, i) -> s + abs(ring[i].x - ring[i - 1].x) + abs(ring[i].y - ring[i - 1].y))")
+    return rings.groupBy(F.col("label").cast("int").alias("label")).agg(F.sum("area").alias("cells"), F.sum(far).alias("border"))
