@@ -1267,3 +1267,21 @@ def joined_outlines(spark, d):
     rings = AR.polygons(bands, 0.0)
     far = F.expr("aggregate(sequence(1, size(ring) - 1), 0D, (s, i) -> s + abs(ring[i].x - ring[i - 1].x) + abs(ring[i].y - ring[i - 1].y))")
     return rings.groupBy(F.col("label").cast("int").alias("label")).agg(F.sum("area").alias("cells"), F.sum(far).alias("border"))
+
+
+@query(f"""WITH m AS ({V.SQL['mosaic']}), e AS (SELECT max(row) + 1 AS h FROM m), r AS (SELECT unnest(range(0, h - 31, 12))::INT AS row_off FROM e), w AS (SELECT row_off, unnest(range(0, {V.WIDTH} - 31, 12))::INT AS col_off FROM r),
+c AS (SELECT row_off, col_off, count(*) FILTER (v > 0.2) AS n_positive, count(v) AS n_valid FROM w JOIN m ON row BETWEEN row_off AND row_off + 31 AND col BETWEEN col_off AND col_off + 31 GROUP BY ALL)
+SELECT row_off, col_off, n_positive, n_valid, round(n_positive / n_valid, 6) AS positive_ratio, CASE WHEN n_positive / n_valid >= 0.06 THEN 1 ELSE 0 END AS label FROM c WHERE n_valid >= 0.9 * 1024 AND (n_positive / n_valid >= 0.06 OR n_positive / n_valid <= 0.04)""")
+def tile_scan(spark, d):
+    """All windows of a raster, counted by blocks, as labelled records."""
+    m = V.mosaic(spark, d)
+    blocks = S.block_counts(m, 4, F.col("v") > 0.2, F.col("v").isNotNull())
+    windows = S.window_counts(blocks, 32, 12, m.agg(F.max("row")).first()[0] + 1, V.WIDTH)
+    return S.tile_records(windows, 32, 0.9, 0.06, 0.04).withColumns({"positive_ratio": r6("positive_ratio"), "label": F.col("label").cast("int")})
+
+
+@query("""SELECT doc_id, n_chars FROM documents WHERE n_chars % 3 = 0 AND n_chars > 100 ORDER BY md5(doc_id || ':7'), doc_id LIMIT 40""")
+def sampled_until(spark, d):
+    """The first forty documents in the order of drawing that pass a test which sees them batch by batch."""
+    docs = V.table(spark, d, "documents").select("doc_id", "n_chars")
+    return S.sampled_until(docs, "doc_id", 40, lambda batch: batch.where("n_chars % 3 = 0 AND n_chars > 100"), 7)

@@ -5,9 +5,14 @@ Target counts round half to even.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratum.sources.shared import stored
+
 
 def draw(key: Column, seed: int) -> Column:
     """The order in which keys are drawn."""
@@ -116,3 +121,63 @@ def windows_of_box(lo: Column, hi: Column, tile: int, stride: int, limit: int) -
 def rotations(step: int) -> Column:
     """Angles of a full turn; to be exploded."""
     return F.sequence(F.lit(0), F.lit(359), F.lit(step))
+
+
+def sampled_until(rows: DataFrame, key: str, target: int, accept: Callable[[DataFrame], DataFrame], seed: int, spare: float = 1.2) -> DataFrame:
+    """The first ``target`` rows that ``accept`` keeps, in the order of drawing; fewer if there aren't as many.
+
+    ``accept`` is dear, so it sees one batch after another: each is a range of draws, wide enough for what is still missing at the
+    share accepted so far, and is written before the next is sized.  Batches have no say in what comes out."""
+    place = F.conv(F.substring(draw(F.col(key), seed), 1, 8), 16, 10).cast("bigint") / 2.0**32  # uniform in 0..1
+    drawn = rows.withColumn("__at", place)
+    total = rows.count()
+    low, share, found, kept = 0.0, 1.0, None, 0
+    while low < 1 and kept < target and total:
+        high = min(1.0, low + max((target - kept) * spare / share, 1.0) / total)
+        high = 1.0 if high > 0.9 else high
+        batch = stored(accept(drawn.where((F.col("__at") >= low) & (F.col("__at") < high))))
+        found = batch if found is None else found.unionByName(batch)
+        kept += batch.count()
+        low = high
+        share = max(kept / (total * low), 1 / (4 * spare * math.ceil(total * low)))
+    if found is None:
+        return rows.limit(0)
+    return _ranked(found.drop("__at"), [], key, seed, tuple(c for c in rows.columns if c != key)).where(F.col("__n") <= target).drop("__n")
+
+
+def block_counts(cells: DataFrame, size: int, positive: Column, valid: Column) -> DataFrame:
+    """(raster if there, br, bc, n_positive, n_valid): counts of blocks of ``size`` cells, blocks without valid cells left out; sums before the shuffle."""
+    key = [c for c in cells.columns if c == "raster"]
+    place = {"br": F.floor(F.col("row") / size).cast("int"), "bc": F.floor(F.col("col") / size).cast("int")}
+    one = cells.withColumns(place).groupBy(*key, "br", "bc").agg(F.count_if(valid & positive).alias("n_positive"), F.count_if(valid).alias("n_valid"))
+    return one.where("n_valid > 0")
+
+
+def window_counts(blocks: DataFrame, tile: int, stride: int, height: int, width: int, positive_only: bool = False) -> DataFrame:
+    """(row_off, col_off, n_positive, n_valid) of the whole windows that have valid cells, from counts of blocks of gcd(tile, stride) cells.
+
+    A block goes to the few windows that it lies in.  With ``positive_only`` just windows with positive cells are made, from the
+    blocks that have any: the windows are found by these, then counted."""
+    size = math.gcd(tile, stride)
+    key = [c for c in blocks.columns if c == "raster"]
+
+    def offsets(block: str, limit: int) -> Column:
+        at = F.col(block) * size
+        first = F.greatest(F.ceil((at + size - tile) / stride), F.lit(0)).cast("int")
+        last = F.least(F.floor(at / stride), F.lit((limit - tile) // stride)).cast("int")
+        return F.explode(F.when(last >= first, F.transform(F.sequence(first, last), lambda k: k * stride)).otherwise(F.array().cast("array<int>")))
+
+    if height < tile or width < tile:
+        blocks = blocks.limit(0)
+    in_windows = lambda rows: rows.withColumn("row_off", offsets("br", height)).withColumn("col_off", offsets("bc", width))
+    rows = in_windows(blocks)
+    if positive_only:
+        rows = rows.join(in_windows(blocks.where("n_positive > 0")).select(*key, "row_off", "col_off").distinct(), [*key, "row_off", "col_off"], "left_semi")
+    return rows.groupBy(*key, "row_off", "col_off").agg(F.sum("n_positive").alias("n_positive"), F.sum("n_valid").alias("n_valid"))
+
+
+def tile_records(windows: DataFrame, tile: int, least_valid: float, positive_from: float, negative_to: float) -> DataFrame:
+    """Windows with enough valid cells: ``positive_ratio`` and ``label``, 1 from ``positive_from`` on, 0 up to ``negative_to``; those between are left out."""
+    ratio = F.try_divide("n_positive", "n_valid")
+    rows = windows.where(F.col("n_valid") >= least_valid * tile * tile).withColumn("positive_ratio", ratio)
+    return rows.withColumn("label", F.when(ratio >= positive_from, 1).when(ratio <= negative_to, 0)).where("label IS NOT NULL")

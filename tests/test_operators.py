@@ -1,7 +1,9 @@
 """Operators on small inputs whose results are worked out by hand."""
 
+import hashlib
 import io
 import json
+import math
 import struct
 
 import numpy as np
@@ -666,3 +668,39 @@ def test_second_layer_of_a_package(spark, tmp_path):
     for layer in ("first", "second"):
         assert vectors.write_gpkg(rows, "ring", str(tmp_path / "a.gpkg"), layer, 3857) == 2
     assert {(r["layer"], r["fid"]) for r in vectors.gpkg(spark, f"file://{tmp_path}").collect()} == {(n, k) for n in ("first", "second") for k in (1, 2)}
+
+
+def test_sampling_until_enough(spark):
+    rows = spark.createDataFrame([(i, i % 7) for i in range(600)] + [(5, 0)], "k int, c int")
+    keep = lambda r: r[1] == 0
+    order = sorted((hashlib.md5(f"{k}:3".encode()).hexdigest(), k, c) for k, c in [tuple(r) for r in rows.collect()])
+    want = [(k, c) for _, k, c in order if keep((k, c))]
+    for target, spare in ((1, 1.0), (20, 1.01), (50, 3.0), (500, 1.2)):
+        seen = []
+
+        def accept(batch):
+            seen.append(batch.count())
+            return batch.where("c = 0")
+
+        got = sampling.sampled_until(rows.repartition(3), "k", target, accept, 3, spare)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want[:target]) and got.columns == ["k", "c"]
+        assert sum(seen) < 601 or target > 20
+    assert sampling.sampled_until(rows.limit(0), "k", 5, lambda b: b, 3).count() == 0 and sampling.sampled_until(rows, "k", 5, lambda b: b.limit(0), 3).count() == 0
+
+
+def test_windows_counted_by_blocks(spark):
+    rng = np.random.default_rng(5)
+    g = np.where(rng.random((30, 41)) < 0.2, np.nan, rng.random((30, 41)))
+    g[:, 20:] = np.minimum(g[:, 20:], 0.5)
+    df = spark.createDataFrame([(r, c, None if np.isnan(v) else float(v)) for (r, c), v in np.ndenumerate(g)], "row int, col int, v double")
+    for tile, stride in ((8, 4), (9, 6), (10, 7), (41, 5)):
+        blocks = sampling.block_counts(df, math.gcd(tile, stride), F.col("v") > 0.6, F.col("v").isNotNull())
+        want = {}
+        for a in range(0, 30 - tile + 1, stride):
+            for b in range(0, 41 - tile + 1, stride):
+                part = g[a : a + tile, b : b + tile]
+                want[a, b] = int((part > 0.6).sum()), int((~np.isnan(part)).sum())
+        full = sampling.window_counts(blocks, tile, stride, 30, 41).collect()
+        assert {(r["row_off"], r["col_off"]): (r["n_positive"], r["n_valid"]) for r in full} == want
+        some = sampling.window_counts(blocks, tile, stride, 30, 41, positive_only=True).collect()
+        assert {(r["row_off"], r["col_off"]): (r["n_positive"], r["n_valid"]) for r in some} == {k: v for k, v in want.items() if v[0]}
