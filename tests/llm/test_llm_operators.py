@@ -67,6 +67,15 @@ def test_hashes_tell_ranges_apart():
     assert h[0] == h[1] == h[2] != h[3] and h[4] == h[5]
 
 
+def test_long_ranges_are_hashed_alike(monkeypatch):
+    rng = np.random.default_rng(1)
+    data = np.concatenate([rng.integers(1, 256, 5000).astype(np.uint8), np.zeros(8, np.uint8)])
+    start, end = np.array([0, 0, 7, 100, 4000, 8, 9]), np.array([5000, 4999, 7, 108, 4001, 1000, 17])
+    few = W.hashes(data, start, end)
+    monkeypatch.setattr(W, "FEW", 0)
+    assert (W.hashes(data, start, end) == few).all() and len(set(few.tolist())) == 7
+
+
 @pytest.mark.parametrize("name", ["place", "write", "digests", "encode", "judge", "ledger", "quality", "contamination", "benchmark", "scan", "masked", "licenses", "license_texts", "join", "kept", "toxicity"])
 def test_columns_that_differ_in_case(spark, items, name, vocabulary, tmp_path):
     """A column whose name differs from that of a used one in case only plays no part and stays as it is."""
