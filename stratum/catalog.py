@@ -18,6 +18,7 @@ from stratum.operators import blocks as B
 from stratum.operators import candidates as C
 from stratum.operators import components as G
 from stratum.operators import datasets as D
+from stratum.operators import derived as DV
 from stratum.operators import evaluation as E
 from stratum.operators import pointcloud as PC
 from stratum.operators import raster as R
@@ -1285,3 +1286,15 @@ def sampled_until(spark, d):
     """The first forty documents in the order of drawing that pass a test which sees them batch by batch."""
     docs = V.table(spark, d, "documents").select("doc_id", "n_chars")
     return S.sampled_until(docs, "doc_id", 40, lambda batch: batch.where("n_chars % 3 = 0 AND n_chars > 100"), 7)
+
+
+@query(_after_views(f"""changed AS (SELECT row, col, v + CASE WHEN row BETWEEN 8 AND 15 AND col BETWEEN 64 AND 71 THEN 1 ELSE 0 END AS v FROM mosaic), {ENDS}, {_bell('k', 1.0)}, {_filtered('s', 'changed', mode='reflect')}
+SELECT row, col, round(m.v - s.v, 6) AS lrm FROM changed m JOIN s USING (row, col)""", "mosaic"))
+def kept_relief(spark, d):
+    """Relief kept by tile, refreshed after one tile of the raster has changed."""
+    m, path = V.mosaic(spark, d), folder(spark)
+    chain = lambda g: {"lrm": T.relief(g["v"], 1.0)}
+    DV.refreshed(m, 4, chain, ["lrm"], path, "relief 1.0", tile=32)
+    raised = F.when(F.col("row").between(8, 15) & F.col("col").between(64, 71), 1.0).otherwise(0.0)
+    out, _ = DV.refreshed(m.withColumn("v", F.col("v") + raised), 4, chain, ["lrm"], path, "relief 1.0", tile=32)
+    return out.select("row", "col", r6("lrm").alias("lrm"))

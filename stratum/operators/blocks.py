@@ -150,8 +150,9 @@ def rimmed(cells: DataFrame, tile: int, halo: int) -> DataFrame:
     return cells.withColumn("tr", span("row")).withColumn("tc", span("col"))
 
 
-def stencil(cells: DataFrame, halo: int, chain: Callable[[dict[str, Grid]], dict[str, Grid]], into: list[str], values: list[str] | None = None, tile: int = TILE) -> DataFrame:
+def stencil(cells: DataFrame, halo: int, chain: Callable[[dict[str, Grid]], dict[str, Grid]], into: list[str], values: list[str] | None = None, tile: int = TILE, only: DataFrame | None = None) -> DataFrame:
     """``into`` columns of every cell by ``chain``, from grids of the ``values`` (by default ``v``) that reach ``halo`` cells beyond a tile.
+    With ``only`` (raster, tr, tc) just the cells of these tiles.
 
     Returns (raster if given, row, col, values, into).  A tile with its rim is what a task holds: (tile + 2 halo)^2 cells."""
     values = values or ["v"]
@@ -161,6 +162,8 @@ def stencil(cells: DataFrame, halo: int, chain: Callable[[dict[str, Grid]], dict
     n = ends.count()
     ends = F.broadcast(ends) if n <= SENT_RASTERS else ends
     held = rimmed(rows, tile, halo).join(ends, "raster").where("tr BETWEEN FLOOR(top / {t}) AND FLOOR(bottom / {t}) AND tc BETWEEN FLOOR(left / {t}) AND FLOOR(right / {t})".format(t=tile))
+    if only is not None:
+        held = held.join(only, ["raster", "tr", "tc"], "left_semi")
 
     def each(t: pa.Table) -> pa.Table:
         one = {c: t[c][0].as_py() for c in ("tr", "tc", "top", "left", "bottom", "right")}

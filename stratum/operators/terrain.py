@@ -23,10 +23,10 @@ SIGMAS, SIZES, GRADIENT_SIGMA, VARIANCE_SIZE, RELIEF_SIGMA = (1.0, 2.0, 4.0, 8.0
 
 def local_relief(rows: DataFrame, sigma: float = RELIEF_SIGMA, tile: int = B.TILE) -> DataFrame:
     """``lrm``: height above the smoothed surface, which is mirrored at its edges."""
-    return B.stencil(rows, B.gaussian_reach(sigma), lambda g: {"lrm": _relief(g["v"], sigma)}, ["lrm"], tile=tile)
+    return B.stencil(rows, B.gaussian_reach(sigma), lambda g: {"lrm": relief(g["v"], sigma)}, ["lrm"], tile=tile)
 
 
-def _relief(g: B.Grid, sigma: float) -> B.Grid:
+def relief(g: B.Grid, sigma: float) -> B.Grid:
     return B.combined(np.subtract, g, B.gaussian(g, sigma, mode="reflect"))
 
 
@@ -84,7 +84,7 @@ def relief_score(rows: DataFrame, svf: DataFrame | int, openness: DataFrame | No
 
     def chain(g):
         v = g["v"]
-        out = {"log": B.combined(lambda *x: np.max(x, 0), *(B.blob_size(v, s) for s in sigmas)), "lrm": _relief(v, relief_sigma), "slope": B.gradient_size(v, gradient_sigma), "variance": B.local_variance(v, variance_size // 2)}
+        out = {"log": B.combined(lambda *x: np.max(x, 0), *(B.blob_size(v, s) for s in sigmas)), "lrm": relief(v, relief_sigma), "slope": B.gradient_size(v, gradient_sigma), "variance": B.local_variance(v, variance_size // 2)}
         return out | ({"svf": _sky_grid(v, radius)} if own else {})
 
     reach = max(B.gaussian_reach(max(*sigmas, relief_sigma, gradient_sigma)), variance_size // 2, radius)
@@ -179,7 +179,7 @@ def products(rows: DataFrame, names: tuple[str, ...] = ("hillshade", "svf", "slr
             gx, gy = gradients(v, cell)
             out = {"hillshade": shades(gx, gy), "slope": B.combined(lambda x, y: np.degrees(np.arctan(np.sqrt(x * x + y * y))), gx, gy)}
         if "slrm" in names:
-            out["slrm"] = _relief(v, relief_sigma)
+            out["slrm"] = relief(v, relief_sigma)
         if "svf" in names:
             out["svf"] = _sky_grid(v, svf_radius, cell=cell)
         if fill_reach:
