@@ -5,6 +5,7 @@ Queries run over whole tables; floats are rounded to six places on both sides.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -243,8 +244,13 @@ def cluster_rollup(spark, d):
     return rounded(C.cluster_rollup(V.candidates(spark, d).withColumn("cluster", key)), "x_mean", "y_mean", "score_max").withColumn("area_sum", F.round("area_sum", 3))
 
 
-@query()
+@query("WITH RECURSIVE mosaic AS (" + V.SQL["mosaic"] + """), c AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY v DESC, row, col) AS i FROM mosaic WHERE v >= 0 QUALIFY i <= 490),
+o AS MATERIALIZED (SELECT a.i, list(b.i) AS near FROM c a JOIN c b ON b.i < a.i WHERE greatest(abs(a.row - b.row), abs(a.col - b.col)) <= 3 GROUP BY a.i),
+r(i, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT c.i, CASE WHEN len(kept) < 10 AND len(list_intersect(coalesce(o.near, []), kept)) = 0 THEN list_append(kept, c.i) ELSE kept END FROM r JOIN c ON c.i = r.i + 1 LEFT JOIN o ON o.i = c.i),
+l AS (SELECT arg_max(kept, i) AS kept FROM r)
+SELECT row, col, round(v, 6) AS v, list_position(kept, i)::INT AS rank FROM c, l WHERE list_contains(kept, i)""")
 def suppressed_topk(spark, d):
+    """The best pixels apart from each other; the SQL, too, needs but the first 490."""
     return rounded(C.suppressed_top_k(V.mosaic(spark, d), 10, 3, 0.0), "v")
 
 
@@ -662,7 +668,14 @@ def hessian_ridge(spark, d):
     return rounded(T.hessian(V.mosaic(spark, d), (1.0, 2.0)), "ridge")
 
 
-@query()
+def _horizon(radius: int, directions: int = 16) -> str:
+    """(k, dr, dc, far): the cells that each direction looks at."""
+    looks = [(k, round(n * math.sin(2 * math.pi * k / directions)), round(n * math.cos(2 * math.pi * k / directions))) for k in range(directions) for n in range(1, radius + 1)]
+    return "looks(k, dr, dc, far) AS (VALUES " + ", ".join(f"({k}, {r}, {c}, {math.hypot(r, c)!r}::DOUBLE)" for k, r, c in looks) + ")"
+
+
+@query(_after_views(_horizon(5) + """, rises AS (SELECT a.row, a.col, k, greatest(0, max((b.v - a.v) / far)) AS rise FROM mosaic a CROSS JOIN looks LEFT JOIN mosaic b ON b.row = a.row + dr AND b.col = a.col + dc GROUP BY ALL)
+SELECT m.row, m.col, svf FROM (SELECT row, col, round(1 - sum(sin(atan(rise))) / 16, 6) AS svf FROM rises GROUP BY ALL) s JOIN mosaic m USING (row, col)""", "mosaic"))
 def sky_view_factor(spark, d):
     return rounded(T.sky_view(V.mosaic(spark, d), 5, tile=64), "svf")
 
