@@ -71,9 +71,12 @@ def unit(df: DataFrame) -> DataFrame:
 
 
 @query(f"""SELECT source_label, scale_level, scale_factor, count(*) AS n_candidates, count(*) FILTER ({BAND} = 'Yuksek') AS n_high, count(*) FILTER ({BAND} = 'Orta') AS n_medium, count(*) FILTER ({BAND} = 'Dusuk') AS n_low,
- round(avg(score_mean), 6) AS score_avg, round(max(score_mean), 6) AS score_max, round(sum(area_m2), 3) AS area_sum FROM candidates GROUP BY ALL""", "candidates")
+ round(avg(score_mean), 6) AS score_avg, round(max(score_mean), 6) AS score_max, round(coalesce(sum(area_m2), 0), 3) AS area_sum, round(max(area_m2), 3) AS area_max,
+ row_number() OVER (ORDER BY coalesce(nullif(max(score_mean), 0), -1) DESC, count(*) DESC, source_label, coalesce(scale_level, 999999), scale_factor NULLS FIRST)::INT AS place FROM candidates GROUP BY source_label, scale_level, scale_factor""", "candidates")
 def candidate_group_summary(spark, d):
-    return rounded(C.group_summary(V.candidates(spark, d)), "score_avg", "score_max").withColumn("area_sum", F.round("area_sum", 3))
+    """A row for each source and scale, few as they are, with its place in the order of reports."""
+    sums = C.group_summary(V.candidates(spark, d)).withColumn("place", F.row_number().over(Window.orderBy(*C.summary_order())))
+    return rounded(sums, "score_avg", "score_max").withColumns({"area_sum": F.round("area_sum", 3), "area_max": F.round("area_max", 3)})
 
 
 @query("""SELECT candidate_id, row_number() OVER (ORDER BY coalesce(score_mean, -1) DESC, coalesce(area_m2, -1) DESC, source_label, coalesce(scale_level, 999999), coalesce(candidate_id, 999999)) AS priority_rank FROM candidates""", "candidates")

@@ -82,15 +82,22 @@ def of_classes(rows: DataFrame, column: str, wanted: str | None, names: dict[int
 
 
 def group_summary(rows: DataFrame) -> DataFrame:
-    """Per source and scale: counts by band, mean and largest score, area."""
+    """Per source and scale: counts by band, mean and largest score, area and largest area; missing sources are ``''``, areas that are all missing sum up to 0."""
     band = priority_band(F.col("score_mean"))
     count = lambda b: F.count_if(band == b)
-    return rows.groupBy("source_label", "scale_level", "scale_factor").agg(
+    return rows.groupBy(F.coalesce("source_label", F.lit("")).alias("source_label"), "scale_level", "scale_factor").agg(
         F.count(F.lit(1)).alias("n_candidates"), count(HIGH).alias("n_high"), count(MEDIUM).alias("n_medium"), count(LOW).alias("n_low"),
-        F.avg("score_mean").alias("score_avg"), F.max("score_mean").alias("score_max"), F.sum("area_m2").alias("area_sum"),
+        F.avg("score_mean").alias("score_avg"), F.max("score_mean").alias("score_max"), F.coalesce(F.sum("area_m2"), F.lit(0.0)).alias("area_sum"),
+        F.max("area_m2").alias("area_max"),
     )
 
 
+def summary_order() -> list[Column]:
+    """The order of group summaries: largest score (0 counts as missing, which is -1), count, source, scale."""
+    best = F.coalesce(F.when(F.col("score_max") != 0, F.col("score_max")), F.lit(-1.0))
+    return [best.desc(), F.desc("n_candidates"), F.asc("source_label"), F.coalesce("scale_level", F.lit(999_999)).asc(), F.asc_nulls_first("scale_factor")]
+
+
 def summary_metrics(rows: DataFrame, clusters: DataFrame, reach: float) -> DataFrame:
     """The twelve metrics of a whole run, in long form; ``clusters`` has a row for each cluster, found at the distance ``reach``."""
     band = priority_band(F.col("score_mean"))
