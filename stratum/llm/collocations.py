@@ -33,7 +33,7 @@ LEAST, LONGEST, TOP = 10, 3, 2000
 MOST_BITS = 29
 CHUNK_BITS = 20
 #: Bytes of text, and windows of words, that are counted at a time.
-SLICE, WINDOWS = 4 << 20, 1 << 21
+SLICE, WINDOWS = 4 << 20, 1 << 20
 U = np.uint64
 _A, _B = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
