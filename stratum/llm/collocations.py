@@ -33,7 +33,7 @@ LEAST, LONGEST, TOP = 10, 3, 2000
 MOST_BITS = 29
 CHUNK_BITS = 20
 #: Bytes of text, and windows of words, that are counted at a time.
-SLICE, WINDOWS = 4 << 20, 1 << 20
+SLICE, WINDOWS = 4 << 20, 1 << 21
 U = np.uint64
 _A, _B = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
@@ -86,7 +86,8 @@ def count_words(rows: DataFrame, seed: int) -> DataFrame:
                 yield from pa.Table.from_arrays(columns, ["lang", "word", "key", "a"]).to_batches(1 << 16)
 
     found = rows.mapInArrow(run, "lang string, word string, key bigint, a bigint")
-    return found.groupBy("lang", "word").agg(F.first("key").alias("key"), F.sum("a").alias("a"))
+    # summed up by slices already: a second sum before the shuffle would only fill the executors' memory
+    return found.repartition("lang", "word").groupBy("lang", "word").agg(F.first("key").alias("key"), F.sum("a").alias("a"))
 
 
 def _group_keys(words: list[np.ndarray]) -> np.ndarray:
@@ -229,7 +230,7 @@ def count_groups(relation: DataFrame, k: int, least: int) -> DataFrame:
             yield from counted()
 
     found = relation.mapInArrow(run, ", ".join(f"{c} bigint" for c in (*names, "a")))
-    return found.groupBy(*names).agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    return found.repartition(*names).groupBy(*names).agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
 def extended(relation: DataFrame, k: int, frequent: Bits) -> DataFrame:
