@@ -171,7 +171,7 @@ def products(rows: DataFrame, names: tuple[str, ...] = ("hillshade", "svf", "slr
     def chain(g):
         v, hole = g["v"], np.isnan(g["v"].v)
         if fill_reach:
-            v = v.like(B.nearest_valid(v.v, fill_reach))
+            v = B.Grid(B.nearest_valid(v.v, fill_reach), v.row, v.col, v.ends)
             top, left, below, right = (0 if end else fill_reach for end in v.ends)
             v = v.cut(v.row + top, v.col + left, v.v.shape[0] - top - below, v.v.shape[1] - left - right)
         out = {}
