@@ -20,7 +20,7 @@ def ragged(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["erode_dilate", "opening_tophat"])
+@pytest.mark.parametrize("name", ["erode_dilate", "opening_tophat", "prominence"])
 def test_query(spark, ragged, name):
     import __spark_entry__ as entry
 
