@@ -20,7 +20,7 @@ def ragged(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["erode_dilate", "opening_tophat", "prominence", "resample_centres", "resample_corners", "kept_relief"])
+@pytest.mark.parametrize("name", ["erode_dilate", "opening_tophat", "prominence", "resample_centres", "resample_corners", "kept_relief", "local_relief"])
 def test_query(spark, ragged, name):
     import __spark_entry__ as entry
 
