@@ -1,8 +1,9 @@
 """Work that grows with the answer, not with the cells behind it."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from stratum.operators import raster
+from stratum.operators import raster, scoring
 
 
 @pytest.mark.parametrize("tile, overlap", [(32, 8), (5, 4), (8, 0), (7, 6), (1, 0)])
@@ -18,3 +19,39 @@ def test_feather_weights_list_no_cells(spark):
 
     plan = entry.queries()["feather_weights"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "aggregate(" not in plan and "cos(" not in plan.lower()
+
+
+def test_detections_by_brute_force(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(k) if k else None, None if c < 0.1 else float(round(c, 2)), *map(float, xy)) for k, c, xy in zip(rng.integers(0, 4, 400), rng.random(400), rng.integers(-3, 22, (400, 4)) + 0.5, strict=True)]
+    rows += [(9, None, 1.0, 1.0, 3.0, 4.0), (8, float("nan"), 0.0, 0.0, 2.0, 2.0), (8, 0.5, 1.0, 0.0, 3.0, 2.0)]
+    want = {}
+    for k, conf, x1, y1, x2, y2 in rows:
+        cut = lambda v, most: max(0, min(int(v), most))
+        for r in range(cut(y1, 18), cut(y2, 19)):
+            for c in range(cut(x1, 18), cut(x2, 19)):
+                old = want.get((k, r, c))
+                want[k, r, c] = conf if old is None else old if conf is None or old != old or conf <= old else conf  # NaN is largest
+    df = spark.createDataFrame(rows, "tile_id int, conf double, x1 double, y1 double, x2 double, y2 double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for block in (64, 5, 1):  # small ones are thinned many times
+            got = {(r["tile_id"], r["row"], r["col"]): r["prob"] for r in scoring.detection_map(df, 19, block=block).collect()}
+            assert repr(sorted(got.items(), key=repr)) == repr(sorted(want.items(), key=repr))
+            sums = {r["tile_id"]: r for r in scoring.detection_sums(df, 19, block=block).collect()}
+            assert sums.keys() == {k for k, _, _ in want}
+            for k, r in sums.items():
+                mine = [v for (t, _, _), v in want.items() if t == k]
+                known = [v for v in mine if v is not None]
+                assert r["cells"] == len(mine) and (r["prob_sum"] == pytest.approx(sum(known), nan_ok=True) if known else r["prob_sum"] is None and r["prob_max"] is None)
+                assert not known or r["prob_max"] == pytest.approx(np.max(known), nan_ok=True)
+        assert scoring.detection_sums(df.limit(0), 19).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_detection_map_lists_no_cells(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["detection_map"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan
