@@ -1,44 +1,141 @@
 """Outlines of labelled cells, simplified so that neighbours stay joined.
 
-Sides between cells of different labels are chained into arcs, cut where more than two borders meet.  An arc is simplified once
-(Douglas and Peucker, ends kept), for both labels that it parts, so that no gap or overlap arises; then each label's
-arcs are put together into rings again.
+Sides between cells of different labels are followed round each label, and the rings cut into arcs where more than two borders meet.  An
+arc is simplified (Douglas and Peucker, ends kept) in one direction, whichever of its two labels is followed, so that both get the same
+line and no gap or overlap arises.
 
-Cells are (row, col, label), and ``raster`` if there are several; null labels and absent cells are 0, outside of all.  A task holds the
-border of two labels, then the arcs of one label.  Of labels that touch at a corner only, rings stay apart there.
+Cells are (row, col, label), and ``raster`` if there are several; null labels and absent cells are 0, outside of all.  Rings are followed
+within tiles; what leaves a tile is joined in tiles of eight times the side, and so on, so that a task holds a tile, then the lines
+that cross the seams within one, and of a ring no more than its corners.  Of labels that touch at a corner only, rings stay apart there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratum.functions import geo
-
-#: Directions of sides as (x, y) steps: right, down, left, up; the next one is a turn to the right, as y grows downwards.
-STEPS = ((1, 0), (0, 1), (-1, 0), (0, -1))
-
-
-def sides(cells: DataFrame) -> DataFrame:
-    """(raster, x, y, way, left, right): sides between different labels, from corner (x, y) on along the axis ``way`` (0 right, 1 down), and the labels beside them.
-
-    Each cell tells the four sides around it; one shuffle by side."""
+from stratum.sources.shared import stored
+
+#: Cells a side of the tiles in which sides are followed first, and tiles a side of the next larger ones.
+TILE, WIDER = 256, 8
+LINES = "raster {kind}, tr int, tc int, label bigint, head bigint, tail bigint, closed boolean, x array<int>, y array<int>, f array<tinyint>"
+
+
+def _number(x: np.ndarray, y: np.ndarray, way: np.ndarray) -> np.ndarray:
+    """The number of the side from corner (x, y) on in direction ``way``: 0 right, 1 down, 2 left, 3 up, the next one a turn to the right, as y grows downwards."""
+    return (y.astype(np.int64) << 33) | ((x.astype(np.int64) + (1 << 30)) << 2) | way
+
+
+def _followed(label: np.ndarray, row: int, col: int) -> tuple[np.ndarray, ...]:
+    """The directed sides that begin at the corners (row, col) and on, the label at their right hand, from cells that begin one row above and one column to the left.
+
+    Gives x, y, label, number, the number of the side before, and flags: 1 for a corner where other than two sides meet, 2 if the lower label is at the left hand, 4 if the way turns there."""
+    # the cells around a corner, in the order of turns: below right, below left, above left, above right
+    around = np.stack([label[1:, 1:], label[1:, :-1], label[:-1, :-1], label[:-1, 1:]])
+    many = (around != np.roll(around, 1, 0)).sum(0) > 2
+    parts = []
+    for way in range(4):
+        right, left = around[way], around[(way - 1) % 4]  # of the side that leaves
+        y, x = np.nonzero((right != left) & ((right > 0) | (right > left)))
+        a, b, c = (around[(way + k) % 4][y, x] for k in (1, 2, 3))
+        me = right[y, x]
+        # a side comes in turning right if the next cell round is another label's, else straight on, else turning left
+        turn = np.where(a != me, 1, np.where(b != me, 0, -1))
+        before = (way - turn) % 4
+        dx, dy = np.array([1, 0, -1, 0])[before], np.array([0, 1, 0, -1])[before]
+        x, y, joint = x + col, y + row, many[y, x]
+        flags = joint | ((c < me) << 1) | ((turn != 0) << 2)
+        parts.append((x, y, me, _number(x, y, np.full(len(x), way)), _number(x - dx, y - dy, before), flags))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def _chained(head: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces put in order, where one goes on that has another's tail as its head: their order, where each line begins in it (and the end), and which lines are closed."""
+    by = np.argsort(tail, kind="stable")
+    at = np.minimum(np.searchsorted(tail[by], head), len(tail) - 1)
+    before = np.where(tail[by][at] == head, by[at], -1)
+    after = np.full(len(head), -1)
+    after[before[before >= 0]] = np.flatnonzero(before >= 0)
+    after_, left = after.tolist(), bytearray(b"\x01") * len(head)
+    order, cuts, closed = [], [0], []
+    for first in (np.flatnonzero(before < 0).tolist(), range(len(head))):
+        ring = isinstance(first, range)
+        for k in first:
+            if not left[k]:
+                continue
+            while k >= 0 and left[k]:
+                left[k] = 0
+                order.append(k)
+                k = after_[k]
+            cuts.append(len(order))
+            closed.append(ring)
+    return np.array(order, int), np.array(cuts), np.array(closed, bool)
+
+
+def _lines(cells: DataFrame, tile: int) -> DataFrame:
+    """(raster, tr, tc, label, head, tail, closed, x, y, f): lines of sides within tiles, from the number of the side before to that of the last one, with their corners."""
+    span = lambda c: F.explode(F.sequence(F.floor(F.col(c) / tile).cast("int"), F.floor((F.col(c) + 1) / tile).cast("int")))
     raster = "raster" if "raster" in cells.columns else F.lit(0).alias("raster")
-    rows = cells.select(raster, F.col("row").cast("int").alias("y"), F.col("col").cast("int").alias("x"), F.coalesce(F.col("label"), F.lit(0)).cast("bigint").alias("label"))
-    none = F.lit(None).cast("bigint")
-    side = lambda dx, dy, way, left: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), F.lit(way).alias("way"), (F.col("label") if left else none).alias("left"), (none if left else F.col("label")).alias("right"))
-    # going right the cell below is at the right hand, going down the cell to the left is
-    told = rows.select("raster", F.inline(F.array(side(0, 0, 0, False), side(0, 1, 0, True), side(0, 0, 1, True), side(1, 0, 1, False))))
-    both = told.groupBy("raster", "x", "y", "way").agg(F.coalesce(F.max("left"), F.lit(0)).alias("left"), F.coalesce(F.max("right"), F.lit(0)).alias("right"))
-    return both.where("left <> right")
-
+    rows = cells.select(raster, F.col("row").cast("int"), F.col("col").cast("int"), F.coalesce(F.col("label"), F.lit(0)).cast("bigint").alias("label"))
+    kind = rows.schema["raster"].dataType.simpleString()
 
-def junctions(found: DataFrame) -> DataFrame:
-    """(raster, x, y) of corners where other than two sides meet."""
-    ends = F.array(F.struct("x", "y"), F.struct((F.col("x") + F.when(F.col("way") == 0, 1).otherwise(0)).alias("x"), (F.col("y") + F.when(F.col("way") == 1, 1).otherwise(0)).alias("y")))
-    return found.select("raster", F.inline(ends)).groupBy("raster", "x", "y").agg(F.count(F.lit(1)).alias("n")).where("n <> 2").drop("n")
+    def each(t: pa.Table) -> pa.Table:
+        tr, tc = t["tr"][0].as_py(), t["tc"][0].as_py()
+        row, col = tr * tile, tc * tile
+        grid = np.zeros((tile + 1, tile + 1), np.int64)
+        t = t.sort_by("label")  # of cells given twice the largest label counts, in each tile
+        grid[t["row"].to_numpy() - row + 1, t["col"].to_numpy() - col + 1] = t["label"].to_numpy()
+        x, y, label, number, before, flags = _followed(grid, row, col)
+        order, cuts, closed = _chained(before, number)
+        kept = (flags[order] & 5) > 0
+        corners = order[kept]
+        counts = np.append(0, np.cumsum(kept))[cuts]
+        return _told(t["raster"][0], tr, tc, label[order[cuts[:-1]]], before[order[cuts[:-1]]], number[order[cuts[1:] - 1]], closed, x[corners], y[corners], flags[corners] & 3, counts)
+
+    return rows.withColumn("tr", span("row")).withColumn("tc", span("col")).groupBy("raster", "tr", "tc").applyInArrow(each, LINES.format(kind=kind))
+
+
+def _told(raster: pa.Scalar, tr: int, tc: int, label, head, tail, closed, x, y, f, cuts) -> pa.Table:
+    n, to = len(label), pa.array(cuts, pa.int32())
+    lists = [pa.ListArray.from_arrays(to, pa.array(v.astype(t), k)) for v, t, k in ((x, np.int32, pa.int32()), (y, np.int32, pa.int32()), (f, np.int8, pa.int8()))]
+    same = lambda v: pa.array(np.full(n, v, np.int32))
+    columns = [pa.repeat(raster, n), same(tr), same(tc), *(pa.array(v.astype(np.int64)) for v in (label, head, tail)), pa.array(closed), *lists]
+    return pa.Table.from_arrays(columns, ["raster", "tr", "tc", "label", "head", "tail", "closed", "x", "y", "f"])
+
+
+def _joined(lines: DataFrame) -> DataFrame:
+    """Open lines joined within tiles of WIDER times the side."""
+    kind = lines.schema["raster"].dataType.simpleString()
+    wider = lambda c: F.floor(F.col(c) / WIDER).cast("int").alias(c)
+
+    def each(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        label, head, tail = (t[c].to_numpy() for c in ("label", "head", "tail"))
+        order, cuts, closed = _chained(head, tail)
+        parts = t.take(pa.array(order)).combine_chunks()
+        counts = np.append(0, np.cumsum(parts["x"].combine_chunks().value_lengths().to_numpy()))[cuts]
+        x, y, f = (parts[c].combine_chunks().flatten().to_numpy() for c in "xyf")
+        return _told(t["raster"][0], t["tr"][0].as_py(), t["tc"][0].as_py(), label[order[cuts[:-1]]], head[order[cuts[:-1]]], tail[order[cuts[1:] - 1]], closed, x, y, f, counts)
+
+    return lines.select("raster", wider("tr"), wider("tc"), "label", "head", "tail", "x", "y", "f").groupBy("raster", "tr", "tc").applyInArrow(each, LINES.format(kind=kind))
+
+
+def _closed(cells: DataFrame, tile: int) -> DataFrame:
+    """(raster, label, x, y, f): the corners of all rings, in order."""
+    lines = stored(_lines(cells, tile))
+    rings = lines.where("closed")
+    low = lines.where("NOT closed").agg(F.min("tr"), F.min("tc")).first()
+    if low[0] is not None:  # tiles are numbered from 0 on, as what lies on both sides of 0 would never meet in a wider one
+        lines = lines.withColumns({"tr": F.col("tr") - low[0], "tc": F.col("tc") - low[1]})
+    while not lines.where("NOT closed").isEmpty():
+        lines = stored(_joined(lines.where("NOT closed")))
+        rings = rings.unionByName(lines.where("closed"))
+    return rings.select("raster", "label", "x", "y", "f")
 
 
 def simplified(points: np.ndarray, tolerance: float) -> np.ndarray:
@@ -64,95 +161,51 @@ def simplified(points: np.ndarray, tolerance: float) -> np.ndarray:
     return points[keep]
 
 
-def _chains(x: np.ndarray, y: np.ndarray, way: np.ndarray, forward: np.ndarray, ends: set) -> list[list[tuple[int, int]]]:
-    """Lines of corners of directed sides (the lower label at the left hand), from junction to junction, or closed from their first corner."""
-    begins: dict[tuple[int, int], list] = {}
-    for a, b, w, f in zip(x.tolist(), y.tolist(), way.tolist(), forward.tolist(), strict=True):
-        one, two = (a, b), (a + (w == 0), b + (w == 1))
-        begins.setdefault(one if f else two, []).append(two if f else one)
+def _ring(points: np.ndarray, flags: np.ndarray, tolerance: float) -> np.ndarray:
+    """A closed ring of corners, each of its arcs simplified with the lower label at the left hand."""
+    joints = np.flatnonzero(flags & 1)
+    first = joints[0] if len(joints) else np.lexsort((points[:, 1], points[:, 0]))[0]
+    points, flags = np.roll(points, -first, 0), np.roll(flags, -first)
+    cuts = [*(np.flatnonzero(flags & 1) if len(joints) else [0]), len(points)]
+    points = np.concatenate([points, points[:1]])
     out = []
-    for start in sorted(k for k in begins if k in ends):
-        while begins[start]:
-            line = [start, begins[start].pop()]
-            while line[-1] not in ends:
-                line.append(begins[line[-1]].pop())
-            out.append(line)
-    for start in sorted(begins):
-        if begins[start]:
-            line = [start, begins[start].pop()]
-            while line[-1] != start:
-                line.append(begins[line[-1]].pop())
-            out.append(line)
-    return out
-
-
-def arcs(cells: DataFrame, tolerance: float) -> DataFrame:
-    """(raster, low, high, number, line, first, last): arcs with the lower label at the left hand, simplified; directions of their first and last side."""
-    found = sides(cells)
-    ends = junctions(found).withColumn("end", F.lit(True))
-    two = lambda c: F.when(F.col("way") == c, 1).otherwise(0)
-    rows = found.withColumns({"x2": F.col("x") + two(0), "y2": F.col("y") + two(1)}).join(ends, ["raster", "x", "y"], "left")
-    rows = rows.join(ends.toDF("raster", "x2", "y2", "end2"), ["raster", "x2", "y2"], "left")
-    rows = rows.select("raster", F.least("left", "right").alias("low"), F.greatest("left", "right").alias("high"), "x", "y", "way", (F.col("left") < F.col("right")).alias("forward"), F.col("end").isNotNull().alias("end"), F.col("end2").isNotNull().alias("end2"))
-
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, way = (pdf[c].to_numpy() for c in ("x", "y", "way"))
-        ends = set(zip(x[pdf["end"]].tolist(), y[pdf["end"]].tolist(), strict=True))
-        ends |= set(zip((x + (way == 0))[pdf["end2"]].tolist(), (y + (way == 1))[pdf["end2"]].tolist(), strict=True))
-        out = []
-        for number, line in enumerate(_chains(x, y, way, pdf["forward"].to_numpy(), ends)):
-            turns = [STEPS.index((line[k + 1][0] - line[k][0], line[k + 1][1] - line[k][1])) for k in (0, len(line) - 2)]
-            kept = simplified(np.array(line, float), tolerance)
-            out.append((pdf["raster"].iloc[0], pdf["low"].iloc[0], pdf["high"].iloc[0], number, [{"x": float(a), "y": float(b)} for a, b in kept], *turns))
-        return pd.DataFrame(out, columns=["raster", "low", "high", "number", "line", "first", "last"])
-
-    kind = rows.schema["raster"].dataType.simpleString()
-    return rows.groupBy("raster", "low", "high").applyInPandas(each, f"raster {kind}, low bigint, high bigint, number int, line array<struct<x:double,y:double>>, first int, last int")
-
-
-def _rings(lines: list[list[tuple[float, float]]], first: list[int], last: list[int]) -> list[list[tuple[float, float]]]:
-    """Closed rings of directed lines with the label at the right hand; at a corner the sharpest turn to the right is taken."""
-    begins: dict[tuple[float, float], list[int]] = {}
-    for k, line in enumerate(lines):
-        begins.setdefault(line[0], []).append(k)
-    used, out = set(), []
-    for k in range(len(lines)):
-        if k in used:
-            continue
-        ring, now = [], k
-        while now not in used:
-            used.add(now)
-            ring += lines[now][:-1]
-            ways = [j for j in begins[lines[now][-1]] if j not in used or j == k]
-            if lines[now][-1] == lines[k][0] and (first[k] - last[now]) % 4 == 1 or not ways:
-                break
-            now = min(ways, key=lambda j: ((1 - (first[j] - last[now])) % 4, j))
-        out.append([*ring, ring[0]])
-    return out
-
-
-def polygons(cells: DataFrame, tolerance: float) -> DataFrame:
-    """(raster, label, part, ring, area, points): closed rings of each label in corners of cells; ``area`` in cells, negative for holes.
-    Rings that simplifying leaves no area are left out."""
-    rows = arcs(cells, tolerance)
-    turned = lambda c: (F.col(c) + 2) % 4
-    # an arc has its higher label at the right hand, and turned round its lower one
-    high = rows.select("raster", F.col("high").alias("label"), "low", "high", "number", "line", "first", "last")
-    low = rows.where("low > 0").select("raster", F.col("low").alias("label"), "low", "high", "number", F.reverse("line").alias("line"), turned("last").alias("first"), turned("first").alias("last"))
-
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["low", "high", "number"])
-        lines = [[(p["x"], p["y"]) for p in line] for line in pdf["line"]]
-        out = []
-        for part, ring in enumerate(_rings(lines, pdf["first"].tolist(), pdf["last"].tolist())):
-            x, y = np.array(ring).T
-            if len(ring) < 4:
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        line = points[a : b + 1]
+        if len(line) > 2:
+            line = simplified(line, tolerance) if flags[a] & 2 else simplified(line[::-1], tolerance)[::-1]
+        out.append(line[:-1])
+    return np.concatenate([*out, points[:1]])
+
+
+def polygons(cells: DataFrame, tolerance: float, tile: int = TILE) -> DataFrame:
+    """(raster, label, part, ring, area, points): closed rings of each label in corners of cells; ``area`` in cells, negative for holes;
+    ``part`` tells a label's rings apart.  Rings that simplifying leaves no area are left out."""
+    rings = _closed(cells, tile)
+    kind = rings.schema["raster"].dataType.simpleString()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
                 continue
-            out.append((pdf["raster"].iloc[0], pdf["label"].iloc[0], part, [{"x": a, "y": b} for a, b in ring], float((x[:-1] * y[1:] - x[1:] * y[:-1]).sum() / 2), len(ring) - 1))
-        return pd.DataFrame(out, columns=["raster", "label", "part", "ring", "area", "points"])
-
-    kind = rows.schema["raster"].dataType.simpleString()
-    return high.unionByName(low).groupBy("raster", "label").applyInPandas(each, f"raster {kind}, label bigint, part int, ring array<struct<x:double,y:double>>, area double, points int")
+            x, y, f = (batch[c].flatten().to_numpy() for c in "xyf")
+            n = batch["x"].value_lengths().to_numpy()
+            starts = np.cumsum(n) - n
+            # no two rings of a label have the same highest corner (of these, the first from the left)
+            part = np.minimum.reduceat((y.astype(np.int64) << 32) + x, starts)
+            points = np.stack([x, y], 1).astype(float)
+            lines = [_ring(points[a : a + k], f[a : a + k], tolerance) if tolerance > 0 else np.concatenate([points[a : a + k], points[a : a + 1]]) for a, k in zip(starts, n, strict=True)]
+            kept = np.flatnonzero([len(r) >= 4 for r in lines])
+            if not len(kept):
+                continue
+            lines = [lines[k] for k in kept]
+            area = [float((r[:-1, 0] * r[1:, 1] - r[1:, 0] * r[:-1, 1]).sum() / 2) for r in lines]
+            sizes, flat = np.array([len(r) for r in lines]), np.concatenate(lines)
+            ring = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["x", "y"]))
+            of = batch.take(pa.array(kept))
+            columns = [of["raster"], of["label"], pa.array(part[kept]), ring, pa.array(area, pa.float64()), pa.array((sizes - 1).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["raster", "label", "part", "ring", "area", "points"])
+
+    return rings.mapInArrow(each, f"raster {kind}, label bigint, part bigint, ring array<struct<x:double,y:double>>, area double, points int")
 
 
 def on_the_ground(rings: DataFrame, transform: Column, crs: Column) -> DataFrame:

@@ -82,3 +82,32 @@ def test_on_the_ground(spark):
     (r,) = A.on_the_ground(A.polygons(cells(spark, g), 0.0), t, F.lit("EPSG:3857")).collect()
     assert r["ring"][0]["x"] == 3.9e6 + 10 and 235 < r["area_m2"] < 250  # 400 by the scale of Mercator at 39 degrees
     assert A.polygons(cells(spark, np.zeros((3, 3), int)), 1.0).count() == 0
+
+
+@pytest.mark.parametrize("tolerance", [0.0, 0.8])
+def test_tiles_make_no_difference(spark, tolerance):
+    noise = np.random.default_rng(6).integers(0, 4, (70, 45))
+    wide = np.ones((70, 45), int)  # one border through all tiles, and a hole that runs along it
+    wide[1:-1, 1:-1] = 2
+    wide[3, 3:40] = wide[3:66, 20] = 3
+    df = cells(spark, noise, wide, random_map(7)).selectExpr("raster", "row - 11 AS row", "col - 30 AS col", "label").cache()
+
+    def told(tile):
+        out = []
+        for r in A.polygons(df, tolerance, tile=tile).collect():
+            ring = [(p["x"], p["y"]) for p in r["ring"]]
+            assert ring[0] == ring[-1] and len(ring) == r["points"] + 1
+            k = min(range(len(ring) - 1), key=lambda i: ring[i:-1] + ring[:i])
+            out.append((r["raster"], r["label"], r["part"], ring[k:-1] + ring[:k], r["area"]))
+        return sorted(out)
+
+    whole = told(256)
+    assert len({r[:3] for r in whole}) == len(whole) > 100
+    assert told(1) == told(3) == told(16) == whole
+    for (k, label), n in {(k, v): (g == v).sum() for k, g in enumerate((noise, wide)) for v in np.unique(g[g > 0])}.items():
+        assert tolerance or sum(r[4] for r in whole if r[:2] == (k, label)) == n
+
+
+def test_no_task_holds_a_label(spark):
+    plan = A.polygons(cells(spark, random_map(1)), 0.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan
